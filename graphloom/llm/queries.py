@@ -14,6 +14,26 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import gumbel_top_k, log_weights, models, target_sample
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratio = models(docs, target_sample(_table(spark, sf_dir, "labels")))
+    return gumbel_top_k(log_weights(docs, ratio), fraction=0.5, seed=1)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lsh_forest import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
@@ -36,6 +56,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_resampling": op1_quality_resampling,
+    "op2_decontamination": op2_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_toxicity": op10_toxicity,

@@ -66,7 +66,7 @@ class _Distinct:
                 yield x[self.seen[x] == at]
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, prior: float, rounds: int = 50, penalty: float = 1e-3, rate: float = 0.1) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, prior: float, rounds: int = 50, penalty: float = 1e-2, rate: float = 0.02) -> Model:
     """Fit on labelled texts; ``prior`` is the share of toxic texts among all labelled ones.
 
     Without both classes the score is the prior for every text.
@@ -87,11 +87,15 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float, rounds: int = 50, pena
     scaled = ratio[flat].astype(np.float32)
     # Each class weighs half; the bias is moved to the prior at the end.
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    blocks = [slice(i, i + (1 << 19)) for i in range(0, len(flat), 1 << 19)]
     for t in range(1, rounds + 1):
-        z = np.bincount(of, weights=w[flat] * scaled, minlength=len(rows)) + b
+        z = np.full(len(rows), b)
+        for s in blocks:
+            z += np.bincount(of[s], weights=w[flat[s]] * scaled[s], minlength=len(rows))
         err = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        g = np.bincount(flat, weights=err[of] * scaled, minlength=1 << BITS) + penalty * w
-        gb = err.sum()
+        g, gb = penalty * w, err.sum()
+        for s in blocks:
+            g += np.bincount(flat[s], weights=err[of[s]] * scaled[s], minlength=1 << BITS)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
