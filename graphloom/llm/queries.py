@@ -34,6 +34,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of all pages against a replica with known damage."""
+    from .warc_fixity import audit, damaged
+
+    pages = _table(spark, sf_dir, "pages")
+    return audit(pages, damaged(pages))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
@@ -46,6 +54,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_table(spark, sf_dir, "documents"), 50)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify, train
 
@@ -59,7 +79,10 @@ QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_warc_fixity": op4_warc_fixity,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
