@@ -1,10 +1,69 @@
-"""Corpus cleaning in five stages; see README."""
+"""Corpus cleaning in five stages, from `documents` to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written and read
+again as the next one's ``docs``. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.decontaminate import leaks
+from graphloom.llm.line_dedup import deduplicate
+from graphloom.llm.lsh_forest import near_duplicates
+from graphloom.llm.packing import pack, pieces
+from graphloom.llm.storage import materialize
+from graphloom.llm.toxicity import annotate, train
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among `docs`."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return annotate(docs, train(docs, labels)).where("toxic_score < 0.5").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of equal or near-equal lines the first stays; a document that loses every line goes."""
+    cut = deduplicate(docs).where("n_repeats = 0 or n_repeats < n_lines")
+    text = F.col("kept_text")
+    return cut.select(*(text.alias("text") if c == "text" else F.when(F.col("n_repeats") > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    others = near_duplicates(docs, 0.8).where("not kept").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or within the edit budget, go."""
+    found = materialize(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the documents that are left."""
+    return pack(pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Trained weights, min-hashes and token ids are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of `documents`, each written to the shared folder before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import BYTE_VALUE, U64, fold, text_slices
 
@@ -124,18 +125,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy(), 0.0 if known is None else float(known))
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score, predicted)`` for every row: score 0 to 1, predicted 1 from 0.5 on.
-
-    A null or empty text gets the score of the bias alone. Repeated rows give repeated results.
-    """
+def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``toxic_score`` (0 to 1) added to every row; a null or empty text gets the score of the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
-    kind = docs.schema[id_col].dataType.simpleString()
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            s = score(batch.column(1), own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at), own))], names=[*batch.schema.names, "toxic_score"])
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+
+
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, score, predicted)`` for every row: score 0 to 1, predicted 1 from 0.5 on. Repeated rows give repeated results."""
+    scored = annotate(docs.select(id_col, text_col), model, text_col)
+    return scored.select(id_col, F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
