@@ -29,7 +29,7 @@ GRAM = 24
 #: Bytes that the first ranks cover; at most 32 of them make one fingerprint.
 FIRST_RANK = 25
 #: The positions are sorted in so many passes over parts of their hash space, so that a pass holds that part of the disk.
-PASSES = 3
+PASSES = 2
 
 
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +146,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), z))], names=["doc", "place", "open"])
 
 
-def _open_windows(texts: DataFrame, length: int, half: int) -> DataFrame:
-    """``doc, at, r1, r2`` of the open windows; at is ``window << 16 | tag``, the ranks are those of the first and the last ``half`` bytes."""
+def _open_windows(texts: DataFrame, length: int, half: int, passes: int, number: int) -> DataFrame:
+    """``doc, at, r1, r2`` of the open windows whose first rank belongs to pass ``number``; at is ``window << 16 | tag``, the ranks are those of the first and the last ``half`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,6 +163,8 @@ def _open_windows(texts: DataFrame, length: int, half: int) -> DataFrame:
                         w = window[a : a + 50_000]
                         s = offsets[i] + w
                         r1, r2 = fingerprints(total, inverse, s, half), fingerprints(total, inverse, s + length - half, half)
+                        mine = (r1 >> U64(33)) % U64(passes) == U64(number)
+                        w, r1, r2 = w[mine], r1[mine], r2[mine]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), doc[row0 + i])), pa.array(w << 16 | tag[row0 + i]), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64))], names=["doc", "at", "r1", "r2"])
 
     return texts.select("doc", "tag", "text", "places").mapInArrow(run, "doc long, at long, r1 long, r2 long")
@@ -221,11 +223,16 @@ def repeated_bytes(docs: DataFrame, length: int = 50, passes: int = PASSES) -> D
         _release(spark)
     rep_tag = F.shiftrightunsigned("place", 8).bitwiseAND(0xFFFF).cast("int").alias("tag")
     open_ = judged.where("open").groupBy("doc", rep_tag).agg(F.collect_list("place").alias("places"))
-    texts = reps.select("doc", "tag", "text").join(open_, ["doc", "tag"])
-    ranks = _open_windows(texts, length, half).repartition("r1", "r2").select("r1", "r2", "doc", "at").sortWithinPartitions("r1", "r2", "doc")
-    again = materialize(ranks.mapInArrow(_rerank, "doc long, at long"), "again")
-    del ranks
+    texts = materialize(reps.select("doc", "tag", "text").join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places"), "open")
+    del open_
     _release(spark)
+    again = None
+    for number in range(passes):
+        ranks = _open_windows(texts, length, half, passes, number).repartition("r1", "r2").select("r1", "r2", "doc", "at").sortWithinPartitions("r1", "r2", "doc")
+        part = materialize(ranks.mapInArrow(_rerank, "doc long, at long"), "again")
+        again = part if again is None else again.unionByName(part)
+        del ranks
+        _release(spark)
     # Windows that a smaller document has too, as (first, count).
     one = judged.where("not open").select("doc", rep_tag, F.shiftrightunsigned("place", 24).alias("w"), F.col("place").bitwiseAND(0xFF).cast("int").alias("c"))
     two = again.select("doc", F.col("at").bitwiseAND(0xFFFF).cast("int").alias("tag"), F.shiftrightunsigned("at", 16).alias("w"), F.lit(1).alias("c"))
