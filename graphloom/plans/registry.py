@@ -1,4 +1,8 @@
 """The queries of the library by operator id, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import graph_queries
+
+QUERIES: dict = dict(graph_queries.QUERIES)
+ORACLES: dict = dict(graph_queries.ORACLES)
