@@ -95,30 +95,47 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, line int, h1 long, h2 long, size int")
 
 
+def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, length)`` of segment ``i`` of lines of each size; :func:`segments` for arrays."""
+    k = edits + 1
+    short, plain = size // k, k - size % k
+    return i * short + np.maximum(0, i - plain), short + (i >= plain)
+
+
 def _keys(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``text, lines array<int>`` to ``key, h1, indexed``: the index and probe keys of those lines."""
-    plans: dict[int, tuple[list, list]] = {}
     for batch in batches:
         for row0, offsets, data in text_slices(batch.column(0)):
             start, end, row, number = line_bounds(offsets, data)
             wanted = batch.column(1).slice(row0, len(offsets) - 1)
-            pick = np.concatenate([w.values.to_numpy() + np.searchsorted(row, i) for i, w in enumerate(wanted)])
+            counts = wanted.value_lengths().to_numpy(zero_copy_only=False)
+            pick = wanted.flatten().to_numpy() + np.repeat(np.searchsorted(row, np.arange(len(offsets) - 1)), counts)
             start, end = start[pick], end[pick]
             h1, _, total, inverse = _hashes(data, start, end)
             size = end - start
-            for n in np.unique(size).tolist():
-                if n not in plans:
-                    plans[n] = ([(n, i, p, k) for i, (p, k) in enumerate(segments(n, edits))], probes(n, edits))
-                at = np.flatnonzero(size == n)
-                for indexed, plan in zip((True, False), plans[n], strict=True):
-                    other, i, p, k = (np.array(x, np.int64) for x in zip(*plan, strict=True))
-                    s = start[at][:, None] + p[None, :]
-                    g = (total[s + k[None, :]] - total[s]) * inverse[s]
-                    g = mix(g + (other * 8 + i).astype(U64)[None, :] * U64(0x9E3779B97F4A7C15))
-                    flat = g.ravel()
-                    for a in range(0, len(flat), 50_000):
-                        f = flat[a : a + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.repeat(h1[at], len(plan))[a : a + 50_000].view(np.int64)), pa.array(np.full(len(f), indexed))], names=["key", "h1", "indexed"])
+            keys, owners, roles = [], [], []
+
+            def add(at: np.ndarray, other: np.ndarray, i: int, s: np.ndarray, n: np.ndarray, indexed: bool) -> None:
+                g = (total[s + n] - total[s]) * inverse[s]
+                keys.append(mix(g + (other * 8 + i).astype(U64) * U64(0x9E3779B97F4A7C15)))
+                owners.append(h1[at])
+                roles.append(np.full(len(at), indexed))
+
+            every = np.arange(len(size))
+            for i in range(edits + 1):
+                p, n = _segment(size, i, edits)
+                add(every, size, i, start + p, n, True)
+                for diff in range(edits + 1):
+                    other = size - diff
+                    p, n = _segment(other, i, edits)
+                    lo = np.maximum(np.maximum(0, p - i), p + diff - (edits - i))
+                    hi = np.minimum(np.minimum(size - n, p + i), p + diff + (edits - i))
+                    for d in range(-i, i + 1):
+                        at = np.flatnonzero((p + d >= lo) & (p + d <= hi))
+                        add(at, other[at], i, start[at] + p[at] + d, n[at], False)
+            key, owner, role = np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int64), np.concatenate(roles)
+            for a in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key, owner, role)], names=["key", "h1", "indexed"])
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +244,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
         def flush() -> None:
             ok = within([lines[p] for p, _ in pairs], [lines[q] for _, q in pairs], edits)
             for (p, q), yes in zip(pairs, ok.tolist(), strict=True):
-                if yes and min(keys[p] & keys[q]) == key:
+                if yes:
                     linked[p] += copies[q]
                     linked[q] += copies[p]
                     if sets.join(p, q):
@@ -236,7 +253,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
 
         for p in left:
             for q in right:
-                if (q > p or not same) and h[p] != h[q] and abs(len(lines[p]) - len(lines[q])) <= edits:
+                if (q > p or not same) and h[p] != h[q] and abs(len(lines[p]) - len(lines[q])) <= edits and min(keys[p] & keys[q]) == key:
                     pairs.append((p, q))
             if len(pairs) > 20_000:
                 flush()
