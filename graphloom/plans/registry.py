@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import graph_queries, lifecycle_queries
 
-QUERIES: dict = dict(graph_queries.QUERIES)
-ORACLES: dict = dict(graph_queries.ORACLES)
+QUERIES: dict = graph_queries.QUERIES | lifecycle_queries.QUERIES
+ORACLES: dict = graph_queries.ORACLES | lifecycle_queries.ORACLES
