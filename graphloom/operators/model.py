@@ -124,16 +124,28 @@ def cross_links(canon: DataFrame, apart: int = 7) -> DataFrame:
     return c.withColumn("relation_type", F.when(F.col("a") % 2 == 0, "linked").otherwise("none"))
 
 
-class Model:
-    """The derived tables of one directory, each built once and kept lazily."""
+class Tables:
+    """The derived tables of one directory. Queries share them, so each is persisted at its first use (memory, then disk)."""
 
     def __init__(self, spark, sf_dir: str, size: int = GRAPH_WINDOW[0], overlap: int = GRAPH_WINDOW[1]):
         from ..sources.tables import documents
 
         self.docs = documents(spark, sf_dir)
-        self.chunks = windows(self.docs, size, overlap)
-        self.mentions = mentions(self.chunks)
-        self.resolved = resolve(self.mentions)
-        self.canonical = canonical(self.resolved)
-        self.edges = review(edges(self.mentions))
-        self.cross = cross_links(self.canonical)
+        self.chunks = windows(self.docs, size, overlap).persist()
+        self.mentions = mentions(self.chunks).persist()
+        self.resolved = resolve(self.mentions).persist()
+        self.canonical = canonical(self.resolved).persist()
+        self.edges = review(edges(self.mentions)).persist()
+        self.cross = cross_links(self.canonical).persist()
+
+
+_kept: dict[tuple[str, str], Tables] = {}
+
+
+def Model(spark, sf_dir: str) -> Tables:  # noqa: N802
+    """The tables of a directory in this session, derived once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Tables(spark, sf_dir)
+    return _kept[key]

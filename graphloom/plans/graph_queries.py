@@ -261,7 +261,7 @@ VEC = "COS"
 
 
 def _hybrid(spark, d):
-    chunks = windows(documents(spark, d), 600, 60)
+    chunks = Model(spark, d).chunks
     vec = table(spark, d, "embeddings").withColumnRenamed("vec_id", "document_id")
     q = F.broadcast(vec.where("document_id = (select 0)").select(F.col("embedding").alias("q")).limit(1))
     first = chunks.where("ordinal = 0").select("chunk_id", "document_id", *KB).join(vec, "document_id").crossJoin(q)
