@@ -348,3 +348,62 @@ def _(spark, d):
 
 
 QUERIES["P03_full_text_match"] = lambda spark, d: B.search(windows(documents(spark, d)), '"of the" reon').select("chunk_id")
+
+
+@query("S01_whole_documents", "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("S18_knowledge_bases", "SELECT source AS user_id, lang AS kb_id, count(*) AS documents FROM documents GROUP BY source, lang")
+def _(spark, d):
+    return documents(spark, d).groupBy("user_id", "kb_id").agg(F.count("*").alias("documents"))
+
+
+@query("S24_event_lines", "SELECT conv_id, turn, role, 'event: delta' || chr(10) || 'data: {\"turn\":' || turn || '}' || chr(10) || chr(10) AS line FROM conversations")
+def _(spark, d):
+    body = F.to_json(F.struct("turn"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("event: delta\ndata: "), body, F.lit("\n\n")).alias("line"))
+
+
+@query("J16_one_query_lateral", "SELECT doc_id, contains(lower(text), q.q) AS hit FROM documents, (SELECT 'from' AS q) q")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.lower("text").contains("from").alias("hit"))
+
+
+@query("K09_prompt_caps", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) AS q WHERE r <= 30")
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
+    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 30").select("user_id", "event_id")
+
+
+@query("K11_theme_order", "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS q")
+def _(spark, d):
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source")))
+
+
+@query("T02_expired_counters", "SELECT user_id AS key FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("m"))
+    return e.where("m + interval 1 hour >= timestamp'2024-01-30 12:00:00' - interval 1 hour").select("key")
+
+
+@query("T08_review_cursor", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id")
+    return e.join(e.where("event_id % 3 = 0"), "event_id", "left_anti")
+
+
+@query("T09_scan_timeout", f"SELECT event_id, CASE WHEN status = 'pending' AND event_id % 100 >= 60 THEN 'failed' ELSE status END AS status FROM ({JOB}) AS q")
+def _(spark, d):
+    late = (F.col("status") == "pending") & (F.col("event_id") % 100 >= 60)
+    return _jobs(spark, d).select("event_id", F.when(late, "failed").otherwise(F.col("status")).alias("status"))
+
+
+@query("L15_snapshot_overwrite", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version FROM documents")
+def _(spark, d):
+    from ..sources.tables import replace_documents
+
+    old = table(spark, d, "documents").select("doc_id", "lang", F.lit("old").alias("version"))
+    return replace_documents(old, old.where("lang = 'en'").withColumn("version", F.lit("new")), "lang").select("doc_id", "version")
