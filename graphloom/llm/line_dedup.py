@@ -173,41 +173,62 @@ def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
+def _middle(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """Both lines without their common ends, which no shortest edit touches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    differs = x[:n] != y[:n]
+    head = int(differs.argmax()) if differs.any() else n
+    n -= head
+    differs = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
+    tail = int(differs.argmax()) if differs.any() else n
+    return a[head : len(a) - tail], b[head : len(b) - tail]
+
+
 def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     """Whether each pair of lines is within ``edits``: bit-parallel rows of a diagonal band, all pairs at once.
 
     Bit d of row k says that the first i bytes of a line can become its partner's first
     i + d - edits bytes by at most k edits (the automaton form of Wu and Manber), so the
-    2 * edits + 1 diagonals of the band are all that is kept.
+    2 * edits + 1 diagonals of the band are all that is kept. Common ends are set aside
+    first, and pairs whose band is empty leave on the way.
     """
-    n = len(a)
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = np.zeros(len(a), bool)
+    parts = [_middle(x, y) for x, y in zip(a, b, strict=True)]
+    la, lb = np.array([len(x) for x, _ in parts], np.int64), np.array([len(y) for _, y in parts], np.int64)
     width, pad = 2 * edits + 1, edits
-    out = np.zeros(n, bool)
+    mask = (1 << width) - 1
     todo = np.flatnonzero(np.abs(la - lb) <= edits)
-    if not len(todo):
-        return out
-    todo = todo[np.argsort(la[todo])]
-    for lo in range(0, len(todo), 4096):
-        at = todo[lo : lo + 4096]
+    todo = todo[np.argsort(la[todo], kind="stable")]
+    lo = 0
+    while lo < len(todo):
+        # Up to 4096 pairs, and 4 MiB of padded bytes.
+        hi = min(lo + 4096, len(todo))
+        while hi > lo + 1 and (hi - lo) * int(la[todo[hi - 1]] + width) > 1 << 22:
+            hi = lo + (hi - lo + 1) // 2
+        at = todo[lo:hi]
+        lo = hi
         longest = int(max(la[at].max(), lb[at].max())) + width + 1
         x = np.full((len(at), longest), 256, np.int16)
         y = np.full((len(at), longest + pad), 257, np.int16)
         for r, i in enumerate(at.tolist()):
-            x[r, : la[i]] = np.frombuffer(a[i], np.uint8)
-            y[r, pad : pad + lb[i]] = np.frombuffer(b[i], np.uint8)
-        mask = (1 << width) - 1
+            x[r, : la[i]] = np.frombuffer(parts[i][0], np.uint8)
+            y[r, pad : pad + lb[i]] = np.frombuffer(parts[i][1], np.uint8)
         # Before the first byte, k edits reach the partner's first k bytes: diagonals pad .. pad + k.
         state = [np.full(len(at), ((1 << (k + 1)) - 1) << pad & mask, np.int64) for k in range(edits + 1)]
         size = la[at]
-        final = np.zeros(len(at), bool)
         goal = np.left_shift(np.int64(1), lb[at] - size + pad)
-        for i in range(int(size.max()) + 1):
+        i = 0
+        while len(at):
             done = size == i
             if done.any():
-                final[done] = (state[edits][done] & goal[done]) != 0
-            if i == size.max():
-                break
+                out[at[done]] = (state[edits][done] & goal[done]) != 0
+            if done.any() or i % 16 == 15:
+                stay = ~done & (state[edits] != 0)
+                if not stay.all():
+                    at, size, goal, x, y = at[stay], size[stay], goal[stay], x[stay], y[stay]
+                    state = [row[stay] for row in state]
+                    continue
             equal = np.zeros(len(at), np.int64)
             for d in range(width):
                 equal |= (x[:, i] == y[:, i + d]).astype(np.int64) << d
@@ -220,54 +241,60 @@ def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
                     row |= new[k - 1] << 1 & mask  # insertion: one diagonal up
                 new.append(row)
             state = new
-        out[at] = final
+            i += 1
     return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``key, i, j, side, h1, copies, keys, line`` sorted by meeting, to ``kind, a, b``.
 
-    A pair counts at the smallest key it shares only.
+    A pair counts at the smallest key it shares only. The pairs of many meetings are verified together.
     """
+    one: list[bytes] = []
+    two: list[bytes] = []
+    ends: list[tuple[int, int, int, int]] = []  # both names, both copies
+
+    def flush() -> pa.RecordBatch:
+        ok = within(one, two, edits)
+        found = [e for e, yes in zip(ends, ok.tolist(), strict=True) if yes]
+        one.clear(), two.clear(), ends.clear()
+        linked: dict[int, int] = {}
+        place: dict[int, int] = {}
+        for p, q, m, n in found:
+            linked[p] = linked.get(p, 0) + n
+            linked[q] = linked.get(q, 0) + m
+            place.setdefault(p, len(place)), place.setdefault(q, len(place))
+        sets = Unions(len(place))
+        tree = [(p, q) for p, q, _, _ in found if sets.join(place[p], place[q])]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[np.zeros(len(linked), np.int8), np.ones(len(tree), np.int8)]),
+                pa.array([*linked, *(p for p, _ in tree)], pa.int64()),
+                pa.array([*linked.values(), *(q for _, q in tree)], pa.int64()),
+            ],
+            names=["kind", "a", "b"],
+        )
+
+    held = 0
     for t in _runs(batches, 3):
         if t.num_rows < 2:
             continue
-        key, side, h = t.column("key")[0].as_py(), t.column("side").to_numpy(), t.column("h1").to_numpy()
-        copies, lines = t.column("copies").to_numpy(), t.column("line").to_pylist()
+        key, side, h = t.column("key")[0].as_py(), t.column("side").to_numpy(), t.column("h1").to_pylist()
+        copies, lines = t.column("copies").to_pylist(), t.column("line").to_pylist()
         keys = [set(k) for k in t.column("keys").to_pylist()]
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         left = range(len(h)) if same else np.flatnonzero(side == 0).tolist()
         right = range(len(h)) if same else np.flatnonzero(side == 1).tolist()
-        pairs: list[tuple[int, int]] = []
-        linked, sets, edges = np.zeros(len(h), np.int64), Unions(len(h)), []
-
-        def flush() -> None:
-            ok = within([lines[p] for p, _ in pairs], [lines[q] for _, q in pairs], edits)
-            for (p, q), yes in zip(pairs, ok.tolist(), strict=True):
-                if yes:
-                    linked[p] += copies[q]
-                    linked[q] += copies[p]
-                    if sets.join(p, q):
-                        edges.append((p, q))
-            pairs.clear()
-
         for p in left:
             for q in right:
                 if (q > p or not same) and h[p] != h[q] and abs(len(lines[p]) - len(lines[q])) <= edits and min(keys[p] & keys[q]) == key:
-                    pairs.append((p, q))
-            if len(pairs) > 20_000:
-                flush()
-        flush()
-        some = np.flatnonzero(linked)
-        if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[np.zeros(len(some), np.int8), np.ones(len(edges), np.int8)]),
-                    pa.array(np.r_[h[some], h[[p for p, _ in edges]]]),
-                    pa.array(np.r_[linked[some], h[[q for _, q in edges]]]),
-                ],
-                names=["kind", "a", "b"],
-            )
+                    one.append(lines[p]), two.append(lines[q]), ends.append((h[p], h[q], copies[p], copies[q]))
+                    held += len(lines[p])
+            if len(ends) >= 20_000 or held >= 32 << 20:
+                yield flush()
+                held = 0
+    if ends:
+        yield flush()
 
 
 def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
