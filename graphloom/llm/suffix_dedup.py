@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import _STEP, _STEP_INV, BYTE_VALUE, U64, mix, powers, text_slices
-from .storage import materialize
+from .storage import discard, materialize
 
 GRAM = 24
 #: Bytes that the first ranks cover; at most 32 of them make one fingerprint.
@@ -233,6 +233,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, passes: int = PASSES) -> D
         again = part if again is None else again.unionByName(part)
         del ranks
         _release(spark)
+    discard(texts)  # both passes over the open windows are written
     # Windows that a smaller document has too, as (first, count).
     one = judged.where("not open").select("doc", rep_tag, F.shiftrightunsigned("place", 24).alias("w"), F.col("place").bitwiseAND(0xFF).cast("int").alias("c"))
     two = again.select("doc", F.col("at").bitwiseAND(0xFFFF).cast("int").alias("tag"), F.shiftrightunsigned("at", 16).alias("w"), F.lit(1).alias("c"))
