@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .kernels import _STEP, _STEP_INV, BYTE_VALUE, U64, Unions, mix, powers, text_slices
 from .lsh_forest import _runs
-from .storage import materialize
+from .storage import materialize, release
 
 EDITS = 2
 LEAST_BYTES = 24
@@ -308,6 +308,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tu
     place = F.struct("doc", "line")
     uniq = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size"))
     uniq = materialize(uniq.select("h1", "h2", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "copies", "size"), "distinct")
+    release(docs.sparkSession)
     long = uniq.where(F.col("size") >= least)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("first_doc"), F.coalesce("text", F.lit("")).alias("text"))
     per = long.groupBy("first_doc").agg(F.sort_array(F.collect_list("first_line")).alias("lines"))
@@ -316,6 +317,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tu
     keys = full.mapInArrow(lambda b: _keys(b, edits), "key long, h1 long, indexed boolean")
     keys = keys.repartition("key").sortWithinPartitions("key")
     meet = materialize(keys.mapInArrow(_shared_keys, "key long, h1 long").distinct(), "keys")
+    release(docs.sparkSession)
     sizes = meet.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     of_line = meet.groupBy("h1").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     named = long.join(of_line, "h1").select("h1", "first_doc", "first_line", "copies", "keys")
@@ -328,6 +330,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tu
     rows = rows.select("key", F.explode(ways).alias("m"), "h1", "copies", "keys", "line").select("key", "m.i", "m.j", "m.side", "h1", "copies", "keys", "line")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
     links = materialize(rows.mapInArrow(lambda b: _verify(b, edits), "kind byte, a long, b long"), "links")
+    release(docs.sparkSession)
     found = links.where("kind = 0").groupBy(F.col("a").alias("h1")).agg(F.sum("b").alias("n_links"))
     comp = connected_components(links.where("kind = 1"), "a", "b").withColumnRenamed("node", "h1")
     known = uniq.join(found, "h1", "left").join(comp, "h1", "left").withColumn("cls", F.coalesce("component", "h1"))

@@ -13,7 +13,6 @@ what has become unique, until h reaches ``length``.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import _STEP, _STEP_INV, BYTE_VALUE, U64, mix, powers, text_slices
-from .storage import discard, materialize
+from .storage import discard, materialize, release
 
 GRAM = 24
 #: Bytes that the first ranks cover; at most 32 of them make one fingerprint.
@@ -185,12 +184,6 @@ def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d[again]), batch.column(3).filter(pa.array(again))], names=["doc", "at"])
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of the pass that is over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_bytes(docs: DataFrame, length: int = 50, passes: int = PASSES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
@@ -213,26 +206,26 @@ def repeated_bytes(docs: DataFrame, length: int = 50, passes: int = PASSES) -> D
     first = ids.where(F.col("n") >= length).join(least, "sha").where("doc = least").select("doc", "sha").distinct()
     reps = every.where((F.col("n") >= length) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text", "sha")
     reps = materialize(reps.join(first, ["doc", "sha"]).select("doc", tag.alias("tag"), "text"), "texts")
-    _release(spark)
+    release(spark)
     judged = None
     for number in range(passes):
         rows = _positions(reps, length, gram, passes, number).repartition("gram").sortWithinPartitions("gram", "around", "doc")
         part = materialize(rows.mapInArrow(_judge, "doc long, place long, open boolean"), "judged")
         judged = part if judged is None else judged.unionByName(part)
         del rows
-        _release(spark)
+        release(spark)
     rep_tag = F.shiftrightunsigned("place", 8).bitwiseAND(0xFFFF).cast("int").alias("tag")
     open_ = judged.where("open").groupBy("doc", rep_tag).agg(F.collect_list("place").alias("places"))
     texts = materialize(reps.select("doc", "tag", "text").join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places"), "open")
     del open_
-    _release(spark)
+    release(spark)
     again = None
     for number in range(passes):
         ranks = _open_windows(texts, length, half, passes, number).repartition("r1", "r2").select("r1", "r2", "doc", "at").sortWithinPartitions("r1", "r2", "doc")
         part = materialize(ranks.mapInArrow(_rerank, "doc long, at long"), "again")
         again = part if again is None else again.unionByName(part)
         del ranks
-        _release(spark)
+        release(spark)
     discard(texts)  # both passes over the open windows are written
     # Windows that a smaller document has too, as (first, count).
     one = judged.where("not open").select("doc", rep_tag, F.shiftrightunsigned("place", 24).alias("w"), F.col("place").bitwiseAND(0xFF).cast("int").alias("c"))
