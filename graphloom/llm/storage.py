@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,12 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
+#: At the end of a write, nothing reads its shuffle files any more; Spark leaves them to its garbage collector by default.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation. Its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -33,9 +40,3 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
