@@ -16,6 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
+
 #: At the end of a write, nothing reads its shuffle files any more; Spark leaves them to its garbage collector by default.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
