@@ -7,6 +7,13 @@ index of every length from its own down to ``edits`` less, only at the starting
 that an alignment within the distance allows. Lines that meet at a key are verified by
 bit-parallel edit distance on a diagonal band, for all pairs of a batch at once.
 Shorter lines are compared for equality alone.
+
+From ``share * (edits + 1)`` bytes on, the distance grows to one edit in ``share`` bytes of
+the longer line. Its ``budget + 1`` segments then have at least ``run_bytes`` bytes each, and
+one of them stands unchanged in the other line, so that both select the same gram there: the
+smallest by hash of a window of that many bytes. The longer line indexes one gram a segment,
+every line probes with the grams of all its windows. Keys also hold a class of the length and
+the place in the line, which can differ by the budget at most.
 """
 
 from __future__ import annotations
@@ -24,6 +31,10 @@ from .lsh_forest import _runs
 from .storage import materialize
 
 EDITS = 2
+#: Lines of ``SHARE * (EDITS + 1)`` bytes or more may differ by one edit in so many bytes.
+SHARE = 50
+#: Bytes of a gram that names a window of a long line.
+GRAM = 12
 LEAST_BYTES = 24
 #: Lines that meet at one key in one task; keys with more are cut into blocks that meet two by two.
 BLOCK = 512
@@ -102,7 +113,7 @@ def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
     return i * short + np.maximum(0, i - plain), short + (i >= plain)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``text, lines array<int>`` to ``key, h1, indexed``: the index and probe keys of those lines."""
     for batch in batches:
         for row0, offsets, data in text_slices(batch.column(0)):
@@ -121,6 +132,10 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBa
                 owners.append(h1[at])
                 roles.append(np.full(len(at), indexed))
 
+            for key, line, indexed in _long_keys(data, start, size, total, inverse, edits, share):
+                keys.append(key), owners.append(h1[line]), roles.append(np.full(len(line), indexed))
+            short = size < share * (edits + 1)
+            h1, start, size = h1[short], start[short], size[short]
             every = np.arange(len(size))
             for i in range(edits + 1):
                 p, n = _segment(size, i, edits)
@@ -138,6 +153,67 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key, owner, role)], names=["key", "h1", "indexed"])
 
 
+def budget(size: int, edits: int = EDITS, share: int = SHARE) -> int:
+    """Edits that a line of ``size`` bytes may be away from one that isn't longer."""
+    return max(edits, size // share)
+
+
+def run_bytes(edits: int, share: int) -> int:
+    """The least length of a segment of a line whose budget grows with it."""
+    return share * (edits + 1) // (edits + 2)
+
+
+def _length_class(size: np.ndarray) -> np.ndarray:
+    return np.floor(2 * np.log2(np.maximum(size, 1))).astype(np.int64)
+
+
+def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray, inverse: np.ndarray, edits: int, share: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """``(keys, line of each, indexed)`` of lines that are, or are near, a line of ``share * (edits + 1)`` bytes."""
+    run, least = run_bytes(edits, share), share * (edits + 1)
+    at = np.flatnonzero(size >= least - least // share)
+    if not len(at):
+        return
+    grams = len(data) - GRAM + 1
+    value = mix((total[GRAM:] - total[:-GRAM]) * inverse[:grams])
+    # The place in the low half makes the first of equal grams the smallest.
+    low = (value & U64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=U64)
+    width, have = run - GRAM + 1, 1
+    while have * 2 <= width:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < width:
+        low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
+    place = (low & U64(0xFFFFFFFF)).astype(np.int64)
+
+    def key(q: np.ndarray, kind: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return mix(value[q] + kind.astype(U64) * U64(0xD1B54A32D192ED03) + bucket.astype(U64) * U64(0x8CB92BA72F3D8DD7) + U64(1))
+
+    def reach(kind: np.ndarray) -> np.ndarray:
+        return np.maximum(edits, np.ceil(2.0 ** ((kind + 1) / 2)).astype(np.int64) // share)
+
+    index = at[size[at] >= least]
+    count = size[index] // share + 1
+    line = np.repeat(index, count)
+    i = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    q = place[start[line] + i * (size[line] // np.repeat(count, count))]
+    kind = _length_class(size[line])
+    yield key(q, kind, (q - start[line]) // (16 * reach(kind) + 16)), line, True
+    windows = size[at] - run + 1
+    line = np.repeat(at, windows)
+    q = place[start[line] + np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows)]
+    new = np.r_[True, (q[1:] != q[:-1]) | (line[1:] != line[:-1])]
+    line, q = line[new], q[new]
+    # The other line isn't shorter, by its budget at most longer.
+    kinds = _length_class(size[line]), _length_class(size[line] + size[line] // (share - 1) + 1)
+    for n, kind in enumerate(kinds):
+        wide = 16 * reach(kind) + 16
+        first, last = (q - start[line] - reach(kind)) // wide, (q - start[line] + reach(kind)) // wide
+        ok = kind != kinds[0] if n else np.full(len(q), True)
+        yield key(q[ok], kind[ok], first[ok]), line[ok], False
+        ok &= last != first
+        yield key(q[ok], kind[ok], last[ok]), line[ok], False
+
+
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, not indexed: every row of a key that an index entry and a probe of another line share."""
     for t in _key_groups(batches):
@@ -245,7 +321,36 @@ def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def within_far(a: bytes, b: bytes, edits: int) -> bool:
+    """Whether two lines are within a large budget: furthest places on each diagonal, edit by edit (Ukkonen)."""
+    counts = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
+    if max(int(counts[counts > 0].sum()), -int(counts[counts < 0].sum())) > edits:
+        return False
+    a, b = _middle(a, b)
+    m, n = len(a), len(b)
+    if abs(m - n) > edits:
+        return False
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    far: dict[int, int] = {}
+    for e in range(edits + 1):
+        new = {}
+        # A diagonal d = j - i beyond the edits that are left can't come back to n - m.
+        for d in range(max(-e, -m, n - m - (edits - e)), min(e, n, n - m + (edits - e)) + 1):
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) if e else 0
+            i = min(i, m, n - d)
+            if i < 0 or i + d < 0:
+                continue
+            if i < m and i + d < n and a[i] == b[i + d]:
+                z = (x >> 8 * i) ^ (y >> 8 * (i + d))
+                i = min(i + ((z & -z).bit_length() - 1 >> 3) if z else m, m, n - d)
+            if i == m and i + d == n:
+                return True
+            new[d] = i
+        far = new
+    return False
+
+
+def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``key, i, j, side, h1, copies, keys, line`` sorted by meeting, to ``kind, a, b``.
 
     A pair counts at the smallest key it shares only. The pairs of many meetings are verified together.
@@ -255,7 +360,13 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
     ends: list[tuple[int, int, int, int]] = []  # both names, both copies
 
     def flush() -> pa.RecordBatch:
-        ok = within(one, two, edits)
+        reach = [budget(max(len(x), len(y)), edits, share) for x, y in zip(one, two, strict=True)]
+        ok = np.zeros(len(one), bool)
+        few = [i for i, e in enumerate(reach) if e == edits]
+        ok[few] = within([one[i] for i in few], [two[i] for i in few], edits)
+        for i, e in enumerate(reach):
+            if e > edits:
+                ok[i] = within_far(one[i], two[i], e)
         found = [e for e, yes in zip(ends, ok.tolist(), strict=True) if yes]
         one.clear(), two.clear(), ends.clear()
         linked: dict[int, int] = {}
@@ -287,7 +398,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
         right = range(len(h)) if same else np.flatnonzero(side == 1).tolist()
         for p in left:
             for q in right:
-                if (q > p or not same) and h[p] != h[q] and abs(len(lines[p]) - len(lines[q])) <= edits and min(keys[p] & keys[q]) == key:
+                if (q > p or not same) and h[p] != h[q] and abs(len(lines[p]) - len(lines[q])) <= budget(max(len(lines[p]), len(lines[q])), edits, share) and min(keys[p] & keys[q]) == key:
                     one.append(lines[p]), two.append(lines[q]), ends.append((h[p], h[q], copies[p], copies[q]))
                     held += len(lines[p])
             if len(ends) >= 20_000 or held >= 32 << 20:
@@ -297,7 +408,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
         yield flush()
 
 
-def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """``(lines, classes)``: the line table, and ``h1, h2, first_doc, first_line, copies, n_links, cls, cls_doc, cls_line``.
 
     One row a distinct line: where it stands first, its copies, the lines (copies counted)
@@ -313,7 +424,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tu
     per = long.groupBy("first_doc").agg(F.sort_array(F.collect_list("first_line")).alias("lines"))
     # Rows that share an id could have fewer lines than the one the table means; each is asked only for lines it has.
     full = texts.join(per, "first_doc").select("text", F.expr("filter(lines, x -> x < size(split(text, '\\n', -1)))").alias("lines"))
-    keys = full.mapInArrow(lambda b: _keys(b, edits), "key long, h1 long, indexed boolean")
+    keys = full.mapInArrow(lambda b: _keys(b, edits, share), "key long, h1 long, indexed boolean")
     keys = keys.repartition("key").sortWithinPartitions("key")
     meet = materialize(keys.mapInArrow(_shared_keys, "key long, h1 long").distinct(), "keys")
     sizes = meet.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -327,7 +438,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tu
     ways = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own), 'side', if(own <= o, 0, 1)))")
     rows = rows.select("key", F.explode(ways).alias("m"), "h1", "copies", "keys", "line").select("key", "m.i", "m.j", "m.side", "h1", "copies", "keys", "line")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
-    links = materialize(rows.mapInArrow(lambda b: _verify(b, edits), "kind byte, a long, b long"), "links")
+    links = materialize(rows.mapInArrow(lambda b: _verify(b, edits, share), "kind byte, a long, b long"), "links")
     found = links.where("kind = 0").groupBy(F.col("a").alias("h1")).agg(F.sum("b").alias("n_links"))
     comp = connected_components(links.where("kind = 1"), "a", "b").withColumnRenamed("node", "h1")
     known = uniq.join(found, "h1", "left").join(comp, "h1", "left").withColumn("cls", F.coalesce("component", "h1"))
@@ -339,13 +450,13 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> tu
     )
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> DataFrame:
     """``doc, line, near, links`` of every line that another one of its class precedes (by doc_id, then line).
 
     ``near`` tells a line that differs from all lines before it. Empty and blank-free lines
     alike count; whether to remove short ones is the caller's choice by ``size``.
     """
-    lines, known = classes(docs, edits, least)
+    lines, known = classes(docs, edits, least, share)
     # A distinct line that stands once and has no link can't repeat, so only the others are looked up.
     some = known.where("copies > 1 or n_links > 0")
     rows = lines.select("doc", "line", "h1", "h2").join(some, ["h1", "h2"])
@@ -354,7 +465,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES
     return rows.select("doc", "line", "size", "repeat", (F.col("repeat") & first).alias("near"), (F.col("n_links") + F.col("copies") - 1).alias("links"))
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> DataFrame:
     """``docs`` with ``n_lines, n_repeats, n_near, n_links, kept_text``; one row a row.
 
     Of each class of lines, the first line in the order of doc_id and line stays and the
@@ -363,7 +474,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -
     has one empty line. Rows with a null id are left as they are. Rows that share an id
     share their lines' places, so that a line repeated at the same place stays in each.
     """
-    rep = repeated_lines(docs, edits, least).where(F.col("size") >= least)
+    rep = repeated_lines(docs, edits, least, share).where(F.col("size") >= least)
     per = rep.groupBy(F.col("doc").alias("doc_id")).agg(
         F.sum("links").alias("n_links"), F.count_if("repeat").alias("n_repeats"), F.count_if("near").alias("n_near"),
         F.collect_set(F.when(F.col("repeat"), F.col("line"))).alias("_gone"))

@@ -99,3 +99,35 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def changed(r, s, edits):
+    b = bytearray(s)
+    for _ in range(edits):
+        k = r.randrange(len(b) + 1)
+        b[k : k + r.randrange(0, 2)] = bytes(r.choice(b"abcd ") for _ in range(r.randrange(0, 2)))
+    return bytes(b)
+
+
+def test_budget_grows_with_the_line(spark):
+    r = random.Random(12)
+    for _ in range(300):
+        a = bytes(r.choice(b"abcd ") for _ in range(r.randrange(140, 500)))
+        b = changed(r, a, r.randrange(0, 14))
+        for e in (3, 6, 10):
+            assert line_dedup.within_far(a, b, e) == (distance(a, b) <= e)
+    rows, base = [], [bytes(r.choice(b"abcdefgh ") for _ in range(n)) for n in (140, 147, 149, 150, 151, 199, 200, 338, 362, 363, 700, 1500)]
+    for b in base:
+        rows += [b] + [changed(r, b, r.choice([1, 2, 3, len(b) // 50, len(b) // 50, len(b) // 50 + 1, len(b) // 25])) for _ in range(7)]
+    # Edits spread evenly leave the shortest unchanged runs.
+    for b in base:
+        even = bytearray(b)
+        for k in range(len(b) // 50):
+            even[(k + 1) * len(b) // (len(b) // 50 + 1)] = 33
+        rows.append(bytes(even))
+    rows.append(base[7].replace(base[7][100:106], b"XYZUVW"))
+    links = [sum(j != i and distance(a, b) <= line_dedup.budget(max(len(a), len(b))) for j, b in enumerate(rows) if abs(len(a) - len(b)) < 40) for i, a in enumerate(rows)]
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(rows)], "doc_id long, text string")
+    got = {g.doc_id: g for g in deduplicate(docs).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == links
+    assert links[-1] > 0 and got[len(rows) - 1].n_repeats == 1
