@@ -4,7 +4,9 @@ The base patterns are reported as they match. Beyond them, a candidate is an unb
 of key characters close after a word that announces a credential. Its novelty is the
 number of bytes it adds to a zstandard frame primed with the surrounding code and with
 words that usually name things: text that the dictionary or the surroundings explain
-costs little, random key material costs nearly its entropy.
+costs little, random key material costs nearly its entropy. A long candidate is costed in
+pieces, since zstandard entropy-codes longer literals and would price an alphabet instead.
+A found run goes on over dots and line ends as long as novel runs follow.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ANNOUNCES = re.compile(r"(?ai:passw(?:or)?d|passwd|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|bearer|authorization|auth|signature)")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=\-]+")
+_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_=\-]+)(?=[ \t]*\r?(?:\n|\Z))")
+_DOTTED = re.compile(r"\.(?:[A-Za-z0-9+/_=\-]{1,15}\.){0,2}([A-Za-z0-9+/_=\-]{16,})")
+#: Characters of a candidate that are costed at once; literals of 64 bytes and more are entropy-coded.
+PIECE = 48
 #: Characters between an announcing word and a candidate, and around a candidate that prime the frame.
 REACH, AROUND = 48, 2048
 #: A candidate is reported if it adds at least this many bytes a character.
@@ -58,10 +65,16 @@ def _cost(dictionary: bytes, text: bytes) -> int:
 
 
 def novelty(before: str, candidate: str, after: str) -> float:
-    """Bytes a character that ``candidate`` adds to a frame primed with its surroundings and the identifiers."""
-    dictionary = IDENTIFIERS + after.encode("utf-8", "replace") + before.encode("utf-8", "replace")
-    lead = before[-32:].encode("utf-8", "replace") or b" "
-    return (_cost(dictionary, lead + candidate.encode()) - _cost(dictionary, lead)) / max(1, len(candidate))
+    """Bytes a character that ``candidate`` adds to frames primed with its surroundings and the identifiers, in pieces of ``PIECE`` at most."""
+    n, k = len(candidate), max(1, -(-len(candidate) // PIECE))
+    total = 0
+    for i in range(k):
+        lo, hi = n * i // k, n * (i + 1) // k
+        primer = (before + candidate[:lo])[-AROUND:] if lo < AROUND else candidate[lo - AROUND : lo]
+        dictionary = IDENTIFIERS + after.encode("utf-8", "replace") + primer.encode("utf-8", "replace")
+        lead = primer[-32:].encode("utf-8", "replace") or b" "
+        total += _cost(dictionary, lead + candidate[lo:hi].encode()) - _cost(dictionary, lead)
+    return total / max(1, n)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -72,25 +85,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _mixed(value: str) -> bool:
+    """A key has digits, and capitals or small letters."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _is_novel(text: str, a: int, b: int, least: float) -> bool:
+    return _mixed(text[a:b]) and novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= least
+
+
+def _extended(text: str, a: int, b: int, least: float) -> int:
+    """The end of the key whose first run is ``a:b``: novel runs behind a dot or on whole lines of their own belong to it."""
+    width = b - a
+    while True:
+        if (m := _DOTTED.match(text, b)) and _is_novel(text, *m.span(1), least):
+            b, width = m.end(), len(m[1])
+        elif (m := _LINE.match(text, b)) and len(m[1]) >= 16 and _is_novel(text, *m.span(1), least):
+            b, width = m.end(), len(m[1])
+        elif m and width >= 32 and len(m[1]) < 16 and (m[1].endswith("=") or _mixed(m[1])):
+            # The rest of a block of full lines.
+            return m.end()
+        else:
+            return b
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Incompressible key-like runs in a sensitive context that no base span overlaps."""
+    """Incompressible key-like runs in a sensitive context that no base span overlaps, with what adjoins them."""
     found, done = [], -1
     for word in _ANNOUNCES.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH + 4096)):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
+        at = max(word.end(), done)
+        # A run that starts within reach is seen with its first 16 characters, wherever it ends.
+        while m := _CANDIDATE.search(text, at, min(len(text), word.end() + REACH + 16)):
+            a = m.start()
+            at = b = _RUN.match(text, a).end()
             if a <= done:
                 continue
             done = b
-            value = m[0]
-            # A key mixes at least two of digits, capitals and small letters.
-            if sum(any(p(c) for c in value) for p in (str.isdigit, str.isupper, str.islower)) < 2 or not any(c.isdigit() for c in value):
-                continue
             if any(s < b and a < e for _, s, e in base):
                 continue
-            if novelty(text[max(0, a - AROUND) : a], value, text[b : b + AROUND]) >= least:
-                found.append(("novel", a, b))
+            if _is_novel(text, a, b, least):
+                at = done = _extended(text, a, b, least)
+                found.append(("novel", a, done))
     return found
 
 

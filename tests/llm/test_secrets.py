@@ -59,3 +59,26 @@ def test_scan_and_whole_table(spark, small):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [s for s in r.spans.split(",") if s and not s.startswith("novel")] == [f"{k}:{a}:{b}" for k, a, b in want]
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_long_keys_and_whole_spans():
+    r = random.Random(5)
+    around = "client = connect(host, port)\nresponse = client.request(method, url, headers)\n" * 5
+    b64 = lambda n: base64.b64encode(r.randbytes(n)).decode()
+    keys = [r.randbytes(n // 2).hex().upper() for n in (56, 64, 72, 96, 128, 256) for _ in range(20)]
+    keys += [b64(n) for n in (48, 450, 600, 900, 6000) for _ in range(5)]
+    for key in keys:
+        text = f"{around}pwd is {key} here\n{around}"
+        assert [text[a:b] for _, a, b in novel_spans(text, base_spans(text))] == [key], len(key)
+    body = b64(1190)
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    assert len(lines[-1]) < 64
+    for pause in ("\n", "\r\n", "\n    "):
+        key = pause.join(lines)
+        text = f"{around}-----BEGIN PRIVATE KEY-----{pause}{key}{pause}-----END PRIVATE KEY-----\n{around}"
+        assert [text[a:b] for _, a, b in novel_spans(text, [])] == [key]
+    parts = [base64.urlsafe_b64encode(r.randbytes(n)).decode().rstrip("=") for n in (27, 200, 4, 32)]
+    text = f"{around}Authorization: Bearer {'.'.join(parts)}. Then more\nclient\n{around}"
+    assert [text[a:b] for _, a, b in novel_spans(text, [])] == [".".join(parts)]
+    text = f"{around}auth via {lines[0]}.request_method_headers1\nresponse_url_headers1\n{around}"
+    assert [text[a:b] for _, a, b in novel_spans(text, [])] == [lines[0]]
