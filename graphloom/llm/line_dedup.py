@@ -19,6 +19,7 @@ the place in the line, which can differ by the budget at most.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,24 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .kernels import _STEP, _STEP_INV, BYTE_VALUE, U64, Unions, mix, powers, text_slices
 from .lsh_forest import _runs
-from .storage import materialize
+from .storage import discard, materialize
 
 EDITS = 2
 #: Lines of ``SHARE * (EDITS + 1)`` bytes or more may differ by one edit in so many bytes.
 SHARE = 50
 #: Bytes of a gram that names a window of a long line.
 GRAM = 12
+#: The keys are dealt, sorted and compared in so many parts, so that their shuffle files don't lie on disk all at once.
+PASSES = 2
 LEAST_BYTES = 24
 #: Lines that meet at one key in one task; keys with more are cut into blocks that meet two by two.
 BLOCK = 512
+#: Columns of the counts of bytes in 16 groups; no edit changes more than two of them by more than one.
+COUNTS = ("c0", "c1", "c2", "c3")
+_GROUP = np.arange(256) * 7 % 16
+for _i, _letters in enumerate([b" ", b"eE", b"tT", b"aA", b"oO", b"iI", b"nN", b"sS", b"rR", b"lLhH", b"dDuU", b"cCmM", b"pPgGfF", b"bByYvVwWkK"]):
+    _GROUP[list(_letters)] = _i
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def segments(size: int, edits: int) -> list[tuple[int, int]]:
@@ -91,19 +100,24 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``doc, line, h1, h2, size`` of every line; ``(h1, h2)`` names its bytes."""
+    """``doc, line, h1, h2, size, blank`` of every line and four words of its byte counts; ``(h1, h2)`` names its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row0, offsets, data in text_slices(batch.column(1)):
                 start, end, row, number = line_bounds(offsets, data)
                 h1, h2, _, _ = _hashes(data, start, end)
+                inked = np.r_[0, np.cumsum(~_SPACE[data])]
+                own = np.repeat(np.arange(len(start)), end - start)
+                text = data[np.arange(len(own)) + np.repeat(start - np.r_[0, np.cumsum(end - start)[:-1]], end - start)]
+                counts = np.bincount(own * 16 + _GROUP[text], minlength=16 * len(start)).reshape(-1, 16)
+                words = np.minimum(counts, 32767).astype(np.int16).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row0 + row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((end - start).astype(np.int32))],
-                    names=["doc", "line", "h1", "h2", "size"],
+                    [batch.column(0).take(pa.array(row0 + row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((end - start).astype(np.int32)), pa.array(inked[end] == inked[start]), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4))],
+                    names=["doc", "line", "h1", "h2", "size", "blank", *COUNTS],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, line int, h1 long, h2 long, size int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, line int, h1 long, h2 long, size int, blank boolean, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,14 +127,17 @@ def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
     return i * short + np.maximum(0, i - plain), short + (i >= plain)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows of ``text, lines array<int>`` to ``key, h1, indexed``: the index and probe keys of those lines."""
     for batch in batches:
         for row0, offsets, data in text_slices(batch.column(0)):
             start, end, row, number = line_bounds(offsets, data)
             wanted = batch.column(1).slice(row0, len(offsets) - 1)
             counts = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            pick = wanted.flatten().to_numpy() + np.repeat(np.searchsorted(row, np.arange(len(offsets) - 1)), counts)
+            # Rows that share an id could have fewer lines than the one the table means; each is asked only for lines it has.
+            first, of = np.searchsorted(row, np.arange(len(offsets))), np.repeat(np.arange(len(offsets) - 1), counts)
+            pick = wanted.flatten().to_numpy() + first[of]
+            pick = pick[pick < first[of + 1]]
             start, end = start[pick], end[pick]
             h1, _, total, inverse = _hashes(data, start, end)
             size = end - start
@@ -149,6 +166,9 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator
                         at = np.flatnonzero((p + d >= lo) & (p + d <= hi))
                         add(at, other[at], i, start[at] + p[at] + d, n[at], False)
             key, owner, role = np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int64), np.concatenate(roles)
+            if parts > 1:
+                mine = key % parts == part
+                key, owner, role = key[mine], owner[mine], role[mine]
             for a in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key, owner, role)], names=["key", "h1", "indexed"])
 
@@ -229,13 +249,38 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(h[ok])], names=["key", "h1"])
 
 
-def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _alike(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
+    """From rows ``key, h1, size, *COUNTS`` sorted by key: those that some other line of the key could be within the budget of.
+
+    Byte counts that differ by more than the budget, one way or the other, rule a pair out.
+    """
+    for key, h, size, *words in _key_groups(batches):
+        counts = np.stack(words, 1).view(np.int16).reshape(len(key), 16).astype(np.int32)
+        last = np.searchsorted(key, key, "right") - 1
+        ok, at, step = np.zeros(len(key), bool), np.arange(len(key)), 1
+        while len(at := at[at + step <= last[at]]):
+            for lo in range(0, len(at), 100_000):
+                p = at[lo : lo + 100_000]
+                p = p[~(ok[p] & ok[p + step])]
+                q = p + step
+                reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
+                p, q, reach = (x[np.abs(size[p] - size[q]) <= reach] for x in (p, q, reach))
+                diff = counts[p] - counts[q]
+                near = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= reach
+                near &= h[p] != h[q]
+                ok[p[near]] = ok[q[near]] = True
+            step += 1
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(h[ok])], names=["key", "h1"])
+
+
+def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Batches that end where a key ends."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
         cut = int(np.searchsorted(x[0], x[0][-1]))
         if cut:
             whole = [*held, tuple(c[:cut] for c in x)]
@@ -417,23 +462,32 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share
     """
     lines = materialize(line_table(docs.where("doc_id is not null")), "lines")
     place = F.struct("doc", "line")
-    uniq = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size"))
-    uniq = materialize(uniq.select("h1", "h2", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "copies", "size"), "distinct")
+    uniq = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", *COUNTS)))
+    uniq = materialize(uniq.select("h1", "h2", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "copies", "size", *COUNTS), "distinct")
     long = uniq.where(F.col("size") >= least)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("first_doc"), F.coalesce("text", F.lit("")).alias("text"))
     per = long.groupBy("first_doc").agg(F.sort_array(F.collect_list("first_line")).alias("lines"))
-    # Rows that share an id could have fewer lines than the one the table means; each is asked only for lines it has.
-    full = texts.join(per, "first_doc").select("text", F.expr("filter(lines, x -> x < size(split(text, '\\n', -1)))").alias("lines"))
-    keys = full.mapInArrow(lambda b: _keys(b, edits, share), "key long, h1 long, indexed boolean")
-    keys = keys.repartition("key").sortWithinPartitions("key")
-    meet = materialize(keys.mapInArrow(_shared_keys, "key long, h1 long").distinct(), "keys")
+    full = texts.join(per, "first_doc").select("text", "lines")
+    parts = []
+    for part in range(PASSES):
+        keys = full.mapInArrow(lambda b, part=part: _keys(b, edits, share, part, PASSES), "key long, h1 long, indexed boolean")
+        keys = keys.repartition("key").sortWithinPartitions("key")
+        parts.append(materialize(keys.mapInArrow(_shared_keys, "key long, h1 long").distinct(), "keys"))
+    meet = reduce(DataFrame.unionByName, parts)
+    alike = meet.join(long.select("h1", "size", *COUNTS), "h1").select("key", "h1", "size", *COUNTS)
+    alike = alike.repartition("key").sortWithinPartitions("key")
+    meet = materialize(alike.mapInArrow(lambda b: _alike(b, edits, share), "key long, h1 long"), "alike")
+    for part in parts:
+        discard(part)
     sizes = meet.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    of_line = meet.groupBy("h1").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    # The blocks of a key are counted before the lines join, which then are dealt out only once.
+    of_line = meet.join(sizes, "key").groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("keys"))
     named = long.join(of_line, "h1").select("h1", "first_doc", "first_line", "copies", "keys")
     asked = named.groupBy("first_doc").agg(F.collect_list(F.struct("first_line", "h1", "copies", "keys")).alias("asked"))
     have = texts.join(asked, "first_doc").select(F.split("text", "\n", -1).alias("parts"), F.explode("asked").alias("q"))
     have = have.select(F.expr("try_element_at(parts, q.first_line + 1)").alias("line"), "q.h1", "q.copies", "q.keys").where("line is not null")
-    rows = have.select(F.col("line").cast("binary").alias("line"), "h1", "copies", "keys", F.explode("keys").alias("key")).join(sizes, "key")
+    rows = have.select(F.col("line").cast("binary").alias("line"), "h1", "copies", F.col("keys.key").alias("keys"), F.explode("keys").alias("k"))
+    rows = rows.select("line", "h1", "copies", "keys", "k.key", "k.blocks")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     ways = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own), 'side', if(own <= o, 0, 1)))")
     rows = rows.select("key", F.explode(ways).alias("m"), "h1", "copies", "keys", "line").select("key", "m.i", "m.j", "m.side", "h1", "copies", "keys", "line")
@@ -451,30 +505,33 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> DataFrame:
-    """``doc, line, near, links`` of every line that another one of its class precedes (by doc_id, then line).
+    """``doc, line, size, blank, repeat, near, links`` of the lines that stand more than once or have a link.
 
-    ``near`` tells a line that differs from all lines before it. Empty and blank-free lines
-    alike count; whether to remove short ones is the caller's choice by ``size``.
+    ``repeat`` tells a line that another one of its class precedes (by doc_id, then line),
+    ``near`` one that also differs from all lines before it. Lines of all sizes are there; which
+    of them to remove is the caller's choice by ``size`` and ``blank``.
     """
     lines, known = classes(docs, edits, least, share)
     # A distinct line that stands once and has no link can't repeat, so only the others are looked up.
     some = known.where("copies > 1 or n_links > 0")
-    rows = lines.select("doc", "line", "h1", "h2").join(some, ["h1", "h2"])
+    rows = lines.select("doc", "line", "h1", "h2", "blank").join(some, ["h1", "h2"])
     rows = rows.withColumn("repeat", ~((F.col("doc") == F.col("cls_doc")) & (F.col("line") == F.col("cls_line"))))
     first = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    return rows.select("doc", "line", "size", "repeat", (F.col("repeat") & first).alias("near"), (F.col("n_links") + F.col("copies") - 1).alias("links"))
+    return rows.select("doc", "line", "size", "blank", "repeat", (F.col("repeat") & first).alias("near"), (F.col("n_links") + F.col("copies") - 1).alias("links"))
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE, short: bool = False) -> DataFrame:
     """``docs`` with ``n_lines, n_repeats, n_near, n_links, kept_text``; one row a row.
 
     Of each class of lines, the first line in the order of doc_id and line stays and the
-    others go; lines shorter than ``least`` bytes (empty ones too) always stay.
-    ``n_links`` sums the other lines equal to or near each line of at least ``least`` bytes. A null text
+    others go. Lines shorter than ``least`` bytes are a class only with their exact copies:
+    with ``short`` those go and count too, except blank ones, without it they stay.
+    ``n_links`` sums the other lines equal to or near each line that may go. A null text
     has one empty line. Rows with a null id are left as they are. Rows that share an id
     share their lines' places, so that a line repeated at the same place stays in each.
     """
-    rep = repeated_lines(docs, edits, least, share).where(F.col("size") >= least)
+    wanted = (F.col("size") >= least) | (F.lit(short) & ~F.col("blank"))
+    rep = repeated_lines(docs, edits, least, share).where(wanted)
     per = rep.groupBy(F.col("doc").alias("doc_id")).agg(
         F.sum("links").alias("n_links"), F.count_if("repeat").alias("n_repeats"), F.count_if("near").alias("n_near"),
         F.collect_set(F.when(F.col("repeat"), F.col("line"))).alias("_gone"))

@@ -69,7 +69,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import deduplicate
 
-    out = deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return out.select("doc_id", "n_lines", "n_repeats", "n_near", "n_links", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -131,3 +132,15 @@ def test_budget_grows_with_the_line(spark):
     got = {g.doc_id: g for g in deduplicate(docs).collect()}
     assert [got[i].n_links for i in range(len(rows))] == links
     assert links[-1] > 0 and got[len(rows) - 1].n_repeats == 1
+
+
+def test_query_counts_short_repeats(spark, tmp_path):
+    from graphloom.llm.queries import op9_line_dedup
+
+    long = "a line that is long enough to be joined by edits"
+    rows = [(1, f"short\n\n{long}\n   "), (2, f"short\n\n{long}\n   "), (3, "shirt\nshort\nshort"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g for g in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_lines, got[i].n_repeats, got[i].n_near, got[i].n_links) for i in (1, 2, 3, 4)] == [(4, 0, 0, 4), (4, 2, 0, 4), (3, 2, 0, 6), (1, 0, 0, 0)]
+    kept = [rows[0][1], "\n   ", "shirt", ""]
+    assert [got[i].kept_sha256 for i in (1, 2, 3, 4)] == [hashlib.sha256(k.encode()).hexdigest() for k in kept]
