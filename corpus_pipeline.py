@@ -26,8 +26,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of equal or near-equal lines the first stays; a document that loses every line goes."""
-    cut = deduplicate(docs).where("n_repeats = 0 or n_repeats < n_lines")
+    """Of each class of equal or near-equal lines the first stays, short ones too; a document that keeps only blank lines goes."""
+    cut = deduplicate(docs, short=True).where(r"n_repeats = 0 or kept_text rlike '\\S'")
     text = F.col("kept_text")
     return cut.select(*(text.alias("text") if c == "text" else F.when(F.col("n_repeats") > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 

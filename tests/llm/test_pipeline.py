@@ -70,3 +70,12 @@ def test_empty_documents(spark, cut, tmp_path):
         spark.read.parquet(f"{cut}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert docs.where(F.lit(False)).count() == 0
+
+
+def test_copies_leave_no_residue(spark):
+    long = ["the first of the lines is long enough to be joined", "another one with quite different words follows here"]
+    text = f"{long[0]}\nshort\n\n{long[1]}\n  "
+    rows = [(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "short", "en", "s", 5), (4, "short\nnew", "en", "s", 9), (5, "", "en", "s", 0), (6, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: (text, len(text)), 4: ("new", 3), 5: ("", 0), 6: (None, 0)}
