@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -59,6 +60,47 @@ def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[in
         i = j
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one integer; bytes behind the end are zero."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Runs of more bytes are named one by one.
+_LONG_RUN = 64
+
+
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the byte runs ``start:end``, which hold no zero bytes.
+
+    Up to eight bytes, different runs have different names. Longer ones take a non-linear
+    round for every eight bytes, and those beyond 64 bytes an XXH3, so that no arithmetic
+    between bytes (as in a polynomial modulo 2**64) makes unlike runs agree.
+    """
+    size = end - start
+    eight = loads(data)
+    out = mix(eight[start] & _FIRST_BYTES[np.minimum(size, 8)])
+    at = np.flatnonzero((size > 8) & (size <= _LONG_RUN))
+    h, done = out[at] + U64(0x2545F4914F6CDD1D), 8
+    while len(at):
+        left = size[at] - done
+        h = mix(h * U64(0xA0761D6478BD642F) ^ (eight[start[at] + done] & _FIRST_BYTES[np.minimum(left, 8)]))
+        done += 8
+        ended = left <= 8
+        out[at[ended]] = h[ended]
+        at, h = at[~ended], h[~ended]
+    for i in np.flatnonzero(size > _LONG_RUN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def text_of(raw: bytes) -> str:
+    """The text of UTF-8 bytes; each maximal part that isn't UTF-8 becomes U+FFFD."""
+    return raw.decode("utf-8", "replace")
+
+
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(hash of each word, byte position of each word, first word of each row and the end)``.
 
@@ -79,10 +121,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[1:] - 1
     stop[last[last >= 0]] = True
     end = np.flatnonzero(inside & stop)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * powers(_STEP, n), out=total[1:])
-    h = (total[end + 1] - total[start]) * powers(_STEP_INV, n)[start]
-    return mix(h), start, np.searchsorted(start, offsets)
+    return names(data, start, end + 1), start, np.searchsorted(start, offsets)
 
 
 def grams(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

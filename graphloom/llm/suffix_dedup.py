@@ -1,63 +1,77 @@
-"""Suffix-array dedup by distributed prefix doubling, over the bytes of whole texts.
+"""Suffix-array dedup by distributed rank refinement, over the bytes of whole texts.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts in a document
-with a smaller id. The positions of a suffix array that can matter are found first: every
-window of ``length`` bytes is named by its minimizer, the least-hashed 24-byte string in
-it, so equal windows have equal minimizers at equal places. Spark sorts the minimizers;
-windows whose minimizer is in one document only are unique and leave. So do neighbours
-whose whole surroundings equal those of a document with a smaller id: they are decided.
-For the windows left, prefix doubling sorts pairs of ranks (rank of the window's first h
-bytes, rank of the h bytes that end it or follow) and reranks them at growing h, dropping
-what has become unique, until h reaches ``length``.
+with a smaller id. Only positions that can matter are ranked. Every window of ``length``
+bytes is named by its minimizer, the leftmost string of 24 bytes in it whose first
+eight bytes hash lowest, so equal windows have equal minimizers at equal places. A
+minimizer that one document alone holds leaves; one whose whole surroundings a smaller
+document holds too is decided.
+
+The minimizers left are ranked by growing strings around them. A round sorts pairs of the
+rank so far and the bytes that the strings gain (for few bytes, their own order is their
+rank), and the place of a group's head in the sorted order is its new rank. Ranks
+cover what the windows that hold the minimizer at 16, then at 4 and at last at one
+neighbouring place have in common: 35, 47 and 50 bytes for a ``length`` of 50. After each round, groups
+of one document leave, and members whose whole windows a smaller document has are decided.
+
+Ranks of all windows at doubling offsets would need a row for every window and half; on
+the tables here that is several times the rows of all rounds together.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import _STEP, _STEP_INV, BYTE_VALUE, U64, mix, powers, text_slices
-from .storage import discard, materialize
+from . import packed
+from .kernels import U64, loads, mix, text_slices
+from .storage import discard, materialize, materialize_buckets
 
-GRAM = 24
-#: Bytes that the first ranks cover; at most 32 of them make one fingerprint.
-FIRST_RANK = 25
-#: The positions are sorted in so many passes over parts of their hash space, so that a pass holds that part of the disk.
-PASSES = 2
+#: Neighbouring places of a minimizer that share a rank, round by round.
+STEPS = (16, 4, 1)
+#: Rows of minimizers that a task combines before they are shuffled.
+COMBINED = 1_000_000
+#: Rows of one minimizer that a task sends on to be judged; more of them are open without being judged, which the rounds mend.
+WITNESSES = 64
+_C = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D)]
+_KINDS = (U64, U64, np.int64, np.int64, np.int64, np.int8)
+_SENT, _DECIDED, _OPEN = 0, 1, 2
 
 
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * powers(_STEP, len(data)), out=total[1:])
-    return total, powers(_STEP_INV, len(data) + 1)
+def gram_size(length: int) -> int:
+    return 24 if length >= 48 else 16
 
 
-def fingerprints(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, length) -> np.ndarray:
-    """64-bit fingerprints of ``length`` bytes from each start."""
-    return mix((total[start + length] - total[start]) * inverse[start])
+def _spread(m: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit names of ``size`` bytes (eight at least) from each start; ``m`` has the mixed eight bytes of each place."""
+    out = m[start + size - 8] * _C[10] + size.astype(U64) * _C[9]
+    for k in range(int(size.max()) // 8 if len(size) else 0):
+        here = 8 * k + 8 <= size
+        out[here] += mix(m[start[here] + 8 * k] * _C[k % 9] + U64(k))
+    return mix(out)
 
 
 def minimizers(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``(first window, windows, hash of the minimizer, hash of all bytes of those windows)`` of each run of windows with one minimizer."""
+    """``(first window, windows, minimizer's place behind it, its name, name of all bytes of those windows)`` of each run of windows with one minimizer."""
     n, span = len(data), length - gram + 1
     windows = n - length + 1
     if windows <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
-    total, inverse = _prefix(data)
-    least = fingerprints(total, inverse, np.arange(n - gram + 1), gram)
-    own, where, have = least, np.arange(len(least), dtype=np.int32), 1
-    while have < span:  # ties go to the left, so that equal windows agree
-        step = min(have, span - have)
-        later = least[step:] < least[:-step]
-        where = np.where(later, where[step:], where[:-step])
-        least = np.where(later, least[step:], least[:-step])
-        have += step
-    where = where[:windows]
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+    m = mix(loads(data)[:n])
+    low = (m[: n - gram + 1] & U64(0xFFFFFFFF00000000)) | np.arange(n - gram + 1, dtype=U64)
+    have = 1
+    while have * 2 <= span:  # the place in the low half makes the leftmost of equals the smallest
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < span:
+        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
+    where = (low[:windows] & U64(0xFFFFFFFF)).astype(np.int64)
     long = np.diff(offsets) >= length
     first = offsets[:-1][long]
     mark = np.zeros(n + 1, np.int32)
@@ -72,157 +86,208 @@ def minimizers(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) ->
     stop = np.append(start[1:], windows)
     keep = inside[start]
     start, stop = start[keep], stop[keep]
-    at = where[start].astype(np.int64)
-    around = fingerprints(total, inverse, start, stop - 1 + length - start) ^ mix((at - start).astype(U64) * U64(1 << 16) + (stop - start).astype(U64))
-    return start, stop - start, own[at], around
+    at = where[start]
+    name = mix(sum((m[at + 8 * k] * _C[k] for k in range(gram // 8)), np.zeros(len(at), U64)))
+    around = _spread(m, start, stop - 1 + length - start) ^ mix((at - start).astype(U64) << U64(16) | (stop - start).astype(U64))
+    return start, stop - start, at - start, name, around
+
+
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Mask of the rows that differ from the row before in any of the columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _judged(name: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(decided, open)`` of all rows of some minimizers.
+
+    Decided: a smaller document has the same surroundings. Open: the others of a minimizer
+    with several documents and several surroundings.
+    """
+    decided, open_ = np.zeros(len(name), bool), np.zeros(len(name), bool)
+    order = np.argsort(name, kind="stable")
+    new = _groups(name[order])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return decided, open_
+    d = doc[order]
+    shared = np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)
+    rows = order[shared[np.cumsum(new) - 1]]
+    rows = rows[np.lexsort((doc[rows], around[rows], name[rows]))]
+    if not len(rows):
+        return decided, open_
+    new, new_around = _groups(name[rows]), _groups(name[rows], around[rows])
+    later = doc[rows] > doc[rows][np.flatnonzero(new_around)][np.cumsum(new_around) - 1]
+    several = np.add.reduceat(new_around, np.flatnonzero(new), dtype=np.int64) > 1
+    decided[rows[later]] = True
+    open_[rows] = ~later & several[np.cumsum(new) - 1]
+    return decided, open_
 
 
-def _positions(reps: DataFrame, length: int, gram: int, passes: int, number: int) -> DataFrame:
-    """``gram, around, doc, place`` of the minimizers whose hash belongs to pass ``number``; place is ``first window << 24 | tag << 8 | windows``."""
+def _combined(name: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """What becomes of the rows of one task: sent on, decided, or open.
+
+    Copies of surroundings that a smaller document of the task has are decided here. Of a
+    minimizer with many rows left in several documents, so many go on as show the others
+    that it is shared; the rest is open, since no group can leave by it.
+    """
+    kind = np.full(len(name), _SENT, np.int8)
+    order = np.argsort(name, kind="stable")
+    same = np.zeros(len(name) + 1, bool)
+    same[1:-1] = name[order][1:] == name[order][:-1]
+    rows = order[same[1:] | same[:-1]]
+    decided, open_ = _judged(name[rows], around[rows], doc[rows])
+    kind[rows[decided]] = _DECIDED
+    rows = rows[open_]
+    rows = rows[np.lexsort((doc[rows], name[rows]))]
+    new = _groups(name[rows])
+    at = np.flatnonzero(new)
+    place = np.arange(len(rows)) - at[np.cumsum(new) - 1] if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(rows)))
+    last = place == size[np.cumsum(new) - 1] - 1 if len(at) else np.zeros(0, bool)
+    # The last row is of another document than the first, so that both bear witness.
+    kind[rows[(place >= WITNESSES) & ~last]] = _OPEN
+    return kind
+
+
+def _positions(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Packed rows ``name, around, doc, rid, place, kind`` of the minimizers; place is ``first window << 16 | windows << 8 | minimizer behind it``."""
+    gram = gram_size(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            name, around, doc, rid, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            kind = _combined(name, around, doc)
+            # What needn't meet is dealt by the row.
+            name = np.where(kind == _SENT, name, mix(place.view(U64) + rid.view(U64)))
+            yield from packed.pack([name, around, doc, rid, place, kind], buckets)
+
         for batch in batches:
-            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row0, offsets, data in text_slices(batch.column(2)):
-                start, count, key, around = minimizers(offsets, data, length, gram)
-                mine = (key >> U64(33)) % U64(passes) == U64(number)
-                start, count, key, around = start[mine], count[mine], key[mine], around[mine]
+                start, count, behind, name, around = minimizers(offsets, data, length, gram)
                 row = np.searchsorted(offsets, start, "right") - 1
-                place = (start - offsets[row]) << 24 | tag[row0 + row] << 8 | count
-                for a in range(0, len(start), 20_000):
-                    s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(around[s].view(np.int64)), pa.array(doc[row0 + row[s]]), pa.array(place[s])], names=["gram", "around", "doc", "place"])
+                held.append([name, around, doc[row0 + row], rid[row0 + row], (start - offsets[row]) << 16 | count << 8 | behind])
+                if sum(len(h[0]) for h in held) >= COMBINED:
+                    yield from flush()
+        if held:
+            yield from flush()
 
-    return reps.select("doc", "tag", "text").mapInArrow(run, "gram long, around long, doc long, place long")
+    return texts.select("doc", "rid", "text").mapInArrow(run, packed.SCHEMA)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by gram, around, doc: ``doc, place, open``.
+    """Packed rows to ``doc, rid, place, rank, open`` of those that are decided or open."""
+    for name, around, doc, rid, place, kind in packed.gather(batches, _KINDS):
+        decided, open_ = kind == _DECIDED, kind == _OPEN
+        sent = np.flatnonzero(kind == _SENT)
+        yes, maybe = _judged(name[sent], around[sent], doc[sent])
+        decided[sent[yes]] = True
+        open_[sent[maybe]] = True
+        rows = np.flatnonzero(decided | open_)
+        for a in range(0, len(rows), 100_000):
+            r = rows[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(rid[r]), pa.array(place[r]), pa.array(open_[r])], names=["doc", "rid", "place", "open"])
 
-    A row whose surroundings have a smaller document is decided (open false). Others of a
-    gram with two documents and two surroundings are open. Rows wait only while all rows
-    of their gram so far are of one document or one surrounding, and then only the ones of
-    the smallest document.
-    """
-    wait: list[np.ndarray] = []  # rows of the last gram that may become open
-    gram = around = lowest = None
-    docs = surroundings = False  # has the last gram several documents, several surroundings
-    some_doc = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g, a, d, p = (batch.column(i).to_numpy() for i in range(4))
-        new_g = np.r_[gram is None or g[0] != gram, g[1:] != g[:-1]]
-        new_a = new_g | np.r_[around is None or a[0] != around, a[1:] != a[:-1]]
-        starts = np.flatnonzero(new_a)
-        run = np.cumsum(new_a) - 1
-        low = np.append(d[starts], lowest if lowest is not None else 0)[run]  # run -1 is the one carried over
-        group = np.cumsum(new_g) - 1
-        heads = np.flatnonzero(new_g)
-        k = len(heads)
-        base = np.append(d[heads], some_doc if some_doc is not None else 0)[group]
-        several_d = np.zeros(k + 1, bool)
-        np.logical_or.at(several_d, group, d != base)
-        several_a = np.zeros(k + 1, bool)
-        np.logical_or.at(several_a, group, new_a & ~new_g)
-        several_d[-1] |= docs
-        several_a[-1] |= surroundings
-        decided = d > low
-        open_ = ~decided & several_d[group] & several_a[group]
-        out = [(d[decided], p[decided], False), (d[open_], p[open_], True)]
-        if wait and several_d[-1] and several_a[-1]:
-            out += [(w[0], w[1], True) for w in wait]
-        if k or (several_d[-1] and several_a[-1]):
-            wait = []
-        last = group == group[-1]
-        undecided = last & ~decided & ~(several_d[group] & several_a[group])
-        if undecided.any():
-            wait.append(np.stack([d[undecided], p[undecided]]))
-        gram, around, lowest = g[-1], a[-1], low[-1]
-        docs, surroundings, some_doc = several_d[group[-1]], several_a[group[-1]], base[-1]
-        for x, y, z in out:
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), z))], names=["doc", "place", "open"])
-
-
-def _open_windows(texts: DataFrame, length: int, half: int, passes: int, number: int) -> DataFrame:
-    """``doc, at, r1, r2`` of the open windows whose first rank belongs to pass ``number``; at is ``window << 16 | tag``, the ranks are those of the first and the last ``half`` bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            places = batch.column(3)
-            for row0, offsets, data in text_slices(batch.column(2)):
-                total, inverse = _prefix(data)
-                for i in range(len(offsets) - 1):
-                    place = places[row0 + i].values.to_numpy()
-                    count = place & 0xFF
-                    window = np.repeat(place >> 24, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    for a in range(0, len(window), 50_000):
-                        w = window[a : a + 50_000]
-                        s = offsets[i] + w
-                        r1, r2 = fingerprints(total, inverse, s, half), fingerprints(total, inverse, s + length - half, half)
-                        mine = (r1 >> U64(33)) % U64(passes) == U64(number)
-                        w, r1, r2 = w[mine], r1[mine], r2[mine]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), doc[row0 + i])), pa.array(w << 16 | tag[row0 + i]), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64))], names=["doc", "at", "r1", "r2"])
-
-    return texts.select("doc", "tag", "text", "places").mapInArrow(run, "doc long, at long, r1 long, r2 long")
-
-
-def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by r1, r2, doc: the ones whose pair of ranks has a smaller document before it."""
-    last = None
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``doc, rid, text, places`` to ``doc, rid, start, behind, bytes``: the bytes of each open run of windows."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y, d = (batch.column(i).to_numpy() for i in range(3))
-        new = np.r_[last is None or (x[0], y[0]) != last[:2], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-        low = np.append(d[np.flatnonzero(new)], last[2] if last else 0)[np.cumsum(new) - 1]
-        last = (x[-1], y[-1], low[-1])
-        again = d > low
-        if again.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[again]), batch.column(3).filter(pa.array(again))], names=["doc", "at"])
-
-
-def repeated_bytes(docs: DataFrame, length: int = 50, passes: int = PASSES) -> DataFrame:
+        for row0, offsets, data in text_slices(batch.column(2)):
+            raw = data.tobytes()
+            for i in range(len(offsets) - 1):
+                places = np.unique(batch.column(3)[row0 + i].values.to_numpy())
+                start, size = places >> 16, (places >> 8 & 0xFF) + length - 1
+                base = int(offsets[i])
+                for a in range(0, len(places), 20_000):
+                    s = slice(a, a + 20_000)
+                    k = len(places[s])
+                    parts = [raw[base + x : base + x + n] for x, n in zip(start[s].tolist(), size[s].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, batch.column(0)[row0 + i].as_py())), pa.array(np.full(k, batch.column(1)[row0 + i].as_py())), pa.array(start[s]), pa.array((places[s] & 0xFF).astype(np.int32)), pa.array(parts, pa.binary())], names=["doc", "rid", "start", "behind", "bytes"])
+
+
+def refine(runs: DataFrame, step: int, before: int, length: int) -> DataFrame:
+    """One round: ``doc, rid, start, windows, open, rank, behind, bytes`` of the parts of ``runs`` that are decided or open.
+
+    ``runs`` has ``rank, doc, rid, start, behind, bytes``: a run of windows, the minimizer
+    ``behind`` bytes after the first one. A run is cut where the minimizer's place passes a
+    multiple of ``step``. All windows of a part hold the same string around the minimizer;
+    its rank comes from a sort by the rank of the string before (which ``before``
+    neighbouring places share, 0 for none) and the bytes that it gains.
+    """
+    span = length - gram_size(length) + 1
+    r = runs.withColumn("_least", F.expr(f"behind - (octet_length(bytes) - {length})"))
+    r = r.withColumn("_part", F.explode(F.expr(f"sequence(int(_least div {step}), int(behind div {step}))")))
+    r = r.withColumn("_lo", F.expr(f"_part * {step}")).withColumn("_hi", F.expr(f"least(_lo + {step}, {span})"))
+    r = r.withColumn("_most", F.expr("least(behind, _hi - 1)")).withColumn("_down", F.expr("greatest(_least, _lo)"))
+    if before:
+        up = f"int(behind div {before}) * {before}"  # a run's places share one part of the round before
+        gain = f"concat(substring(bytes, behind - _lo + 1, _lo - {up}), substring(bytes, behind + {length} - least({up} + {before}, {span}) + 2, least({up} + {before}, {span}) - _hi))"
+    else:
+        gain = f"substring(bytes, behind - _lo + 1, _lo + {length} - _hi + 1)"
+    r = r.withColumn("_gain", F.expr(gain))
+    r = r.select(
+        "rank", "_part", "_gain", "doc", "rid", F.expr("start + behind - _most").alias("start"), F.col("_most").cast("int").alias("behind"),
+        F.expr(f"substring(bytes, behind - _most + 1, _most - _down + {length})").alias("bytes"),
+    )
+    group = ["rank", "_part", "_gain"] if before else ["_gain", "_part", "rank"]
+    around = ["behind", "bytes"] if step > 1 else []
+    r = r.repartition(*group).sortWithinPartitions(*group, *around, "doc").withColumn("_id", F.monotonically_increasing_id())
+    # The sort above serves both windows.
+    low = Window.partitionBy(*group, *around)
+    string = Window.partitionBy(*group)
+    r = r.withColumn("_low", F.min("doc").over(low))
+    r = r.withColumn("_first", F.min("doc").over(string)).withColumn("_last", F.max("doc").over(string)).withColumn("_head", F.min("_id").over(string))
+    decided = F.col("doc") > F.col("_low")
+    r = r.where("_first < _last").where(decided if step == 1 else F.lit(True))
+    return r.select(
+        "doc", "rid", "start", F.expr(f"octet_length(bytes) - {length - 1}").alias("windows"), (~decided).alias("open"),
+        F.col("_head").alias("rank"), "behind", F.when(~decided, F.col("bytes")).alias("bytes"),
+    )
+
+
+def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
     Null texts count as empty, and matches never cross documents. Rows of equal id aren't
     smaller than one another, so they leave each other alone. A row with a null id neither
-    loses bytes nor takes any. ``length`` lies between 32 and 250. An empty table gives an
-    empty result.
+    loses bytes nor takes any. ``length`` lies between 32 and 240. An empty table gives an
+    empty result. A text is held whole by one task, with about forty bytes a byte of it.
     """
-    if not 32 <= length <= 250:
-        raise ValueError("length must lie between 32 and 250")
-    gram, half = min(GRAM, length // 2), -(-length // 2)
+    if not 32 <= length <= 240:
+        raise ValueError("length must lie between 32 and 240")
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")
-    key = [F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("n")]
-    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *key)
-    tag = F.conv(F.substring("sha", 1, 4), 16, 10).cast("int")
-    ids = materialize(every.select(F.col("doc_id").cast("long").alias("doc"), "sha", "n"), "ids")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc"), F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    every = every.withColumn("rid", F.xxhash64("doc", "sha"))
+    ids = materialize(every.select("doc", "sha", "n", "rid"), "ids")
     # Of equal texts, only the one with the smallest id can hold anything that isn't decided already.
     least = ids.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("least"))
-    first = ids.where(F.col("n") >= length).join(least, "sha").where("doc = least").select("doc", "sha").distinct()
-    reps = every.where((F.col("n") >= length) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text", "sha")
-    reps = materialize(reps.join(first, ["doc", "sha"]).select("doc", tag.alias("tag"), "text"), "texts")
-    judged = None
-    for number in range(passes):
-        rows = _positions(reps, length, gram, passes, number).repartition("gram").sortWithinPartitions("gram", "around", "doc")
-        part = materialize(rows.mapInArrow(_judge, "doc long, place long, open boolean"), "judged")
-        judged = part if judged is None else judged.unionByName(part)
-    rep_tag = F.shiftrightunsigned("place", 8).bitwiseAND(0xFFFF).cast("int").alias("tag")
-    open_ = judged.where("open").groupBy("doc", rep_tag).agg(F.collect_list("place").alias("places"))
-    texts = materialize(reps.select("doc", "tag", "text").join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places"), "open")
-    again = None
-    for number in range(passes):
-        ranks = _open_windows(texts, length, half, passes, number).repartition("r1", "r2").select("r1", "r2", "doc", "at").sortWithinPartitions("r1", "r2", "doc")
-        part = materialize(ranks.mapInArrow(_rerank, "doc long, at long"), "again")
-        again = part if again is None else again.unionByName(part)
-    discard(texts)  # both passes over the open windows are written
-    # Windows that a smaller document has too, as (first, count).
-    one = judged.where("not open").select("doc", rep_tag, F.shiftrightunsigned("place", 24).alias("w"), F.col("place").bitwiseAND(0xFF).cast("int").alias("c"))
-    two = again.select("doc", F.col("at").bitwiseAND(0xFFFF).cast("int").alias("tag"), F.shiftrightunsigned("at", 16).alias("w"), F.lit(1).alias("c"))
-    gone = one.unionByName(two).groupBy("doc", "tag").agg(F.collect_list("w").alias("w"), F.collect_list("c").alias("c"))
+    first = ids.where(F.col("n") >= length).join(least, "sha").where("doc = least").select("rid", F.col("sha").alias("_sha")).distinct()
+    texts = every.where((F.col("n") >= length) & F.col("doc").isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid")
+    # A row is named by its id and a hash of id and text; both are compared wherever rows meet.
+    texts = materialize_buckets(texts.join(first, "rid").where("sha = _sha").select("doc", "rid", "text"), "rid", "texts")
+    rows = _positions(texts, length, packed.bucket_count(spark)).repartition("bucket")
+    judged = materialize(rows.mapInArrow(_judge, "doc long, rid long, place long, open boolean"), "judged")
+    places = judged.where("open").groupBy("rid", F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
+    found = texts.join(places, "rid").where("doc = _doc").select("doc", "rid", "text", "places")
+    runs = found.mapInArrow(lambda b: _contexts(b, length), "doc long, rid long, start long, behind int, bytes binary")
+    # The first strings contain the minimizer itself, so nothing rests on its name.
+    runs = runs.withColumn("rank", F.lit(0).cast("long"))
+    gone = [judged.where("not open").select("doc", "rid", F.shiftright("place", 16).alias("start"), F.shiftright("place", 8).bitwiseAND(0xFF).cast("int").alias("windows"))]
+    before, tables = 0, []
+    for step in STEPS:
+        level = materialize(refine(runs, step, before, length), "ranks")
+        gone.append(level.where("not open").select("doc", "rid", "start", "windows"))
+        runs, before = level.where("open").select("rank", "doc", "rid", "start", "behind", "bytes"), step
+        tables.append(level)
+    gone = reduce(DataFrame.unionByName, gone).groupBy("rid", F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("w"), F.collect_list("windows").alias("c"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,11 +304,13 @@ def repeated_bytes(docs: DataFrame, length: int = 50, passes: int = PASSES) -> D
                     removed.append(int(off.sum()))
                     spans.append(int((off & ~np.r_[False, off[:-1]]).sum()))
                     digests.append(hashlib.sha256(body[~off].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc", "tag", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc", "rid", "n_removed", "n_spans", "kept"])
 
-    done = reps.select("doc", "tag", "text").join(gone, ["doc", "tag"]).select("doc", "tag", "text", "w", "c")
-    done = materialize(done.mapInArrow(cut, "doc long, tag int, n_removed long, n_spans long, kept string").dropDuplicates(["doc", "tag"]), "cut")
-    out = ids.withColumn("tag", tag).join(least, "sha", "left").join(done, ["doc", "tag"], "left")
+    done = texts.join(gone, "rid").where("doc = _doc").select("doc", "rid", "text", "w", "c")
+    done = materialize(done.mapInArrow(cut, "doc long, rid long, n_removed long, n_spans long, kept string").dropDuplicates(["doc", "rid"]), "cut")
+    for t in (texts, judged, *tables):
+        discard(t)
+    out = ids.join(least, "sha", "left").join(done, ["doc", "rid"], "left")
     copy = (F.col("n") >= length) & (F.col("least") < F.col("doc"))
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_bytes"),
