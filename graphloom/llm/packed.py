@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 from .kernels import U64
 
@@ -23,14 +22,18 @@ HELD = 6_000_000
 SPLIT = 64
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets for a shuffle: some for each partition, so that hashing them to partitions comes out even."""
-    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input for each bucket, and buckets at most and at least.
+BUCKET_BYTES, MOST_BUCKETS, LEAST_BUCKETS = 1 << 20, 16_384, 16
+
+
+def bucket_count(size: int) -> int:
+    """Buckets for an input of ``size`` bytes. Beyond 16 GiB they hold more each, and tasks split them on disk."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
 def pack(columns: Sequence[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks of the rows given as ``columns``; the first one, 64 bits wide, names the bucket."""
-    bucket = (columns[0].view(U64) % U64(buckets)).astype(np.int32)
+    bucket = (columns[0].view(U64) % U64(buckets)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = [c[order] for c in columns]
@@ -39,7 +42,7 @@ def pack(columns: Sequence[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
     for lo in range(0, len(first), 256):
         s, e = first[lo : lo + 256].tolist(), ends[lo : lo + 256].tolist()
         blocks = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(s, e, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[first[lo : lo + 256]]), pa.array([j - i for i, j in zip(s, e, strict=True)], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "rows", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first[lo : lo + 256]].astype(np.int32)), pa.array([j - i for i, j in zip(s, e, strict=True)], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "rows", "block"])
 
 
 def _unpack(blocks: list[tuple[int, bytes]], kinds: Sequence[type]) -> list[np.ndarray]:

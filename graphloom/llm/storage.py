@@ -36,16 +36,16 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def materialize_buckets(df: DataFrame, key: str, name: str = "t") -> DataFrame:
-    """:func:`materialize`, as a table bucketed by ``key``: joins on that key alone don't shuffle it again.
+def materialize_buckets(df: DataFrame, keys: list[str], name: str = "t") -> DataFrame:
+    """:func:`materialize`, as a table bucketed by ``keys``: joins on just those don't shuffle it again.
 
-    ``df`` should be dealt out by ``key`` already, so that a task writes few buckets.
+    ``df`` should be dealt out by them already, so that a task writes few buckets.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{table}"
-    df.write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._table_path, out._table_name = path, table
     return out

@@ -48,12 +48,15 @@ def gram_size(length: int) -> int:
     return 24 if length >= 48 else 16
 
 
-def _spread(m: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit names of ``size`` bytes (eight at least) from each start; ``m`` has the mixed eight bytes of each place."""
-    out = m[start + size - 8] * _C[10] + size.astype(U64) * _C[9]
-    for k in range(int(size.max()) // 8 if len(size) else 0):
-        here = 8 * k + 8 <= size
-        out[here] += mix(m[start[here] + 8 * k] * _C[k % 9] + U64(k))
+def _spread(m: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, span: int) -> np.ndarray:
+    """64-bit names of ``size`` bytes (``length`` at least, less than ``length + span``) from each start; ``m`` has the mixed eight bytes of each place."""
+    out = size.astype(U64) * _C[9]
+    for k in range(length // 8):
+        out += (m[start + 8 * k] ^ _C[k % 9]) * _C[(k + 3) % 11]
+    out = mix(out)
+    end = start + size
+    for k in range(1, -(-(span + 7) // 8) + 1):  # what the words from the start on leave
+        out += (m[end - 8 * k] ^ _C[k % 11]) * _C[(k + 5) % 11]
     return mix(out)
 
 
@@ -88,7 +91,7 @@ def minimizers(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) ->
     start, stop = start[keep], stop[keep]
     at = where[start]
     name = mix(sum((m[at + 8 * k] * _C[k] for k in range(gram // 8)), np.zeros(len(at), U64)))
-    around = _spread(m, start, stop - 1 + length - start) ^ mix((at - start).astype(U64) << U64(16) | (stop - start).astype(U64))
+    around = _spread(m, start, stop - 1 + length - start, length, span) ^ mix((at - start).astype(U64) << U64(16) | (stop - start).astype(U64))
     return start, stop - start, at - start, name, around
 
 
@@ -108,7 +111,7 @@ def _judged(name: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.n
     with several documents and several surroundings.
     """
     decided, open_ = np.zeros(len(name), bool), np.zeros(len(name), bool)
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     new = _groups(name[order])
     at = np.flatnonzero(new)
     if not len(at):
@@ -135,7 +138,7 @@ def _combined(name: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarr
     that it is shared; the rest is open, since no group can leave by it.
     """
     kind = np.full(len(name), _SENT, np.int8)
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     same = np.zeros(len(name) + 1, bool)
     same[1:-1] = name[order][1:] == name[order][:-1]
     rows = order[same[1:] | same[:-1]]
@@ -269,14 +272,15 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     ids = materialize(every.select("doc", "sha", "n", "rid"), "ids")
     # Of equal texts, only the one with the smallest id can hold anything that isn't decided already.
     least = ids.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("least"))
-    first = ids.where(F.col("n") >= length).join(least, "sha").where("doc = least").select("rid", F.col("sha").alias("_sha")).distinct()
-    texts = every.where((F.col("n") >= length) & F.col("doc").isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid")
+    first = ids.where(F.col("n") >= length).join(least, "sha").where("doc = least").select("rid", "doc", F.col("sha").alias("_sha")).distinct()
+    texts = every.where((F.col("n") >= length) & F.col("doc").isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "doc")
     # A row is named by its id and a hash of id and text; both are compared wherever rows meet.
-    texts = materialize_buckets(texts.join(first, "rid").where("sha = _sha").select("doc", "rid", "text"), "rid", "texts")
-    rows = _positions(texts, length, packed.bucket_count(spark)).repartition("bucket")
+    texts = materialize_buckets(texts.join(first, ["rid", "doc"]).where("sha = _sha").select("doc", "rid", "text"), ["rid", "doc"], "texts")
+    size = ids.agg(F.sum("n")).first()[0] or 0
+    rows = _positions(texts, length, packed.bucket_count(size)).repartition("bucket")
     judged = materialize(rows.mapInArrow(_judge, "doc long, rid long, place long, open boolean"), "judged")
-    places = judged.where("open").groupBy("rid", F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
-    found = texts.join(places, "rid").where("doc = _doc").select("doc", "rid", "text", "places")
+    places = judged.where("open").groupBy("rid", "doc").agg(F.collect_list("place").alias("places"))
+    found = texts.join(places, ["rid", "doc"]).select("doc", "rid", "text", "places")
     runs = found.mapInArrow(lambda b: _contexts(b, length), "doc long, rid long, start long, behind int, bytes binary")
     # The first strings contain the minimizer itself, so nothing rests on its name.
     runs = runs.withColumn("rank", F.lit(0).cast("long"))
@@ -287,7 +291,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
         gone.append(level.where("not open").select("doc", "rid", "start", "windows"))
         runs, before = level.where("open").select("rank", "doc", "rid", "start", "behind", "bytes"), step
         tables.append(level)
-    gone = reduce(DataFrame.unionByName, gone).groupBy("rid", F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("w"), F.collect_list("windows").alias("c"))
+    gone = reduce(DataFrame.unionByName, gone).groupBy("rid", "doc").agg(F.collect_list("start").alias("w"), F.collect_list("windows").alias("c"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,11 +310,11 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
                     digests.append(hashlib.sha256(body[~off].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc", "rid", "n_removed", "n_spans", "kept"])
 
-    done = texts.join(gone, "rid").where("doc = _doc").select("doc", "rid", "text", "w", "c")
-    done = materialize(done.mapInArrow(cut, "doc long, rid long, n_removed long, n_spans long, kept string").dropDuplicates(["doc", "rid"]), "cut")
+    done = texts.join(gone, ["rid", "doc"]).select("doc", "rid", "text", "w", "c")
+    done = materialize(done.mapInArrow(cut, "doc long, rid long, n_removed long, n_spans long, kept string").dropDuplicates(["rid", "doc"]), "cut")
     for t in (texts, judged, *tables):
         discard(t)
-    out = ids.join(least, "sha", "left").join(done, ["doc", "rid"], "left")
+    out = ids.join(least, "sha", "left").join(done, ["rid", "doc"], "left")
     copy = (F.col("n") >= length) & (F.col("least") < F.col("doc"))
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_bytes"),
