@@ -23,12 +23,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from . import packed
 from .components import connected_components
 from .kernels import _STEP, _STEP_INV, BYTE_VALUE, U64, Unions, mix, powers, text_slices
-from .lsh_forest import _runs
 from .storage import discard, materialize
 
 EDITS = 2
@@ -41,11 +44,14 @@ PASSES = 2
 LEAST_BYTES = 24
 #: Lines that meet at one key in one task; keys with more are cut into blocks that meet two by two.
 BLOCK = 512
-#: Columns of the counts of bytes in 16 groups; no edit changes more than two of them by more than one.
-COUNTS = ("c0", "c1", "c2", "c3")
-_GROUP = np.arange(256) * 7 % 16
-for _i, _letters in enumerate([b" ", b"eE", b"tT", b"aA", b"oO", b"iI", b"nN", b"sS", b"rR", b"lLhH", b"dDuU", b"cCmM", b"pPgGfF", b"bByYvVwWkK"]):
+#: Keys with more lines than this aren't thinned out by byte counts; their blocks are compared whole.
+THINNED = 4096
+#: Groups of bytes that are counted, and bits of each count.
+GROUPS, BITS = 10, 6
+_GROUP = np.arange(256) * 7 % GROUPS
+for _i, _letters in enumerate([b" eE", b"tTaA", b"oOiI", b"nNsS", b"rRhH", b"lLdDuU", b"cCmM", b"pPgGfF", b"bByYvV", b"wWkK0123456789"]):
     _GROUP[list(_letters)] = _i
+_COUNTED = U64(1) << (U64(BITS) * _GROUP.astype(U64))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -91,33 +97,110 @@ def line_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, rows, number
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit XXH3 of each line."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), U64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _fingerprint_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums and inverse powers that give a 64-bit fingerprint of any stretch; it only proposes candidates."""
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(BYTE_VALUE[data] * powers(_STEP, len(data)), out=total[1:])
-    inverse = powers(_STEP_INV, len(data) + 1)
-    raw = (total[end] - total[start]) * inverse[start] + (end - start).astype(U64)
-    return mix(raw), mix(raw * U64(0xA24BAED4963EE407) + U64(7)), total, inverse
+    return total, powers(_STEP_INV, len(data) + 1)
+
+
+def byte_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of ten groups in each line, as one sum with six bits a group (modulo 2**64)."""
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_COUNTED[data], out=total[1:])
+    return total[end] - total[start]
+
+
+def counts_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits between lines with these byte counts.
+
+    An edit moves one count up, one down, or both. Differences below 32 are read exactly
+    from the difference of the sums; others may seem smaller, never the other way round
+    for lines whose counts all differ by less.
+    """
+    d = (one - two).view(np.int64)
+    more, less = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+    half = 1 << (BITS - 1)
+    for _ in range(GROUPS):
+        digit = ((d + half) & ((1 << BITS) - 1)) - half
+        more += np.maximum(digit, 0)
+        less += np.maximum(-digit, 0)
+        d = (d - digit) >> BITS
+    return np.maximum(more, less)
+
+
+_PLACE_KINDS = (U64, U64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int8)
+#: Lines that a task combines before they are shuffled.
+COMBINED = 500_000
+
 
+def line_places(docs: DataFrame, buckets: int) -> DataFrame:
+    """``doc, body, line, h1, h2, size, blank, first, copies`` of every line; ``(h1, h2)`` names its bytes.
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """``doc, line, h1, h2, size, blank`` of every line and four words of its byte counts; ``(h1, h2)`` names its bytes."""
+    ``body`` is a hash of the text, which tells texts of one id apart. ``first`` tells the
+    first place of each distinct line in the order of doc, body and line; that
+    row counts the places of the line. The lines of a task are combined before the shuffle,
+    so that a line that stands everywhere comes once from each task.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h1, h2, doc, body, line, size, blank = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            first, copies = _firsts(h1, h2, doc, body, line, np.ones(len(h1), np.int64))
+            # Later places needn't meet; they are dealt by place.
+            key = np.where(first, h1, mix(body.view(U64) + line.view(U64)))
+            yield from packed.pack([h1, h2, doc, body, line, copies, size, (blank + 2 * ~first).astype(np.int8)], buckets, key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row0, offsets, data in text_slices(batch.column(1)):
+            doc, body = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row0, offsets, data in text_slices(batch.column(2)):
                 start, end, row, number = line_bounds(offsets, data)
-                h1, h2, _, _ = _hashes(data, start, end)
                 inked = np.r_[0, np.cumsum(~_SPACE[data])]
-                own = np.repeat(np.arange(len(start)), end - start)
-                text = data[np.arange(len(own)) + np.repeat(start - np.r_[0, np.cumsum(end - start)[:-1]], end - start)]
-                counts = np.bincount(own * 16 + _GROUP[text], minlength=16 * len(start)).reshape(-1, 16)
-                words = np.minimum(counts, 32767).astype(np.int16).view(np.int64)
+                held.append([*line_names(data, start, end), doc[row0 + row], body[row0 + row], number.astype(np.int64), (end - start).astype(np.int32), inked[end] == inked[start]])
+                if sum(len(h[0]) for h in held) >= COMBINED:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h1, h2, doc, body, line, copies, size, flags in packed.gather(batches, _PLACE_KINDS):
+            sent = np.flatnonzero(flags < 2)
+            first, total = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
+            first[sent], total[sent] = _firsts(h1[sent], h2[sent], doc[sent], body[sent], line[sent], copies[sent])
+            for a in range(0, len(h1), 100_000):
+                s = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row0 + row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((end - start).astype(np.int32)), pa.array(inked[end] == inked[start]), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4))],
-                    names=["doc", "line", "h1", "h2", "size", "blank", *COUNTS],
+                    [pa.array(doc[s]), pa.array(body[s]), pa.array(line[s].astype(np.int32)), pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(size[s]), pa.array(flags[s] & 1 > 0), pa.array(first[s]), pa.array(total[s])],
+                    names=["doc", "body", "line", "h1", "h2", "size", "blank", "first", "copies"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, line int, h1 long, h2 long, size int, blank boolean, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(split, packed.SCHEMA).repartition("bucket")
+    return rows.mapInArrow(meet, "doc long, body long, line int, h1 long, h2 long, size int, blank boolean, first boolean, copies long")
+
+
+def _firsts(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, body: np.ndarray, line: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(is the first place of its line, places of the line at its first place)``."""
+    first, total = np.ones(len(h1), bool), copies.copy()
+    order = np.argsort(h1)
+    same = np.zeros(len(h1) + 1, bool)
+    same[1:-1] = h1[order][1:] == h1[order][:-1]
+    rows = order[same[1:] | same[:-1]]
+    if len(rows):
+        rows = rows[np.lexsort((line[rows], body[rows], doc[rows], h2[rows], h1[rows]))]
+        new = np.r_[True, (h1[rows][1:] != h1[rows][:-1]) | (h2[rows][1:] != h2[rows][:-1])]
+        first[rows[~new]] = False
+        total[rows[new]] = np.add.reduceat(copies[rows], np.flatnonzero(new))
+    return first, total
 
 
 def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,50 +210,66 @@ def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
     return i * short + np.maximum(0, i - plain), short + (i >= plain)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
-    """Rows of ``text, lines array<int>`` to ``key, h1, indexed``: the index and probe keys of those lines."""
+_KEY_KINDS = (U64, U64, U64, np.int32)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts to arrays ``key, h1, byte counts, size`` of the index and probe keys of their lines; the size of a probe is negative."""
     for batch in batches:
-        for row0, offsets, data in text_slices(batch.column(0)):
-            start, end, row, number = line_bounds(offsets, data)
-            wanted = batch.column(1).slice(row0, len(offsets) - 1)
-            counts = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            # Rows that share an id could have fewer lines than the one the table means; each is asked only for lines it has.
-            first, of = np.searchsorted(row, np.arange(len(offsets))), np.repeat(np.arange(len(offsets) - 1), counts)
-            pick = wanted.flatten().to_numpy() + first[of]
-            pick = pick[pick < first[of + 1]]
-            start, end = start[pick], end[pick]
-            h1, _, total, inverse = _hashes(data, start, end)
-            size = end - start
+        for _, offsets, data in text_slices(batch.column(0)):
+            start, end, _, _ = line_bounds(offsets, data)
+            long = end - start >= least
+            start, end = start[long], end[long]
+            if not len(start):
+                continue
+            h1, _ = line_names(data, start, end)
+            _, own = np.unique(h1, return_index=True)
+            own.sort()
+            h1, start, end = h1[own], start[own], end[own]
+            total, inverse = _fingerprint_sums(data)
+            counts, size = byte_counts(data, start, end), end - start
             keys, owners, roles = [], [], []
 
             def add(at: np.ndarray, other: np.ndarray, i: int, s: np.ndarray, n: np.ndarray, indexed: bool) -> None:
                 g = (total[s + n] - total[s]) * inverse[s]
                 keys.append(mix(g + (other * 8 + i).astype(U64) * U64(0x9E3779B97F4A7C15)))
-                owners.append(h1[at])
-                roles.append(np.full(len(at), indexed))
+                owners.append(at)
+                roles.append(indexed)
 
             for key, line, indexed in _long_keys(data, start, size, total, inverse, edits, share):
-                keys.append(key), owners.append(h1[line]), roles.append(np.full(len(line), indexed))
-            short = size < share * (edits + 1)
-            h1, start, size = h1[short], start[short], size[short]
-            every = np.arange(len(size))
+                keys.append(key), owners.append(line), roles.append(indexed)
+            every = np.flatnonzero(size < share * (edits + 1))
             for i in range(edits + 1):
-                p, n = _segment(size, i, edits)
-                add(every, size, i, start + p, n, True)
+                p, n = _segment(size[every], i, edits)
+                add(every, size[every], i, start[every] + p, n, True)
                 for diff in range(edits + 1):
-                    other = size - diff
+                    other = size[every] - diff
                     p, n = _segment(other, i, edits)
                     lo = np.maximum(np.maximum(0, p - i), p + diff - (edits - i))
-                    hi = np.minimum(np.minimum(size - n, p + i), p + diff + (edits - i))
+                    hi = np.minimum(np.minimum(size[every] - n, p + i), p + diff + (edits - i))
                     for d in range(-i, i + 1):
                         at = np.flatnonzero((p + d >= lo) & (p + d <= hi))
-                        add(at, other[at], i, start[at] + p[at] + d, n[at], False)
-            key, owner, role = np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int64), np.concatenate(roles)
-            if parts > 1:
-                mine = key % parts == part
-                key, owner, role = key[mine], owner[mine], role[mine]
-            for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key, owner, role)], names=["key", "h1", "indexed"])
+                        add(every[at], other[at], i, start[every[at]] + p[at] + d, n[at], False)
+            for lo in range(0, len(keys), 8):
+                key, owner = np.concatenate(keys[lo : lo + 8]), np.concatenate(owners[lo : lo + 8])
+                signed = np.concatenate([size[o] if r else -size[o] for o, r in zip(owners[lo : lo + 8], roles[lo : lo + 8], strict=True)]).astype(np.int32)
+                if parts > 1:
+                    mine = (key >> U64(33)) % U64(parts) == U64(part)
+                    key, owner, signed = key[mine], owner[mine], signed[mine]
+                yield key, h1[owner], counts[owner], signed
+
+
+def _packed_keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, buckets: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for columns in _keys(batches, edits, share, least, part, parts):
+        held.append(columns)
+        rows += len(columns[0])
+        if rows >= 2 * COMBINED:
+            yield from packed.pack([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
+            held, rows = [], 0
+    if held:
+        yield from packed.pack([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
 
 
 def budget(size: int, edits: int = EDITS, share: int = SHARE) -> int:
@@ -218,80 +317,70 @@ def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.
     q = place[start[line] + i * (size[line] // np.repeat(count, count))]
     kind = _length_class(size[line])
     yield key(q, kind, (q - start[line]) // (16 * reach(kind) + 16)), line, True
-    windows = size[at] - run + 1
-    line = np.repeat(at, windows)
-    q = place[start[line] + np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows)]
-    new = np.r_[True, (q[1:] != q[:-1]) | (line[1:] != line[:-1])]
-    line, q = line[new], q[new]
+    # The windows of a line select a new gram only where the place of the smallest changes.
+    begin, last = start[at], start[at] + size[at] - run
+    change = np.flatnonzero(place[1:] != place[:-1]) + 1
+    of = np.searchsorted(begin, change, "right") - 1
+    inside = (of >= 0) & (change <= last[of]) & (change != begin[of])
+    of = np.r_[np.arange(len(at)), of[inside]]
+    line, q = at[of], place[np.r_[begin, change[inside]]]
     # The other line isn't shorter, by its budget at most longer.
-    kinds = _length_class(size[line]), _length_class(size[line] + size[line] // (share - 1) + 1)
-    for n, kind in enumerate(kinds):
-        wide = 16 * reach(kind) + 16
-        first, last = (q - start[line] - reach(kind)) // wide, (q - start[line] + reach(kind)) // wide
-        ok = kind != kinds[0] if n else np.full(len(q), True)
-        yield key(q[ok], kind[ok], first[ok]), line[ok], False
-        ok &= last != first
-        yield key(q[ok], kind[ok], last[ok]), line[ok], False
-
-
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key, not indexed: every row of a key that an index entry and a probe of another line share."""
-    for t in _key_groups(batches):
-        key, h, indexed = t
-        new = np.r_[True, key[1:] != key[:-1]]
-        group = np.cumsum(new) - 1
-        k = group[-1] + 1
-        ins, outs = np.bincount(group, weights=indexed, minlength=k), np.bincount(group, weights=~indexed, minlength=k)
-        first = h[np.flatnonzero(new)][group]
-        several = np.bincount(group, weights=h != first, minlength=k)
-        ok = ((ins > 0) & (outs > 0) & (several > 0))[group]
-        if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(h[ok])], names=["key", "h1"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
-    """From rows ``key, h1, size, *COUNTS`` sorted by key: those that some other line of the key could be within the budget of.
-
-    Byte counts that differ by more than the budget, one way or the other, rule a pair out.
+    own, longer = _length_class(size[at]), _length_class(size[at] + size[at] // (share - 1) + 1)
+    for n, kinds in enumerate((own, longer)):
+        ok = np.flatnonzero((longer != own)[of]) if n else np.arange(len(of))
+        kind, far = kinds[of[ok]], reach(kinds)[of[ok]]
+        wide, off = 16 * far + 16, q[ok] - start[line[ok]]
+        first, other = (off - far) // wide, (off + far) // wide
+        yield key(q[ok], kind, first), line[ok], False
+        two = np.flatnonzero(other != first)
+        yield key(q[ok[two]], kind[two], other[two]), line[ok[two]], False
+
+
+def _meet(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
+    """Packed keys to ``key, blocks, h1``: lines that an index entry or a probe of another line may be within the budget of, at that key.
+
+    Sizes and byte counts rule the other pairs of a key out. A key with more than ``THINNED``
+    rows keeps them all, for blocks of its lines to be compared.
     """
-    for key, h, size, *words in _key_groups(batches):
-        counts = np.stack(words, 1).view(np.int16).reshape(len(key), 16).astype(np.int32)
-        last = np.searchsorted(key, key, "right") - 1
-        ok, at, step = np.zeros(len(key), bool), np.arange(len(key)), 1
-        while len(at := at[at + step <= last[at]]):
-            for lo in range(0, len(at), 100_000):
-                p = at[lo : lo + 100_000]
-                p = p[~(ok[p] & ok[p + step])]
+    for key, h, counts, signed in packed.gather(batches, _KEY_KINDS):
+        order = np.argsort(key)
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
+        group = np.cumsum(new) - 1
+        rows = np.bincount(group)
+        ins = np.bincount(group, weights=signed[order] > 0)
+        # A line meets its own index entries in any case; at least one row must be another's.
+        other = np.bincount(group, weights=h[order] != h[order][np.flatnonzero(new)][group])
+        order = order[((ins > 0) & (ins < rows) & (other > 0))[group]]
+        key, h, counts, size, indexed = key[order], h[order], counts[order], np.abs(signed[order]).astype(np.int64), signed[order] > 0
+        if not len(key):
+            continue
+        last = np.searchsorted(key, key, "right")
+        many = last - np.searchsorted(key, key) > THINNED
+        ok, at, step = many.copy(), np.flatnonzero(~many), 1
+        while len(at := at[at + step < last[at]]):
+            for lo in range(0, len(at), 200_000):
+                p = at[lo : lo + 200_000]
                 q = p + step
+                here = (indexed[p] != indexed[q]) & (h[p] != h[q]) & ~(ok[p] & ok[q])
+                p, q = p[here], q[here]
                 reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
-                p, q, reach = (x[np.abs(size[p] - size[q]) <= reach] for x in (p, q, reach))
-                diff = counts[p] - counts[q]
-                near = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)) <= reach
-                near &= h[p] != h[q]
+                here = np.abs(size[p] - size[q]) <= reach
+                p, q, reach = p[here], q[here], reach[here]
+                near = (counts_apart(counts[p], counts[q]) <= reach) | (reach >= 1 << (BITS - 1))
                 ok[p[near]] = ok[q[near]] = True
             step += 1
-        if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(h[ok])], names=["key", "h1"])
-
-
-def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Batches that end where a key ends."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        if not batch.num_rows:
+        key, h = key[ok], h[ok]
+        if not len(key):
             continue
-        x = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cut = int(np.searchsorted(x[0], x[0][-1]))
-        if cut:
-            whole = [*held, tuple(c[:cut] for c in x)]
-            yield tuple(np.concatenate(c) for c in zip(*whole, strict=True))
-            held = []
-        held.append(tuple(c[cut:] for c in x))
-        if len(held) > 1 and held[0][0][0] != held[-1][0][0]:
-            yield tuple(np.concatenate(c) for c in zip(*held[:-1], strict=True))
-            held = held[-1:]
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((h, key))
+        key, h = key[order], h[order]
+        one = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
+        key, h = key[one], h[one]
+        lines = np.searchsorted(key, key, "right") - np.searchsorted(key, key)
+        blocks = -(-lines // BLOCK)
+        for a in range(0, len(key), 100_000):
+            s = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(blocks[s].astype(np.int32)), pa.array(h[s].view(np.int64))], names=["key", "blocks", "h1"])
 
 
 def _middle(a: bytes, b: bytes) -> tuple[bytes, bytes]:
@@ -395,129 +484,191 @@ def within_far(a: bytes, b: bytes, edits: int) -> bool:
     return False
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Tables that end where a run of equal leading ``columns`` ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        for c in range(columns):
+            x = batch.column(c).to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+            if held:
+                change[0] |= x[0] != held[-1].column(c)[held[-1].num_rows - 1].as_py()
+        cuts = np.flatnonzero(change)
+        if len(cuts) and (held or cuts[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))])
+            held = []
+        held.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _first_shared(keys: pa.ListArray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest key that each pair of rows shares; the keys of a row are distinct."""
+    flat, off = keys.values.to_numpy(), keys.offsets.to_numpy().astype(np.int64)
+    count = np.diff(off)
+    out = np.zeros(len(p), np.int64)
+    for lo in range(0, len(p), 20_000):
+        rows = np.concatenate([p[lo : lo + 20_000], q[lo : lo + 20_000]])
+        k = len(rows) // 2
+        n = count[rows]
+        at = np.arange(n.sum()) + np.repeat(off[rows] - (np.cumsum(n) - n), n)
+        pair, key = np.repeat(np.r_[np.arange(k), np.arange(k)], n), flat[at]
+        order = np.lexsort((key, pair))
+        pair, key = pair[order], key[order]
+        both = np.flatnonzero((pair[1:] == pair[:-1]) & (key[1:] == key[:-1]))
+        some, first = np.unique(pair[both], return_index=True)
+        out[lo + some] = key[both[first]]
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``key, i, j, side, h1, copies, keys, line`` sorted by meeting, to ``kind, a, b``.
 
-    A pair counts at the smallest key it shares only. The pairs of many meetings are verified together.
+    A pair counts at the smallest key it shares only. The meetings of a batch are compared together.
     """
-    one: list[bytes] = []
-    two: list[bytes] = []
-    ends: list[tuple[int, int, int, int]] = []  # both names, both copies
-
-    def flush() -> pa.RecordBatch:
-        reach = [budget(max(len(x), len(y)), edits, share) for x, y in zip(one, two, strict=True)]
-        ok = np.zeros(len(one), bool)
-        few = [i for i, e in enumerate(reach) if e == edits]
-        ok[few] = within([one[i] for i in few], [two[i] for i in few], edits)
-        for i, e in enumerate(reach):
-            if e > edits:
-                ok[i] = within_far(one[i], two[i], e)
-        found = [e for e, yes in zip(ends, ok.tolist(), strict=True) if yes]
-        one.clear(), two.clear(), ends.clear()
-        linked: dict[int, int] = {}
-        place: dict[int, int] = {}
-        for p, q, m, n in found:
-            linked[p] = linked.get(p, 0) + n
-            linked[q] = linked.get(q, 0) + m
-            place.setdefault(p, len(place)), place.setdefault(q, len(place))
-        sets = Unions(len(place))
-        tree = [(p, q) for p, q, _, _ in found if sets.join(place[p], place[q])]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[np.zeros(len(linked), np.int8), np.ones(len(tree), np.int8)]),
-                pa.array([*linked, *(p for p, _ in tree)], pa.int64()),
-                pa.array([*linked.values(), *(q for _, q in tree)], pa.int64()),
-            ],
-            names=["kind", "a", "b"],
-        )
-
-    held = 0
-    for t in _runs(batches, 3):
-        if t.num_rows < 2:
+    for t in _whole_groups(batches, 3):
+        t = t.combine_chunks()
+        key, i, j, h = (t.column(c).to_numpy() for c in ("key", "i", "j", "h1"))
+        twice = np.r_[False, (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1]) & (h[1:] == h[:-1])]
+        if twice.any():
+            t = t.filter(pa.array(~twice)).combine_chunks()
+        key, i, j, side, h, copies = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "h1", "copies"))
+        raw = t.column("line").chunk(0)
+        off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        size, counts = np.diff(off), byte_counts(data, off[:-1], off[1:])
+        new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(key))[np.cumsum(new) - 1]
+        keys = t.column("keys").chunk(0)
+        one, two = [], []
+        at, step = np.arange(len(key)), 1
+        while len(at := at[at + step < last[at]]):
+            for lo in range(0, len(at), 200_000):
+                p = at[lo : lo + 200_000]
+                q = p + step
+                here = ((i[p] == j[p]) | (side[p] != side[q])) & (h[p] != h[q])
+                p, q = p[here], q[here]
+                reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
+                here = np.abs(size[p] - size[q]) <= reach
+                p, q, reach = p[here], q[here], reach[here]
+                near = (counts_apart(counts[p], counts[q]) <= reach) | (reach >= 1 << (BITS - 1))
+                p, q = p[near], q[near]
+                mine = _first_shared(keys, p, q) == key[p]
+                one.append(p[mine]), two.append(q[mine])
+            step += 1
+        if not one:
             continue
-        key, side, h = t.column("key")[0].as_py(), t.column("side").to_numpy(), t.column("h1").to_pylist()
-        copies, lines = t.column("copies").to_pylist(), t.column("line").to_pylist()
-        keys = [set(k) for k in t.column("keys").to_pylist()]
-        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left = range(len(h)) if same else np.flatnonzero(side == 0).tolist()
-        right = range(len(h)) if same else np.flatnonzero(side == 1).tolist()
-        for p in left:
-            for q in right:
-                if (q > p or not same) and h[p] != h[q] and abs(len(lines[p]) - len(lines[q])) <= budget(max(len(lines[p]), len(lines[q])), edits, share) and min(keys[p] & keys[q]) == key:
-                    one.append(lines[p]), two.append(lines[q]), ends.append((h[p], h[q], copies[p], copies[q]))
-                    held += len(lines[p])
-            if len(ends) >= 20_000 or held >= 32 << 20:
-                yield flush()
-                held = 0
-    if ends:
-        yield flush()
+        one, two = np.concatenate(one), np.concatenate(two)
+        for lo in range(0, len(one), 20_000):
+            p, q = one[lo : lo + 20_000], two[lo : lo + 20_000]
+            a, b = ([data[off[r] : off[r + 1]].tobytes() for r in rows.tolist()] for rows in (p, q))
+            reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
+            ok = np.zeros(len(p), bool)
+            few = np.flatnonzero(reach == edits)
+            ok[few] = within([a[x] for x in few.tolist()], [b[x] for x in few.tolist()], edits)
+            for x in np.flatnonzero(reach > edits).tolist():
+                ok[x] = within_far(a[x], b[x], int(reach[x]))
+            if ok.any():
+                yield _found(h[p[ok]], h[q[ok]], copies[p[ok]], copies[q[ok]])
+
+
+def _found(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray) -> pa.RecordBatch:
+    """``kind, a, b`` of linked pairs: how many lines each is linked to, and a spanning forest of the links."""
+    name, at = np.unique(np.r_[a, b], return_inverse=True)
+    linked = np.bincount(at, weights=np.r_[copies_b, copies_a]).astype(np.int64)
+    sets = Unions(len(name))
+    tree = [(x, y) for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True) if sets.join(x, y)]
+    x, y = (name[[t[k] for t in tree]] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(len(name), np.int8), np.ones(len(tree), np.int8)]), pa.array(np.r_[name, x]), pa.array(np.r_[linked, y])], names=["kind", "a", "b"])
 
 
 def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """``(lines, classes)``: the line table, and ``h1, h2, first_doc, first_line, copies, n_links, cls, cls_doc, cls_line``.
+    """``(places, classes)``: :func:`line_places`, and ``h1, h2, first, copies, n_links, cls, size, blank, cls_first``.
 
-    One row a distinct line: where it stands first, its copies, the lines (copies counted)
+    One row a distinct line: where it stands first (doc, body, line), its copies, the lines (copies counted)
     of other texts within the distance, its class (all lines reachable by links) and where
-    a line of that class stands first. Empty lines are a class like any other.
+    a line of that class stands first. Empty lines are a class like any other. Links name
+    lines by the first half of their 128 bits.
     """
-    lines = materialize(line_table(docs.where("doc_id is not null")), "lines")
-    place = F.struct("doc", "line")
-    uniq = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", *COUNTS)))
-    uniq = materialize(uniq.select("h1", "h2", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "copies", "size", *COUNTS), "distinct")
+    docs = docs.where("doc_id is not null")
+    bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = packed.bucket_count(bytes_in)
+    places = materialize(line_places(docs, buckets), "places")
+    uniq = places.where("first").select("h1", "h2", F.struct("doc", "body", "line").alias("first"), "copies", "size", "blank")
     long = uniq.where(F.col("size") >= least)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("first_doc"), F.coalesce("text", F.lit("")).alias("text"))
-    per = long.groupBy("first_doc").agg(F.sort_array(F.collect_list("first_line")).alias("lines"))
-    full = texts.join(per, "first_doc").select("text", "lines")
     parts = []
     for part in range(PASSES):
-        keys = full.mapInArrow(lambda b, part=part: _keys(b, edits, share, part, PASSES), "key long, h1 long, indexed boolean")
-        keys = keys.repartition("key").sortWithinPartitions("key")
-        parts.append(materialize(keys.mapInArrow(_shared_keys, "key long, h1 long").distinct(), "keys"))
+        keys = docs.select("text").mapInArrow(lambda b, part=part: _packed_keys(b, edits, share, least, 4 * buckets, part, PASSES), packed.SCHEMA)
+        met = keys.repartition("bucket").mapInArrow(lambda b: _meet(b, edits, share), "key long, blocks int, h1 long")
+        parts.append(materialize(met, "keys"))
     meet = reduce(DataFrame.unionByName, parts)
-    alike = meet.join(long.select("h1", "size", *COUNTS), "h1").select("key", "h1", "size", *COUNTS)
-    alike = alike.repartition("key").sortWithinPartitions("key")
-    meet = materialize(alike.mapInArrow(lambda b: _alike(b, edits, share), "key long, h1 long"), "alike")
-    for part in parts:
-        discard(part)
-    sizes = meet.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    # The blocks of a key are counted before the lines join, which then are dealt out only once.
-    of_line = meet.join(sizes, "key").groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("keys"))
-    named = long.join(of_line, "h1").select("h1", "first_doc", "first_line", "copies", "keys")
-    asked = named.groupBy("first_doc").agg(F.collect_list(F.struct("first_line", "h1", "copies", "keys")).alias("asked"))
-    have = texts.join(asked, "first_doc").select(F.split("text", "\n", -1).alias("parts"), F.explode("asked").alias("q"))
-    have = have.select(F.expr("try_element_at(parts, q.first_line + 1)").alias("line"), "q.h1", "q.copies", "q.keys").where("line is not null")
-    rows = have.select(F.col("line").cast("binary").alias("line"), "h1", "copies", F.col("keys.key").alias("keys"), F.explode("keys").alias("k"))
-    rows = rows.select("line", "h1", "copies", "keys", "k.key", "k.blocks")
+    # The blocks of a key are known before the lines join, which then are dealt out only once.
+    of_line = meet.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("keys"))
+    named = long.join(of_line, "h1").select("first.*", "h1", "copies", "keys")
+    asked = named.groupBy("doc", "body").agg(F.collect_list(F.struct("line", "h1", "copies", "keys")).alias("asked"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
+    have = texts.join(asked, ["doc", "body"]).select("text", "asked")
+    lines = have.mapInArrow(_asked_lines, "line binary, h1 long, copies long, keys array<struct<key:long,blocks:int>>")
+    rows = lines.select("line", "h1", "copies", F.col("keys.key").alias("keys"), F.explode("keys").alias("k")).select("line", "h1", "copies", "keys", "k.key", "k.blocks")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     ways = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own), 'side', if(own <= o, 0, 1)))")
     rows = rows.select("key", F.explode(ways).alias("m"), "h1", "copies", "keys", "line").select("key", "m.i", "m.j", "m.side", "h1", "copies", "keys", "line")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
     links = materialize(rows.mapInArrow(lambda b: _verify(b, edits, share), "kind byte, a long, b long"), "links")
+    for part in parts:
+        discard(part)
     found = links.where("kind = 0").groupBy(F.col("a").alias("h1")).agg(F.sum("b").alias("n_links"))
     comp = connected_components(links.where("kind = 1"), "a", "b").withColumnRenamed("node", "h1")
-    known = uniq.join(found, "h1", "left").join(comp, "h1", "left").withColumn("cls", F.coalesce("component", "h1"))
-    near = known.where("component is not null").groupBy("cls").agg(F.min(F.struct(F.col("first_doc").alias("doc"), F.col("first_line").alias("line"))).alias("at"))
-    known = known.join(near, "cls", "left")
-    return lines, known.select(
-        "h1", "h2", "first_doc", "first_line", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "cls", "size",
-        F.coalesce("at.doc", "first_doc").alias("cls_doc"), F.coalesce("at.line", "first_line").alias("cls_line"),
-    )
+    linked = materialize(long.join(found, "h1").join(comp, "h1").withColumnRenamed("component", "cls"), "linked")
+    near = linked.groupBy("cls").agg(F.min("first").alias("at"))
+    linked = linked.join(near, "cls")
+    known = uniq.join(linked.select("h1", "h2", "n_links", "cls", "at"), ["h1", "h2"], "left")
+    return places, known.select("h1", "h2", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("cls", "h1").alias("cls"), "size", "blank", F.coalesce("at", "first").alias("cls_first"))
+
+
+def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``text, asked`` to ``line, h1, copies, keys``: the lines asked for, by number.
+
+    Repeated rows answer twice, which :func:`_verify` leaves out.
+    """
+    for batch in batches:
+        for row0, offsets, data in text_slices(batch.column(0)):
+            start, end, row, _ = line_bounds(offsets, data)
+            asked = batch.column(1).slice(row0, len(offsets) - 1)
+            counts = asked.value_lengths().to_numpy(zero_copy_only=False)
+            want = asked.flatten()
+            first, of = np.searchsorted(row, np.arange(len(offsets))), np.repeat(np.arange(len(offsets) - 1), counts)
+            pick = want.field("line").to_numpy() + first[of]
+            raw = data.tobytes()
+            for a in range(0, len(pick), 5_000):
+                part = want.slice(a, 5_000)
+                text = [raw[s:e] for s, e in zip(start[pick[a : a + 5_000]].tolist(), end[pick[a : a + 5_000]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), *part.flatten()[1:]], names=["line", "h1", "copies", "keys"])
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE) -> DataFrame:
-    """``doc, line, size, blank, repeat, near, links`` of the lines that stand more than once or have a link.
+    """``doc, body, line, size, blank, repeat, near, links`` of the lines that stand more than once or have a link.
 
-    ``repeat`` tells a line that another one of its class precedes (by doc_id, then line),
-    ``near`` one that also differs from all lines before it. Lines of all sizes are there; which
-    of them to remove is the caller's choice by ``size`` and ``blank``.
+    ``repeat`` tells a line that another one of its class precedes (by doc_id, hash of the
+    text, then line), ``near`` one that also differs from all lines before it. Lines of all
+    sizes are there; which of them to remove is the caller's choice by ``size`` and ``blank``.
     """
-    lines, known = classes(docs, edits, least, share)
-    # A distinct line that stands once and has no link can't repeat, so only the others are looked up.
-    some = known.where("copies > 1 or n_links > 0")
-    rows = lines.select("doc", "line", "h1", "h2", "blank").join(some, ["h1", "h2"])
-    rows = rows.withColumn("repeat", ~((F.col("doc") == F.col("cls_doc")) & (F.col("line") == F.col("cls_line"))))
-    first = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    return rows.select("doc", "line", "size", "blank", "repeat", (F.col("repeat") & first).alias("near"), (F.col("n_links") + F.col("copies") - 1).alias("links"))
+    places, known = classes(docs, edits, least, share)
+    # A distinct line that stands once and has no link can't repeat.
+    some = materialize(known.where("copies > 1 or n_links > 0"), "some")
+    links = (F.col("n_links") + F.col("copies") - 1).alias("links")
+    moved = F.col("first") != F.col("cls_first")
+    first = some.select("first.*", "size", "blank", moved.alias("repeat"), moved.alias("near"), links)
+    later = places.where("not first").select("doc", "body", "line", "h1", "h2", "size", "blank").join(some.select("h1", "h2", "cls_first", links), ["h1", "h2"])
+    # Equal rows hold the first place each.
+    repeat = F.struct("doc", "body", "line") != F.col("cls_first")
+    return first.unionByName(later.select("doc", "body", "line", "size", "blank", repeat.alias("repeat"), F.lit(False).alias("near"), "links"))
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share: int = SHARE, short: bool = False) -> DataFrame:
@@ -527,16 +678,42 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, s
     others go. Lines shorter than ``least`` bytes are a class only with their exact copies:
     with ``short`` those go and count too, except blank ones, without it they stay.
     ``n_links`` sums the other lines equal to or near each line that may go. A null text
-    has one empty line. Rows with a null id are left as they are. Rows that share an id
-    share their lines' places, so that a line repeated at the same place stays in each.
+    has one empty line. Rows with a null id are left as they are. Texts that share an id
+    follow one another by a hash; equal rows are one document, which stays in each. Columns of ``docs`` that have one of the new names
+    give way. A text is held whole by one task, with about thirty bytes a byte of it.
     """
+    new = ["n_lines", "n_repeats", "n_near", "n_links", "kept_text"]
+    docs = docs.drop(*new)
     wanted = (F.col("size") >= least) | (F.lit(short) & ~F.col("blank"))
     rep = repeated_lines(docs, edits, least, share).where(wanted)
-    per = rep.groupBy(F.col("doc").alias("doc_id")).agg(
+    per = rep.groupBy(F.col("doc").alias("_doc"), F.col("body").alias("_body")).agg(
         F.sum("links").alias("n_links"), F.count_if("repeat").alias("n_repeats"), F.count_if("near").alias("n_near"),
-        F.collect_set(F.when(F.col("repeat"), F.col("line"))).alias("_gone"))
-    out = docs.join(per, "doc_id", "left")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.when(F.size("_gone") > 0, F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")).otherwise(F.col("text"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(*(docs[c] for c in docs.columns), F.size(parts).cast("long").alias("n_lines"), zero("n_repeats"), zero("n_near"), zero("n_links"), kept.alias("kept_text"))
+        F.collect_set(F.when(F.col("repeat"), F.col("line"))).alias("gone"))
+    out = docs.join(per, (docs["doc_id"].cast("long") == per["_doc"]) & (F.xxhash64(docs["text"]) == per["_body"]), "left")
+    lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
+    zero = lambda c: F.coalesce(per[c], F.lit(0)).cast("long").alias(c)
+    out = out.select(*(docs[c] for c in docs.columns), F.size(lines).cast("long").alias("n_lines"), zero("n_repeats"), zero("n_near"), zero("n_links"), per["gone"])
+
+    at, of = docs.columns.index("text"), len(out.columns) - 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = batch.column(of)
+            some = np.flatnonzero(gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            kept = batch.column(at)
+            if len(some):
+                values = kept.to_pylist() if len(some) * 4 > len(kept) else None
+                put = {}
+                for i in some.tolist():
+                    drop = gone[i].values.to_numpy()
+                    parts = (values[i] if values else kept[i].as_py()).split("\n")
+                    stay = np.ones(len(parts), bool)
+                    stay[drop[drop < len(parts)]] = False
+                    put[i] = "\n".join([parts[k] for k in np.flatnonzero(stay).tolist()])
+                mask = np.zeros(len(kept), bool)
+                mask[some] = True
+                kept = pc.replace_with_mask(kept, pa.array(mask), pa.array([put[i] for i in some.tolist()], kept.type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:of], kept], names=[*batch.schema.names[:of], "kept_text"])
+
+    schema = StructType([*out.schema.fields[:of], StructField("kept_text", docs.schema["text"].dataType)])
+    return out.mapInArrow(cut, schema)

@@ -31,9 +31,9 @@ def bucket_count(size: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
-def pack(columns: Sequence[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of the rows given as ``columns``; the first one, 64 bits wide, names the bucket."""
-    bucket = (columns[0].view(U64) % U64(buckets)).astype(np.uint16)
+def pack(columns: Sequence[np.ndarray], buckets: int, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Blocks of the rows given as ``columns``; ``key``, or else the first column, 64 bits wide, names the bucket."""
+    bucket = ((columns[0] if key is None else key).view(U64) % U64(buckets)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = [c[order] for c in columns]
@@ -59,7 +59,7 @@ def _unpack(blocks: list[tuple[int, bytes]], kinds: Sequence[type]) -> list[np.n
 
 
 def gather(batches: Iterator[pa.RecordBatch], kinds: Sequence[type], held: int = HELD) -> Iterator[list[np.ndarray]]:
-    """Arrays of the rows of a task; all rows of one key are in the same arrays."""
+    """Arrays of the rows of a task; all rows of one bucket with an equal first column are in the same arrays."""
     blocks: list[tuple[int, bytes]] = []
     rows, files = 0, None
 

@@ -34,7 +34,7 @@ def test_band_by_brute_force():
 
 def test_probes_find_every_near_line():
     r = random.Random(8)
-    for _ in range(1500):
+    for _ in range(700):
         a = bytes(r.choice(b"abcd") for _ in range(r.randrange(6, 30)))
         b = bytearray(a)
         for _ in range(2):
@@ -144,3 +144,36 @@ def test_query_counts_short_repeats(spark, tmp_path):
     assert [(got[i].n_lines, got[i].n_repeats, got[i].n_near, got[i].n_links) for i in (1, 2, 3, 4)] == [(4, 0, 0, 4), (4, 2, 0, 4), (3, 2, 0, 6), (1, 0, 0, 0)]
     kept = [rows[0][1], "\n   ", "shirt", ""]
     assert [got[i].kept_sha256 for i in (1, 2, 3, 4)] == [hashlib.sha256(k.encode()).hexdigest() for k in kept]
+
+
+def test_unlike_lines_and_shared_ids(spark):
+    """Lines whose polynomial hashes modulo 2**64 agree are told apart; clashing columns give way; rows of one id."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = "a line that is long enough to be joined by edits"
+    rows = [(1, word), (2, other), (3, f"{long}\nx"), (3, f"{long}\nx"), (3, f"y\n{long}"), (4, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_repeats", F.lit("clash")).withColumn("kept_text", F.lit(0)).withColumn("_gone", F.lit(1))
+    got = sorted((g.doc_id, g.text, g.n_repeats, g.kept_text, g._gone) for g in deduplicate(docs, short=True).collect())
+    # Of the two texts of id 3, the one with the smaller hash comes first.
+    one, two = f"{long}\nx", f"y\n{long}"
+    kept = [(0, one), (1, "y")] if next(g.kept_text for g in [*deduplicate(docs).collect()] if g.text == two) == "y" else [(1, "x"), (0, two)]
+    assert got == [(1, word, 0, word, 1), (2, other, 0, other, 1), (3, one, *kept[0], 1), (3, one, *kept[0], 1), (3, two, *kept[1], 1), (4, long, 1, "", 1)]
+
+
+def test_counts_never_exceed_the_distance():
+    import numpy as np
+
+    r = random.Random(14)
+    pairs = []
+    for _ in range(400):
+        a = bytes(r.choice(b"abcdefgh XYZ019") for _ in range(r.randrange(24, 900)))
+        pairs.append((a, changed(r, a, r.randrange(0, 9))))
+    data = np.frombuffer(b"".join(x for p in pairs for x in p), np.uint8)
+    end = np.cumsum([len(x) for p in pairs for x in p])
+    counts = line_dedup.byte_counts(data, np.r_[0, end[:-1]], end)
+    low = line_dedup.counts_apart(counts[::2], counts[1::2])
+    for (a, b), n in zip(pairs, low.tolist(), strict=True):
+        assert n <= max(len(a), len(b)) and (len(a) > 200 or n <= distance(a, b))
+    assert low.max() > 3
