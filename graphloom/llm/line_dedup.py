@@ -39,13 +39,13 @@ EDITS = 2
 SHARE = 50
 #: Bytes of a gram that names a window of a long line.
 GRAM = 12
-#: The keys are dealt, sorted and compared in so many parts, so that their shuffle files don't lie on disk all at once.
-PASSES = 2
+#: The keys are dealt and compared in parts by the length of their lines, of this share of all bytes of lines each, so that their shuffle files don't lie on disk all at once.
+PART_SHARE = 0.5
 LEAST_BYTES = 24
 #: Lines that meet at one key in one task; keys with more are cut into blocks that meet two by two.
 BLOCK = 512
-#: Keys with more lines than this aren't thinned out by byte counts; their blocks are compared whole.
-THINNED = 4096
+#: A key whose rows make more pairs of like sizes isn't thinned out by byte counts; its blocks are compared whole.
+THINNED = 50_000_000
 #: Groups of bytes that are counted, and bits of each count.
 GROUPS, BITS = 10, 6
 _GROUP = np.arange(256) * 7 % GROUPS
@@ -213,15 +213,29 @@ def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
 _KEY_KINDS = (U64, U64, U64, np.int32)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
-    """Texts to arrays ``key, h1, byte counts, size`` of the index and probe keys of their lines; the size of a probe is negative."""
+def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, kinds: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts to arrays ``key, h1, byte counts, size`` of the index and probe keys of their lines; the size of a probe is negative.
+
+    Only keys of indexed lines whose length class is in ``kinds`` (first one and end) are given.
+    """
+    longest = 2.0 ** (kinds[1] / 2) if kinds[1] < 2 * 62 else np.inf
+    # A line may probe the class above its own.
+    shortest = 2.0 ** (kinds[0] / 2) * (1 - 1 / share) - edits - 1
     for batch in batches:
         for _, offsets, data in text_slices(batch.column(0)):
             start, end, _, _ = line_bounds(offsets, data)
-            long = end - start >= least
+            long = (end - start >= max(least, shortest)) & (end - start < longest)
             start, end = start[long], end[long]
             if not len(start):
                 continue
+            if 3 * int((end - start).sum()) < 2 * len(data):
+                # Other lines cost nothing from here on.
+                edge = np.zeros(len(data) + 1, np.int8)
+                edge[start] += 1
+                edge[end] -= 1  # a line's end is its break, or the next text's first line, which starts there
+                data, size = data[np.cumsum(edge[:-1], dtype=np.int8) > 0], end - start
+                end = np.cumsum(size)
+                start = end - size
             h1, _ = line_names(data, start, end)
             _, own = np.unique(h1, return_index=True)
             own.sort()
@@ -236,33 +250,33 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int,
                 owners.append(at)
                 roles.append(indexed)
 
-            for key, line, indexed in _long_keys(data, start, size, total, inverse, edits, share):
+            for key, line, indexed in _long_keys(data, start, size, total, inverse, edits, share, kinds):
                 keys.append(key), owners.append(line), roles.append(indexed)
             every = np.flatnonzero(size < share * (edits + 1))
+            mine = lambda n: (_length_class(n) >= kinds[0]) & (_length_class(n) < kinds[1])
             for i in range(edits + 1):
                 p, n = _segment(size[every], i, edits)
-                add(every, size[every], i, start[every] + p, n, True)
+                at = np.flatnonzero(mine(size[every]))
+                add(every[at], size[every[at]], i, start[every[at]] + p[at], n[at], True)
                 for diff in range(edits + 1):
                     other = size[every] - diff
+                    wanted = mine(other)
                     p, n = _segment(other, i, edits)
                     lo = np.maximum(np.maximum(0, p - i), p + diff - (edits - i))
                     hi = np.minimum(np.minimum(size[every] - n, p + i), p + diff + (edits - i))
                     for d in range(-i, i + 1):
-                        at = np.flatnonzero((p + d >= lo) & (p + d <= hi))
+                        at = np.flatnonzero((p + d >= lo) & (p + d <= hi) & wanted)
                         add(every[at], other[at], i, start[every[at]] + p[at] + d, n[at], False)
             for lo in range(0, len(keys), 8):
                 key, owner = np.concatenate(keys[lo : lo + 8]), np.concatenate(owners[lo : lo + 8])
                 signed = np.concatenate([size[o] if r else -size[o] for o, r in zip(owners[lo : lo + 8], roles[lo : lo + 8], strict=True)]).astype(np.int32)
-                if parts > 1:
-                    mine = (key >> U64(33)) % U64(parts) == U64(part)
-                    key, owner, signed = key[mine], owner[mine], signed[mine]
                 yield key, h1[owner], counts[owner], signed
 
 
-def _packed_keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, buckets: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _packed_keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, buckets: int, kinds: tuple[int, int] = (0, 200)) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
-    for columns in _keys(batches, edits, share, least, part, parts):
+    for columns in _keys(batches, edits, share, least, kinds):
         held.append(columns)
         rows += len(columns[0])
         if rows >= 2 * COMBINED:
@@ -286,7 +300,7 @@ def _length_class(size: np.ndarray) -> np.ndarray:
     return np.floor(2 * np.log2(np.maximum(size, 1))).astype(np.int64)
 
 
-def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray, inverse: np.ndarray, edits: int, share: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray, inverse: np.ndarray, edits: int, share: int, only: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """``(keys, line of each, indexed)`` of lines that are, or are near, a line of ``share * (edits + 1)`` bytes."""
     run, least = run_bytes(edits, share), share * (edits + 1)
     at = np.flatnonzero(size >= least - least // share)
@@ -310,7 +324,8 @@ def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.
     def reach(kind: np.ndarray) -> np.ndarray:
         return np.maximum(edits, np.ceil(2.0 ** ((kind + 1) / 2)).astype(np.int64) // share)
 
-    index = at[size[at] >= least]
+    of_class = lambda kind: (kind >= only[0]) & (kind < only[1])
+    index = at[(size[at] >= least) & of_class(_length_class(size[at]))]
     count = size[index] // share + 1
     line = np.repeat(index, count)
     i = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
@@ -327,7 +342,7 @@ def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.
     # The other line isn't shorter, by its budget at most longer.
     own, longer = _length_class(size[at]), _length_class(size[at] + size[at] // (share - 1) + 1)
     for n, kinds in enumerate((own, longer)):
-        ok = np.flatnonzero((longer != own)[of]) if n else np.arange(len(of))
+        ok = np.flatnonzero((of_class(kinds) & (longer != own if n else True))[of])
         kind, far = kinds[of[ok]], reach(kinds)[of[ok]]
         wide, off = 16 * far + 16, q[ok] - start[line[ok]]
         first, other = (off - far) // wide, (off + far) // wide
@@ -336,11 +351,41 @@ def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.
         yield key(q[ok[two]], kind[two], other[two]), line[ok[two]], False
 
 
+def _may_be_near(size: np.ndarray, counts: np.ndarray, p: np.ndarray, q: np.ndarray, edits: int, share: int) -> np.ndarray:
+    reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
+    return (counts_apart(counts[p], counts[q]) <= reach) | (reach >= 1 << (BITS - 1))
+
+
+def _like_sizes(group: np.ndarray, size: np.ndarray, edits: int, share: int, all_of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group whose sizes differ by the budget at most; rows are sorted by group and size.
+
+    With ``all_of``, a group of more than ``THINNED`` pairs gets that mask set in place of pairs.
+    """
+    last = np.searchsorted(group, group, "right")
+    at = np.arange(len(group))
+    if all_of is not None:
+        # Row r reaches rows of up to this size in its group; groups are few bits apart, so each is sought alone.
+        big = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        for lo in big[last[big] - big > 8192].tolist():
+            hi = int(last[lo])
+            own = size[lo:hi]
+            if int((np.searchsorted(own, np.maximum(own + edits, own + own // (share - 1) + 1), "right") - np.arange(hi - lo)).sum()) > THINNED:
+                all_of[lo:hi] = True
+        at = at[~all_of]
+    step = 1
+    while len(at := at[at + step < last[at]]):
+        # Sizes go up, so that a row whose next one is too long is done.
+        at = at[size[at + step] - size[at] <= np.maximum(edits, size[at + step] // share)]
+        for lo in range(0, len(at), 200_000):
+            yield at[lo : lo + 200_000], at[lo : lo + 200_000] + step
+        step += 1
+
+
 def _meet(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
     """Packed keys to ``key, blocks, h1``: lines that an index entry or a probe of another line may be within the budget of, at that key.
 
-    Sizes and byte counts rule the other pairs of a key out. A key with more than ``THINNED``
-    rows keeps them all, for blocks of its lines to be compared.
+    Sizes and byte counts rule the other pairs of a key out. A key with more than
+    ``THINNED`` pairs keeps all its rows, for blocks of its lines to be compared.
     """
     for key, h, counts, signed in packed.gather(batches, _KEY_KINDS):
         order = np.argsort(key)
@@ -354,21 +399,14 @@ def _meet(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator
         key, h, counts, size, indexed = key[order], h[order], counts[order], np.abs(signed[order]).astype(np.int64), signed[order] > 0
         if not len(key):
             continue
-        last = np.searchsorted(key, key, "right")
-        many = last - np.searchsorted(key, key) > THINNED
-        ok, at, step = many.copy(), np.flatnonzero(~many), 1
-        while len(at := at[at + step < last[at]]):
-            for lo in range(0, len(at), 200_000):
-                p = at[lo : lo + 200_000]
-                q = p + step
-                here = (indexed[p] != indexed[q]) & (h[p] != h[q]) & ~(ok[p] & ok[q])
-                p, q = p[here], q[here]
-                reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
-                here = np.abs(size[p] - size[q]) <= reach
-                p, q, reach = p[here], q[here], reach[here]
-                near = (counts_apart(counts[p], counts[q]) <= reach) | (reach >= 1 << (BITS - 1))
-                ok[p[near]] = ok[q[near]] = True
-            step += 1
+        order = np.lexsort((size, key))
+        key, h, counts, size, indexed = key[order], h[order], counts[order], size[order], indexed[order]
+        ok = np.zeros(len(key), bool)
+        for p, q in _like_sizes(key, size, edits, share, ok):
+            here = (indexed[p] != indexed[q]) & (h[p] != h[q]) & ~(ok[p] & ok[q])
+            p, q = p[here], q[here]
+            near = _may_be_near(size, counts, p, q, edits, share)
+            ok[p[near]] = ok[q[near]] = True
         key, h = key[ok], h[ok]
         if not len(key):
             continue
@@ -455,6 +493,17 @@ def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     return out
 
 
+def may_align(a: bytes, b: bytes, edits: int) -> bool:
+    """False only if the lines aren't within ``edits``: an edit breaks one of the eight-byte pieces of ``a`` at most, the others stand in ``b`` at nearly their places."""
+    missing, find = 0, b.find
+    for p in range(0, len(a) - 7, 8):
+        if find(a[p : p + 8], max(0, p - edits), p + 8 + edits) < 0:
+            missing += 1
+            if missing > edits:
+                return False
+    return True
+
+
 def within_far(a: bytes, b: bytes, edits: int) -> bool:
     """Whether two lines are within a large budget: furthest places on each diagonal, edit by edit (Ukkonen)."""
     counts = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
@@ -542,38 +591,34 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterat
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
         off = off - off[0]
         size, counts = np.diff(off), byte_counts(data, off[:-1], off[1:])
-        new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        start = np.flatnonzero(new)
-        last = np.append(start[1:], len(key))[np.cumsum(new) - 1]
+        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        order = np.lexsort((size, group))
+        sized, grouped = size[order], group[order]
         keys = t.column("keys").chunk(0)
         one, two = [], []
-        at, step = np.arange(len(key)), 1
-        while len(at := at[at + step < last[at]]):
-            for lo in range(0, len(at), 200_000):
-                p = at[lo : lo + 200_000]
-                q = p + step
-                here = ((i[p] == j[p]) | (side[p] != side[q])) & (h[p] != h[q])
-                p, q = p[here], q[here]
-                reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
-                here = np.abs(size[p] - size[q]) <= reach
-                p, q, reach = p[here], q[here], reach[here]
-                near = (counts_apart(counts[p], counts[q]) <= reach) | (reach >= 1 << (BITS - 1))
-                p, q = p[near], q[near]
-                mine = _first_shared(keys, p, q) == key[p]
-                one.append(p[mine]), two.append(q[mine])
-            step += 1
+        for p, q in _like_sizes(grouped, sized, edits, share):
+            p, q = order[p], order[q]
+            here = ((i[p] == j[p]) | (side[p] != side[q])) & (h[p] != h[q])
+            p, q = p[here], q[here]
+            near = _may_be_near(size, counts, p, q, edits, share)
+            one.append(p[near]), two.append(q[near])
         if not one:
             continue
         one, two = np.concatenate(one), np.concatenate(two)
+        raw, off = data.tobytes(), off.tolist()
+        text = lambda rows: [raw[off[r] : off[r + 1]] for r in rows.tolist()]
+        reach = np.maximum(edits, np.maximum(size[one], size[two]) // share)
+        fit = np.array([may_align(a, b, e) for a, b, e in zip(text(one), text(two), reach.tolist(), strict=True)], bool)
+        one, two, reach = one[fit], two[fit], reach[fit]
+        mine = _first_shared(keys, one, two) == key[one]
+        one, two, reach = one[mine], two[mine], reach[mine]
         for lo in range(0, len(one), 20_000):
-            p, q = one[lo : lo + 20_000], two[lo : lo + 20_000]
-            a, b = ([data[off[r] : off[r + 1]].tobytes() for r in rows.tolist()] for rows in (p, q))
-            reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
+            p, q, far = one[lo : lo + 20_000], two[lo : lo + 20_000], reach[lo : lo + 20_000]
             ok = np.zeros(len(p), bool)
-            few = np.flatnonzero(reach == edits)
-            ok[few] = within([a[x] for x in few.tolist()], [b[x] for x in few.tolist()], edits)
-            for x in np.flatnonzero(reach > edits).tolist():
-                ok[x] = within_far(a[x], b[x], int(reach[x]))
+            few = np.flatnonzero(far == edits)
+            ok[few] = within(text(p[few]), text(q[few]), edits)
+            more = np.flatnonzero(far > edits)
+            ok[more] = [within_far(a, b, e) for a, b, e in zip(text(p[more]), text(q[more]), far[more].tolist(), strict=True)]
             if ok.any():
                 yield _found(h[p[ok]], h[q[ok]], copies[p[ok]], copies[q[ok]])
 
@@ -603,8 +648,8 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share
     uniq = places.where("first").select("h1", "h2", F.struct("doc", "body", "line").alias("first"), "copies", "size", "blank")
     long = uniq.where(F.col("size") >= least)
     parts = []
-    for part in range(PASSES):
-        keys = docs.select("text").mapInArrow(lambda b, part=part: _packed_keys(b, edits, share, least, 4 * buckets, part, PASSES), packed.SCHEMA)
+    for kinds in _shares(long):
+        keys = docs.select("text").mapInArrow(lambda b, kinds=kinds: _packed_keys(b, edits, share, least, 4 * buckets, kinds), packed.SCHEMA)
         met = keys.repartition("bucket").mapInArrow(lambda b: _meet(b, edits, share), "key long, blocks int, h1 long")
         parts.append(materialize(met, "keys"))
     meet = reduce(DataFrame.unionByName, parts)
@@ -632,6 +677,19 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share
     return places, known.select("h1", "h2", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("cls", "h1").alias("cls"), "size", "blank", F.coalesce("at", "first").alias("cls_first"))
 
 
+def _shares(lines: DataFrame) -> list[tuple[int, int]]:
+    """Length classes (first one and end) that hold about ``PART_SHARE`` of the bytes of all lines each, and all classes together."""
+    kind = F.floor(2 * F.log2(F.greatest("size", F.lit(1)))).cast("int")
+    rows = sorted(tuple(r) for r in lines.groupBy(kind.alias("kind")).agg(F.sum("size")).collect())  # a class a doubling, twice
+    total, cuts, held = sum(n for _, n in rows), [0], 0
+    for kind, n in rows:
+        if held and held + n > PART_SHARE * total * 1.05:
+            cuts.append(kind)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], 200], strict=True))
+
+
 def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``text, asked`` to ``line, h1, copies, keys``: the lines asked for, by number.
 

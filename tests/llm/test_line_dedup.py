@@ -116,7 +116,9 @@ def test_budget_grows_with_the_line(spark):
         a = bytes(r.choice(b"abcd ") for _ in range(r.randrange(140, 500)))
         b = changed(r, a, r.randrange(0, 14))
         for e in (3, 6, 10):
-            assert line_dedup.within_far(a, b, e) == (distance(a, b) <= e)
+            near = distance(a, b) <= e
+            assert line_dedup.within_far(a, b, e) == near
+            assert line_dedup.may_align(a, b, e) or not near
     rows, base = [], [bytes(r.choice(b"abcdefgh ") for _ in range(n)) for n in (140, 147, 149, 150, 151, 199, 200, 338, 362, 363, 700, 1500)]
     for b in base:
         rows += [b] + [changed(r, b, r.choice([1, 2, 3, len(b) // 50, len(b) // 50, len(b) // 50 + 1, len(b) // 25])) for _ in range(7)]
