@@ -218,8 +218,8 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int,
 
     Only keys of indexed lines whose length class is in ``kinds`` (first one and end) are given.
     """
-    longest = 2.0 ** (kinds[1] / 2) if kinds[1] < 2 * 62 else np.inf
-    # A line may probe the class above its own.
+    # A short line probes the classes of lines that have up to ``edits`` bytes less, a long one those of its own or longer lines.
+    longest = 2.0 ** (kinds[1] / 2) + edits if kinds[1] < 2 * 62 else np.inf
     shortest = 2.0 ** (kinds[0] / 2) * (1 - 1 / share) - edits - 1
     for batch in batches:
         for _, offsets, data in text_slices(batch.column(0)):
@@ -505,32 +505,48 @@ def may_align(a: bytes, b: bytes, edits: int) -> bool:
 
 
 def within_far(a: bytes, b: bytes, edits: int) -> bool:
-    """Whether two lines are within a large budget: furthest places on each diagonal, edit by edit (Ukkonen)."""
+    """Whether two lines are within a large budget: bit-parallel columns of a diagonal band (Myers 1999, Hyyro 2003), one pair at a time.
+
+    Bit k of column j stands for row ``j - edits + k``. The distance is followed down the
+    lowest diagonal of the band to the last row, then along that row.
+    """
     counts = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     if max(int(counts[counts > 0].sum()), -int(counts[counts < 0].sum())) > edits:
         return False
     a, b = _middle(a, b)
-    m, n = len(a), len(b)
-    if abs(m - n) > edits:
+    if max(len(a), len(b)) <= edits:
+        return True
+    if abs(len(a) - len(b)) > edits:
         return False
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    far: dict[int, int] = {}
-    for e in range(edits + 1):
-        new = {}
-        # A diagonal d = j - i beyond the edits that are left can't come back to n - m.
-        for d in range(max(-e, -m, n - m - (edits - e)), min(e, n, n - m + (edits - e)) + 1):
-            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) if e else 0
-            i = min(i, m, n - d)
-            if i < 0 or i + d < 0:
-                continue
-            if i < m and i + d < n and a[i] == b[i + d]:
-                z = (x >> 8 * i) ^ (y >> 8 * (i + d))
-                i = min(i + ((z & -z).bit_length() - 1 >> 3) if z else m, m, n - d)
-            if i == m and i + d == n:
-                return True
-            new[d] = i
-        far = new
-    return False
+    if len(a) <= edits:  # the band must end above the last row; equal bytes in front change no distance
+        a, b = b" " * edits + a, b" " * edits + b
+    m, n = len(a), len(b)
+    rows: dict[int, int] = {}
+    for i, c in enumerate(a):
+        rows[c] = rows.get(c, 0) | 1 << i
+    mask, top = (1 << 2 * edits + 1) - 1, 1 << 2 * edits
+    up, down, score = mask >> edits << edits, 0, edits  # column 0 goes up by one a row
+    for j in range(1, n + 1):
+        shift = j - edits - 1
+        equal = rows.get(b[j - 1], 0)
+        equal = (equal >> shift if shift >= 0 else equal << -shift) & mask
+        same = ((equal & up) + up ^ up | equal | down) & mask
+        right_up, right_down = down | mask & ~(same | up), same & up
+        if j <= m - edits:
+            if not same & top:
+                score += 1
+        else:
+            row = 1 << m - j + edits
+            if right_up & row:
+                score += 1
+            elif right_down & row:
+                score -= 1
+        # The rest of the text can bring the score down by one a byte, from the row's start on.
+        if score > edits + min(n - j, n - m + edits):
+            return False
+        same >>= 1
+        up, down = right_down | mask & ~(same | right_up), same & right_up
+    return score <= edits
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -608,8 +624,6 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterat
         raw, off = data.tobytes(), off.tolist()
         text = lambda rows: [raw[off[r] : off[r + 1]] for r in rows.tolist()]
         reach = np.maximum(edits, np.maximum(size[one], size[two]) // share)
-        fit = np.array([may_align(a, b, e) for a, b, e in zip(text(one), text(two), reach.tolist(), strict=True)], bool)
-        one, two, reach = one[fit], two[fit], reach[fit]
         mine = _first_shared(keys, one, two) == key[one]
         one, two, reach = one[mine], two[mine], reach[mine]
         for lo in range(0, len(one), 20_000):
@@ -618,7 +632,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterat
             few = np.flatnonzero(far == edits)
             ok[few] = within(text(p[few]), text(q[few]), edits)
             more = np.flatnonzero(far > edits)
-            ok[more] = [within_far(a, b, e) for a, b, e in zip(text(p[more]), text(q[more]), far[more].tolist(), strict=True)]
+            ok[more] = [may_align(a, b, e) and within_far(a, b, e) for a, b, e in zip(text(p[more]), text(q[more]), far[more].tolist(), strict=True)]
             if ok.any():
                 yield _found(h[p[ok]], h[q[ok]], copies[p[ok]], copies[q[ok]])
 
