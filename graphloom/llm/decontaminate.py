@@ -19,7 +19,6 @@ from .kernels import U64, fold, mix, text_slices, words
 
 ERROR_SHARE = 0.15
 LEAST_PIECE = 4
-LEAST_WORDS = 4
 #: Bytes of test items that are held at a time; longer lists are matched block by block.
 BLOCK_BYTES = 8 << 20
 _STEP = U64(0xD6E8FEB86659FD93)
@@ -55,6 +54,17 @@ def best_end(pattern: list[int], text: list[int], most: int) -> tuple[int, int]
     return best
 
 
+def longest_start(pattern: list[int], text: list[int], distance: int) -> int:
+    """How many words at the start of ``text`` are ``distance`` edits from ``pattern``, the most alike in number."""
+    row = list(range(len(text) + 1))
+    for i, w in enumerate(pattern):
+        new = [i + 1]
+        for j, v in enumerate(text):
+            new.append(min(row[j] + (w != v), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min((abs(j - len(pattern)), j) for j, d in enumerate(row) if d == distance)[1]
+
+
 class Items:
     """One block of test items with its piece index."""
 
@@ -66,7 +76,7 @@ class Items:
             _, offsets, data = next(text_slices(column))
             h, _, _ = words(*fold(offsets, data))
             m = len(h)
-            if m < LEAST_WORDS:
+            if not m:
                 continue
             e = budget(m)
             k = len(self.ids)
@@ -123,16 +133,19 @@ class Items:
                     if hit and (best is None or hit[0] < best[0]):
                         best = (hit[0], lo + hit[1])
                 if best:
-                    end = best[1] - int(first[r])
-                    yield row0 + r, self.ids[k], best[0], max(0, end - m), end
+                    # Backwards from the end, the passage's first word.
+                    back = h[max(int(first[r]), best[1] - m - e) : best[1]][::-1].tolist()
+                    start = best[1] - longest_start(self.words[k][::-1], back, best[0])
+                    yield row0 + r, self.ids[k], best[0], start - int(first[r]), best[1] - int(first[r])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, distance, word_start, word_end`` for every text that holds a test item within its budget.
 
     Words are lower-cased runs of letters and digits, so case, spacing and punctuation don't
-    count. Items of fewer than four words match nothing, and neither do null texts. Repeated
-    rows of either table give repeated results. The items stream to the driver and are
+    count. Items of up to seven words must stand unchanged; items without words match nothing,
+    and neither do null texts. Of equally near passages the one that ends first is given.
+    Repeated rows of either table give repeated results. A text is held whole by one task. The items stream to the driver and are
     matched against all texts in blocks of at most ``block_bytes``.
     """
     spark = docs.sparkSession

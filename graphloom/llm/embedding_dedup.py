@@ -2,10 +2,10 @@
 
 Equal vectors of a label collapse into one class first. Class vectors are rotated into
 the axes of the whole table's covariance, largest variance first, and scaled to length
-one. Two tiles are compared by a product of the leading coordinates; the product of the
-remaining parts can't exceed the product of their norms, so a pair whose bound stays
-below the threshold stops there. What is left is decided by the cosine of the original
-vectors in double precision.
+one. Two tiles are compared by products of the leading coordinates, block by block of
+axes; the product of the remaining parts can't exceed the product of their norms, so a
+pair stops at the block where its bound falls below the threshold. What is left is
+decided by the cosine of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -31,15 +31,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their largest component, so that squares neither overflow nor vanish, and rows of length one."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def second_moments(vectors: DataFrame, dims: int) -> np.ndarray:
     """Sum of outer products of the unit vectors, over all rows: one dims x dims matrix a task, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
-            x = _matrix(batch.column(0))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            total += x.T @ x
+            if batch.num_rows:
+                x = _unit(_matrix(batch.column(0)))[1]
+                total += x.T @ x
         i, j = np.triu_indices(dims)
         yield pa.RecordBatch.from_arrays([pa.array((i * dims + j).astype(np.int32)), pa.array(total[i, j])], names=["cell", "value"])
 
@@ -57,16 +63,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     when their labels are equal and not null and their cosine is at least ``threshold``.
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, and so do vectors of different length. A null ``vec_id`` is no member of a
-    component: it gets no links and a null component. Repeated rows of an id are copies of one vector
-    each and count as links. The result is empty for an empty table.
+    component: it gets no links and a null component. Repeated rows of an id count as
+    copies, and different vectors of one id are two members with links of their own. Lengths
+    don't matter, however large or small. The result is empty for an empty table.
     """
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     fine = F.expr("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     v = materialize(v.withColumn("fine", F.coalesce(fine, F.lit(False))), "vectors")
     good = v.where("fine")
     # Equal vectors of a label are one class. The hash only groups; the vectors themselves are compared.
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes, "classes")
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # Different vectors may share an id, so classes have numbers of their own.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     sizes = [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]
     links = None
     for dims in sizes:
@@ -78,7 +86,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     found = links.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     comp = connected_components(links.where("kind = 1"), "a", "b")
     classes = classes.join(found, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("label", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    least = classes.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    classes = classes.join(least, "component", "left")
+    classes = classes.select("label", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     out = v.join(classes.withColumn("fine", F.lit(True)), ["label", "embedding", "fine"], "left")
     return out.select(
         "vec_id",
@@ -96,8 +106,9 @@ def _links(classes: DataFrame, dims: int, threshold: float, tile: int, lead: int
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(3))
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value
+            if not batch.num_rows:
+                continue
+            y = _unit(_matrix(batch.column(3)))[1] @ shared.value
             cell = np.floor(y[:, 0] / width).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["rep", "n", "label", "embedding", "cell"])
 
@@ -122,10 +133,12 @@ def _links(classes: DataFrame, dims: int, threshold: float, tile: int, lead: int
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        x = _matrix(table.column("embedding"))
+        x, unit = _unit(_matrix(table.column("embedding")))
         norm2 = np.einsum("ij,ij->i", x, x)
-        y = (x / np.sqrt(norm2)[:, None]) @ shared.value
-        rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", y[:, :lead], y[:, :lead])))
+        y = unit @ shared.value
+        # Norms of what is left of each vector behind each block of axes.
+        ends = [*range(lead, dims, lead), dims]
+        rest = {e: np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", y[:, e:], y[:, e:]))) for e in ends}
         one = table.column("step")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
         left = np.arange(len(rep)) if one else np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
@@ -137,11 +150,19 @@ def _links(classes: DataFrame, dims: int, threshold: float, tile: int, lead: int
             block = left[a : a + 256]
             lo = np.searchsorted(first, y[block[0], 0] - width)
             near = right[lo : np.searchsorted(first, y[block[-1], 0] + width, "right")]
-            bound = y[block, :lead] @ y[near, :lead].T + np.outer(rest[block], rest[near])
-            p, q = np.nonzero(bound >= threshold - 1e-9)
-            p, q = block[p], near[q]
+            partial = y[block, :lead] @ y[near, :lead].T
+            p, q = np.nonzero(partial + np.outer(rest[lead][block], rest[lead][near]) >= threshold - 1e-9)
+            partial, p, q = partial[p, q], block[p], near[q]
             if one:
-                p, q = p[p < q], q[p < q]
+                partial, p, q = partial[p < q], p[p < q], q[p < q]
+            # Block by block of axes, until the product can't reach the threshold any more.
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                if not len(p):
+                    break
+                for b in range(0, len(p), 1 << 16):
+                    partial[b : b + (1 << 16)] += np.einsum("ij,ij->i", y[p[b : b + (1 << 16)], lo:hi], y[q[b : b + (1 << 16)], lo:hi])
+                open_ = partial + rest[hi][p] * rest[hi][q] >= threshold - 1e-9
+                partial, p, q = partial[open_], p[open_], q[open_]
             for b in range(0, len(p), 1 << 16):
                 u, w = p[b : b + (1 << 16)], q[b : b + (1 << 16)]
                 hit = np.einsum("ij,ij->i", x[u], x[w]) / np.sqrt(norm2[u] * norm2[w]) >= threshold

@@ -173,9 +173,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def valid_text(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as UTF-8; those that aren't get U+FFFD for each part that isn't."""
+    raw = data.tobytes()
+    try:
+        raw.decode()
+        if not (data[offsets[:-1][offsets[:-1] < len(data)]] & 0xC0 == 0x80).any():
+            return offsets, data
+    except UnicodeDecodeError:
+        pass
+    rows = [text_of(raw[a:b]).encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.cumsum([0, *map(len, rows)]), np.frombuffer(b"".join(rows), np.uint8)
+
+
 def fold(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes. ASCII and U+00C0..U+00FF go by a table; slices with other letters by Arrow's Unicode rule."""
     if len(data) and data.max() >= 0xC4:
+        offsets, data = valid_text(offsets, data)
         column = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         column = pc.utf8_lower(column)
         off = np.frombuffer(column.buffers()[1], np.int64)[: len(offsets)]

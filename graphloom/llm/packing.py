@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_VALUE, U64, fold, mix, powers, text_slices, _STEP, _STEP_INV
+from .kernels import fold, loads, names, text_of, text_slices
 from .storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
+#: Sequences that a partition of the pieces fills at least.
+LEAST_SEQUENCES = 64
 #: Words that a Python worker remembers at most; beyond it, it starts anew.
 REMEMBERED = 600_000
 
@@ -55,11 +57,11 @@ class Tokenizing:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.used = np.zeros(4096, np.uint32), 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, words: list[bytes], texts: list[str]) -> None:
         found = [e.ids for e in self.whole.encode_batch([" ".join(texts[i : i + 500]) for i in range(0, len(texts), 500)], add_special_tokens=False)]
         ids = np.array([x for f in found for x in f], np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
@@ -74,7 +76,7 @@ class Tokenizing:
         begins = np.concatenate([[0], ends[:-1]])
         self.start[n : n + k], self.count[n : n + k] = begins + self.used, ends - begins
         self.used += len(ids)
-        self.known.update(zip(hashes, range(n, n + k), strict=True))
+        self.known.update(zip(words, range(n, n + k), strict=True))
 
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         for _, offsets, data in text_slices(column, 1 << 21):
@@ -103,10 +105,25 @@ class Tokenizing:
             quick = self._quick(offsets, data)
         for i, ids in enumerate(quick):
             if slow[i]:
-                text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+                text = text_of(data[offsets[i] : offsets[i + 1]].tobytes())
                 ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
             yield ids
 
+    @staticmethod
+    def _compare(data: np.ndarray, start: np.ndarray, end: np.ndarray, same: np.ndarray) -> None:
+        """Compare each word of more than eight bytes (names of others are one-to-one) with the first one of its name."""
+        size = end - start
+        at = np.flatnonzero((size > 8) & (same != np.arange(len(size))))
+        if (size[at] != size[same[at]]).any():
+            raise RuntimeError("two words share a name")
+        eight, step = loads(data), 0
+        while len(at):
+            one, two = start[at] + np.minimum(step, size[at] - 8), start[same[at]] + np.minimum(step, size[at] - 8)
+            if (eight[one] != eight[two]).any():
+                raise RuntimeError("two words share a name")
+            step += 8
+            at = at[size[at] > step]
+
     def _quick(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
         rows, n = len(offsets) - 1, len(data)
         if not n:
@@ -122,19 +139,18 @@ class Tokenizing:
         end = np.append(start[1:], n)
         word = kind[start] != _SPACE
         start, end = start[word], end[word]
-        total = np.zeros(n + 1, U64)
-        np.cumsum(BYTE_VALUE[data] * powers(_STEP, n), out=total[1:])
-        h = mix((total[end] - total[start]) * powers(_STEP_INV, n)[start])
-        unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        unique = unique.tolist()
+        _, at, inverse = np.unique(names(data, start, end), return_index=True, return_inverse=True)
+        self._compare(data, start, end, at[inverse])
+        raw = data.tobytes()
+        unique = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         if len(self.known) + len(unique) > REMEMBERED:
             self.forget()
         get = self.known.get
         where = np.array([get(u, -1) for u in unique], np.int64)
         new = np.flatnonzero(where < 0)
         if len(new):
-            raw = data.tobytes()
-            self._learn([unique[i] for i in new.tolist()], [raw[start[a] : end[a]].decode() for a in at[new].tolist()])
+            words = [unique[i] for i in new.tolist()]
+            self._learn(words, [w.decode() for w in words])
             where[new] = np.arange(len(self.known) - len(new), len(self.known))
         entry = where[inverse]
         counts = self.count[entry].astype(np.int64)
@@ -162,7 +178,8 @@ def _tokenizing(name: str) -> Tokenizing:
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each text's ids and the end id, cut only where longer than ``capacity``.
 
-    A null or empty text is the end id alone. Repeated rows give repeated pieces.
+    A null or empty text is the end id alone. Repeated rows give repeated pieces. Bytes that
+    aren't UTF-8 count as U+FFFD. A text is held whole by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +209,14 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     ``floor((m+1) x / capacity) / m`` unless that product is whole, then as ``x / capacity``.
     The sum of any such function over the items is a lower bound, and the largest is returned.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.float64)
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """:func:`lower_bound` of so many items of each length from 0 to ``capacity``."""
+    count = count.astype(np.float64)
     size = np.arange(capacity + 1)
-    best = -(-int(sizes.sum()) // capacity)
+    best = -(-int((count * size).sum()) // capacity)
     many, mass = np.cumsum(count), np.cumsum(count * size)
     k = np.arange(1, capacity // 2 + 1)
     whole = many[-1] - many[capacity - k]
@@ -241,13 +261,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000
     """``items`` (with ``length``) and ``sequence_id, offset``: a place for every item, gapless from 0 in each sequence.
 
     Items of full length are sequences of their own. The others are dealt by hash to
-    partitions of about ``per_partition`` items. A round packs every partition; one whose
-    count equals its lower bound is certified and stays. Others keep the sequences with at
-    most 1/1024 of their room free and give up the rest, which are dealt anew to fewer
-    partitions. The last round keeps everything. An empty input gives an empty result.
+    partitions of about ``per_partition`` items. A round packs every partition; the full
+    sequences of one whose count equals its lower bound are certified and stay, and its
+    least full sequence joins the exchange, so that partitions leave no open sequence each.
+    Partitions with a gap keep the sequences with at most 1/1024 of their room free and give
+    up the rest. What is given up is dealt anew to fewer partitions; the last round keeps
+    everything. Items of equal length are packed in the order of their rows. An empty input
+    gives an empty result. :func:`certificate` compares the result with the least number.
     """
     items = materialize(items.withColumn("_id", F.monotonically_increasing_id()), "pieces")
-    schema = "round int, part long, bin long, _id long, offset long, left boolean, bound long, bins long"
+    schema = "round int, part long, bin long, _id long, offset long, left boolean"
 
     def packing(number: int, last: bool):
         def run(table: pa.Table) -> pa.Table:
@@ -258,13 +281,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000
             bins = best_fit_decreasing(sizes, capacity)
             n, bound = int(bins.max()) + 1, lower_bound(sizes, capacity)
             fill = np.bincount(bins, weights=sizes).astype(np.int64)
-            left = np.zeros(len(ids), bool) if last or n == bound else (capacity - fill > capacity // 1024)[bins]
+            if last:
+                open_ = np.zeros(n, bool)
+            elif n == bound:
+                open_ = (np.arange(n) == fill.argmin()) & (fill < capacity)
+            else:
+                open_ = capacity - fill > capacity // 1024
             order = np.argsort(bins, kind="stable")
             before = np.cumsum(sizes[order]) - sizes[order]
             first = np.r_[True, bins[order][1:] != bins[order][:-1]]
             offset = before - np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(ids))))
             k = len(ids)
-            return pa.table({"round": pa.array(np.full(k, number, np.int32)), "part": pa.array(np.full(k, part, np.int64)), "bin": pa.array(bins[order]), "_id": pa.array(ids[order]), "offset": pa.array(offset), "left": pa.array(left[order]), "bound": pa.array(np.full(k, bound, np.int64)), "bins": pa.array(np.full(k, n, np.int64))})
+            return pa.table({"round": pa.array(np.full(k, number, np.int32)), "part": pa.array(np.full(k, part, np.int64)), "bin": pa.array(bins[order]), "_id": pa.array(ids[order]), "offset": pa.array(offset), "left": pa.array(open_[bins[order]])})
 
         return run
 
@@ -272,10 +300,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000
     rest = items.where(F.col("length") < capacity).select("_id", "length")
     done, number, before = [full], 0, None
     while True:
-        n = rest.count()
+        n, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if not n:
             break
-        parts = max(1, -(-n // per_partition))
+        # A partition has some sequences at least, as each may leave one open.
+        parts = max(1, min(-(-n // per_partition), int(tokens) // (LEAST_SEQUENCES * capacity)))
         # A single partition, or exchanges that hardly free anything any more, make the last round.
         last = parts == 1 or number + 1 >= max_rounds or (before is not None and n > 0.9 * before)
         before = n
@@ -294,3 +323,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000
     code = F.col("bin") + F.when(F.col("round") < 0, F.lit(0)).otherwise((F.col("round") + 1) * F.lit(1 << 56) + F.col("part") * F.lit(1 << 28))
     places = places.select("_id", code.alias("sequence_id"), "offset")
     return items.join(places, "_id").drop("_id")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """``(sequences, least possible number)`` of a packing; the bound covers all items and is made from counts by length."""
+    counts = {r[0]: r[1] for r in packed.groupBy("length").count().collect()}  # one row a length
+    total = np.zeros(capacity + 1, np.int64)
+    for size, n in counts.items():
+        total[size] = n
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(total, capacity)

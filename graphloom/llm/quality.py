@@ -1,9 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample.
 
 Words and word pairs are hashed into buckets. The raw model counts all texts; the target
-model counts a bounded sample of the texts labelled good. A text's log weight is the mean
-of log(target / raw) over its n-grams times a fixed effective length, so that a long text
-doesn't outweigh others by its length alone. The k texts with the largest sum of log
+model counts a bounded sample of the texts labelled good. A text's log weight is the sum
+of log(target / raw) over its n-grams, the ratio of the two models. The k texts with the largest sum of log
 weight and Gumbel noise are kept, which samples without replacement by weight.
 """
 
@@ -24,7 +23,6 @@ from .storage import materialize
 BUCKETS = 10_000
 #: Texts of the target sample at most: the labelled good ones with the smallest hash of their id.
 TARGET_TEXTS = 10_000
-EFFECTIVE_LENGTH = 100.0
 #: Counts that the raw model lends to the target model, so that unseen n-grams speak neither way.
 PRIOR_COUNTS = 1000.0
 
@@ -68,8 +66,12 @@ def target_sample(labels: DataFrame, limit: int = TARGET_TEXTS) -> DataFrame:
     return known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(limit)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``doc_id, n_features, log_weight``; a text without words has 0 features and weight 0."""
+def log_weights(docs: DataFrame, ratio: np.ndarray, length: float | None = None) -> DataFrame:
+    """``doc_id, n_features, log_weight``; a text without words has 0 features and weight 0.
+
+    The weight is the log of the ratio of the two models, summed over all n-grams. With
+    ``length``, it is the mean over the n-grams times that number, as if all texts had so many.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,8 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             for b1, f1, b2, f2 in _features(batch.column(1)):
                 k = np.diff(f1) + np.diff(f2)
                 n.append(k)
-                w.append((row_sums(shared.value[b1], f1) + row_sums(shared.value[b2], f2)) / np.maximum(k, 1) * EFFECTIVE_LENGTH)
+                total = row_sums(shared.value[b1], f1) + row_sums(shared.value[b2], f2)
+                w.append(total if length is None else total / np.maximum(k, 1) * length)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(w))], names=["doc_id", "n_features", "log_weight"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -117,11 +120,15 @@ def gumbel_top_k(weighted: DataFrame, fraction: float = 0.5, seed: int = 1) -> D
     """Adds ``gumbel_key`` and ``kept`` to rows of ``doc_id, log_weight``: exactly the k largest keys are kept.
 
     ``k = ceil(fraction * rows)``. The noise is a function of the id and the seed, so a rerun
-    gives the same sample; rows with equal keys (repeated rows) are kept or left together.
+    gives the same sample. Repeated rows have equal keys; of rows tied at the last place, as
+    many as fit are kept, the first ones of the written table. Columns of these
+    names give way.
     """
+    weighted = weighted.drop("gumbel_key", "kept", "_row")
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11)
     u = (h.cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = materialize(weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "keys")
+    keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))).withColumn("_row", F.monotonically_increasing_id())
+    keyed = materialize(keyed, "keys")
     k = math.ceil(fraction * keyed.count())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +138,13 @@ def gumbel_top_k(weighted: DataFrame, fraction: float = 0.5, seed: int = 1) -> D
     codes = materialize(keyed.select("gumbel_key").mapInArrow(code, "_code long"), "codes")
     at = kth_largest(codes, k)
     if at is None:
-        return keyed.withColumn("kept", F.lit(False))
+        return keyed.withColumn("kept", F.lit(False)).drop("_row")
     raw = at ^ (1 << 63) if at >> 63 else ~at & ((1 << 64) - 1)
-    least = struct.unpack("<d", struct.pack("<Q", raw))[0]
-    return keyed.withColumn("kept", F.col("gumbel_key") >= F.lit(least))
+    least = F.lit(struct.unpack("<d", struct.pack("<Q", raw))[0])
+    above, tied = keyed.agg(F.count_if(F.col("gumbel_key") > least), F.count_if(F.col("gumbel_key") == least)).first()
+    if above + tied == k:
+        return keyed.withColumn("kept", F.col("gumbel_key") >= least).drop("_row")
+    # The tied rows that fit are found like the k largest keys: the smallest row numbers of them.
+    top = (1 << 63) - 1
+    last = top - kth_largest(keyed.where(F.col("gumbel_key") == least).select((F.lit(top) - F.col("_row")).alias("_code")), k - above)
+    return keyed.withColumn("kept", (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & (F.col("_row") <= last))).drop("_row")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .kernels import text_slices
+from .kernels import text_of, text_slices
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -136,7 +136,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans`` for every row; a null text counts as empty.
 
-    Repeated rows give repeated results, and an empty table an empty one.
+    Repeated rows give repeated results, and an empty table an empty one. Bytes that aren't
+    UTF-8 count as U+FFFD. A text is searched whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for _, offsets, data in text_slices(batch.column(1)):
                 raw = data.tobytes()
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    text = raw[a:b].decode()
+                    text = text_of(raw[a:b])
                     base = base_spans(text)
                     every = sorted(base + novel_spans(text, base), key=lambda s: (s[1], KINDS.index(s[0])))
                     counts.append([sum(s[0] == k for s in every) for k in KINDS])

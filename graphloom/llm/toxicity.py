@@ -67,8 +67,15 @@ class _Distinct:
                 yield x[self.seen[x] == at]
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, prior: float, rounds: int = 50, penalty: float = 1e-2, rate: float = 0.02) -> Model:
-    """Fit on labelled texts; ``prior`` is the share of toxic texts among all labelled ones.
+def log_count_ratio(flat: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The naive Bayes log ratio of each bucket's presence in both classes, smoothed by one text in each; bucket ``flat[i]`` is in text ``of[i]``."""
+    pos = np.bincount(flat, weights=y[of], minlength=1 << BITS)
+    neg = np.bincount(flat, minlength=1 << BITS) - pos
+    return np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, rounds: int = 50, penalty: float = 1e-2, rate: float = 0.02) -> Model:
+    """Fit on the distinct buckets of labelled texts; ``prior`` is the share of toxic texts among all labelled ones.
 
     Without both classes the score is the prior for every text.
     """
@@ -76,13 +83,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float, rounds: int = 50, pena
     logit = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), logit)
-    rows = list(_Distinct().rows(texts))
     flat = np.concatenate(rows)
     of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    pos = np.bincount(flat, weights=y[of], minlength=1 << BITS)
-    neg = np.bincount(flat, minlength=1 << BITS) - pos
-    # The odds of a bucket's presence, smoothed by one text in each class.
-    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
+    ratio = log_count_ratio(flat, of, y)
     w, b = np.zeros(1 << BITS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     scaled = ratio[flat].astype(np.float32)
@@ -118,15 +121,32 @@ def sample_ids(labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
-    """Fit on the texts of a bounded sample of ``labels`` (doc_id, toxic); labels that are null or name no text are left out."""
-    picked = sample_ids(labels, per_class)
+    """Fit on the texts of a bounded sample of ``labels`` (doc_id, toxic); labels that are null or name no text are left out.
+
+    Of several texts of one id the smallest counts, once for each label. The driver gets the
+    distinct buckets of a text, 2**18 at most, and never a text.
+    """
+    picked = sample_ids(labels.distinct(), per_class)
     known = labels.where("doc_id is not null and toxic in (0, 1)").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "toxic").select("text", "toxic").toArrow()
-    return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy(), 0.0 if known is None else float(known))
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = _Distinct()
+        for batch in batches:
+            rows = list(distinct.rows(batch.column(2)))
+            flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "toxic", "buckets"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(buckets, f"doc_id {kind}, toxic int, buckets array<int>").orderBy("doc_id", "toxic").select("toxic", "buckets").toArrow()
+    sets = [x.values.to_numpy() for x in rows.column("buckets").combine_chunks()] if rows.num_rows else []
+    return fit(sets, rows.column("toxic").to_numpy(), 0.0 if known is None else float(known))
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxic_score`` (0 to 1) added to every row; a null or empty text gets the score of the bias alone."""
+    """``docs`` with ``toxic_score`` (0 to 1) added to every row; a null or empty text gets the score of the bias alone. A column of that name gives way."""
+    docs = docs.drop("toxic_score")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     at = docs.columns.index(text_col)
 

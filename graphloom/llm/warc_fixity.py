@@ -1,10 +1,12 @@
 """WARC fixity audit: Merkle trees over records and ordered offset ranges.
 
-A replica's records are laid out in files. The leaf of a record hashes its place (file,
-offset, length) and its content, so a moved record shows as well as a changed one. Every
-level above hashes ``FANOUT`` ordered neighbours, together with the offset range they
-cover, up to one root a file. An audit compares the roots of two replicas and goes down
-only where hashes differ, from level to level, until it reaches the records.
+A replica's records are laid out in files. The leaf of a record hashes its length and its
+content. Every level above hashes ``FANOUT`` ordered neighbours, together with the offset
+ranges they cover in their parent, up to one root a file that covers the whole file. An
+audit compares the roots of two replicas and goes down only where hashes differ, from
+level to level, until it reaches the records. Offsets count from a node's start, so that
+a record that is lost or cut short leaves the branches behind it equal; how far it
+displaces them is told once.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def layout(records: DataFrame) -> DataFrame:
 
 def tree(placed: DataFrame) -> DataFrame:
     """Every node of every file's tree: ``file, level, node, start, stop, hash``; level 0 is the slots, the top is node 0."""
-    leaf = F.sha2(F.concat_ws("|", "file", "start", "length", "sha256"), 256)
+    leaf = F.sha2(F.concat_ws("|", "length", "sha256"), 256)
     # Repeated ids share a slot: its hash covers all of them in order.
     per = placed.withColumn("leaf", leaf).groupBy("file", F.col("slot").alias("node")).agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"), F.sort_array(F.collect_list(F.struct("copy", "leaf"))).alias("parts"))
@@ -53,8 +55,8 @@ def tree(placed: DataFrame) -> DataFrame:
     out = level
     for k in range(1, LEVELS + 1):
         up = level.groupBy("file", F.floor(F.col("node") / FANOUT).cast("int").alias("node")).agg(
-            F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("child"), "hash"))).alias("parts"))
-        text = F.concat_ws("|", "start", "stop", F.transform("parts", lambda p: F.concat_ws(":", p["child"], p["hash"])))
+            F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("child"), F.col("start").alias("from"), F.col("stop").alias("to"), "hash"))).alias("parts"))
+        text = F.concat_ws("|", F.transform("parts", lambda p: F.concat_ws(":", p["child"], p["from"] - F.col("start"), p["to"] - F.col("start"), p["hash"])))
         level = up.select("file", F.lit(k).alias("level"), "node", "start", "stop", F.sha2(text, 256).alias("hash"))
         out = out.unionByName(level)
     return out
@@ -78,21 +80,24 @@ def mismatches(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """What differs between two replicas: ``record_id, copy, state, offset_a, length_a, sha256_a, offset_b, length_b, sha256_b``.
+    """What differs between two replicas: ``record_id, copy, state, offset_a, length_a, sha256_a, offset_b, length_b, sha256_b, shift``.
 
-    ``state`` is ``missing`` (only in the first), ``extra`` (only in the second), ``changed``
-    (other content) or ``moved`` (same content, other place). Equal replicas give no row.
+    ``state`` is ``missing`` (only in the first), ``extra`` (only in the second) or
+    ``changed`` (other content). ``shift`` tells by how many bytes the records behind this
+    one, up to the next row of its file, are displaced in the second replica. Copies of a
+    repeated id are aligned in the order of their contents. Equal replicas give no row. A
+    file's window holds all copies of its ids.
     """
     a, b = materialize(layout(first), "replica"), materialize(layout(second), "replica")
     ta, tb = materialize(tree(a), "tree"), materialize(tree(b), "tree")
     bad = materialize(mismatches(ta, tb), "mismatches").select("file", F.col("node").alias("slot"))
-    cols = lambda df, s: df.join(bad, ["file", "slot"], "left_semi").select("record_id", "copy", F.col("start").alias(f"offset_{s}"), F.col("length").alias(f"length_{s}"), F.col("sha256").alias(f"sha256_{s}"))
-    both = cols(a, "a").join(cols(b, "b"), ["record_id", "copy"], "full")
-    state = (
-        F.when(F.col("sha256_b").isNull(), "missing").when(F.col("sha256_a").isNull(), "extra")
-        .when(F.col("sha256_a") != F.col("sha256_b"), "changed").when(F.col("offset_a") != F.col("offset_b"), "moved")
-    )
-    return both.withColumn("state", state).where("state is not null").select("record_id", "copy", "state", "offset_a", "length_a", "sha256_a", "offset_b", "length_b", "sha256_b")
+    cols = lambda df, s: df.join(bad, ["file", "slot"], "left_semi").select("file", "record_id", "copy", F.col("start").alias(f"offset_{s}"), F.col("length").alias(f"length_{s}"), F.col("sha256").alias(f"sha256_{s}"))
+    both = cols(a, "a").join(cols(b, "b"), ["file", "record_id", "copy"], "full")
+    state = F.when(F.col("sha256_b").isNull(), "missing").when(F.col("sha256_a").isNull(), "extra").when(F.col("sha256_a") != F.col("sha256_b"), "changed")
+    both = both.withColumn("state", state).where("state is not null")
+    grown = F.coalesce("length_b", F.lit(0)) - F.coalesce("length_a", F.lit(0))
+    behind = Window.partitionBy("file").orderBy("record_id", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("shift", F.sum(grown).over(behind)).select("record_id", "copy", "state", "offset_a", "length_a", "sha256_a", "offset_b", "length_b", "sha256_b", "shift")
 
 
 def damaged(pages: DataFrame) -> DataFrame:

@@ -15,6 +15,16 @@ def slow_best(pattern, text):
     return min(row)
 
 
+def whole_distance(pattern, text):
+    row = list(range(len(text) + 1))
+    for i, p in enumerate(pattern):
+        new = [i + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (p != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
 def test_distance_by_brute_force():
     r = random.Random(5)
     for _ in range(300):
@@ -50,11 +60,14 @@ def test_planted_passages(spark):
         ws = (text or "").lower().replace(",", "").split()
         for i, item in items:
             p = (item or "").split()
-            if len(p) >= 4 and (dist := slow_best(p, ws)) <= budget(len(p)):
+            if p and (dist := slow_best(p, ws)) <= budget(len(p)):
                 want[d, i] = dist
     assert len(want) >= 20
     for block in (8 << 20, 200):
         got = leaks(frame, bench, block).collect()
         assert {(x.doc_id, x.item_id): x.distance for x in got} == want
         assert len(got) == len(want)
+        words = {d: (t or "").lower().replace(",", "").split() for d, t in docs}
+        for x in got:  # the passage itself is at that distance, end to end
+            assert whole_distance(dict(items)[x.item_id].split(), words[x.doc_id][x.word_start : x.word_end]) == x.distance
     assert leaks(frame, bench.limit(0)).count() == 0 == leaks(frame.limit(0), bench).count()

@@ -51,3 +51,13 @@ def test_empty_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1, "")], SCHEMA)).collect()
     assert [tuple(r) for r in got] == [(None, 0, None, None)]
+
+
+def test_extreme_lengths_and_shared_ids(spark):
+    rows = [(1, [1e200, 1e200], 0, ""), (2, [1e200, 1.1e200], 0, ""), (3, [1e-200, 1e-200], 0, ""), (4, [1e-200, -1e-200], 0, ""), (5, [1e-320, -1.0e-320], 0, "")]
+    rows += [(6, [1.0, 0.0], 1, ""), (6, [0.0, 1.0], 1, ""), (7, [1.0, 0.01], 1, ""), (8, [0.01, 1.0], 1, "")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    got = sorted(tuple(r) for r in near_duplicates(docs, 0.93).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 6, False)]
+    one = spark.createDataFrame([(1, [1e-200, 1e-200], 0, "")], "vec_id long, embedding array<double>, label int, rep string")
+    assert [tuple(r) for r in near_duplicates(one).collect()] == [(1, 0, 1, True)]

@@ -46,28 +46,44 @@ def test_probes_find_every_near_line():
             assert any((o, i, b[q : q + n]) in index for o, i, q, n in probes(len(b), 2))
 
 
-def brute(rows, edits=2, least=24):
+def brute(rows, least=24, short=False):
+    """(kept text, removed lines, links) by doc, with the budget that grows with the line; short: short lines that repeat go and count too."""
     lines = [(d, k, s) for d, t in rows if d is not None for k, s in enumerate((t or "").split("\n"))]
     raw = [s.encode() for _, _, s in lines]
-    near = [[j for j, b in enumerate(raw) if j != i and (a == b or (len(a) >= least and len(b) >= least and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits))] for i, a in enumerate(raw)]
-    comp = [None] * len(lines)
+    names = {b: i for i, b in enumerate(dict.fromkeys(raw))}
+    texts = sorted(names, key=len)
+    close = {b: {b} for b in names}
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            e = line_dedup.budget(len(b))
+            if len(b) - len(a) > e and len(b) >= least:
+                if len(b) - len(a) > max(e, line_dedup.budget(len(a) * 2)):
+                    break
+                continue
+            if len(a) >= least and line_dedup.may_align(a, b, e) and distance(a, b) <= e:
+                close[a].add(b), close[b].add(a)
+    at = {}
+    for i, b in enumerate(raw):
+        at.setdefault(b, []).append(i)
+    comp = {}
     for i in sorted(range(len(lines)), key=lambda i: lines[i][:2]):
-        if comp[i] is None:
-            todo = [i]
+        if raw[i] not in comp:
+            todo = [raw[i]]
             while todo:
                 u = todo.pop()
-                if comp[u] is None:
+                if u not in comp:
                     comp[u] = i
-                    todo += near[u]
+                    todo += close[u]
     out = {}
     for d, t in rows:
         if d is None:
             out[d] = (t, 0, 0)
             continue
         own = [i for i, x in enumerate(lines) if x[0] == d]
-        gone = {i for i in own if len(raw[i]) >= least and comp[i] != i}
+        may = [i for i in own if len(raw[i]) >= least or short and raw[i].strip()]
+        gone = {i for i in may if comp[raw[i]] != i}
         kept = "\n".join(lines[i][2] for i in own if i not in gone)
-        out[d] = (kept if gone else t, len(gone), sum(len(near[i]) for i in own if len(raw[i]) >= least))
+        out[d] = (kept if gone else t, len(gone), sum(sum(len(at[b]) for b in close[raw[i]]) - 1 for i in may))
     return out
 
 

@@ -1,4 +1,7 @@
 import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,8 +39,48 @@ def test_target_like_texts_weigh_more(spark):
     assert by[200].n_features == 0 == by[200].log_weight == by[201].log_weight
 
 
-def test_models_by_brute_force(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
-    ratio = models(docs, spark.createDataFrame([(1,)], "doc_id long"))
-    # A bucket that no text has keeps the prior's share of the target's mass; the target has five n-grams.
-    assert np.isclose(np.median(ratio), math.log(1000 / 1005))
+M64 = (1 << 64) - 1
+
+
+def scrambled(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & M64
+    return x ^ x >> 31
+
+
+def buckets(text):
+    """Of words of up to eight letters, and of pairs of them."""
+    names = [scrambled(int.from_bytes(w.encode(), "little")) for w in re.findall("[a-z0-9]+", text.lower())]
+    return [n % 10_000 for n in names] + [scrambled((a * 0xD6E8FEB86659FD93 + b) & M64) % 10_000 for a, b in zip(names, names[1:], strict=False)]
+
+
+def test_models_weights_and_choice_by_brute_force(spark):
+    r = random.Random(2)
+    words = ["river", "sea", "to", "the", "runs", "zq", "xv", "kk", "Jumps", "a1"]
+    texts = {i: " ".join(r.choice(words[: 6 + i % 5]) for _ in range(r.randrange(0, 30))) for i in range(40)}
+    good = {1, 2, 5, 11, 39}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ratio = models(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(buckets(t))
+        if i in good:
+            target.update(buckets(t))
+    p = np.array([1 + raw[b] for b in range(10_000)], float)
+    p /= p.sum()
+    q = (np.array([target[b] for b in range(10_000)]) + 1000 * p) / (sum(target.values()) + 1000)
+    assert np.allclose(ratio, np.log(q) - np.log(p))
+    rows = {x.doc_id: x for x in log_weights(docs, ratio).collect()}
+    for i, t in texts.items():
+        want = sum(math.log(q[b] / p[b]) for b in buckets(t))
+        assert rows[i].n_features == len(buckets(t)) and math.isclose(rows[i].log_weight, want, abs_tol=1e-9)
+    even = {x.doc_id: x.log_weight for x in log_weights(docs, ratio, length=100.0).collect()}
+    assert all(math.isclose(even[i], 100 * rows[i].log_weight / max(1, rows[i].n_features), abs_tol=1e-9) for i in texts)
+
+
+def test_repeated_rows_keep_exactly_k(spark):
+    df = spark.createDataFrame([(1, 0.0)] * 4 + [(2, -50.0)] * 3 + [(3, 50.0)], "doc_id long, log_weight double").withColumn("kept", F.lit("clash"))
+    for f, k in ((0.25, 2), (0.5, 4), (0.75, 6), (1.0, 8)):
+        got = gumbel_top_k(df, f, seed=1).collect()
+        keys = sorted((r.gumbel_key for r in got), reverse=True)
+        assert sum(r.kept for r in got) == k and sorted((r.gumbel_key for r in got if r.kept), reverse=True) == keys[:k]

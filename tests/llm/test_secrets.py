@@ -82,3 +82,8 @@ def test_long_keys_and_whole_spans():
     assert [text[a:b] for _, a, b in novel_spans(text, [])] == [".".join(parts)]
     text = f"{around}auth via {lines[0]}.request_method_headers1\nresponse_url_headers1\n{around}"
     assert [text[a:b] for _, a, b in novel_spans(text, [])] == [lines[0]]
+
+
+def test_invalid_text_counts_as_replacement(spark):
+    docs = spark.sql("select 1L as doc_id, cast(concat(unhex('FF'), cast('token=abcdefghijklmn' as binary)) as string) as text")
+    assert [(r.n_assign, r.spans) for r in scan(docs).collect()] == [(1, "assign:1:21")]

@@ -2,8 +2,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from graphloom.llm.kernels import BYTE_VALUE
 from graphloom.llm.queries import op10_toxicity
-from graphloom.llm.toxicity import classify, fit, train
+from graphloom.llm.toxicity import _Distinct, annotate, classify, fit, log_count_ratio, score, train
 
 
 def test_held_out_accuracy(spark):
@@ -15,6 +16,7 @@ def test_held_out_accuracy(spark):
     accused = sum(r.predicted > r.toxic for r in rows)
     missed = sum(r.predicted < r.toxic for r in rows)
     assert accused <= 0.005 * len(rows) and missed <= 0.06 * len(rows)
+    assert missed <= 0.5 * sum(r.toxic for r in rows)
 
 
 def test_edges(spark):
@@ -30,5 +32,40 @@ def test_edges(spark):
 
 
 def test_one_class_gives_the_prior():
-    m = fit(pa.array(["x", "y"]), np.array([1, 1]), 0.25)
+    m = fit([np.array([1]), np.array([2])], np.array([1, 1]), 0.25)
     assert abs(1 / (1 + np.exp(-m.bias)) - 0.25) < 1e-9
+
+
+def distinct_buckets(text):
+    raw, out = text.lower().encode(), set()
+    for n in (3, 4, 5):
+        for i in range(len(raw) - n + 1):
+            g = 0
+            for b in raw[i : i + n]:
+                g = (g * 0xD6E8FEB86659FD93 + int(BYTE_VALUE[b])) & ((1 << 64) - 1)
+            out.add((((g ^ g >> 29) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)) >> 46)
+    return out
+
+
+def test_features_ratios_and_scores_by_brute_force():
+    texts = ["Vile, vile thing", "you utter scum", "a fine day", "the river runs", "é", "", "fine scum"]
+    y = np.array([1, 1, 0, 0, 0, 1, 0])
+    rows = list(_Distinct().rows(pa.array(texts)))
+    sets = [distinct_buckets(t) for t in texts]
+    assert [set(r.tolist()) for r in rows] == sets and [len(r) for r in rows] == [len(s) for s in sets]
+    ratio = log_count_ratio(np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), y.astype(float))
+    for b in set().union(*sets):
+        pos, neg = (sum(b in s for s, label in zip(sets, y, strict=True) if label == c) for c in (1, 0))
+        assert np.isclose(ratio[b], np.log((pos + 1) / (3 + 2)) - np.log((neg + 1) / (4 + 2)))
+    model = fit(rows, y, 0.5)
+    # A score is the sum over the distinct buckets.
+    want = [1 / (1 + np.exp(-(sum(model.weights[b] for b in s) + model.bias))) for s in sets]
+    assert np.allclose(score(pa.array(texts), model), want)
+    assert want[0] > 0.5 > want[2]
+
+
+def test_clash_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(1, "vile vile thing", 7), (1, "other", 7), (2, "a fine day", 8)], "doc_id long, text string, toxic_score int")
+    labels = spark.createDataFrame([(1, 1)] * 5 + [(2, 0)] * 3, "doc_id long, toxic int")
+    got = annotate(docs, train(docs, labels)).collect()
+    assert len(got) == 3 and all(0 < r.toxic_score < 1 for r in got)
