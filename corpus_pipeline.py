@@ -19,17 +19,30 @@ from graphloom.llm.storage import materialize
 from graphloom.llm.toxicity import annotate, train
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but ``doc_id`` and ``text`` renamed by place, so that no operator's own columns clash with them."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
+def back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of :func:`apart`, named as in ``docs`` again."""
+    return out.select(*apart(docs).columns).toDF(*docs.columns)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled ones among `docs`."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return annotate(docs, train(docs, labels)).where("toxic_score < 0.5").select(*docs.columns)
+    return back(annotate(apart(docs), train(docs, labels)).where("toxic_score < 0.5"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of equal or near-equal lines the first stays, short ones too; a document that keeps only blank lines goes."""
-    cut = deduplicate(docs, short=True).where(r"n_repeats = 0 or kept_text rlike '\\S'")
-    text = F.col("kept_text")
-    return cut.select(*(text.alias("text") if c == "text" else F.when(F.col("n_repeats") > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    cut = deduplicate(apart(docs), short=True).where(r"n_repeats = 0 or kept_text rlike '\\S'")
+    changed = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        i = docs.columns.index("n_chars")
+        changed[f"column_{i}"] = F.when(F.col("n_repeats") > 0, F.length("kept_text")).otherwise(F.col(f"column_{i}")).cast(docs.schema["n_chars"].dataType)
+    return back(cut.withColumns(changed), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
