@@ -433,63 +433,67 @@ def _middle(a: bytes, b: bytes) -> tuple[bytes, bytes]:
     return a[head : len(a) - tail], b[head : len(b) - tail]
 
 
-def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
-    """Whether each pair of lines is within ``edits``: bit-parallel rows of a diagonal band, all pairs at once.
+#: The largest budget whose band of ``2 * edits + 1`` diagonals fits one word.
+WORD_EDITS = 31
 
-    Bit d of row k says that the first i bytes of a line can become its partner's first
-    i + d - edits bytes by at most k edits (the automaton form of Wu and Manber), so the
-    2 * edits + 1 diagonals of the band are all that is kept. Common ends are set aside
-    first, and pairs whose band is empty leave on the way.
+
+def within(a: list[bytes], b: list[bytes], edits: np.ndarray) -> np.ndarray:
+    """Whether each pair of lines is within its number of edits, up to ``WORD_EDITS``: bit-parallel columns of a diagonal band, many pairs at once.
+
+    After Myers (1999) and Hyyro (2003): bit k of column j stands for row ``j - edits + k``,
+    and the set bits of two words tell where the distance grows or falls by one from row to
+    row. It is followed down the lowest diagonal of the band to the last row, then along
+    that row. Lines hold no line break, which fills the space around them.
     """
     out = np.zeros(len(a), bool)
-    parts = [_middle(x, y) for x, y in zip(a, b, strict=True)]
-    la, lb = np.array([len(x) for x, _ in parts], np.int64), np.array([len(y) for _, y in parts], np.int64)
-    width, pad = 2 * edits + 1, edits
-    mask = (1 << width) - 1
-    todo = np.flatnonzero(np.abs(la - lb) <= edits)
-    todo = todo[np.argsort(la[todo], kind="stable")]
-    lo = 0
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    edits = np.asarray(edits, np.int64)
+    out[np.maximum(la, lb) <= edits] = True
+    todo = np.flatnonzero((np.abs(la - lb) <= edits) & ~out)
+    todo = todo[np.argsort(lb[todo], kind="stable")]
+    one, lo = U64(1), 0
     while lo < len(todo):
         # Up to 4096 pairs, and 4 MiB of padded bytes.
         hi = min(lo + 4096, len(todo))
-        while hi > lo + 1 and (hi - lo) * int(la[todo[hi - 1]] + width) > 1 << 22:
+        while hi > lo + 1 and (hi - lo) * int(lb[todo[hi - 1]] + 2 * WORD_EDITS) > 1 << 22:
             hi = lo + (hi - lo + 1) // 2
         at = todo[lo:hi]
         lo = hi
-        longest = int(max(la[at].max(), lb[at].max())) + width + 1
-        x = np.full((len(at), longest), 256, np.int16)
-        y = np.full((len(at), longest + pad), 257, np.int16)
-        for r, i in enumerate(at.tolist()):
-            x[r, : la[i]] = np.frombuffer(parts[i][0], np.uint8)
-            y[r, pad : pad + lb[i]] = np.frombuffer(parts[i][1], np.uint8)
-        # Before the first byte, k edits reach the partner's first k bytes: diagonals pad .. pad + k.
-        state = [np.full(len(at), ((1 << (k + 1)) - 1) << pad & mask, np.int64) for k in range(edits + 1)]
-        size = la[at]
-        goal = np.left_shift(np.int64(1), lb[at] - size + pad)
-        i = 0
+        e = edits[at]
+        # Equal bytes in front change no distance; the band must end above the last row.
+        front = np.where(la[at] <= e, e, 0)
+        m, n = la[at] + front, lb[at] + front
+        longest = int(max(m.max(), n.max())) + 2 * WORD_EDITS + 3
+        x, y = np.full((len(at), longest), 10, np.uint8), np.full((len(at), longest), 10, np.uint8)
+        for r, (i, k, f) in enumerate(zip(at.tolist(), e.tolist(), front.tolist(), strict=True)):
+            x[r, k : k + f] = y[r, :f] = 32
+            x[r, k + f : k + f + la[i]] = np.frombuffer(a[i], np.uint8)
+            y[r, f : f + lb[i]] = np.frombuffer(b[i], np.uint8)
+        mask = (one << (2 * e + 1).astype(U64)) - one
+        top = one << (2 * e).astype(U64)
+        up, down = mask >> e.astype(U64) << e.astype(U64), np.zeros(len(at), U64)
+        score = e.copy()
+        # In column 0 the rows go up by one each.
+        j = 0
         while len(at):
-            done = size == i
-            if done.any():
-                out[at[done]] = (state[edits][done] & goal[done]) != 0
-            if done.any() or i % 16 == 15:
-                stay = ~done & (state[edits] != 0)
+            j += 1
+            equal = np.packbits(x[:, j - 1 : j + 63] == y[:, j - 1 : j], axis=1, bitorder="little")
+            equal = equal.view(U64).ravel() if equal.shape[1] == 8 else np.pad(equal, ((0, 0), (0, 8 - equal.shape[1]))).view(U64).ravel()
+            equal &= mask
+            same = ((equal & up) + up ^ up | equal | down) & mask
+            right_up, right_down = down | mask & ~(same | up), same & up
+            along = j > m - e
+            row = one << np.clip(m - j + e, 0, 63).astype(U64)
+            score += np.where(along, ((right_up & row) != 0).astype(np.int64) - ((right_down & row) != 0), (same & top) == 0)
+            same >>= one
+            up, down = right_down | mask & ~(same | right_up), same & right_up
+            done = n == j
+            if done.any() or j % 16 == 0:
+                out[at[done]] = score[done] <= e[done]
+                # The rest of the text can bring the score down by one a byte, from the row's start on.
+                stay = ~done & (score <= e + np.minimum(n - j, n - m + e))
                 if not stay.all():
-                    at, size, goal, x, y = at[stay], size[stay], goal[stay], x[stay], y[stay]
-                    state = [row[stay] for row in state]
-                    continue
-            equal = np.zeros(len(at), np.int64)
-            for d in range(width):
-                equal |= (x[:, i] == y[:, i + d]).astype(np.int64) << d
-            new = []
-            for k in range(edits + 1):
-                row = state[k] & equal  # same diagonal, equal bytes
-                if k:
-                    row |= state[k - 1]  # substitution
-                    row |= state[k - 1] >> 1  # deletion: one diagonal down
-                    row |= new[k - 1] << 1 & mask  # insertion: one diagonal up
-                new.append(row)
-            state = new
-            i += 1
+                    at, e, m, n, x, y, mask, top, up, down, score = (v[stay] for v in (at, e, m, n, x, y, mask, top, up, down, score))
     return out
 
 
@@ -595,6 +599,23 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterat
 
     A pair counts at the smallest key it shares only. The meetings of a batch are compared together.
     """
+    left: list[bytes] = []
+    right: list[bytes] = []
+    ends: list[tuple[np.ndarray, ...]] = []
+
+    def compared() -> Iterator[pa.RecordBatch]:
+        if not ends:
+            return
+        a, b, copies_a, copies_b, far, _ = (np.concatenate(c) for c in zip(*ends, strict=True))
+        ok = np.zeros(len(a), bool)
+        few, more = np.flatnonzero(far <= WORD_EDITS), np.flatnonzero(far > WORD_EDITS)
+        ok[few] = within([left[i] for i in few.tolist()], [right[i] for i in few.tolist()], far[few])
+        for i in more.tolist():
+            ok[i] = may_align(left[i], right[i], int(far[i])) and within_far(left[i], right[i], int(far[i]))
+        left.clear(), right.clear(), ends.clear()
+        if ok.any():
+            yield _found(a[ok], b[ok], copies_a[ok], copies_b[ok])
+
     for t in _whole_groups(batches, 3):
         t = t.combine_chunks()
         key, i, j, h = (t.column(c).to_numpy() for c in ("key", "i", "j", "h1"))
@@ -621,20 +642,18 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterat
         if not one:
             continue
         one, two = np.concatenate(one), np.concatenate(two)
-        raw, off = data.tobytes(), off.tolist()
-        text = lambda rows: [raw[off[r] : off[r + 1]] for r in rows.tolist()]
-        reach = np.maximum(edits, np.maximum(size[one], size[two]) // share)
         mine = _first_shared(keys, one, two) == key[one]
-        one, two, reach = one[mine], two[mine], reach[mine]
+        one, two = one[mine], two[mine]
+        raw, off = data.tobytes(), off.tolist()
         for lo in range(0, len(one), 20_000):
-            p, q, far = one[lo : lo + 20_000], two[lo : lo + 20_000], reach[lo : lo + 20_000]
-            ok = np.zeros(len(p), bool)
-            few = np.flatnonzero(far == edits)
-            ok[few] = within(text(p[few]), text(q[few]), edits)
-            more = np.flatnonzero(far > edits)
-            ok[more] = [may_align(a, b, e) and within_far(a, b, e) for a, b, e in zip(text(p[more]), text(q[more]), far[more].tolist(), strict=True)]
-            if ok.any():
-                yield _found(h[p[ok]], h[q[ok]], copies[p[ok]], copies[q[ok]])
+            p, q = one[lo : lo + 20_000], two[lo : lo + 20_000]
+            for rows, into in ((p, left), (q, right)):
+                into += [raw[off[r] : off[r + 1]] for r in rows.tolist()]
+            ends.append((h[p], h[q], copies[p], copies[q], np.maximum(edits, np.maximum(size[p], size[q]) // share), size[p]))
+            # Pairs wait for others, since many are compared in one go.
+            if len(left) >= 20_000 or sum(int(x[5].sum()) for x in ends) >= 32 << 20:
+                yield from compared()
+    yield from compared()
 
 
 def _found(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray) -> pa.RecordBatch:
@@ -673,14 +692,14 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share
     asked = named.groupBy("doc", "body").agg(F.collect_list(F.struct("line", "h1", "copies", "keys")).alias("asked"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
     have = texts.join(asked, ["doc", "body"]).select("text", "asked")
-    lines = have.mapInArrow(_asked_lines, "line binary, h1 long, copies long, keys array<struct<key:long,blocks:int>>")
+    lines = materialize(have.mapInArrow(_asked_lines, "line binary, h1 long, copies long, keys array<struct<key:long,blocks:int>>"), "lines")
     rows = lines.select("line", "h1", "copies", F.col("keys.key").alias("keys"), F.explode("keys").alias("k")).select("line", "h1", "copies", "keys", "k.key", "k.blocks")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     ways = F.expr("transform(sequence(0, blocks - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own), 'side', if(own <= o, 0, 1)))")
     rows = rows.select("key", F.explode(ways).alias("m"), "h1", "copies", "keys", "line").select("key", "m.i", "m.j", "m.side", "h1", "copies", "keys", "line")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
     links = materialize(rows.mapInArrow(lambda b: _verify(b, edits, share), "kind byte, a long, b long"), "links")
-    for part in parts:
+    for part in (*parts, lines):
         discard(part)
     found = links.where("kind = 0").groupBy(F.col("a").alias("h1")).agg(F.sum("b").alias("n_links"))
     comp = connected_components(links.where("kind = 1"), "a", "b").withColumnRenamed("node", "h1")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,16 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation. Its shuffle files go at once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation. Its shuffle files go at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -45,7 +53,8 @@ def materialize_buckets(df: DataFrame, keys: list[str], name: str = "t") -> Data
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{table}"
-    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    with _shuffles_freed(spark):
+        df.write.bucketBy(n, *keys).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._table_path, out._table_name = path, table
     return out

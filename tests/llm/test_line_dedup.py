@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup
@@ -27,9 +28,16 @@ def test_band_by_brute_force():
             k = r.randrange(len(b) + 1)
             b[k : k + r.randrange(0, 2)] = bytes(r.choice(b"abc") for _ in range(r.randrange(0, 2)))
         pairs.append((a, bytes(b)))
-    for e in (1, 2, 3):
-        got = within([a for a, _ in pairs], [b for _, b in pairs], e)
+    for e in (1, 2, 3, 7):
+        got = within([a for a, _ in pairs], [b for _, b in pairs], np.full(len(pairs), e))
         assert got.tolist() == [distance(a, b) <= e for a, b in pairs]
+    pairs = []
+    for _ in range(250):
+        a = bytes(r.choice(b"abcd ") for _ in range(r.randrange(0, 260)))
+        pairs.append((a, changed(r, a, r.randrange(0, 40))))
+    edits = np.array([r.randrange(1, line_dedup.WORD_EDITS + 1) for _ in pairs])
+    got = within([a for a, _ in pairs], [b for _, b in pairs], edits)
+    assert got.tolist() == [distance(a, b) <= e for (a, b), e in zip(pairs, edits.tolist(), strict=True)] and 20 < got.sum() < 230
 
 
 def test_probes_find_every_near_line():
@@ -181,8 +189,6 @@ def test_unlike_lines_and_shared_ids(spark):
 
 
 def test_counts_never_exceed_the_distance():
-    import numpy as np
-
     r = random.Random(14)
     pairs = []
     for _ in range(400):
