@@ -40,7 +40,7 @@ COMBINED = 1_000_000
 #: Rows of one minimizer that a task sends on to be judged; more of them are open without being judged, which the rounds mend.
 WITNESSES = 64
 _C = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D)]
-_KINDS = (U64, U64, np.int64, np.int64, np.int64, np.int8)
+_KINDS = (U64, U64, np.int64, np.int32, np.int64, np.int8)
 _SENT, _DECIDED, _OPEN = 0, 1, 2
 
 
@@ -157,37 +157,37 @@ def _combined(name: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarr
 
 
 def _positions(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Packed rows ``name, around, doc, rid, place, kind`` of the minimizers; place is ``first window << 16 | windows << 8 | minimizer behind it``."""
+    """Packed rows ``name, around, doc, tag, place, kind`` of the minimizers; place is ``first window << 16 | windows << 8 | minimizer behind it``."""
     gram = gram_size(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            name, around, doc, rid, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            name, around, doc, tag, place = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             kind = _combined(name, around, doc)
             # What needn't meet is dealt by the row.
-            name = np.where(kind == _SENT, name, mix(place.view(U64) + rid.view(U64)))
-            yield from packed.pack([name, around, doc, rid, place, kind], buckets)
+            name = np.where(kind == _SENT, name, mix(place.view(U64) + doc.view(U64)))
+            yield from packed.pack([name, around, doc, tag, place, kind], buckets)
 
         for batch in batches:
-            doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row0, offsets, data in text_slices(batch.column(2)):
                 start, count, behind, name, around = minimizers(offsets, data, length, gram)
                 row = np.searchsorted(offsets, start, "right") - 1
-                held.append([name, around, doc[row0 + row], rid[row0 + row], (start - offsets[row]) << 16 | count << 8 | behind])
+                held.append([name, around, doc[row0 + row], tag[row0 + row], (start - offsets[row]) << 16 | count << 8 | behind])
                 if sum(len(h[0]) for h in held) >= COMBINED:
                     yield from flush()
         if held:
             yield from flush()
 
-    return texts.select("doc", "rid", "text").mapInArrow(run, packed.SCHEMA)
+    return texts.select("doc", "tag", "text").mapInArrow(run, packed.SCHEMA)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows to ``doc, rid, place, rank, open`` of those that are decided or open."""
-    for name, around, doc, rid, place, kind in packed.gather(batches, _KINDS):
+    """Packed rows to ``doc, tag, place, rank, open`` of those that are decided or open."""
+    for name, around, doc, tag, place, kind in packed.gather(batches, _KINDS):
         decided, open_ = kind == _DECIDED, kind == _OPEN
         sent = np.flatnonzero(kind == _SENT)
         yes, maybe = _judged(name[sent], around[sent], doc[sent])
@@ -196,11 +196,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(decided | open_)
         for a in range(0, len(rows), 100_000):
             r = rows[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(rid[r]), pa.array(place[r]), pa.array(open_[r])], names=["doc", "rid", "place", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tag[r]), pa.array(place[r]), pa.array(open_[r])], names=["doc", "tag", "place", "open"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``doc, rid, text, places`` to ``doc, rid, start, behind, bytes``: the bytes of each open run of windows."""
+    """Rows of ``doc, tag, text, places`` to ``doc, tag, start, behind, bytes``: the bytes of each open run of windows."""
     for batch in batches:
         for row0, offsets, data in text_slices(batch.column(2)):
             raw = data.tobytes()
@@ -212,13 +212,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     s = slice(a, a + 20_000)
                     k = len(places[s])
                     parts = [raw[base + x : base + x + n] for x, n in zip(start[s].tolist(), size[s].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, batch.column(0)[row0 + i].as_py())), pa.array(np.full(k, batch.column(1)[row0 + i].as_py())), pa.array(start[s]), pa.array((places[s] & 0xFF).astype(np.int32)), pa.array(parts, pa.binary())], names=["doc", "rid", "start", "behind", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, batch.column(0)[row0 + i].as_py())), pa.array(np.full(k, batch.column(1)[row0 + i].as_py(), np.int32)), pa.array(start[s]), pa.array((places[s] & 0xFF).astype(np.int32)), pa.array(parts, pa.binary())], names=["doc", "tag", "start", "behind", "bytes"])
 
 
 def refine(runs: DataFrame, step: int, before: int, length: int) -> DataFrame:
-    """One round: ``doc, rid, start, windows, open, rank, behind, bytes`` of the parts of ``runs`` that are decided or open.
+    """One round: ``doc, tag, start, windows, open, rank, behind, bytes`` of the parts of ``runs`` that are decided or open.
 
-    ``runs`` has ``rank, doc, rid, start, behind, bytes``: a run of windows, the minimizer
+    ``runs`` has ``rank, doc, tag, start, behind, bytes``: a run of windows, the minimizer
     ``behind`` bytes after the first one. A run is cut where the minimizer's place passes a
     multiple of ``step``. All windows of a part hold the same string around the minimizer;
     its rank comes from a sort by the rank of the string before (which ``before``
@@ -236,7 +236,7 @@ def refine(runs: DataFrame, step: int, before: int, length: int) -> DataFrame:
         gain = f"substring(bytes, behind - _lo + 1, _lo + {length} - _hi + 1)"
     r = r.withColumn("_gain", F.expr(gain))
     r = r.select(
-        "rank", "_part", "_gain", "doc", "rid", F.expr("start + behind - _most").alias("start"), F.col("_most").cast("int").alias("behind"),
+        "rank", "_part", "_gain", "doc", "tag", F.expr("start + behind - _most").alias("start"), F.col("_most").cast("int").alias("behind"),
         F.expr(f"substring(bytes, behind - _most + 1, _most - _down + {length})").alias("bytes"),
     )
     group = ["rank", "_part", "_gain"] if before else ["_gain", "_part", "rank"]
@@ -250,7 +250,7 @@ def refine(runs: DataFrame, step: int, before: int, length: int) -> DataFrame:
     decided = F.col("doc") > F.col("_low")
     r = r.where("_first < _last").where(decided if step == 1 else F.lit(True))
     return r.select(
-        "doc", "rid", "start", F.expr(f"octet_length(bytes) - {length - 1}").alias("windows"), (~decided).alias("open"),
+        "doc", "tag", "start", F.expr(f"octet_length(bytes) - {length - 1}").alias("windows"), (~decided).alias("open"),
         F.col("_head").alias("rank"), "behind", F.when(~decided, F.col("bytes")).alias("bytes"),
     )
 
@@ -273,25 +273,27 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     # Of equal texts, only the one with the smallest id can hold anything that isn't decided already.
     least = ids.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("least"))
     first = ids.where(F.col("n") >= length).join(least, "sha").where("doc = least").select("rid", "doc", F.col("sha").alias("_sha")).distinct()
+    # Texts of one id are numbered; the number takes less room than a hash where rows are many.
+    first = materialize(first.withColumn("tag", F.row_number().over(Window.partitionBy("doc").orderBy("_sha")) - 1), "first")
+    named = first.select("doc", "tag", "rid")
     texts = every.where((F.col("n") >= length) & F.col("doc").isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "doc")
-    # A row is named by its id and a hash of id and text; both are compared wherever rows meet.
-    texts = materialize_buckets(texts.join(first, ["rid", "doc"]).where("sha = _sha").select("doc", "rid", "text"), ["rid", "doc"], "texts")
+    texts = materialize_buckets(texts.join(first, ["rid", "doc"]).where("sha = _sha").select("doc", "rid", "tag", "text"), ["rid", "doc"], "texts")
     size = ids.agg(F.sum("n")).first()[0] or 0
     rows = _positions(texts, length, packed.bucket_count(size)).repartition("bucket")
-    judged = materialize(rows.mapInArrow(_judge, "doc long, rid long, place long, open boolean"), "judged")
-    places = judged.where("open").groupBy("rid", "doc").agg(F.collect_list("place").alias("places"))
-    found = texts.join(places, ["rid", "doc"]).select("doc", "rid", "text", "places")
-    runs = found.mapInArrow(lambda b: _contexts(b, length), "doc long, rid long, start long, behind int, bytes binary")
+    judged = materialize(rows.mapInArrow(_judge, "doc long, tag int, place long, open boolean"), "judged")
+    places = judged.where("open").groupBy("doc", "tag").agg(F.collect_list("place").alias("places")).join(named, ["doc", "tag"])
+    found = texts.drop("tag").join(places, ["rid", "doc"]).select("doc", "tag", "text", "places")
+    runs = found.mapInArrow(lambda b: _contexts(b, length), "doc long, tag int, start long, behind int, bytes binary")
     # The first strings contain the minimizer itself, so nothing rests on its name.
     runs = runs.withColumn("rank", F.lit(0).cast("long"))
-    gone = [judged.where("not open").select("doc", "rid", F.shiftright("place", 16).alias("start"), F.shiftright("place", 8).bitwiseAND(0xFF).cast("int").alias("windows"))]
+    gone = [judged.where("not open").select("doc", "tag", F.shiftright("place", 16).alias("start"), F.shiftright("place", 8).bitwiseAND(0xFF).cast("int").alias("windows"))]
     before, tables = 0, []
     for step in STEPS:
         level = materialize(refine(runs, step, before, length), "ranks")
-        gone.append(level.where("not open").select("doc", "rid", "start", "windows"))
-        runs, before = level.where("open").select("rank", "doc", "rid", "start", "behind", "bytes"), step
+        gone.append(level.where("not open").select("doc", "tag", "start", "windows"))
+        runs, before = level.where("open").select("rank", "doc", "tag", "start", "behind", "bytes"), step
         tables.append(level)
-    gone = reduce(DataFrame.unionByName, gone).groupBy("rid", "doc").agg(F.collect_list("start").alias("w"), F.collect_list("windows").alias("c"))
+    gone = reduce(DataFrame.unionByName, gone).groupBy("doc", "tag").agg(F.collect_list("start").alias("w"), F.collect_list("windows").alias("c")).join(named, ["doc", "tag"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +312,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
                     digests.append(hashlib.sha256(body[~off].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc", "rid", "n_removed", "n_spans", "kept"])
 
-    done = texts.join(gone, ["rid", "doc"]).select("doc", "rid", "text", "w", "c")
+    done = texts.drop("tag").join(gone, ["rid", "doc"]).select("doc", "rid", "text", "w", "c")
     done = materialize(done.mapInArrow(cut, "doc long, rid long, n_removed long, n_spans long, kept string").dropDuplicates(["rid", "doc"]), "cut")
     for t in (texts, judged, *tables):
         discard(t)

@@ -46,7 +46,7 @@ def sample():
 @pytest.mark.parametrize("length", [50, 33])
 def test_against_brute_force(spark, length):
     rows = sample()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("rid", F.lit(1)).withColumn("n_removed", F.lit(2)).withColumn("sha", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("rid", F.lit(1)).withColumn("tag", F.lit(1)).withColumn("n_removed", F.lit(2)).withColumn("sha", F.lit("x"))
     got = sorted((tuple(r) for r in repeated_bytes(docs, length).collect()), key=str)
     want = brute(rows, length)
     assert sum(w[2] for w in want) > 5000
@@ -101,8 +101,8 @@ def test_rounds_by_brute_force(spark):
     text = {d: "".join(r.choice("ab") for _ in range(30)) + "M" * 24 + "".join(r.choice("ab") for _ in range(30)) for d in range(40)}
     for d in range(20, 40):  # copies of parts
         text[d] = text[d - 20][: r.randrange(20, 70)].ljust(84, "c") if r.random() < 0.8 else text[d]
-    rows = [(0, d, d, 4, 26, text[d][4 : 4 + 76].encode()) for d in text]
-    runs, before, gone = spark.createDataFrame(rows, "rank long, doc long, rid long, start long, behind int, bytes binary"), 0, set()
+    rows = [(0, d, 0, 4, 26, text[d][4 : 4 + 76].encode()) for d in text]
+    runs, before, gone = spark.createDataFrame(rows, "rank long, doc long, tag int, start long, behind int, bytes binary"), 0, set()
     for step in STEPS:
         level = refine(runs, step, before, 50).collect()
         by_rank = {}
@@ -112,7 +112,7 @@ def test_rounds_by_brute_force(spark):
             if not x.open:
                 gone |= {(x.doc, x.start + i) for i in range(x.windows)}
         assert all(len(v) == 1 for v in by_rank.values()) and len({next(iter(v)) for v in by_rank.values()}) == len(by_rank)
-        runs, before = spark.createDataFrame([x for x in level if x.open], "doc long, rid long, start long, windows int, open boolean, rank long, behind int, bytes binary"), step
+        runs, before = spark.createDataFrame([x for x in level if x.open], "doc long, tag int, start long, windows int, open boolean, rank long, behind int, bytes binary"), step
     # 27 windows hold the minimizer at 30; a window goes if a smaller document has it there.
     want = {(d, s) for d in text for s in range(4, 31) if any(e < d and text[e][s : s + 50] == text[d][s : s + 50] for e in text)}
     assert want and gone == want and runs.count() == 0
