@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def modularity(nodes: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def louvain_one(nodes: list, links: list[tuple], passes: int = 1000) -> dict:
-    """Communities of one graph: nodes and edges in order, moves to the first neighbour community with the largest gain."""
+    """Communities of one graph: nodes and edges in order, moves to the first neighbour community with the largest positive gain."""
     own = {v: i for i, v in enumerate(nodes)}
     adj: list[dict[int, float]] = [{} for _ in nodes]
     self_w = [0.0] * len(nodes)
@@ -112,10 +114,10 @@ def louvain_one(nodes: list, links: list[tuple], passes: int = 1000) -> dict:
                 to: dict[int, float] = {}
                 for j, w in near.items():
                     to[com[j]] = to.get(com[j], 0.0) + w
-                best, gain = old, to.get(old, 0.0) - tot[old] * deg[i] / two_m
+                best, gain = old, 0.0  # a move needs a gain of its own
                 for c, w in to.items():
                     g = w - tot[c] * deg[i] / two_m
-                    if g > gain + 1e-12:
+                    if g > gain:
                         best, gain = c, g
                 tot[best] += deg[i]
                 com[i] = best
@@ -146,7 +148,7 @@ def louvain_one(nodes: list, links: list[tuple], passes: int = 1000) -> dict:
 
 
 def communities(nodes: DataFrame, g: DataFrame, guard: int = COMMUNITY_GUARD) -> DataFrame:
-    """``user_id, kb_id, canonical_id, community_id`` by modularity; a knowledge base above the guard gives no rows.
+    """``user_id, kb_id, canonical_id, community_id`` by modularity; :func:`community_status` names the knowledge bases above the guard, which have no rows here.
 
     The method is sequential in a graph, so each knowledge base is one group; the guard
     bounds a group's nodes, and larger ones leave before any data is grouped.
@@ -164,7 +166,13 @@ def communities(nodes: DataFrame, g: DataFrame, guard: int = COMMUNITY_GUARD) ->
     return rows.groupBy(*KB).applyInPandas(run, "user_id string, kb_id string, canonical_id long, community_id int")
 
 
-def shortest_paths(g: DataFrame, sources: DataFrame, targets: DataFrame, hops: int = 10) -> DataFrame:
+def community_status(nodes: DataFrame, guard: int = COMMUNITY_GUARD) -> DataFrame:
+    """``user_id, kb_id, nodes, status`` of every knowledge base: ``too_large`` above the guard, else ``ok``."""
+    n = nodes.groupBy(*KB).agg(F.count("*").alias("nodes"))
+    return n.withColumn("status", F.when(F.col("nodes") > guard, "too_large").otherwise("ok"))
+
+
+def shortest_paths(g: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets (``canonical_id``) reached from any source with their distance; breadth first, one join a hop.
 
     Each hop meets only nodes not reached before; it ends when a hop finds none.
@@ -174,7 +182,7 @@ def shortest_paths(g: DataFrame, sources: DataFrame, targets: DataFrame, hops: i
     both = cut(g.select("a", "b").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = sources.select("canonical_id").distinct().withColumn("distance", F.lit(0))
     seen = front = cut(seen)
-    for d in range(1, hops + 1):
+    for d in count(1):
         step = both.join(front.select(F.col("canonical_id").alias("a")), "a").select(F.col("b").alias("canonical_id")).distinct()
         front = cut(step.join(seen, "canonical_id", "left_anti").withColumn("distance", F.lit(d)))
         if front.isEmpty():

@@ -84,12 +84,19 @@ def turns(messages: DataFrame) -> DataFrame:
 
     Chains are followed by pointer jumping, so their length costs its logarithm in joins.
     """
+    from ..sources.lineage import cut
+
     w = Window.partitionBy("conv_id").orderBy("ordinal")
     m = messages.withColumn("prev_role", F.lag("role").over(w)).withColumn("prev_id", F.lag("message_id").over(w))
     a = m.where("role = 'assistant'")
     up = a.select("message_id", F.coalesce("supersedes", "message_id").alias("root"))
-    for _ in range(5):
-        up = up.join(up.select(F.col("message_id").alias("root"), F.col("root").alias("above")), "root", "left").select("message_id", F.coalesce("above", "root").alias("root"))
+    # Twice as far each round; a chain that comes back to itself would go on for ever without the bound.
+    for _ in range(a.count().bit_length() + 1):
+        far = up.join(up.select(F.col("message_id").alias("root"), F.col("root").alias("above")), "root", "left").select("message_id", F.col("root").alias("before"), F.coalesce("above", "root").alias("root"))
+        far = cut(far)
+        up = far.select("message_id", "root")
+        if far.where("root <> before").isEmpty():
+            break
     roots = a.where("supersedes is null").select(F.col("message_id").alias("root"), F.when(F.col("prev_role") == "user", F.col("prev_id")).alias("query"))
     known = a.join(up, "message_id").join(roots.select("root", F.lit(True).alias("known")), "root", "left")
     # An answer whose chain leaves the conversation is a turn of its own.

@@ -97,29 +97,34 @@ def merge_aliases(canon: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``user_id, kb_id, canonical_id, survivor`` after the accepted pairs are merged one by one.
 
     In ascending order of id, an identity that still stands is compared with its accepted
-    partners; the one with more mentions survives, then the smaller id. One that is merged
+    partners; the one with more mentions survives, then the one created first (where `created_at` is there), then the smaller id. One that is merged
     away stops there. The order matters, so each knowledge base is one sequential group.
     """
     a = verdicts.where("accepted").select(*KB, "a", "b")
-    members = canon.join(a.select(F.explode(F.array("a", "b")).alias("canonical_id")).distinct(), "canonical_id", "left_semi").select(*KB, F.col("canonical_id").alias("a"), F.lit(None).cast("long").alias("b"), "mention_count")
-    rows = members.unionByName(a.withColumn("mention_count", F.lit(None).cast("long")))
+    canon = canon.withColumn("born", F.unix_micros(F.col("created_at").cast("timestamp")) if "created_at" in canon.columns else F.lit(0).cast("long"))
+    members = canon.join(a.select(F.explode(F.array("a", "b")).alias("canonical_id")).distinct(), "canonical_id", "left_semi").select(*KB, F.col("canonical_id").alias("a"), F.lit(None).cast("long").alias("b"), "mention_count", "born")
+    rows = members.unionByName(a.withColumn("mention_count", F.lit(None).cast("long")).withColumn("born", F.lit(None).cast("long")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         count = {int(r.a): int(r.mention_count) for r in pdf[pdf.b.isna()].itertuples()}
+        born = {int(r.a): int(r.born) for r in pdf[pdf.b.isna()].itertuples()}
         near: dict[int, list[int]] = {}
         for r in pdf[pdf.b.notna()].itertuples():
             near.setdefault(int(r.a), []).append(int(r.b))
             near.setdefault(int(r.b), []).append(int(r.a))
         into: dict[int, int] = {}
+        grown: dict[int, int] = {}
         for x in sorted(count):
             if x in into:
                 continue
+            # Both sides count as they stood when the turn of x began.
+            count = count | grown
             for y in sorted(near.get(x, [])):
                 if y in into or y == x:
                     continue
-                keep, lose = (x, y) if (-count[x], x) < (-count[y], y) else (y, x)
+                keep, lose = (x, y) if (-count[x], born[x], x) < (-count[y], born[y], y) else (y, x)
                 into[lose] = keep
-                count[keep] += count[lose]
+                grown[keep] = grown.get(keep, count[keep]) + grown.get(lose, count[lose])
                 if lose == x:
                     break
 

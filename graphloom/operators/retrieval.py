@@ -133,7 +133,8 @@ def prompt(fused: DataFrame, chunks: DataFrame) -> DataFrame:
     return c.groupBy(*KB).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", head.alias("t")))), lambda x: x["t"]), "").alias("context"))
 
 
-NOT_FOUND = "I could not find an answer to your question in the documents."
+# Fixed value: what the generator says when nothing was found.
+NOT_FOUND = "I could not find relevant information to answer this question."
 
 
 def parse_answer(df: DataFrame, n_chunks: Column, response: Column) -> DataFrame:
@@ -144,3 +145,20 @@ def parse_answer(df: DataFrame, n_chunks: Column, response: Column) -> DataFrame
     numbers = F.array_distinct(F.filter(F.transform(F.split(tail, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull() & (x >= 1) & (x <= n_chunks)))
     found = F.trim(response) != NOT_FOUND
     return df.withColumn("summary", F.when(has & found, F.trim(F.substring(response, F.lit(1), at))).otherwise(F.trim(response))).withColumn("cited", F.when(has & found, numbers).otherwise(F.array().cast("array<int>")))
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` vectors nearest to each query (``query_id, q``) by cosine, ties by id.
+
+    Queries are dealt to blocks of about ``block``; each vector meets each block once, and a
+    block's best are kept by partial ranking before the last one.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int")
+    q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    v = vectors.select("vec_id", "embedding", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    s = v.join(q, "block").select("part", "vec_id", "embedding", F.explode("asked").alias("a"))
+    s = s.select("part", "vec_id", F.col("a.query_id").alias("query_id"), F.round(cosine(F.col("embedding"), F.col("a.q")), 6).alias("score"))
+    first = ranked(s, [F.desc("score"), "vec_id"], by=["query_id", "part"], k=k).drop("rank", "part")
+    return ranked(first, [F.desc("score"), "vec_id"], by=["query_id"], k=k).drop("rank")

@@ -165,10 +165,19 @@ def _(spark, d):
     return L.alias_pairs(p).select("a", "b")
 
 
-QUERIES["J11_alias_candidates"] = lambda spark, d: L.alias_pairs(Model(spark, d).canonical.withColumn("normalized_text", F.expr("concat(left(normalized_text, 4), if(length(normalized_text) > 6, concat(' ', substr(normalized_text, 5, 3)), ''))"))).select(*KB, "a", "b")
+def _named(m):
+    """The identities, and for each one with a neighbour a fuller name: its own and the neighbour's with the smallest id."""
+    name = lambda c: m.canonical.select(F.col("canonical_id").alias(c), F.col("normalized_text").alias(f"{c}_name"))
+    near = lift(m.edges, m.resolved).groupBy(*KB, "x").agg(F.min("y").alias("y"))
+    kind = m.canonical.select(F.col("canonical_id").alias("x"), "entity_type", "mention_count")
+    full = near.join(name("x"), "x").join(name("y"), "y").join(kind, "x").select(*KB, (-F.col("x")).alias("canonical_id"), F.concat_ws(" ", "x_name", "y_name").alias("normalized_text"), "entity_type", "mention_count")
+    return m.canonical.select(*full.columns).unionByName(full)
+
+
+QUERIES["J11_alias_candidates"] = lambda spark, d: L.alias_pairs(_named(Model(spark, d))).select(*KB, "a", "b")
 ORACLES["J11_alias_candidates"] = sql(
-    "SELECT p.user_id, p.kb_id, p.canonical_id AS a, q.canonical_id AS b FROM t p JOIN t q ON p.user_id = q.user_id AND p.kb_id = q.kb_id AND p.entity_type = q.entity_type AND p.canonical_id < q.canonical_id WHERE list_has_all(p.k, q.k) OR list_has_all(q.k, p.k)",
-    "canonical", extra="t AS (SELECT *, string_split(left(normalized_text, 4) || CASE WHEN length(normalized_text) > 6 THEN ' ' || substr(normalized_text, 5, 3) ELSE '' END, ' ') AS k FROM canonical)",
+    "SELECT p.user_id, p.kb_id, p.canonical_id AS a, q.canonical_id AS b FROM t p JOIN t q ON p.user_id = q.user_id AND p.kb_id = q.kb_id AND p.entity_type = q.entity_type AND p.canonical_id < q.canonical_id WHERE p.k <> q.k AND (list_has_all(p.k, q.k) OR list_has_all(q.k, p.k))",
+    "canonical", "lifted", extra="t AS (SELECT user_id, kb_id, canonical_id, entity_type, string_split(normalized_text, ' ') AS k FROM canonical UNION ALL SELECT l.user_id, l.kb_id, -l.x, p.entity_type, string_split(p.normalized_text || ' ' || q.normalized_text, ' ') FROM (SELECT user_id, kb_id, x, min(y) AS y FROM lifted GROUP BY user_id, kb_id, x) l JOIN canonical p ON p.canonical_id = l.x JOIN canonical q ON q.canonical_id = l.y)",
 )
 
 
@@ -335,12 +344,10 @@ def _(spark, d):
     return QUERIES["R01_cosine"](spark, d).select("vec_id", F.round(1 - F.col("score"), 6).alias("distance"))
 
 
-@query("J15_batch_vector_scores", "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 12")
+@query("J15_batch_vector_scores", "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 12")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    s = e.crossJoin(q).select("query_id", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return R.ranked(s, [F.desc("score"), "vec_id"], by=["query_id"], k=12).drop("rank")
+    return R.batch_top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 12)
 
 
 @query("R07_route", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'how many|most often|summari[sz]e|overall|main ') THEN 'aggregation' WHEN regexp_matches(lower(text), 'connect|relate|between|link|through') THEN 'multi_hop' ELSE 'normal' END AS route FROM conversations WHERE role = 'user'")
@@ -501,7 +508,8 @@ def _(spark, d):
     g = cut(G.kb_graph(m.edges, m.resolved, m.canonical))
     c = cut(G.communities(m.canonical, g))
     q = G.modularity(c, g)
-    return c.groupBy(*KB).agg(F.count("*").alias("nodes"), F.countDistinct("community_id").alias("communities")).join(q, KB)
+    found = c.groupBy(*KB).agg(F.countDistinct("community_id").alias("communities")).join(q, KB)
+    return G.community_status(m.canonical).join(found, KB, "left")
 
 
 @query("G22_paths")
@@ -628,7 +636,7 @@ def _(spark, d):
 @query("G08_alias_merge")
 def _(spark, d):
     m = Model(spark, d)
-    c = m.canonical.withColumn("normalized_text", F.expr("concat(left(normalized_text, 4), if(length(normalized_text) > 6, concat(' ', substr(normalized_text, 5, 3)), ''))"))
+    c = _named(m)
     return L.merge_aliases(c, L.alias_pairs(c).withColumn("accepted", (F.col("a") + F.col("b")) % 3 != 0))
 
 
@@ -656,12 +664,12 @@ def _(spark, d):
     return replace_documents(c.withColumn("version", F.lit("old")), c.where("document_id % 3 = 0").withColumn("version", F.lit("new"))).select("chunk_id", "version")
 
 
-@query("G26_graph_recall", sql("SELECT c.user_id, c.kb_id, c.chunk_id, CASE WHEN a.chunk_id IS NOT NULL THEN 'aggregation' WHEN t.chunk_id IS NOT NULL THEN 'traversal' END AS leg FROM chunks c LEFT JOIN agg a USING (chunk_id) LEFT JOIN trav t USING (chunk_id) WHERE c.ordinal = 1", *SEED_PARTS, extra=SEED_CTES + ", " + AGG + REACH))
+@query("G26_graph_recall", sql("SELECT c.user_id, c.kb_id, c.chunk_id, CASE WHEN a.chunk_id IS NOT NULL THEN 'aggregation' WHEN t.chunk_id IS NOT NULL THEN 'traversal' END AS leg FROM chunks c LEFT JOIN agg a USING (chunk_id) LEFT JOIN trav t USING (chunk_id)", *SEED_PARTS, extra=SEED_CTES + ", " + AGG + REACH))
 def _(spark, d):
     m = Model(spark, d)
     a = R.aggregation_leg(m.canonical, m.resolved, m.edges, TEXT).select("chunk_id", F.lit(True).alias("a"))
     t = R.traversal_leg(m.canonical, m.resolved, m.edges, m.cross, TEXT).select("chunk_id", F.lit(True).alias("t"))
-    x = m.chunks.where("ordinal = 1").select(*KB, "chunk_id").join(a, "chunk_id", "left").join(t, "chunk_id", "left")
+    x = m.chunks.select(*KB, "chunk_id").join(a, "chunk_id", "left").join(t, "chunk_id", "left")
     return x.select(*KB, "chunk_id", F.when(F.col("a"), "aggregation").when(F.col("t"), "traversal").alias("leg"))
 
 

@@ -161,34 +161,35 @@ ORACLES["L05_retry_guard"] = f"SELECT doc_id, deletable AND doc_id % 3 = 0 AS re
 QUERIES["L06_reextract_guard"] = lambda spark, d: QUERIES["L04_delete_guard"](spark, d).select("doc_id", (F.col("deletable") & (F.col("doc_id") % 3 == 1)).alias("reextract"))
 ORACLES["L06_reextract_guard"] = f"SELECT doc_id, deletable AND doc_id % 3 = 1 AS reextract FROM ({ORACLES['L04_delete_guard']}) AS z"
 
-SES = "SELECT user_id, min(ts) AS created, max(ts) AS seen, count(*) % 2 = 0 AS warned FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id"
-NOW = "TIMESTAMP '2024-01-02 03:00:00'"
+# A session is a user's events of one day; the clock stands three hours after the last event of all.
+SES = "SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS created, max(ts) AS seen, count(*) % 2 = 0 AS warned FROM events GROUP BY user_id, CAST(ts AS DATE)"
+NOW = "(SELECT max(ts) + INTERVAL 3 HOUR FROM events)"
 
 
 def _sessions(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).where("ts < timestamp'2024-01-02'")
-    s = e.groupBy("user_id").agg(F.min("ts").alias("created"), F.max("ts").alias("seen"), (F.count("*") % 2 == 0).alias("warned"))
-    return s.withColumn("now", F.expr("timestamp'2024-01-02 03:00:00'"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("created"), F.max("ts").alias("seen"), (F.count("*") % 2 == 0).alias("warned"))
+    return s.crossJoin(F.broadcast(e.agg((F.max("ts") + F.expr("interval 3 hours")).alias("now"))))  # one row
 
 
-@query("P15_session_state", f"SELECT user_id, CASE WHEN {NOW} >= e THEN 'expired' WHEN {NOW} >= e - INTERVAL 15 MINUTE AND NOT warned THEN 'warn' ELSE 'live' END AS state FROM (SELECT *, least(created + INTERVAL 24 HOUR, seen + INTERVAL 6 HOUR) AS e FROM ({SES}) AS s) AS z")
+@query("P15_session_state", f"SELECT user_id, day, CASE WHEN {NOW} >= e THEN 'expired' WHEN {NOW} >= e - INTERVAL 15 MINUTE AND NOT warned THEN 'warn' ELSE 'live' END AS state FROM (SELECT *, least(created + INTERVAL 24 HOUR, seen + INTERVAL 6 HOUR) AS e FROM ({SES}) AS s) AS z")
 def _(spark, d):
-    return _sessions(spark, d).select("user_id", L.session_state(F.col("now"), F.col("created"), F.col("seen"), F.col("warned")).alias("state"))
+    return _sessions(spark, d).select("user_id", "day", L.session_state(F.col("now"), F.col("created"), F.col("seen"), F.col("warned")).alias("state"))
 
 
-@query("L08_account_status", f"SELECT user_id, date_diff('second', TIMESTAMP '2024-01-01', least(created + INTERVAL 24 HOUR, seen + INTERVAL 6 HOUR)) AS expires FROM ({SES}) AS s")
+@query("L08_account_status", f"SELECT user_id, day, date_diff('second', TIMESTAMP '2024-01-01', least(created + INTERVAL 24 HOUR, seen + INTERVAL 6 HOUR)) AS expires FROM ({SES}) AS s")
 def _(spark, d):
     end = F.least(F.col("created") + F.expr("interval 24 hours"), F.col("seen") + F.expr("interval 6 hours"))
-    return _sessions(spark, d).select("user_id", (F.unix_seconds(F.date_trunc("second", end)) - F.unix_seconds(F.expr("timestamp'2024-01-01'"))).alias("expires"))
+    return _sessions(spark, d).select("user_id", "day", (F.unix_seconds(F.date_trunc("second", end)) - F.unix_seconds(F.expr("timestamp'2024-01-01'"))).alias("expires"))
 
 
 QUERIES["T06_session_sweep"] = lambda spark, d: QUERIES["P15_session_state"](spark, d).groupBy("state").agg(F.count("*").alias("n"))
 ORACLES["T06_session_sweep"] = f"SELECT state, count(*) AS n FROM ({ORACLES['P15_session_state']}) AS z GROUP BY state"
 
 
-@query("P16_query_validation", "SELECT conv_id, turn, text <> '' AND octet_length(encode(text)) <= 400 AS ok FROM conversations WHERE role = 'user'")
+@query("P16_query_validation", "SELECT conv_id, turn, text <> '' AND octet_length(encode(text)) <= 4000 AS ok FROM conversations WHERE role = 'user'")
 def _(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.col("text") != "") & (F.octet_length("text") <= 400)).alias("ok"))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.col("text") != "") & (F.octet_length("text") <= 4000)).alias("ok"))
 
 
 MSG = "SELECT conv_id, conv_id * 1000 + turn AS message_id, turn AS ordinal, role, text FROM conversations WHERE role <> 'system'"
@@ -264,12 +265,12 @@ def _(spark, d):
     return s.select("questions", F.round("retrieval_score", 6).alias("retrieval_score"), F.round("answer_score", 6).alias("answer_score"))
 
 
-@query("J18_ground_truth", "SELECT doc_id AS pair_id, doc_id AS document_id FROM documents WHERE doc_id % 10 = 0")
+@query("J18_ground_truth", "SELECT doc_id AS pair_id, doc_id AS document_id FROM documents")
 def _(spark, d):
     from ..operators.evaluation import resolve_names
 
     docs = table(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("filename"), F.col("doc_id").alias("document_id"))
-    return resolve_names(docs.where("document_id % 10 = 0").select(F.col("document_id").alias("pair_id"), "filename"), docs).select("pair_id", "document_id")
+    return resolve_names(docs.select(F.col("document_id").alias("pair_id"), "filename"), docs).select("pair_id", "document_id")
 
 
 @query("L02_set_embedding", "SELECT vec_id, vec_id % 5 = 0 AS replaced FROM embeddings")

@@ -80,3 +80,43 @@ def test_alias_merge(spark):
     c = spark.createDataFrame([("u", "k", 1, 3), ("u", "k", 2, 9), ("u", "k", 3, 1)], "user_id string, kb_id string, canonical_id long, mention_count long")
     v = spark.createDataFrame([("u", "k", 1, 2, True), ("u", "k", 2, 3, True), ("u", "k", 1, 3, False)], "user_id string, kb_id string, a long, b long, accepted boolean")
     assert {r.canonical_id: r.survivor for r in L.merge_aliases(c, v).collect()} == {1: 2, 2: 2, 3: 2}
+
+
+def test_long_paths_and_chains(spark):
+    from graphloom.operators.graph import community_status, shortest_paths
+    from graphloom.operators.lifecycle import turns
+
+    g = spark.createDataFrame([(i, i + 1) for i in range(14)], "a long, b long")
+    one = lambda i: spark.createDataFrame([(i,)], "canonical_id long")
+    assert [tuple(r) for r in shortest_paths(g, one(0), one(14)).collect()] == [(14, 14)]
+    chain = [(1, 100, 0, "user", None)] + [(1, 101 + i, 1 + i, "assistant", 100 + i if i else None) for i in range(40)]
+    rows = turns(spark.createDataFrame(chain, "conv_id long, message_id long, ordinal long, role string, supersedes long")).collect()
+    assert [(r.root, r["query"], r.answers) for r in rows] == [(101, 100, list(range(101, 141)))]
+    nodes = spark.createDataFrame([("u", "small", 1)] + [("u", "large", i) for i in range(4)], "user_id string, kb_id string, canonical_id long")
+    assert {(r.kb_id, r.nodes, r.status) for r in community_status(nodes, guard=3).collect()} == {("small", 1, "ok"), ("large", 4, "too_large")}
+
+
+def test_merges_count_as_of_their_turn(spark):
+    from graphloom.operators.linking import merge_aliases
+
+    canon = spark.createDataFrame([("u", "k", 1, 3, "2024-01-02"), ("u", "k", 2, 2, "2024-01-01"), ("u", "k", 3, 4, "2024-01-03"), ("u", "k", 5, 7, "2024-01-02"), ("u", "k", 6, 7, "2024-01-01")], "user_id string, kb_id string, canonical_id long, mention_count long, created_at string")
+    pairs = spark.createDataFrame([("u", "k", 1, 2, True), ("u", "k", 1, 3, True), ("u", "k", 5, 6, True)], "user_id string, kb_id string, a long, b long, accepted boolean")
+    got = {r.canonical_id: r.survivor for r in merge_aliases(canon, pairs).collect()}
+    # 1 takes 2 in but still counts 3 in that turn, so 3 survives it; of 5 and 6 the older one does.
+    assert got == {1: 3, 2: 3, 3: 3, 5: 6, 6: 6}
+    assert {r.canonical_id: r.survivor for r in merge_aliases(canon.drop("created_at"), pairs).collect()}[6] == 5
+
+
+def test_block_search_by_brute_force(spark):
+    import numpy as np
+
+    from graphloom.operators.retrieval import batch_top_k
+
+    x = np.random.default_rng(3).normal(size=(60, 5))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 7 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    got = {}
+    for r in batch_top_k(v, q, 4, block=3).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == {i: set(np.argsort(-(unit @ unit[i]))[:4].tolist()) for i in range(0, 60, 7)}
