@@ -29,16 +29,17 @@ CONTENT_TYPES = {
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC, which Spark SQL has no function for."""
+    """Unicode NFKC, which Spark SQL has no function for; only text beyond ASCII goes to Python."""
 
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
 
-    return F.pandas_udf(run, StringType())(text)
+    beyond = F.when(~text.rlike(r"^\p{ASCII}*$"), text)
+    return F.coalesce(F.pandas_udf(run, StringType())(beyond), text)
 
 
-def normalized(text: Column, compatibility: bool = False) -> Column:
-    """Lower case, optional NFKC, and single spaces. ASCII text needs no NFKC and stays in the JVM."""
+def normalized(text: Column, compatibility: bool = True) -> Column:
+    """Lower case, NFKC unless told otherwise, and single spaces."""
     t = F.lower(text)
     if compatibility:
         t = nfkc(t)

@@ -113,3 +113,71 @@ def search(chunks: DataFrame, q: str) -> DataFrame:
         tf = (F.length("_t") - F.length(F.replace("_t", F.lit(word), F.lit("")))) / len(word)
         score = score + tf / (tf + 1)
     return c.where(F.lit(bool(need))).withColumn("score", score).drop("_t")
+
+
+def _whole(text: Column) -> Column:
+    """An integer in decimal notation with an optional sign; null for anything else."""
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
+
+
+def numbered(text: Column, heads: list[str], field: str) -> Column:
+    """``array<struct<ids, value>>``: the values of lines ``FIELD: value`` by the numbers of the heads above them, outer head first.
+
+    Labels match as written. A head opens its level and closes the ones below it; a value counts
+    only where all levels have a number. A number answered twice has its last value.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    k = len(heads)
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array(*[none] * k).alias("at"), F.array().cast("array<struct<ids:array<int>,value:string>>").alias("out"))
+    rest = lambda line, label: F.trim(F.substr(line, F.lit(len(label) + 2)))
+
+    def step(acc: Column, line: Column) -> Column:
+        at, out = acc["at"], acc["out"]
+        known = F.forall(at, lambda x: x.isNotNull())
+        put = F.concat(F.filter(out, lambda o: o["ids"] != at), F.array(F.struct(at.alias("ids"), rest(line, field).alias("value"))))
+        new = F.when(line.startswith(field + ":") & known, put).otherwise(out)
+        moved = at
+        for i, head in reversed(list(enumerate(heads))):
+            opened = F.array(*(at[j] for j in range(i)), _whole(rest(line, head)), *[none] * (k - i - 1))
+            moved = F.when(line.startswith(head + ":"), opened).otherwise(moved)
+        return F.struct(moved.alias("at"), new.alias("out"))
+
+    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+
+
+#: A theme without a label, and how many themes a run keeps.
+UNTITLED, MOST_THEMES = "Untitled theme", 3
+
+
+def themes(text: Column, sizes: Column) -> Column:
+    """``struct<themes array<struct<id, label, summary, size>>, note>`` of a reply with blocks of ``COMMUNITY:``, ``LABEL:`` and ``SUMMARY:`` and a ``NOTE:``.
+
+    ``sizes`` maps the ids that were offered to their member counts; blocks of other ids go.
+    A reply without any theme has no note.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    item = "struct<id:int,label:string,summary:string>"
+    null, empty = F.lit(None).cast(item), F.array().cast(f"array<{item}>")
+    start = F.struct(null.alias("cur"), empty.alias("out"), F.lit("").alias("note"))
+    rest = lambda line, label: F.trim(F.substr(line, F.lit(len(label) + 1)))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"])))
+
+    def step(acc: Column, line: Column) -> Column:
+        head, note = line.startswith("COMMUNITY:"), line.startswith("NOTE:")
+        number = _whole(rest(line, "COMMUNITY:"))
+        cur = acc["cur"]
+        opened = F.when(number.isNotNull(), F.struct(number.alias("id"), F.lit("").alias("label"), F.lit("").alias("summary")))
+        label = F.when(line.startswith("LABEL:"), rest(line, "LABEL:")).otherwise(cur["label"])
+        summary = F.when(line.startswith("SUMMARY:"), rest(line, "SUMMARY:")).otherwise(cur["summary"])
+        filled = F.when(cur.isNotNull(), F.struct(cur["id"].alias("id"), label.alias("label"), summary.alias("summary")))
+        now = F.when(head, opened).when(note, null).otherwise(filled)
+        return F.struct(now.cast(item).alias("cur"), F.when(head | note, closed(acc)).otherwise(acc["out"]).alias("out"), F.when(note, rest(line, "NOTE:")).otherwise(acc["note"]).alias("note"))
+
+    end = F.aggregate(lines, start, step, lambda acc: F.struct(closed(acc).alias("found"), acc["note"].alias("note")))
+    valid = F.filter(end["found"], lambda t: sizes[t["id"]].isNotNull())
+    named = F.transform(valid, lambda t: F.struct(t["id"].alias("id"), F.when(t["label"] == "", UNTITLED).otherwise(t["label"]).alias("label"), t["summary"].alias("summary"), sizes[t["id"]].alias("size")))
+    kept = F.slice(named, 1, MOST_THEMES)
+    return F.struct(kept.alias("themes"), F.when(F.size(kept) > 0, end["note"]).otherwise("").alias("note"))

@@ -105,3 +105,61 @@ def turns(messages: DataFrame) -> DataFrame:
     out = g.join(roots, "root", "left")
     asked = m.where("role = 'user'").select("conv_id", F.col("message_id").alias("query")).join(roots.where("query is not null").select("query"), "query", "left_anti")
     return out.select("conv_id", "root", "query", "answers").unionByName(asked.select("conv_id", F.lit(None).cast("long").alias("root"), "query", F.array().cast("array<bigint>").alias("answers")))
+
+
+#: SQLSTATE classes of errors that a retry can't mend (bad data, broken constraint, bad statement).
+DETERMINISTIC = ["22", "23", "42"]
+
+
+def error_class(sqlstate: Column) -> Column:
+    """``deterministic`` for errors that would come again (the row belongs in quarantine), ``transient`` for all others, also those without a state."""
+    return F.when(F.left(sqlstate, F.lit(2)).isin(DETERMINISTIC), "deterministic").otherwise("transient")
+
+
+def publish(jobs: DataFrame, requests: DataFrame, undelivered: DataFrame) -> DataFrame:
+    """The records of ``requests`` (distinct keys) after their publication: ``user_id, document_id, job_type, attempt, status, started, error``.
+
+    A job without a record starts at attempt 1, a finished one anew, an active one stays as
+    it is and isn't dispatched. A started attempt in ``undelivered`` (keys and ``reason``) fails at once,
+    so that it doesn't stand as pending with nothing running it.
+    """
+    key = ["user_id", "document_id", "job_type"]
+    j = requests.select(*key).distinct().join(jobs.select(*key, F.col("status").alias("was"), F.col("attempt").alias("last"), F.col("error").alias("old")), key, "left")
+    j = j.join(undelivered.select(*key, "reason"), key, "left")
+    started = F.col("was").isNull() | ~F.col("was").isin(*ACTIVE)
+    lost = started & F.col("reason").isNotNull()
+    return j.select(
+        *key, F.when(started, F.coalesce("last", F.lit(0)) + 1).otherwise(F.col("last")).alias("attempt"), F.when(lost, "failed").when(started, "pending").otherwise(F.col("was")).alias("status"),
+        started.alias("started"), F.when(lost, F.col("reason")).when(started, "").otherwise(F.coalesce("old", F.lit(""))).alias("error"),
+    )
+
+
+def _busy(jobs: DataFrame) -> DataFrame:
+    return jobs.where(F.col("status").isin(*ACTIVE)).select("document_id").distinct().withColumn("_busy", F.lit(True))
+
+
+def retry_guard(documents: DataFrame, jobs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``document_id, verdict``: ``retry`` resets a document to pending; else why it can't be (``not_failed``, ``busy``, ``rejected``)."""
+    d = documents.join(_busy(jobs), "document_id", "left").join(rejected.select("document_id").distinct().withColumn("_bad", F.lit(True)), "document_id", "left")
+    verdict = F.when(~F.col("status").eqNullSafe("failed"), "not_failed").when(F.col("_busy"), "busy").when(F.col("_bad"), "rejected").otherwise("retry")
+    return d.select("document_id", verdict.alias("verdict"))
+
+
+def reextract_guard(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``document_id, verdict``: ``reextract``, or ``not_indexed`` or ``busy``."""
+    d = documents.join(_busy(jobs), "document_id", "left")
+    return d.select("document_id", F.when(~F.col("status").eqNullSafe("indexed"), "not_indexed").when(F.col("_busy"), "busy").otherwise("reextract").alias("verdict"))
+
+
+def update_status(documents: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with the status of ``updates`` (``user_id, document_id, new_status``; one row a document), and the updates that found none of that tenant."""
+    key = ["user_id", "document_id"]
+    out = documents.join(updates.select(*key, "new_status"), key, "left").withColumn("status", F.coalesce("new_status", "status")).select(*documents.columns)
+    return out, updates.join(documents.select(*key), key, "left_anti")
+
+
+def get_or_create(inquiries: DataFrame, asked: DataFrame) -> DataFrame:
+    """One inquiry for each ``user_id, kb_id`` of ``asked``: the one there is, or a new one (``created``) whose id is a hash of both."""
+    key = ["user_id", "kb_id"]
+    j = asked.select(*key).distinct().join(inquiries.select(*key, "inquiry_id"), key, "left")
+    return j.select(*key, F.coalesce("inquiry_id", F.xxhash64(*key)).alias("inquiry_id"), F.col("inquiry_id").isNull().alias("created"))

@@ -77,7 +77,7 @@ def mentions(chunks: DataFrame, pattern: str = MENTION, threshold: float = 0.5,
     return c.where((F.col("score") >= threshold) & (F.length(F.trim("text")) >= 2) & ~is_function_word(F.col("text")))
 
 
-def resolve(m: DataFrame, compatibility: bool = False) -> DataFrame:
+def resolve(m: DataFrame, compatibility: bool = True) -> DataFrame:
     """Mentions with ``normalized_text`` and ``canonical_id``: the smallest mention id of equal (tenant, kb, text, type)."""
     m = m.withColumn("normalized_text", normalized(F.col("text"), compatibility))
     key = [*KB, "normalized_text", "entity_type"]

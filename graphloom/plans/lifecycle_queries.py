@@ -104,12 +104,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["r"]), "\n").alias("text"))
 
 
-@query("S21_zip_by_ordinal", "SELECT vec_id AS document_id, 1 AS vectors FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
-def _(spark, d):
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
-    return c.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id").groupBy("document_id").agg(F.count("embedding").cast("int").alias("vectors"))
-
-
 JOB = "SELECT event_id, user_id AS document_id, event_id % 2 = 0 AS has_layout, ['pending', 'processing', 'succeeded', 'failed'][event_id % 4 + 1] AS status, ['region_classification', 'document_indexing', 'entity_extraction', 'edge_extraction', 'canonicalization', 'malware_scan'][event_id % 6 + 1] AS job_type, CASE WHEN event_id % 5 = 0 THEN 'embedding' ELSE '' END AS phase FROM events"
 
 
@@ -156,11 +150,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id").join(busy, "doc_id", "left").select("doc_id", F.col("busy").isNull().alias("deletable"))
 
 
-QUERIES["L05_retry_guard"] = lambda spark, d: QUERIES["L04_delete_guard"](spark, d).select("doc_id", (F.col("deletable") & (F.col("doc_id") % 3 == 0)).alias("retry"))
-ORACLES["L05_retry_guard"] = f"SELECT doc_id, deletable AND doc_id % 3 = 0 AS retry FROM ({ORACLES['L04_delete_guard']}) AS z"
-QUERIES["L06_reextract_guard"] = lambda spark, d: QUERIES["L04_delete_guard"](spark, d).select("doc_id", (F.col("deletable") & (F.col("doc_id") % 3 == 1)).alias("reextract"))
-ORACLES["L06_reextract_guard"] = f"SELECT doc_id, deletable AND doc_id % 3 = 1 AS reextract FROM ({ORACLES['L04_delete_guard']}) AS z"
-
 # A session is a user's events of one day; the clock stands three hours after the last event of all.
 SES = "SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS created, max(ts) AS seen, count(*) % 2 = 0 AS warned FROM events GROUP BY user_id, CAST(ts AS DATE)"
 NOW = "(SELECT max(ts) + INTERVAL 3 HOUR FROM events)"
@@ -280,11 +269,6 @@ def _(spark, d):
     return e.join(new, "vec_id", "left").select("vec_id", (F.element_at(F.coalesce("fresh", "embedding"), 1) == F.coalesce(F.element_at("fresh", 1), F.lit(-9.0))).alias("replaced"))
 
 
-@query("L03_status_update", f"SELECT event_id, CASE WHEN document_id % 2 = 0 AND status = 'processing' THEN 'indexed' ELSE status END AS status FROM ({JOB}) AS q")
-def _(spark, d):
-    return _jobs(spark, d).select("event_id", F.when((F.col("document_id") % 2 == 0) & (F.col("status") == "processing"), "indexed").otherwise(F.col("status")).alias("status"))
-
-
 @query("L07_tenant_delete", "SELECT doc_id FROM documents WHERE source <> 'src0'")
 def _(spark, d):
     gone = spark.createDataFrame([("src0",)], "source string")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import stateful as S
@@ -18,32 +16,58 @@ def _stream(spark, d, name):
     return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
 
 
-def _name() -> str:
-    return "s" + uuid.uuid4().hex
-
-
 def t01(spark, d):
     e = _stream(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return S.run_to_end(S.rate_limited(e, 1, 3600), _name()).select(F.col("key").cast("long").alias("key"), "id", "allowed")
+    return S.run_to_end(S.rate_limited(e, 1, 3600)).select(F.col("key").cast("long").alias("key"), "id", "allowed")
+
+
+# Operations on fifty jobs in order of event: attempts 1 to 3 report, some of them late.
+OPS = "SELECT (user_id % 50)::VARCHAR AS key, event_id AS id, ['enqueue', 'processing', 'succeeded', 'failed'][event_id % 4 + 1] AS op, event_id % 3 + 1 AS of, CASE WHEN event_id % 5 = 0 THEN 'embedding' ELSE '' END AS np, 'r' || event_id % 7 AS reason, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS r FROM events"
+JOBS = f"""WITH RECURSIVE o AS ({OPS}),
+f(key, id, r, status, attempt, phase, error, outcome) AS (
+  SELECT DISTINCT key, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 0, '', '', '' FROM o
+  UNION ALL
+  SELECT key, id, r, CASE outcome WHEN 'started' THEN 'pending' WHEN 'changed' THEN op ELSE status END, CASE WHEN outcome = 'started' THEN attempt + 1 ELSE attempt END,
+    CASE WHEN outcome = 'started' OR (outcome = 'changed' AND op = 'succeeded') THEN '' WHEN outcome = 'changed' AND op = 'processing' AND np <> '' THEN np ELSE phase END,
+    CASE WHEN outcome = 'started' OR (outcome = 'changed' AND op = 'succeeded') THEN '' WHEN outcome = 'changed' AND op = 'failed' THEN reason ELSE error END, outcome
+  FROM (SELECT o.*, f.status, f.attempt, f.phase, f.error, CASE
+      WHEN o.op = 'enqueue' THEN CASE WHEN f.status IN ('pending', 'processing') THEN 'running' ELSE 'started' END
+      WHEN f.status IS NULL THEN 'not_found' WHEN o.of <> f.attempt THEN 'superseded'
+      WHEN f.status NOT IN ('pending', 'processing') THEN CASE WHEN f.status = o.op THEN 'same' ELSE 'not_active' END
+      WHEN o.op = 'processing' AND f.status = 'processing' AND o.np IN ('', f.phase) THEN 'same' ELSE 'changed' END AS outcome
+    FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1) AS q)
+SELECT key, id, coalesce(status, 'none') AS status, attempt, phase, error, outcome FROM f WHERE r > 0"""
 
 
 def t03(spark, d):
     ops = F.element_at(F.array(*map(F.lit, ["enqueue", "processing", "succeeded", "failed"])), (F.col("event_id") % 4 + 1).cast("int"))
-    e = _stream(spark, d, "events").select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("id"), ops.alias("op"), (F.col("event_id") % 3 + 1).alias("attempt"))
-    return S.run_to_end(S.job_states(e), _name())
+    phase = F.when(F.col("event_id") % 5 == 0, "embedding").otherwise("")
+    e = _stream(spark, d, "events").select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("id"), ops.alias("op"), (F.col("event_id") % 3 + 1).alias("attempt"), phase.alias("phase"), F.concat(F.lit("r"), F.col("event_id") % 7).alias("reason"))
+    return S.run_to_end(S.job_states(e))
+
+
+def t07(spark, d):
+    change = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
+    e = _stream(spark, d, "events").select(F.col("event_type").alias("user_id"), F.lit("kb").alias("kb_id"), F.col("user_id").cast("string").alias("normalized_text"), F.lit("person").alias("entity_type"), change.alias("change"))
+    return S.run_to_end(S.canonical_counts(e), "complete").where("mention_count > 0")
 
 
 def t10(spark, d):
-    c = _stream(spark, d, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), F.concat("text", F.lit(" ")).alias("delta"))
-    return S.run_to_end(S.visible_stream(c), _name()).groupBy("answer_id").agg(F.sum(F.length("shown")).alias("shown"))
+    c = _stream(spark, d, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), F.when(F.col("turn") == 2, "Cita").when(F.col("turn") == 3, "tions: 1 ").otherwise(F.concat("text", F.lit(" "))).alias("delta"))
+    return S.run_to_end(S.visible_stream(c)).groupBy("answer_id").agg(F.sum(F.length("shown")).alias("shown"))
 
 
 def t11(spark, d):
-    return S.run_to_end(S.usage(_stream(spark, d, "events")), _name(), "complete").select("event_type", "n", F.round("average", 4).alias("average"))
+    return S.run_to_end(S.usage(_stream(spark, d, "events")), "complete").select("event_type", "n", F.round("average", 4).alias("average"))
 
 
 QUERIES["T01_rate_limiter_stream"], ORACLES["T01_rate_limiter_stream"] = t01, LIMITER
-QUERIES["T03_job_states_stream"] = t03
-QUERIES["T04_superseded_attempts"] = lambda spark, d: t03(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
-QUERIES["T10_footer_filter_stream"], ORACLES["T10_footer_filter_stream"] = t10, "SELECT conv_id AS answer_id, sum(length(text) + 1)::BIGINT AS shown FROM conversations GROUP BY conv_id"
+QUERIES["T03_job_states_stream"], ORACLES["T03_job_states_stream"] = t03, JOBS
+QUERIES["T04_superseded_attempts"] = lambda spark, d: t03(spark, d).where("outcome = 'superseded'").select("key", "id", "status", "attempt")
+ORACLES["T04_superseded_attempts"] = f"SELECT key, id, status, attempt FROM ({JOBS}) AS z WHERE outcome = 'superseded'"
+QUERIES["T07_canonical_counts_stream"] = t07
+ORACLES["T07_canonical_counts_stream"] = "SELECT event_type AS user_id, 'kb' AS kb_id, user_id::VARCHAR AS normalized_text, 'person' AS entity_type, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS mention_count FROM events GROUP BY event_type, user_id HAVING sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) > 0"
+# The footer comes in two pieces, of which the first alone is held back at the end of a stream.
+QUERIES["T10_footer_filter_stream"], ORACLES["T10_footer_filter_stream"] = t10, """SELECT answer_id, CASE WHEN contains(lower(s), 'citations:') THEN instr(lower(s), 'citations:') - 1 WHEN s LIKE '%Cita' THEN length(s) - 4 ELSE length(s) END AS shown
+FROM (SELECT conv_id AS answer_id, string_agg(CASE turn WHEN 2 THEN 'Cita' WHEN 3 THEN 'tions: 1 ' ELSE text || ' ' END, '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id) AS q"""
 QUERIES["T11_usage_stream"], ORACLES["T11_usage_stream"] = t11, "SELECT event_type, count(*) AS n, round(sum(value) / count(value), 4) AS average FROM events GROUP BY event_type"

@@ -34,11 +34,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files with accepted names: ``filename, content_type, text``."""
+    """Whole files below ``path``: ``filename, content_type, text``; a file name whose extension isn't accepted is an error when it is read.
+
+    ``filename`` is the path below ``path``, so that ground truth can name it.
+    """
     from ..functions.text import content_type
 
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("filename"), F.col("value").alias("text"))
-    return raw.withColumn("content_type", content_type(F.col("filename"))).where("content_type is not null")
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("f"), F.col("value").alias("text"))
+    root = "/" + path.split("://", 1)[-1].strip("/") + "/"
+    name = F.regexp_replace(F.substring_index(F.url_decode(F.regexp_replace("f", r"\+", "%2B")), root, -1), "^/+", "")
+    kind = F.coalesce(content_type(name), F.raise_error(F.concat(F.lit("extension not accepted: "), name)).cast("string"))
+    return raw.select(name.alias("filename"), kind.alias("content_type"), "text")
 
 
 def ground_truth(spark: SparkSession, path: str, section: str) -> DataFrame:
@@ -54,8 +60,3 @@ def replace_documents(existing: DataFrame, fresh: DataFrame, key: str = "documen
 def insert_new(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``fresh`` whose key neither ``existing`` nor an earlier row has."""
     return fresh.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-
-
-def write_partitioned(df: DataFrame, path: str) -> None:
-    """Sink by tenant and knowledge base; only the partitions in ``df`` are overwritten."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id", "kb_id").parquet(path)

@@ -10,11 +10,16 @@ def test_job_states():
     assert enqueue(None, 0) == ("pending", 1, True)
     assert enqueue("processing", 2) == ("processing", 2, False)
     assert enqueue("failed", 2) == ("pending", 3, True)
-    assert transition("processing", 1, 1, "succeeded") == ("succeeded", "changed")
-    assert transition("succeeded", 1, 1, "succeeded") == ("succeeded", "same")
-    assert transition("succeeded", 1, 1, "failed") == ("succeeded", "not_active")
-    assert transition("pending", 2, 1, "failed") == ("pending", "superseded")
-    assert transition("pending", 1, 1, "pending") == ("pending", "invalid")
+    assert transition("processing", 1, 1, "succeeded", "embedding", "x") == ("succeeded", "", "", "changed")
+    assert transition("succeeded", 1, 1, "succeeded") == ("succeeded", "", "", "same")
+    assert transition("succeeded", 1, 1, "failed") == ("succeeded", "", "", "not_active")
+    assert transition("pending", 2, 1, "failed") == ("pending", "", "", "superseded")
+    assert transition("pending", 1, 1, "pending") == ("pending", "", "", "invalid")
+    assert transition("pending", 1, 1, "processing", new_phase="a") == ("processing", "a", "", "changed")
+    assert transition("processing", 1, 1, "processing", "a") == ("processing", "a", "", "same")
+    assert transition("processing", 1, 1, "processing", "a", "", "b") == ("processing", "b", "", "changed")
+    assert transition("processing", 1, 1, "failed", "a", "", "", "why") == ("failed", "a", "why", "changed")
+    assert transition("failed", 1, 1, "failed", "a", "why", "", "again") == ("failed", "a", "why", "same")
 
 
 def test_footer_filter():
