@@ -315,7 +315,7 @@ def _(spark, d):
     return B.visible(c.unionByName(end))
 
 
-@query("R12_no_context", "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'answer' ELSE 'I could not find an answer to your question in the documents.' END AS summary FROM (SELECT DISTINCT conv_id FROM conversations) AS q")
+@query("R12_no_context", "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'answer' ELSE 'I could not find relevant information to answer this question.' END AS summary FROM (SELECT DISTINCT conv_id FROM conversations) AS q")
 def _(spark, d):
     c = table(spark, d, "conversations").select("conv_id").distinct().withColumn("chunks", F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
     return c.select("conv_id", F.when(F.size("chunks") == 0, R.NOT_FOUND).otherwise("answer").alias("summary"))
