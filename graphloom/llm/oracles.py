@@ -46,4 +46,28 @@ select v.vec_id, coalesce(n.n_links, 0) as n_links, comp.component_id, v.vec_id
 from v left join comp on comp.vec_id = v.vec_id left join n on n.vec_id = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_warc_fixity": _OP4, "op5_embedding_dedup": _OP5}
+
+
+def _op12(clusters: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """Lloyd's rounds one after the other, over all rows; the vectors are lists of whole numbers."""
+    near = "(select vec_id, q, k, d from (select v.vec_id, v.row, v.q, c.k, list_sum(list_transform(list_zip(v.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v, {c} c) as x qualify row_number() over (partition by row order by d, k) = 1)"
+    parts = [
+        f"v as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as materialized (select row_number() over (order by h, q) - 1 as k, q as c from (select sha256('2:' || vec_id) as h, q from v where vec_id is not null order by h, q limit {clusters}) as x)",
+    ]
+    # Whole-number division goes toward zero, so the remainder is taken off first.
+    floor = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+    for i in range(rounds):
+        parts += [
+            f"a{i} as materialized {near.format(c=f'c{i}')}",
+            f"m{i} as (select k, j, {floor} as x from (select k, unnest(range({width})) as j, unnest(q) as x from a{i}) as y group by k, j)",
+            f"c{i + 1} as materialized (select c.k, coalesce(n.c, c.c) as c from c{i} c left join (select k, list(x::bigint order by j) as c from m{i} group by k) n using (k))",
+        ]
+    parts.append(f"a as materialized {near.format(c=f'c{rounds}')}")
+    return (
+        f"with {', '.join(parts)} select a.vec_id, a.k::integer as cluster, a.d::bigint as distance, sum(a.d) over (partition by a.k)::bigint as cluster_inertia, sum(a.d) over ()::bigint as inertia, "
+        f"sha256(array_to_string(c.c, ',')) as centroid_sha256 from a join c{rounds} c using (k)"
+    )
+
+
+ORACLES: dict[str, str] = {"op4_warc_fixity": _OP4, "op5_embedding_dedup": _OP5, "op12_centroid_clusters": _op12()}

@@ -89,6 +89,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, write(_table(spark, sf_dir, "documents")))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
@@ -101,4 +107,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
