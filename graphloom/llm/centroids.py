@@ -46,7 +46,7 @@ def first_centroids(rows: DataFrame, clusters: int = CLUSTERS, seed: int = 2) ->
     """The vectors of the ids with the smallest SHA-256 of ``seed:vec_id``; a null id has none. Equal ids go by their vectors."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     best = rows.where("vec_id is not null").select(h.alias("h"), "q").orderBy("h", "q").limit(clusters).collect()  # as many rows as clusters
-    return np.array([r.q for r in best], np.int64).reshape(len(best), -1)
+    return np.array([r.q for r in best], np.int64)
 
 
 def _nearest(q: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
