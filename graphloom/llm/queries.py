@@ -95,6 +95,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import align
+
+    return align(_table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
@@ -108,4 +114,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_token_alignment": op13_token_alignment,
 }
