@@ -24,7 +24,7 @@ from .word_tokens import ByteLevel, Pieces, public_path, spread, valid, vocabula
 #: Stripes of first ids; id ``a`` is row ``a // STRIPES`` of stripe ``a % STRIPES``.
 STRIPES = 512
 #: Bytes of text whose links lie in one row a stripe.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Links that are counted together before they are shuffled, and that one task scores of a stripe.
 HELD, SCORED = 4_000_000, 4_000_000
 #: Groups of more pairs are taken apart into distinct ids first.
@@ -96,9 +96,8 @@ class Aligner:
         mixed[place_a] = 2 * a.astype(np.int64) + ends_a
         mixed[place_b] = 2 * (b.astype(np.int64) + len(self.bytes_a.size)) + ends_b
         get, out = self.written.__getitem__, []
-        order = mixed.tolist()
         for i, j in zip((at_a + at_b)[:-1].tolist(), (at_a + at_b)[1:].tolist(), strict=True):
-            out.append(hashlib.sha256(b"".join(map(get, order[i:j]))[:-1]).hexdigest() if j > i else "")
+            out.append(hashlib.sha256(b"".join(map(get, mixed[i:j].tolist()))[:-1]).hexdigest() if j > i else "")
         return out
 
     @staticmethod
@@ -324,7 +323,7 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k
     tokens in a text are plain text. Repeated rows are documents of their own. :func:`pair_counts`
     lists the counts.
 
-    A chunk of texts (4 MiB, or one longer text) is held by one task with its pairs, some
+    A chunk of texts (1 MiB, or one longer text) is held by one task with its pairs, some
     sixty bytes a byte; a group without common ends is taken as distinct ids with their
     numbers. The driver gets one number for each of the 512 stripes.
     """
