@@ -21,29 +21,56 @@ MENTION = "[A-Z][a-z]{3,}"
 
 
 def _aligned(at: str) -> str:
-    """SQL for a byte offset moved back to the start of its UTF-8 character."""
+    """SQL for a byte offset moved back to the start of its UTF-8 character; ``{n}`` stands for the size."""
     inside = lambda k: f"hex(substring(d, {at} + 1 - {k}, 1)) between '80' and 'BF'"
-    return f"({at} - case when {at} <= 0 or {at} >= n or not {inside(0)} then 0 when not {inside(1)} then 1 when not {inside(2)} then 2 else 3 end)"
+    return f"({at} - case when {at} <= 0 or {at} >= {{n}} or not {inside(0)} then 0 when not {inside(1)} then 1 when not {inside(2)} then 2 else 3 end)"
+
+
+def _onward(at: str) -> str:
+    """SQL for a byte offset moved on to the start of the next UTF-8 character, or the end."""
+    inside = lambda k: f"{at} + {k} < {{n}} and hex(substring(d, {at} + 1 + {k}, 1)) between '80' and 'BF'"
+    return f"least({{n}}, {at} + case when not ({inside(0)}) then 0 when not ({inside(1)}) then 1 when not ({inside(2)}) then 2 else 3 end)"
+
+
+#: Ids are written in decimal places up to here; what has no place there has a hash of its parts below zero.
+PLACES = {"document": 9_000_000_000, "window": 100_000, "mention": 10_000}
+
+
+def _placed(parts: list[Column], limits: list[int]) -> Column:
+    """A readable id of small parts (the first one times the limits of the rest), else a negative 63-bit hash of them, so that neither overflows nor meets the other."""
+    fits, value = parts[0].between(0, limits[0] - 1), parts[0]
+    for part, limit in zip(parts[1:], limits[1:], strict=True):
+        fits, value = fits & part.between(0, limit - 1), value * limit + part
+    return F.when(fits, value).when(F.coalesce(*parts).isNotNull(), -1 - F.xxhash64(*parts).bitwiseAND((1 << 62) - 1))
+
+
+#: Windows that are found in one piece; pieces are put together at the end, so that no long list is copied for each window.
+_RUN = 256
 
 
 def windows(docs: DataFrame, size: int = PASSAGE[0], overlap: int = PASSAGE[1]) -> DataFrame:
     """Byte windows of fixed size with overlap, cut at character starts only.
 
     Adds ``chunk_id, ordinal, text, token_count, char_start, char_end`` (byte offsets, end
-    exclusive) in place of the text. Empty and null texts give no window.
+    exclusive) in place of the text. Empty and null texts give no window. A place inside a
+    character moves back to its start or, where that would not lead on, to the next one.
     """
     step = max(1, size - overlap)
-    end = f"if(x.s + {size} >= n, n, if({_aligned(f'(x.s + {size})')} > x.s, {_aligned(f'(x.s + {size})')}, x.s + {size}))"
-    after = f"if({_aligned(f'(x.s + {step})')} > x.s, {_aligned(f'(x.s + {step})')}, x.s + {step})"
-    acc = "named_struct('s', 0, 'done', false, 'w', cast(array() as array<struct<s:int,e:int>>))"
-    merge = f"if(x.done, x, named_struct('s', {after}, 'done', {end} >= n, 'w', array_append(x.w, named_struct('s', x.s, 'e', {end}))))"
-    count = f"cast(ceil(n / greatest(1, {step} - 3)) as int)"
-    d = docs.where("text is not null and text <> ''").withColumn("d", F.encode("text", "UTF-8")).withColumn("n", F.octet_length("text"))
-    d = d.withColumn("w", F.expr(f"aggregate(sequence(1, {count}), {acc}, (x, i) -> {merge}, x -> x.w)"))
-    d = d.select("document_id", *KB, "d", F.posexplode("w").alias("ordinal", "w"))
-    part = F.expr("substring(d, w.s + 1, w.e - w.s)")
+    place = lambda at: f"if({_aligned(at)} > x.s, {_aligned(at)}, {_onward(at)})"
+    end = f"if(x.s + {size} >= {{n}}, {{n}}, {place(f'(x.s + {size})')})"
+    none = "cast(array() as array<struct<s:int,e:int>>)"
+    merge = f"if(x.done, x, named_struct('s', {place(f'(x.s + {step})')}, 'done', {end} >= {{n}}, 'w', array_append(x.w, named_struct('s', x.s, 'e', {end}))))"
+    count = f"cast(ceil({{n}} / greatest(1, {step} - 3)) as int)"
+    run = f"aggregate(sequence(1, least({count}, {_RUN})), named_struct('s', o.s, 'done', o.done, 'w', {none}), (x, i) -> {merge})"
+    start = "named_struct('s', 0, 'done', false, 'w', cast(array() as array<array<struct<s:int,e:int>>>))"
+    runs = f"aggregate(sequence(1, cast(ceil({count} / {_RUN}) as int)), {start}, (o, j) -> if(o.done, o, transform(array({run}), y -> named_struct('s', y.s, 'done', y.done, 'w', array_append(o.w, y.w)))[0]), o -> flatten(o.w))"
+    # Texts are cut within the list: a row that is copied for each window must not hold the whole
+    # text. The bytes are a variable, since each look at a row's binary column copies it whole.
+    cut = f"transform(array(encode(text, 'UTF-8')), d -> transform({runs}, x -> named_struct('s', x.s, 'e', x.e, 't', decode(substring(d, x.s + 1, x.e - x.s), 'UTF-8'))))[0]".replace("{n}", "octet_length(d)")
+    d = docs.where("text is not null and text <> ''").select("document_id", *KB, F.expr(cut).alias("w"))
+    d = d.select("document_id", *KB, F.posexplode("w").alias("ordinal", "w"))
     return d.select(
-        (F.col("document_id") * 100_000 + F.col("ordinal")).alias("chunk_id"), "document_id", *KB, "ordinal", F.decode(part, "UTF-8").alias("text"),
+        _placed([F.col("document_id"), F.col("ordinal")], [PLACES["document"], PLACES["window"]]).alias("chunk_id"), "document_id", *KB, "ordinal", F.col("w.t").alias("text"),
         F.floor((F.col("w.e") - F.col("w.s")) / 4).cast("int").alias("token_count"), F.col("w.s").alias("char_start"), F.col("w.e").alias("char_end"),
     )
 
@@ -71,7 +98,7 @@ def mentions(chunks: DataFrame, pattern: str = MENTION, threshold: float = 0.5,
     c = c.withColumn("s", start).select("chunk_id", "document_id", *KB, F.posexplode(F.arrays_zip("m", "s")).alias("k", "z"))
     t = F.col("z.m")
     c = c.select(
-        (F.col("chunk_id") * 10_000 + F.col("k")).alias("mention_id"), "chunk_id", "document_id", *KB, kind(t).alias("entity_type"), t.alias("text"),
+        _placed([F.col("chunk_id"), F.col("k")], [PLACES["document"] * PLACES["window"], PLACES["mention"]]).alias("mention_id"), "chunk_id", "document_id", *KB, kind(t).alias("entity_type"), t.alias("text"),
         F.col("z.s").alias("char_start"), (F.col("z.s") + F.octet_length(t)).alias("char_end"), score(t).alias("score"),
     )
     return c.where((F.col("score") >= threshold) & (F.length(F.trim("text")) >= 2) & ~is_function_word(F.col("text")))
@@ -146,6 +173,10 @@ def Model(spark, sf_dir: str) -> Tables:  # noqa: N802
     """The tables of a directory in this session, derived once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
+        for old in [k for k in _kept if k[0] == key[0]]:
+            for t in vars(_kept[old]).values():
+                if isinstance(t, DataFrame) and t is not _kept[old].docs:
+                    t.unpersist()
         _kept.clear()
         _kept[key] = Tables(spark, sf_dir)
     return _kept[key]

@@ -14,13 +14,14 @@ def slow_windows(text, size, overlap):
     d, out, s = text.encode(), [], 0
     start = lambda i: i >= len(d) or d[i] & 0xC0 != 0x80
     back = lambda i: next(j for j in range(i, -1, -1) if start(j))
+    onward = lambda i: next(j for j in range(i, len(d) + 1) if start(j))
+    place = lambda i: back(i) if back(i) > s else onward(i)
     while s < len(d):
-        e = len(d) if s + size >= len(d) else (back(s + size) if back(s + size) > s else s + size)
+        e = len(d) if s + size >= len(d) else place(s + size)
         out.append((s, e))
         if e == len(d):
             break
-        n = s + max(1, size - overlap)
-        s = back(n) if back(n) > s else n
+        s = place(s + max(1, size - overlap))
     return out
 
 
@@ -43,6 +44,27 @@ def test_windows_cover_the_text(spark, text, size, overlap):
     assert got == slow_windows(text, size, overlap)
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(6, 5), (4, 3), (2, 1), (1, 0), (3, 5)])
+def test_steps_shorter_than_a_character(spark, size, overlap):
+    text = "😀" * 5 + "aé€"
+    got = [(r.char_start, r.char_end) for r in windows(spark.createDataFrame([(1, "u", "k", text)], DOC), size, overlap).orderBy("ordinal").collect()]
+    assert got == slow_windows(text, size, overlap)
+    assert all(text.encode()[s:e].decode() for s, e in got)
+
+
+def test_ids_beyond_their_places(spark):
+    docs = spark.createDataFrame([(10_000_000_000, "u", "k", "Abcdefff Abcdefff"), (10_000_000_001, "u", "k", "Abcdefff"), (-4, "u", "k", "Abcdefff"), (1, "u", "k", "Abcdefff")], DOC)
+    m = mentions(windows(docs)).collect()
+    assert len({r.mention_id for r in m}) == len(m) == 5
+    assert sorted(r.mention_id >= 0 for r in m) == [False] * 4 + [True]
+
+
+def test_a_text_of_60_mb(spark):
+    docs = spark.range(1).selectExpr("id as document_id", "'u' as user_id", "'k' as kb_id", "repeat('Lorem ipsum dolor sit amet. ', 2200000) as text")
+    w = windows(docs, 600, 60).agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), F.max("char_end").alias("end")).first()
+    assert w.n == w.ids > 100_000 and w.end == 28 * 2_200_000
+
+
 def test_density_guard_and_order(spark):
     name = lambda i: "Abcde" + "f" * 3
     text = lambda n: " ".join(name(i) for i in range(n))
