@@ -63,58 +63,6 @@ def visible(stream: DataFrame) -> DataFrame:
     return g.select("answer_id", F.when(at > 0, F.expr("left(t, instr(lower(t), 'citations:') - 1)")).otherwise(F.col("t")).alias("visible"))
 
 
-STOPWORDS = "a an and are as at be but by for from has he in is it its of on or that the this to was were will with".split()
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(STOPWORDS))
-
-
-def parse_query(q: str) -> tuple[list[list[str]], list[str]]:
-    """Groups of words of which each group needs one (``or`` joins a group), and words that must be absent (``-word``). Quoted phrases count as one."""
-    import re
-
-    need: list[list[str]] = []
-    never: list[str] = []
-    join = False
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', q.lower()):
-        if word == "or" and not minus:
-            join = bool(need)
-            continue
-        t = " ".join(re.findall("[a-z0-9]+", phrase or word))
-        if not t or t in STOPWORDS:
-            continue
-        if minus:
-            never.append(t)
-        elif join:
-            need[-1].append(t)
-        else:
-            need.append([t])
-        join = False
-    return need, never
-
-
-def search(chunks: DataFrame, q: str) -> DataFrame:
-    """Chunks that match a web-style query, with ``score``: the sum over its terms of ``tf / (tf + 1)``."""
-    need, never = parse_query(q)
-    flat = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), "  "), F.lit(" "))
-    c = chunks.withColumn("_t", flat)
-    has = lambda t: F.col("_t").contains(" " + t.replace(" ", "  ") + " ")
-    for group in need:
-        any_ = F.lit(False)
-        for t in group:
-            any_ = any_ | has(t)
-        c = c.where(any_)
-    for t in never:
-        c = c.where(~has(t))
-    score = F.lit(0.0)
-    for t in [t for g in need for t in g]:
-        word = " " + t.replace(" ", "  ") + " "
-        tf = (F.length("_t") - F.length(F.replace("_t", F.lit(word), F.lit("")))) / len(word)
-        score = score + tf / (tf + 1)
-    return c.where(F.lit(bool(need))).withColumn("score", score).drop("_t")
-
-
 def _whole(text: Column) -> Column:
     """An integer in decimal notation with an optional sign; null for anything else."""
     return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))

@@ -6,6 +6,8 @@ and ``kb_id`` are part of every key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +168,18 @@ class Tables:
         self.cross = cross_links(self.canonical).persist()
 
 
+    def fulltext(self):
+        """The saved full-text index of the passages, written at its first use."""
+        from ..sources.lineage import shared_folder
+        from .fulltext import Saved, index, save
+
+        if not hasattr(self, "_index"):
+            path = f"{shared_folder(self.docs.sparkSession)}/fulltext-{uuid.uuid4().hex}"
+            save(index(windows(self.docs)), path)
+            self._index = Saved(self.docs.sparkSession, path)
+        return self._index
+
+
 _kept: dict[tuple[str, str], Tables] = {}
 
 

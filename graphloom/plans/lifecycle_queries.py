@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CONTENT_TYPES, content_type, normalized
 from ..operators import blocks as B
+from ..operators import fulltext as FT
 from ..operators import lifecycle as L
 from ..operators import retrieval as R
+from ..operators.fulltext import INDEX_SQL
 from ..operators.model import windows
 from ..sources.tables import documents, table
+from .prelude import sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -321,18 +324,48 @@ def _(spark, d):
     return c.select("conv_id", F.when(F.size("chunks") == 0, R.NOT_FOUND).otherwise("answer").alias("summary"))
 
 
-FT = "SELECT doc_id, t, (length(t) - length(replace(t, ' from ', ''))) / 6.0::DOUBLE AS f, (length(t) - length(replace(t, ' that ', ''))) / 6.0::DOUBLE AS g FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') || ' ' AS t FROM documents) AS q"
-QUERIES["R13_web_query"] = lambda spark, d: B.search(table(spark, d, "documents"), "reon or anon -licensed").select("doc_id")
-ORACLES["R13_web_query"] = "SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') || ' ' AS t FROM documents) AS q WHERE (contains(t, ' reon ') OR contains(t, ' anon ')) AND NOT contains(t, ' licensed ')"
+def _index(spark, d):
+    from ..operators.model import Model
 
+    return Model(spark, d).fulltext()
 
-@query("K02_full_text_top_k", "SELECT doc_id, round(f / (f + 1), 6) AS score FROM (SELECT doc_id, (length(t) - length(replace(t, ' reon ', ''))) / 6.0::DOUBLE AS f FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') || ' ' AS t FROM documents) AS q) AS z WHERE f > 0 ORDER BY round(f / (f + 1), 9) DESC, doc_id LIMIT 12")
+
+# One row a passage that has any of the terms, with the places of each.
+_PLACES = "m AS (SELECT user_id, kb_id, chunk_id, {terms} FROM posting WHERE term IN ({names}) GROUP BY user_id, kb_id, chunk_id)"
+
+
+def _places(*terms):
+    return INDEX_SQL + ", " + _PLACES.format(terms=", ".join(f"any_value(positions) FILTER (WHERE term = '{t}') AS {t}" for t in terms), names=", ".join(f"'{t}'" for t in terms))
+
+
+@query("P03_full_text_match", sql("SELECT user_id, kb_id, chunk_id FROM m WHERE len(list_intersect(licens, list_transform(apach, lambda x: x - 3))) > 0 OR (releas IS NOT NULL AND version IS NULL)", "passages", extra=_places("licens", "apach", "releas", "version")))
+def _(spark, d):
+    return FT.search(_index(spark, d), '"licensed under the apache" or releases -versions').select("user_id", "kb_id", "chunk_id")
+
+
+@query("R13_web_query", sql("SELECT user_id, kb_id, chunk_id FROM m WHERE (er IS NOT NULL AND licens IS NULL) OR (len(list_intersect(gener, list_transform(public, lambda x: x - 1))) > 0 AND licens IS NOT NULL)", "passages", extra=_places("er", "licens", "gener", "public")))
+def _(spark, d):
+    return FT.search(_index(spark, d), 'ering -license or "general public" LICENSES').select("user_id", "kb_id", "chunk_id")
+
+
+_SERIES = "coalesce(list_sum(list_transform(range(1, len({t}) + 1), lambda i: 1.0::DOUBLE / (i * i))), 0)"
+
+
+@query("K02_full_text_top_k", sql(f"SELECT * FROM (SELECT user_id, kb_id, chunk_id, score, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT user_id, kb_id, chunk_id, round((0.1::DOUBLE / 1.64493406685) * ({_SERIES.format(t='thing')} + {_SERIES.format(t='licens')} + {_SERIES.format(t='sting')}) / 3, 9) AS score FROM m) AS q) AS z WHERE rank <= 12", "passages", extra=_places("thing", "licens", "sting")))
+def _(spark, d):
+    return FT.top(_index(spark, d), "things or licensing or sting", 12)
+
+
+@query("K02_near_words_top_k", sql("SELECT * FROM (SELECT user_id, kb_id, chunk_id, score, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT user_id, kb_id, chunk_id, round(1 - coalesce(exp(list_sum(list_transform(list_filter(flatten(list_transform(en, lambda x: list_transform(er, lambda y: abs(x - y)))), lambda v: v > 0), lambda v: ln(1 - 0.1::DOUBLE * sqrt(CASE WHEN v > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05::DOUBLE * exp(v / 1.5::DOUBLE - 2)) END))))), 1), 9) AS score FROM m WHERE en IS NOT NULL AND er IS NOT NULL) AS q) AS z WHERE rank <= 12", "passages", extra=_places("en", "er")))
 def _(spark, d):
-    s = B.search(table(spark, d, "documents"), "reon").withColumn("s", F.round("score", 9))
-    return s.orderBy(F.desc("s"), "doc_id").limit(12).select("doc_id", F.round("score", 6).alias("score"))
+    return FT.top(_index(spark, d), "en er", 12)
 
 
-QUERIES["P03_full_text_match"] = lambda spark, d: B.search(windows(documents(spark, d)), '"of the" reon').select("chunk_id")
+@query("J16_one_query_lateral", sql("SELECT p.chunk_id, m.chunk_id IS NOT NULL AS hit FROM passages p LEFT JOIN m USING (user_id, kb_id, chunk_id)", "passages", extra=_places("thing")))
+def _(spark, d):
+    # The query is parsed and stemmed once, and meets the passages by the index.
+    hits = FT.search(_index(spark, d), "things").select("user_id", "kb_id", "chunk_id", F.lit(True).alias("hit"))
+    return windows(documents(spark, d)).join(hits, ["user_id", "kb_id", "chunk_id"], "left").select("chunk_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query("S01_whole_documents", "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents")
@@ -351,11 +384,6 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("event: delta\ndata: "), body, F.lit("\n\n")).alias("line"))
 
 
-@query("J16_one_query_lateral", "SELECT doc_id, contains(lower(text), q.q) AS hit FROM documents, (SELECT 'from' AS q) q")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lower("text").contains("from").alias("hit"))
-
-
 @query("K09_prompt_caps", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) AS q WHERE r <= 30")
 def _(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")

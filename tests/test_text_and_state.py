@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from graphloom.operators.blocks import FooterFilter, blocks, parse_query, relation_label, search
+from graphloom.operators.blocks import FooterFilter, blocks, relation_label
 from graphloom.operators.lifecycle import allowed_window
 from graphloom.operators.retrieval import NOT_FOUND, parse_answer
 from graphloom.streaming.stateful import enqueue, transition
@@ -52,10 +52,3 @@ def test_window_is_strict(spark):
     df = spark.createDataFrame(rows, "key string, id long, s int").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.id: r.allowed for r in allowed_window(df, 1, 60).collect()}
     assert got == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True}
-
-
-def test_web_queries(spark):
-    assert parse_query('cats or dogs "the big house" -mice') == ([["cats", "dogs"], ["the big house"]], ["mice"])
-    df = spark.createDataFrame([(1, "Cats in the big house"), (2, "dogs, the big house, mice"), (3, "cats")], "id long, text string")
-    assert [r.id for r in search(df, 'cats or dogs "the big house" -mice').collect()] == [1]
-    assert search(df, "the").count() == 0
