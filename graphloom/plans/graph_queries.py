@@ -9,6 +9,7 @@ from ..functions.text import capitalised
 from ..operators import graph as G
 from ..operators import linking as L
 from ..operators import retrieval as R
+from ..operators import vector_index as VI
 from ..operators.model import KB, Model, canonical, edges, lift, mentions, resolve, windows
 from ..sources.tables import TenantScope, documents, table
 from .prelude import sql
@@ -350,6 +351,25 @@ def _(spark, d):
     return R.batch_top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 12)
 
 
+def _vector_index(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return VI.session_index(spark, v.withColumnRenamed("vec_id", "id"), 64, d), q
+
+
+@query("K01_vector_index_exact", "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) AS s) AS z WHERE rank <= 12")
+def _(spark, d):
+    index, q = _vector_index(spark, d)
+    return VI.search(index, q, 12, exact=True)
+
+
+@query("K01_vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, d):
+    index, q = _vector_index(spark, d)
+    share = VI.recall(VI.search(index, q, 12), VI.search(index, q, 12, exact=True))
+    return q.agg(F.count("*").alias("queries")).withColumn("enough", F.lit(share >= 0.95))
+
+
 @query("R07_route", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'how many|most often|summari[sz]e|overall|main ') THEN 'aggregation' WHEN regexp_matches(lower(text), 'connect|relate|between|link|through') THEN 'multi_hop' ELSE 'normal' END AS route FROM conversations WHERE role = 'user'")
 def _(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", R.route(F.col("text")).alias("route"))
