@@ -38,7 +38,6 @@ def weighted(pairs: DataFrame, canon: DataFrame) -> DataFrame:
     total = canon.groupBy(*KB).agg(F.sum("mention_count").alias("total"))
     fa = canon.select(F.col("canonical_id").alias("a"), F.col("mention_count").alias("fa"))
     fb = canon.select(F.col("canonical_id").alias("b"), F.col("mention_count").alias("fb"))
-    # Pairs below the least count can't have weight; dropping them first keeps the joins small.
     p = pairs.join(fa, "a").join(fb, "b").join(total, KB)
     return p.withColumn("pmi", ppmi(F.col("co"), F.col("fa"), F.col("fb"), F.col("total"))).drop("fa", "fb", "total")
 
@@ -57,17 +56,17 @@ def degrees(g: DataFrame) -> DataFrame:
     return g.select(*KB, F.explode(F.array("a", "b")).alias("canonical_id")).groupBy(*KB, "canonical_id").agg(F.count("*").alias("degree"))
 
 
-def view_filter(nodes: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``canonical_id, community_id, degree``) and edges of the display graph.
-
-    A community of more than ten nodes keeps its ``ceil(size * (1 - 0.95))`` best by degree,
-    one to ten; nodes without community are a group of their own. Edges need both ends and
-    nodes an edge.
-    """
+def trimmed(nodes: DataFrame) -> DataFrame:
+    """The nodes that a display keeps: a community of more than ten keeps its ``ceil(size * (1 - 0.95))`` best by degree, one to ten; nodes without community are a group of their own."""
     w = Window.partitionBy(*KB, "community_id")
     keep = F.least(F.lit(VIEW_CAP), F.greatest(F.lit(1), F.ceil(F.col("m") * F.lit(1 - VIEW_SHARE))))
     n = nodes.withColumn("m", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("degree"), "canonical_id")))
-    kept = n.where((F.col("m") <= VIEW_CAP) | (F.col("r") <= keep)).drop("m", "r")
+    return n.where((F.col("m") <= VIEW_CAP) | (F.col("r") <= keep)).drop("m", "r")
+
+
+def view_filter(nodes: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``canonical_id, community_id, degree``) and edges of the display graph: those :func:`trimmed` keeps; edges need both ends and nodes an edge."""
+    kept = trimmed(nodes)
     ids = kept.select("canonical_id")
     e = g.join(ids.withColumnRenamed("canonical_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("canonical_id", "b"), "b", "left_semi")
     final = degrees(e).select("canonical_id")
@@ -75,15 +74,20 @@ def view_filter(nodes: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def modularity(nodes: DataFrame, g: DataFrame) -> DataFrame:
-    """Q of a given assignment: ``sum over communities of (inside / m - (degree / 2m)**2)``; 0 without edges."""
+    """Q of a given assignment: ``sum over communities of (inside / m - (degree / 2m)**2)``; 0 without edges.
+
+    Weights are summed as decimals of twelve places, so that the order of rows doesn't show.
+    """
     c = nodes.select("canonical_id", "community_id")
+    g = g.withColumn("weight", F.col("weight").cast("decimal(24,12)"))
     e = g.join(c.select(F.col("canonical_id").alias("a"), F.col("community_id").alias("ca")), "a").join(c.select(F.col("canonical_id").alias("b"), F.col("community_id").alias("cb")), "b")
-    total = g.groupBy(*KB).agg(F.sum("weight").alias("m"))
-    inside = e.where("ca = cb").groupBy(*KB, F.col("ca").alias("community_id")).agg(F.sum("weight").alias("inside"))
-    deg = e.select(*KB, "weight", F.explode(F.array("ca", "cb")).alias("community_id")).groupBy(*KB, "community_id").agg(F.sum("weight").alias("deg"))
+    total = g.groupBy(*KB).agg(F.sum("weight").cast("double").alias("m"))
+    inside = e.where("ca = cb").groupBy(*KB, F.col("ca").alias("community_id")).agg(F.sum("weight").cast("double").alias("inside"))
+    deg = e.select(*KB, "weight", F.explode(F.array("ca", "cb")).alias("community_id")).groupBy(*KB, "community_id").agg(F.sum("weight").cast("double").alias("deg"))
     q = deg.join(inside, [*KB, "community_id"], "left").join(total, KB)
     term = F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), F.lit(2))
-    return nodes.select(*KB).distinct().join(q.groupBy(*KB).agg(F.sum(term).alias("modularity")), KB, "left").na.fill(0.0, ["modularity"])
+    total = F.sum(term.cast("decimal(24,15)")).cast("double").alias("modularity")
+    return nodes.select(*KB).distinct().join(q.groupBy(*KB).agg(total), KB, "left").na.fill(0.0, ["modularity"])
 
 
 def louvain_one(nodes: list, links: list[tuple], passes: int = 1000) -> dict:

@@ -143,7 +143,7 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 12, probes: int = 8, exact: bool = False) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` vectors nearest to each of ``queries`` (``query_id, q``) by cosine to six digits, ties by id.
 
-    A plain search looks into the ``probes`` nearest cells. The exact one then also into
+    A plain search looks into the ``probes`` nearest cells, see :func:`tuned`. The exact one then also into
     every cell whose bound reaches the ``k``-th score found so far. The driver gets the
     cells, ``MOST_CELLS`` at most. Null queries are left out.
     """
@@ -164,6 +164,26 @@ def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 12,
     return _top(found.drop("rank").unionByName(more), k)
 
 
+def tuned(index: tuple[DataFrame, DataFrame], k: int = 12, target: float = 0.97, sample: int = 256, seed: int = 7) -> int:
+    """How many nearest cells find the share ``target`` of the ``k`` nearest vectors, by exact searches for up to about ``sample`` of the indexed vectors themselves."""
+    table, blocks = index
+    cells = table.collect()
+    total = sum(r.n for r in cells)
+    if not total:
+        return 1
+    held = blocks.select("cell", F.explode(F.arrays_zip("ids", F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.slice("flat", i * len(cells[0].centre) + 1, F.lit(len(cells[0].centre)))).alias("v"))).alias("x"))
+    some = F.pmod(F.xxhash64("x.ids", F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, sample / total) * 1_000_000)
+    q = cut(held.where(some).select(F.col("x.ids").alias("query_id"), F.col("x.v").alias("q")))
+    truth = search(index, q, k, exact=True)
+    rows = truth.join(held.select(F.col("x.ids").alias("id"), "cell"), "id").join(q, "query_id").select("cell", "q").collect()  # k rows for each of the sample
+    if not rows:
+        return 1
+    number = np.array([r.cell for r in cells])
+    near = np.argsort(-(_unit(np.array([r.q for r in rows], np.float64)) @ np.array([r.centre for r in cells]).T), axis=1, kind="stable")
+    place = (number[near] == np.array([r.cell for r in rows])[:, None]).argmax(axis=1) + 1
+    return int(np.sort(place)[min(len(place) - 1, int(np.ceil(target * len(place))) - 1)])
+
+
 def recall(found: DataFrame, truth: DataFrame) -> float:
     """Share of the rows of ``truth`` (``query_id, id``) that were found."""
     both = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)))).first()

@@ -366,7 +366,7 @@ def _(spark, d):
 @query("K01_vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
 def _(spark, d):
     index, q = _vector_index(spark, d)
-    share = VI.recall(VI.search(index, q, 12), VI.search(index, q, 12, exact=True))
+    share = VI.recall(VI.search(index, q, 12, probes=VI.tuned(index, 12)), VI.search(index, q, 12, exact=True))
     return q.agg(F.count("*").alias("queries")).withColumn("enough", F.lit(share >= 0.95))
 
 
@@ -450,11 +450,7 @@ TRIM = DEG + ", kept AS (SELECT * FROM (SELECT *, count(*) OVER w AS m, row_numb
 
 @query("W05_degree_trim", sql("SELECT user_id, kb_id, community_id, count(*) AS kept FROM kept GROUP BY ALL", "graph", extra=TRIM))
 def _(spark, d):
-    _, _, n = _nodes(spark, d)
-    w = Window.partitionBy(*KB, "community_id")
-    n = n.withColumn("m", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("degree"), "canonical_id")))
-    keep = F.least(F.lit(G.VIEW_CAP), F.greatest(F.lit(1), F.ceil(F.col("m") * F.lit(1 - G.VIEW_SHARE))))
-    return n.where((F.col("m") <= G.VIEW_CAP) | (F.col("r") <= keep)).groupBy(*KB, "community_id").agg(F.count("*").alias("kept"))
+    return G.trimmed(_nodes(spark, d)[2]).groupBy(*KB, "community_id").agg(F.count("*").alias("kept"))
 
 
 @query("G13_filtered_view", sql("SELECT user_id, kb_id, canonical_id FROM kept WHERE canonical_id IN (SELECT a FROM ke UNION SELECT b FROM ke)", "graph", extra=TRIM))
@@ -470,10 +466,10 @@ def _(spark, d):
     return n.where("document_count > 1").select(*KB, F.col("canonical_id").alias("id"), F.lit("node").alias("kind")).unionByName(e)
 
 
-ASSIGN = "asg AS (SELECT user_id, kb_id, canonical_id, canonical_id % 5 AS c FROM canonical), ge AS (SELECT g.user_id, g.kb_id, g.weight, p.c AS ca, q.c AS cb FROM graph_edges g JOIN asg p ON p.canonical_id = g.a JOIN asg q ON q.canonical_id = g.b), tot AS (SELECT user_id, kb_id, sum(weight) AS m FROM ge GROUP BY ALL), ins AS (SELECT user_id, kb_id, ca AS c, sum(weight) AS w FROM ge WHERE ca = cb GROUP BY ALL), dg AS (SELECT user_id, kb_id, c, sum(weight) AS w FROM (SELECT user_id, kb_id, ca AS c, weight FROM ge UNION ALL SELECT user_id, kb_id, cb, weight FROM ge) AS u GROUP BY ALL)"
+ASSIGN = "asg AS (SELECT user_id, kb_id, canonical_id, canonical_id % 5 AS c FROM canonical), ge AS (SELECT g.user_id, g.kb_id, g.weight::DECIMAL(24,12) AS weight, p.c AS ca, q.c AS cb FROM graph_edges g JOIN asg p ON p.canonical_id = g.a JOIN asg q ON q.canonical_id = g.b), tot AS (SELECT user_id, kb_id, sum(weight)::DOUBLE AS m FROM ge GROUP BY ALL), ins AS (SELECT user_id, kb_id, ca AS c, sum(weight)::DOUBLE AS w FROM ge WHERE ca = cb GROUP BY ALL), dg AS (SELECT user_id, kb_id, c, sum(weight)::DOUBLE AS w FROM (SELECT user_id, kb_id, ca AS c, weight FROM ge UNION ALL SELECT user_id, kb_id, cb, weight FROM ge) AS u GROUP BY ALL)"
 
 
-@query("A11_modularity", sql("SELECT k.user_id, k.kb_id, round(coalesce(sum(coalesce(ins.w, 0) / tot.m - (dg.w / (2 * tot.m)) ** 2), 0), 6) AS modularity FROM (SELECT DISTINCT user_id, kb_id FROM canonical) k LEFT JOIN dg USING (user_id, kb_id) LEFT JOIN ins USING (user_id, kb_id, c) LEFT JOIN tot USING (user_id, kb_id) GROUP BY k.user_id, k.kb_id", "graph", extra=ASSIGN))
+@query("A11_modularity", sql("SELECT k.user_id, k.kb_id, round(coalesce(sum((coalesce(ins.w, 0) / tot.m - (dg.w / (2 * tot.m)) ** 2)::DECIMAL(24,15))::DOUBLE, 0), 6) AS modularity FROM (SELECT DISTINCT user_id, kb_id FROM canonical) k LEFT JOIN dg USING (user_id, kb_id) LEFT JOIN ins USING (user_id, kb_id, c) LEFT JOIN tot USING (user_id, kb_id) GROUP BY k.user_id, k.kb_id", "graph", extra=ASSIGN))
 def _(spark, d):
     m = Model(spark, d)
     g = G.kb_graph(m.edges, m.resolved, m.canonical)
