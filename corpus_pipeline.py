@@ -45,16 +45,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return back(cut.withColumns(changed), docs)
 
 
+def content_key(docs: DataFrame):
+    """A 64-bit name of a document's id and text: texts that share an id are documents of their own, repeated rows are one."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    others = near_duplicates(docs, 0.8).where("not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays, the one with the smallest id; null ids come last. Texts that share an id are told apart; repeated rows of one id and text stay or go together."""
+    named = docs.select(content_key(docs).alias("doc_id"), "text")
+    near = near_duplicates(named, 0.8).where("n_links > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = docs.select(content_key(docs).alias("_key"), "doc_id").distinct()
+    member = materialize(near.join(ids, "_key"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = member.groupBy("component_id").agg(F.min(place).getField("_key").alias("_key"))
+    others = member.select("_key").join(first, "_key", "left_anti")
+    return docs.join(others, content_key(docs) == others["_key"], "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exactly or within the edit budget, go."""
-    found = materialize(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, exactly or within the edit budget, go; another text of the same id stays."""
+    named = docs.select(content_key(docs).alias("doc_id"), "text")
+    found = materialize(leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return docs.join(found, content_key(docs) == found["_key"], "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
