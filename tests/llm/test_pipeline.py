@@ -88,3 +88,15 @@ def test_columns_with_the_operators_names(spark, cut):
         out = stage(spark, docs, cut)
         assert out.dtypes == docs.dtypes, name
         assert out.where("toxic_score = 'clash' and n_repeats = 'clash' and doc = 'clash'").count() == out.count() > 0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    a, b, item = " ".join(words), " ".join(reversed(words)), " ".join(f"q{i}" for i in range(20))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, item), (3, "clean text of its own"), (None, a + " end"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _key", "2 as component_id")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in near.collect()} == {(1, a), (2, b), (3, item), (3, "clean text of its own"), (4, None)}
+    left = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(i, t) for i, t in rows if t != item}
