@@ -177,22 +177,31 @@ def community_status(nodes: DataFrame, guard: int = COMMUNITY_GUARD) -> DataFram
 
 
 def shortest_paths(g: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets (``canonical_id``) reached from any source with their distance; breadth first, one join a hop.
+    """``canonical_id, distance, path`` of the targets that any source reaches; breadth first, one join a hop.
 
-    Each hop meets only nodes not reached before; it ends when a hop finds none.
+    Each hop meets only nodes not reached before and keeps one parent for each, the smallest;
+    it ends when a hop finds none. Paths go from a source to the target and are put together
+    backwards, hop by hop, for the targets alone.
     """
     from ..sources.lineage import cut
 
     both = cut(g.select("a", "b").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    seen = sources.select("canonical_id").distinct().withColumn("distance", F.lit(0))
-    seen = front = cut(seen)
+    front = cut(sources.select("canonical_id").distinct().withColumn("distance", F.lit(0)).withColumn("parent", F.lit(None).cast("long")))
+    rings = [front]
+    seen = front
     for d in count(1):
-        step = both.join(front.select(F.col("canonical_id").alias("a")), "a").select(F.col("b").alias("canonical_id")).distinct()
-        front = cut(step.join(seen, "canonical_id", "left_anti").withColumn("distance", F.lit(d)))
+        step = both.join(front.select(F.col("canonical_id").alias("a")), "a").groupBy(F.col("b").alias("canonical_id")).agg(F.min("a").alias("parent"))
+        front = cut(step.join(seen, "canonical_id", "left_anti").select("canonical_id", F.lit(d).alias("distance"), "parent"))
         if front.isEmpty():
             break
+        rings.append(front)
         seen = seen.unionByName(front)
-    return seen.join(targets.select("canonical_id").distinct(), "canonical_id")
+    wanted = seen.join(targets.select("canonical_id").distinct(), "canonical_id", "left_semi")
+    walk = cut(wanted.select("canonical_id", "distance", F.array("canonical_id").alias("path"), F.col("parent").alias("at")))
+    for ring in reversed(rings[:-1]):
+        up = ring.select(F.col("canonical_id").alias("at"), F.col("parent").alias("_up"), F.lit(True).alias("_here"))
+        walk = walk.join(up, "at", "left").select("canonical_id", "distance", F.when(F.col("_here"), F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("_here"), F.col("_up")).otherwise(F.col("at")).alias("at"))
+    return walk.select("canonical_id", "distance", "path")
 
 
 def structure(nodes: Column, groups: Column, q: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalised
+from ..sources.lineage import cut
 from .model import KB, lift
 
 
@@ -27,25 +28,55 @@ def two_hop(sym: DataFrame) -> DataFrame:
     return sym.join(nxt, "b").where("a <> c").select(*KB, "a", F.col("c").alias("b")).distinct()
 
 
+#: Nodes of each knowledge base that are looked at first; twice as many in each turn after that.
+FIRST_NODES = 64
+
+
+def _next_ring(front: DataFrame, sym: DataFrame, *inner: DataFrame) -> DataFrame:
+    """Distinct pairs one edge beyond ``front`` (``user_id, kb_id, a, b``) that are in none of the ``inner`` rings."""
+    nxt = sym.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    out = front.join(nxt, "b").where("a <> c").select(*KB, "a", F.col("c").alias("b")).distinct()
+    for ring in inner:
+        out = out.join(ring, ["a", "b"], "left_anti")
+    return out
+
+
 def candidate_pairs(sym: DataFrame, recorded: DataFrame, limit: int = 20) -> DataFrame:
     """Unordered pairs at distance exactly three that aren't recorded yet: the first ``limit`` of each knowledge base.
 
-    Only pairs are carried from hop to hop, never whole paths, so hubs cost their pairs once.
+    The first pairs are those of the first nodes, so rings are drawn around a few nodes of
+    each knowledge base at a time, in ascending order, until it has its pairs. A ring holds
+    each node once, so a node costs its knowledge base's edges at most, hubs included.
     """
-    two = two_hop(sym)
-    nxt = sym.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    three = two.join(nxt, "b").where("a < c").select(*KB, "a", F.col("c").alias("b")).distinct()
-    left = three.join(sym, [*KB, "a", "b"], "left_anti").join(two, [*KB, "a", "b"], "left_anti").join(recorded.select(*KB, "a", "b"), [*KB, "a", "b"], "left_anti")
-    w = Window.partitionBy(*KB).orderBy("a", "b")
-    return left.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
+    sym = cut(sym.select(*KB, "a", "b"))
+    order = Window.partitionBy(*KB).orderBy("a")
+    nodes = cut(sym.select(*KB, "a").distinct().withColumn("turn", F.row_number().over(order)))
+    most = nodes.agg(F.max("turn")).first()[0] or 0
+    known = recorded.select("a", "b").distinct()
+    found, open_, low, width = None, nodes.select(*KB).distinct(), 0, FIRST_NODES
+    first = Window.partitionBy(*KB).orderBy("a", "b")
+    while low < most or found is None:
+        here = nodes.where(F.col("turn").between(low + 1, low + width)).join(open_, KB, "left_semi").select("a")
+        one = cut(sym.join(here, "a", "left_semi"))
+        two = cut(_next_ring(one, sym, one.select("a", "b")))
+        three = _next_ring(two, sym, one.select("a", "b"), two.select("a", "b")).where("a < b").join(known, ["a", "b"], "left_anti")
+        three = three.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).drop("place")
+        found = cut(three if found is None else found.unionByName(three))
+        done = found.groupBy(*KB).agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+        open_ = cut(open_.join(done, KB, "left_anti"))
+        low, width = low + width, 2 * width
+        if open_.isEmpty():
+            break
+    return found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).drop("place").select(*KB, "a", "b")
 
 
 def candidate_chains(e: DataFrame, resolved: DataFrame, canon: DataFrame, chunks: DataFrame, recorded: DataFrame, limit: int = 20) -> DataFrame:
     """Candidates with one path each (the smallest middle nodes), their first mentions and the passage that bridges the middle."""
-    sym = symmetric(proper_edges(e, resolved, canon))
-    pairs = candidate_pairs(sym, recorded, limit)
+    sym = cut(symmetric(proper_edges(e, resolved, canon)))
+    pairs = cut(candidate_pairs(sym, recorded, limit))
     hop = lambda x, y: sym.select(F.col("a").alias(x), F.col("b").alias(y))
-    paths = pairs.join(hop("a", "mid1"), "a").join(hop("mid1", "mid2"), "mid1").join(hop("mid2", "end"), "mid2").where("end = b")
+    # Both ends' neighbours meet over one edge, in place of all paths from one end.
+    paths = pairs.join(hop("a", "mid1"), "a").join(hop("mid1", "mid2"), "mid1").join(pairs.select("a", "b").join(hop("b", "mid2"), "b"), ["a", "b", "mid2"])
     chosen = paths.groupBy(*KB, "a", "b").agg(F.min(F.struct("mid1", "mid2")).alias("m")).select(*KB, "a", "b", "m.mid1", "m.mid2")
     middle = lift(e, resolved).select("chunk_id", F.col("a").alias("ea"), F.col("b").alias("eb"), "x", "y")
     bridge = chosen.withColumn("x", F.least("mid1", "mid2")).withColumn("y", F.greatest("mid1", "mid2")).join(middle, ["x", "y"])
@@ -93,17 +124,41 @@ def alias_pairs(canon: DataFrame) -> DataFrame:
     return p.select(*KB, "entity_type", F.least("canonical_id", "other").alias("a"), F.greatest("canonical_id", "other").alias("b")).distinct()
 
 
+def linked_parts(pairs: DataFrame) -> DataFrame:
+    """``node, part``: the smallest node that pairs (``a, b``) connect each node with.
+
+    Each node takes the least label around it, then its label's own label, so that chains
+    are halved in every turn.
+    """
+    both = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("part")))
+    while True:
+        near = both.join(label.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("least"))
+        low = label.join(near, "node").select("node", F.col("part").alias("before"), F.least("part", "least").alias("part"))
+        up = low.select(F.col("node").alias("part"), F.col("part").alias("above"))
+        far = cut(low.join(up, "part", "left").select("node", "before", F.coalesce("above", "part").alias("part")))
+        label = far.select("node", "part")
+        if far.where("part <> before").isEmpty():
+            break
+    return label.unionByName(alone.join(label, "node", "left_anti").select("node", F.col("node").alias("part")))
+
+
 def merge_aliases(canon: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``user_id, kb_id, canonical_id, survivor`` after the accepted pairs are merged one by one.
 
     In ascending order of id, an identity that still stands is compared with its accepted
     partners; the one with more mentions survives, then the one created first (where `created_at` is there), then the smaller id. One that is merged
-    away stops there. The order matters, so each knowledge base is one sequential group.
+    away stops there. The order matters within a component of the accepted pairs only, which
+    merges never leave, so each component is one sequential group.
     """
     a = verdicts.where("accepted").select(*KB, "a", "b")
     canon = canon.withColumn("born", F.unix_micros(F.col("created_at").cast("timestamp")) if "created_at" in canon.columns else F.lit(0).cast("long"))
+    a = cut(a)
+    part = linked_parts(a)
     members = canon.join(a.select(F.explode(F.array("a", "b")).alias("canonical_id")).distinct(), "canonical_id", "left_semi").select(*KB, F.col("canonical_id").alias("a"), F.lit(None).cast("long").alias("b"), "mention_count", "born")
     rows = members.unionByName(a.withColumn("mention_count", F.lit(None).cast("long")).withColumn("born", F.lit(None).cast("long")))
+    rows = rows.join(part.select(F.col("node").alias("a"), "part"), "a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         count = {int(r.a): int(r.mention_count) for r in pdf[pdf.b.isna()].itertuples()}
@@ -136,4 +191,4 @@ def merge_aliases(canon: DataFrame, verdicts: DataFrame) -> DataFrame:
         ids = sorted(count)
         return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "kb_id": pdf.kb_id.iloc[0], "canonical_id": ids, "survivor": [root(v) for v in ids]})
 
-    return rows.groupBy(*KB).applyInPandas(run, "user_id string, kb_id string, canonical_id long, survivor long")
+    return rows.groupBy(*KB, "part").applyInPandas(run, "user_id string, kb_id string, canonical_id long, survivor long")

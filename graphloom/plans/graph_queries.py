@@ -528,7 +528,19 @@ def _(spark, d):
     return G.community_status(m.canonical).join(found, KB, "left")
 
 
-@query("G22_paths")
+CHAIN = ("lifted", "canonical", "cross")
+PROPER = "proper AS (SELECT DISTINCT l.user_id, l.kb_id, x AS a, y AS b FROM lifted l JOIN canonical p ON p.canonical_id = l.x JOIN canonical q ON q.canonical_id = l.y WHERE regexp_matches(regexp_replace(p.canonical_text, '^(the|a|an)\\s+', '', 'i'), '^[A-Z]') AND regexp_matches(regexp_replace(q.canonical_text, '^(the|a|an)\\s+', '', 'i'), '^[A-Z]')), sym AS MATERIALIZED (SELECT * FROM proper UNION SELECT user_id, kb_id, b, a FROM proper), two AS MATERIALIZED (SELECT DISTINCT s.user_id, s.kb_id, s.a, t.b FROM sym s JOIN sym t ON t.a = s.b WHERE s.a <> t.b), three AS MATERIALIZED (SELECT DISTINCT s.user_id, s.kb_id, s.a, t.b FROM two s JOIN sym t ON t.a = s.b WHERE s.a < t.b), cand AS MATERIALIZED (SELECT * FROM three t WHERE NOT EXISTS (SELECT 1 FROM sym o WHERE o.a = t.a AND o.b = t.b) AND NOT EXISTS (SELECT 1 FROM two w WHERE w.a = t.a AND w.b = t.b) AND NOT EXISTS (SELECT 1 FROM cross_edges c WHERE c.a = t.a AND c.b = t.b) QUALIFY row_number() OVER (PARTITION BY user_id, kb_id ORDER BY a, b) <= 20)"
+
+
+PATHS = PROPER + """, near(node, distance) AS (SELECT canonical_id, 0 FROM canonical WHERE contains(normalized_text, 'anon') UNION
+  SELECT s.b, n.distance + 1 FROM near n JOIN sym s ON s.a = n.node WHERE n.distance < 12),
+dist AS MATERIALIZED (SELECT node, min(distance) AS distance FROM near GROUP BY node),
+parent AS MATERIALIZED (SELECT d.node, min(s.b) AS up FROM dist d JOIN sym s ON s.a = d.node JOIN dist e ON e.node = s.b AND e.distance = d.distance - 1 GROUP BY d.node),
+back(canonical_id, distance, path, cur) AS (SELECT d.node, d.distance, [d.node], d.node FROM dist d JOIN canonical c ON c.canonical_id = d.node WHERE contains(c.normalized_text, 'ther') UNION ALL
+  SELECT b.canonical_id, b.distance, list_prepend(p.up, b.path), p.up FROM back b JOIN parent p ON p.node = b.cur)"""
+
+
+@query("G22_paths", sql("SELECT canonical_id, distance, path FROM back WHERE len(path) = distance + 1", *CHAIN, extra=PATHS))
 def _(spark, d):
     m = Model(spark, d)
     p = L.proper_edges(m.edges, m.resolved, m.canonical)
@@ -536,10 +548,6 @@ def _(spark, d):
     return G.shortest_paths(p, has("anon"), has("ther"))
 
 
-PROPER = "proper AS (SELECT DISTINCT l.user_id, l.kb_id, x AS a, y AS b FROM lifted l JOIN canonical p ON p.canonical_id = l.x JOIN canonical q ON q.canonical_id = l.y WHERE regexp_matches(regexp_replace(p.canonical_text, '^(the|a|an)\\s+', '', 'i'), '^[A-Z]') AND regexp_matches(regexp_replace(q.canonical_text, '^(the|a|an)\\s+', '', 'i'), '^[A-Z]')), sym AS MATERIALIZED (SELECT * FROM proper UNION SELECT user_id, kb_id, b, a FROM proper), two AS MATERIALIZED (SELECT DISTINCT s.user_id, s.kb_id, s.a, t.b FROM sym s JOIN sym t ON t.a = s.b WHERE s.a <> t.b), three AS MATERIALIZED (SELECT DISTINCT s.user_id, s.kb_id, s.a, t.b FROM two s JOIN sym t ON t.a = s.b WHERE s.a < t.b), cand AS MATERIALIZED (SELECT * FROM three t WHERE NOT EXISTS (SELECT 1 FROM sym o WHERE o.a = t.a AND o.b = t.b) AND NOT EXISTS (SELECT 1 FROM two w WHERE w.a = t.a AND w.b = t.b) AND NOT EXISTS (SELECT 1 FROM cross_edges c WHERE c.a = t.a AND c.b = t.b) QUALIFY row_number() OVER (PARTITION BY user_id, kb_id ORDER BY a, b) <= 20)"
-CHAIN = ("lifted", "canonical", "cross")
-
-
 @query("U04_distinct_pairs", sql("SELECT * FROM proper", *CHAIN, extra=PROPER))
 def _(spark, d):
     m = Model(spark, d)

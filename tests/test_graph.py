@@ -88,7 +88,7 @@ def test_long_paths_and_chains(spark):
 
     g = spark.createDataFrame([(i, i + 1) for i in range(14)], "a long, b long")
     one = lambda i: spark.createDataFrame([(i,)], "canonical_id long")
-    assert [tuple(r) for r in shortest_paths(g, one(0), one(14)).collect()] == [(14, 14)]
+    assert [tuple(r) for r in shortest_paths(g, one(0), one(14)).collect()] == [(14, 14, list(range(15)))]
     chain = [(1, 100, 0, "user", None)] + [(1, 101 + i, 1 + i, "assistant", 100 + i if i else None) for i in range(40)]
     rows = turns(spark.createDataFrame(chain, "conv_id long, message_id long, ordinal long, role string, supersedes long")).collect()
     assert [(r.root, r["query"], r.answers) for r in rows] == [(101, 100, list(range(101, 141)))]
@@ -120,3 +120,51 @@ def test_block_search_by_brute_force(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert got == {i: set(np.argsort(-(unit @ unit[i]))[:4].tolist()) for i in range(0, 60, 7)}
+
+
+def test_a_hub_of_ten_thousand_and_rings_by_brute_force(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import linking
+
+    monkeypatch.setattr(linking, "FIRST_NODES", 2)
+    rng = random.Random(5)
+    edges_ = {(min(x, y), max(x, y)) for x, y in ((rng.randrange(40), rng.randrange(40)) for _ in range(60)) if x != y}
+    near = {}
+    for x, y in edges_:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    want = []
+    for x in sorted(near):
+        rings, seen = [{x}], {x}
+        for _ in range(3):
+            rings.append({z for y in rings[-1] for z in near[y]} - seen)
+            seen |= rings[-1]
+        want += [(x, z) for z in sorted(rings[3]) if z > x]
+    recorded = want[2:3]
+    want = [w for w in want if w not in recorded][:20]
+    hub = [(1000, 1001 + i) for i in range(10_000)] + [(1001, 999), (999, 998)]
+    rows = [("u", "k", a, b) for a, b in edges_] + [("u", "hub", a, b) for a, b in hub]
+    sym = linking.symmetric(spark.createDataFrame(rows, "user_id string, kb_id string, a long, b long"))
+    known = spark.createDataFrame([("u", "k", a, b) for a, b in recorded], "user_id string, kb_id string, a long, b long")
+    got = linking.candidate_pairs(sym, known).collect()
+    assert sorted((r.a, r.b) for r in got if r.kb_id == "k") == want
+    assert sorted((r.a, r.b) for r in got if r.kb_id == "hub") == [(998, 1000)] + [(999, 1002 + i) for i in range(19)]
+
+
+def test_parts_of_chains_and_loops(spark):
+    from graphloom.operators.linking import linked_parts
+
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
+    got = {r.node: r.part for r in linked_parts(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200}
+
+
+def test_paths_go_from_a_source_to_each_target(spark):
+    from graphloom.operators.graph import shortest_paths
+
+    g = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (8, 9)], "a long, b long")
+    node = lambda *x: spark.createDataFrame([(i,) for i in x], "canonical_id long")
+    got = {r.canonical_id: (r.distance, r.path) for r in shortest_paths(g, node(1), node(1, 3, 5, 9)).collect()}
+    assert got == {1: (0, [1]), 3: (2, [1, 2, 3]), 5: (3, [1, 2, 3, 5])}
+    assert shortest_paths(g, node(), node(1)).collect() == []
