@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import stateful as S
+from ..streaming import timers as T
 from .lifecycle_queries import LIMITER
 
 QUERIES: dict = {}
@@ -71,3 +72,38 @@ ORACLES["T07_canonical_counts_stream"] = "SELECT event_type AS user_id, 'kb' AS
 QUERIES["T10_footer_filter_stream"], ORACLES["T10_footer_filter_stream"] = t10, """SELECT answer_id, CASE WHEN contains(lower(s), 'citations:') THEN instr(lower(s), 'citations:') - 1 WHEN s LIKE '%Cita' THEN length(s) - 4 ELSE length(s) END AS shown
 FROM (SELECT conv_id AS answer_id, string_agg(CASE turn WHEN 2 THEN 'Cita' WHEN 3 THEN 'tions: 1 ' ELSE text || ' ' END, '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id) AS q"""
 QUERIES["T11_usage_stream"], ORACLES["T11_usage_stream"] = t11, "SELECT event_type, count(*) AS n, round(sum(value) / count(value), 4) AS average FROM events GROUP BY event_type"
+
+
+# Timers: what falls due before the last event's time happens, the rest is still open.
+def _timed(spark, d, fold, op):
+    e = _stream(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), op.alias("op"), F.col("ts").cast("timestamp").alias("ts"))
+    return S.run_to_end(T.timed(e, fold)).select(F.col("key").cast("long").alias("key"), "id", "event", F.unix_micros("at").alias("at_us"))
+
+
+_ROWS = "WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), top AS (SELECT max(epoch_us(ts)) AS now FROM events)"
+COUNTERS = _ROWS + """,
+f(key, id, r, stop, n, t, gone) AS (SELECT key, id, r, t + 3600000000, 1, t, NULL::BIGINT FROM e WHERE r = 1 UNION ALL
+  SELECT e.key, e.id, e.r, CASE WHEN f.stop < e.t THEN e.t + 3600000000 ELSE f.stop END, CASE WHEN f.stop < e.t THEN 1 ELSE f.n + 1 END, e.t, CASE WHEN f.stop + 1800000001 <= e.t THEN f.stop + 1800000001 END FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1),
+last AS (SELECT key, stop + 1800000001 AS gone FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY r DESC) = 1)
+SELECT key, NULL::BIGINT AS id, 'expired' AS event, gone AS at_us FROM (SELECT key, gone FROM f WHERE gone IS NOT NULL UNION ALL SELECT key, gone FROM last, top WHERE gone < now) AS q"""
+SWEEP = _ROWS + """,
+f(key, id, r, t, created, seen, warned, out_warn, out_end, opened) AS (SELECT key, id, r, t, t, t, false, NULL::BIGINT, NULL::BIGINT, true FROM e WHERE r = 1 UNION ALL
+  SELECT e.key, e.id, e.r, e.t, CASE WHEN e.t >= x.stop THEN e.t ELSE x.created END, e.t, CASE WHEN e.t >= x.stop THEN false ELSE x.warned OR e.t >= x.stop - 900000000 END,
+    CASE WHEN NOT x.warned AND e.t >= x.stop - 900000000 THEN x.stop - 900000000 END, CASE WHEN e.t >= x.stop THEN x.stop END, e.t >= x.stop
+  FROM (SELECT *, least(created + 86400000000, seen + 21600000000) AS stop FROM f) AS x JOIN e ON e.key = x.key AND e.r = x.r + 1),
+last AS (SELECT key, warned, least(created + 86400000000, seen + 21600000000) AS stop FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY r DESC) = 1)
+SELECT key, id, 'opened' AS event, t AS at_us FROM f WHERE opened UNION ALL SELECT key, NULL, 'warned', out_warn FROM f WHERE out_warn IS NOT NULL UNION ALL SELECT key, NULL, 'expired', out_end FROM f WHERE out_end IS NOT NULL
+UNION ALL SELECT key, NULL, 'warned', stop - 900000000 FROM last, top WHERE NOT warned AND stop - 900000000 < now UNION ALL SELECT key, NULL, 'expired', stop FROM last, top WHERE stop < now"""
+SCANS = _ROWS + """,
+o AS (SELECT *, CASE id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'NO_THREATS_FOUND' ELSE 'THREATS_FOUND' END AS op FROM e),
+f(key, id, r, t, since, out_op, out_fail) AS (SELECT key, id, r, t, CASE WHEN op = 'pending' THEN t END, CASE WHEN op = 'pending' THEN op END, NULL::BIGINT FROM o WHERE r = 1 UNION ALL
+  SELECT o.key, o.id, o.r, o.t, CASE WHEN o.op <> 'pending' THEN NULL WHEN x.live IS NULL THEN o.t ELSE x.live END, CASE WHEN (o.op = 'pending') = (x.live IS NULL) THEN o.op END, CASE WHEN x.since IS NOT NULL AND x.live IS NULL THEN x.since + 7200000000 END
+  FROM (SELECT f.*, CASE WHEN f.since + 7200000000 > n.t THEN f.since END AS live FROM f JOIN o n ON n.key = f.key AND n.r = f.r + 1) AS x JOIN o ON o.key = x.key AND o.r = x.r + 1),
+last AS (SELECT key, since + 7200000000 AS stop FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY r DESC) = 1)
+SELECT key, id, out_op AS event, t AS at_us FROM f WHERE out_op IS NOT NULL UNION ALL SELECT key, NULL, 'failed', out_fail FROM f WHERE out_fail IS NOT NULL UNION ALL SELECT key, NULL, 'failed', stop FROM last, top WHERE stop < now"""
+QUERIES["T02_counters_expire"] = lambda spark, d: _timed(spark, d, T.Limits(1, 3600, 1800), F.lit("")).where("event = 'expired'")
+ORACLES["T02_counters_expire"] = COUNTERS
+QUERIES["T06_sessions_end"] = lambda spark, d: _timed(spark, d, T.Sessions(), F.lit(""))
+ORACLES["T06_sessions_end"] = SWEEP
+QUERIES["T09_scans_time_out"] = lambda spark, d: _timed(spark, d, T.Scans(), F.element_at(F.array(*map(F.lit, ["pending", "NO_THREATS_FOUND", "THREATS_FOUND"])), (F.col("event_id") % 3 + 1).cast("int")))
+ORACLES["T09_scans_time_out"] = SCANS
