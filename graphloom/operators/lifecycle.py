@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +74,37 @@ def resolve_region(needs: Column, kind: Column, text: Column) -> tuple[Column, C
 
 
 def allowed_window(df: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Fixed-window limiter over events (``key, ts``): a window opens at its first event and is over strictly after its end.
+    """Fixed-window limiter over events (``key, id, ts``): a window opens at its first event and is over strictly after its end; ``key, id, allowed``.
 
-    Each key's events fold in order of time; adds ``allowed``. The fold stays in the JVM.
+    Events pass in order of key and time, and a task keeps the open window only. Where a
+    window ends is searched in the sorted times, so a key costs its windows, not its events.
     """
-    acc = "named_struct('end', cast(-1 as bigint), 'n', 0, 'out', cast(array() as array<struct<id:bigint,ok:boolean>>))"
-    step = f"if(a.n = 0 or a.end < x.t, named_struct('end', x.t + {seconds * 1_000_000}, 'n', 1, 'out', array_append(a.out, named_struct('id', x.id, 'ok', 1 <= {limit}))), named_struct('end', a.end, 'n', a.n + 1, 'out', array_append(a.out, named_struct('id', x.id, 'ok', a.n + 1 <= {limit}))))"
-    g = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("id").alias("id")))).alias("e"))
-    return g.select("key", F.explode(F.expr(f"aggregate(e, {acc}, (a, x) -> {step}, a -> a.out)")).alias("o")).select("key", "o.id", F.col("o.ok").alias("allowed"))
+    width = seconds * 1_000_000
+    key_type, id_type = df.schema["key"].dataType.simpleString(), df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, end, n = None, None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, times = batch.column(0), batch.column(2).to_numpy()
+            code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False) if keys.null_count == 0 else np.array(pc.fill_null(keys.dictionary_encode().indices, -1))
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            ok = np.empty(len(batch), bool)
+            for i, stop in zip(first.tolist(), np.append(first[1:], len(batch)).tolist(), strict=True):
+                own = (keys[i].as_py(),)
+                if own != last:
+                    last, end, n = own, None, 0
+                while i < stop:
+                    if end is None or end < times[i]:
+                        end, n = int(times[i]) + width, 0
+                    j = i + int(np.searchsorted(times[i:stop], end, "right"))
+                    ok[i:j] = np.arange(n + 1, n + 1 + j - i) <= limit
+                    n, i = n + j - i, j
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(ok)], names=["key", "id", "allowed"])
+
+    e = df.where("ts is not null").select("key", "id", F.unix_micros("ts").alias("t"))
+    return e.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(run, f"key {key_type}, id {id_type}, allowed boolean")
 
 
 def turns(messages: DataFrame) -> DataFrame:

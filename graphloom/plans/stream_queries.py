@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..sources.lineage import shared_folder
+from ..sources.versions import COUNTS, Versions, merge_counts
 from ..streaming import stateful as S
 from ..streaming import timers as T
 from .lifecycle_queries import LIMITER
@@ -50,7 +54,9 @@ def t03(spark, d):
 def t07(spark, d):
     change = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
     e = _stream(spark, d, "events").select(F.col("event_type").alias("user_id"), F.lit("kb").alias("kb_id"), F.col("user_id").cast("string").alias("normalized_text"), F.lit("person").alias("entity_type"), change.alias("change"))
-    return S.run_to_end(S.canonical_counts(e), "complete").where("mention_count > 0")
+    at = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    e.writeStream.foreachBatch(merge_counts(f"{at}/table")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return Versions(spark, f"{at}/table", {"counts": COUNTS}).read_all("counts").where("mention_count > 0")
 
 
 def t10(spark, d):
