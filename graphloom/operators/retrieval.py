@@ -115,6 +115,23 @@ def route(query: Column) -> Column:
     return F.when(q.rlike("how many|most often|summari[sz]e|overall|main "), "aggregation").when(q.rlike("connect|relate|between|link|through"), "multi_hop").otherwise("normal")
 
 
+def route_of(spark, query: str, router=route) -> str:
+    """The route of one query; what a router doesn't know is ``normal``."""
+    found = spark.range(1).select(router(F.lit(query)).alias("r")).first().r
+    return found if found in ("aggregation", "multi_hop") else "normal"
+
+
+def full_search(canon: DataFrame, resolved: DataFrame, e: DataFrame, cross: DataFrame, query: str, legs: list[DataFrame], k: int = TOP, router=route) -> DataFrame:
+    """The hybrid of ``legs``, fused anew with the graph leg that the query's route asks for; a ``normal`` query has none."""
+    hybrid = fuse(legs, k=k)
+    to = route_of(canon.sparkSession, query, router)
+    if to == "aggregation":
+        return fuse([hybrid, aggregation_leg(canon, resolved, e, query, k)], k=k)
+    if to == "multi_hop":
+        return fuse([hybrid, traversal_leg(canon, resolved, e, cross, query, k)], k=k)
+    return hybrid
+
+
 def file_names(df: DataFrame, names: DataFrame) -> DataFrame:
     """Adds ``file_name``, empty where the document is gone."""
     return df.join(names.select("document_id", "file_name"), "document_id", "left").withColumn("file_name", F.coalesce("file_name", F.lit("")))

@@ -302,10 +302,10 @@ ORACLES["K03_fused_top_k"] = sql("SELECT user_id, kb_id, chunk_id, rank FROM hyb
 SEARCH_TAIL = ", fin AS (SELECT user_id, kb_id, chunk_id, score, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT user_id, kb_id, chunk_id, sum(s) AS score FROM (SELECT user_id, kb_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS s FROM hyb UNION ALL SELECT user_id, kb_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM trav) AS u GROUP BY user_id, kb_id, chunk_id) AS q QUALIFY rank <= 12)"
 
 
-def _search(spark, d):
+def _search(spark, d, text=TEXT):
     m = Model(spark, d)
     _, v, k = _hybrid(spark, d)
-    return m, R.fuse([R.fuse([v, k]), R.traversal_leg(m.canonical, m.resolved, m.edges, m.cross, TEXT)])
+    return m, R.full_search(m.canonical, m.resolved, m.edges, m.cross, text, [v, k])
 
 
 @query("R08_routed_search", sql("SELECT user_id, kb_id, chunk_id, round(score, 9) AS score, rank FROM fin", *SEED_PARTS, extra=SEED_CTES + REACH + ", " + HYBRID + SEARCH_TAIL))
@@ -313,6 +313,21 @@ def _(spark, d):
     return _search(spark, d)[1].withColumn("score", F.round("score", 9))
 
 
+# The same names in questions that go to the other routes.
+COUNTING = TEXT.replace("how does anon connect", "how many times does anon stand")
+PLAIN = "what is anon?"
+
+
+@query("R08_aggregation_route", sql("SELECT user_id, kb_id, chunk_id, round(score, 9) AS score, rank FROM fin", *SEED_PARTS, extra=SEED_CTES.replace(TEXT, COUNTING) + ", " + AGG + ", " + HYBRID + SEARCH_TAIL.replace("trav", "agg")))
+def _(spark, d):
+    return _search(spark, d, COUNTING)[1].withColumn("score", F.round("score", 9))
+
+
+@query("R08_normal_route", sql("SELECT user_id, kb_id, chunk_id, round(score, 9) AS score, rank FROM hyb", "chunks", extra=HYBRID))
+def _(spark, d):
+    return _search(spark, d, PLAIN)[1].withColumn("score", F.round("score", 9))
+
+
 @query("A19_retrieved_documents", sql("SELECT user_id, kb_id, c.document_id, min(f.rank) AS first_rank, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY min(f.rank)) AS rank FROM fin f JOIN chunks c USING (user_id, kb_id, chunk_id) GROUP BY user_id, kb_id, c.document_id", *SEED_PARTS, extra=SEED_CTES + REACH + ", " + HYBRID + SEARCH_TAIL))
 def _(spark, d):
     m, fused = _search(spark, d)
@@ -688,6 +703,22 @@ def _(spark, d):
     return replace_documents(c.withColumn("version", F.lit("old")), c.where("document_id % 3 = 0").withColumn("version", F.lit("new"))).select("chunk_id", "version")
 
 
+@query("L01_removed_everywhere", sql("SELECT 'chunks' AS part, count(*) AS n, sum(chunk_id)::BIGINT AS s FROM chunks WHERE document_id % 3 <> 0 UNION ALL SELECT 'mentions', count(*), sum(mention_id)::BIGINT FROM mentions WHERE document_id % 3 <> 0 UNION ALL SELECT 'edges', count(*), sum(a + b)::BIGINT FROM edges WHERE document_id % 3 <> 0", "edges"))
+def _(spark, d):
+    import uuid
+
+    from ..sources.lineage import shared_folder
+    from ..sources.versions import Versions, replace_documents_everywhere
+
+    m = Model(spark, d)
+    tables = {"chunks": (m.chunks, F.col("chunk_id")), "mentions": (m.mentions, F.col("mention_id")), "edges": (m.edges, F.col("a") + F.col("b"))}
+    t = Versions(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {k: df._jdf.schema().toDDL() for k, (df, _) in tables.items()})
+    t.commit(1, {k: df for k, (df, _) in tables.items()})
+    replace_documents_everywhere(t, 2, m.docs.where("document_id % 3 = 0"), {}, list(tables))
+    parts = [t.read(k).agg(F.lit(k).alias("part"), F.count("*").alias("n"), F.sum(x).alias("s")) for k, (_, x) in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("G26_graph_recall", sql("SELECT c.user_id, c.kb_id, c.chunk_id, CASE WHEN a.chunk_id IS NOT NULL THEN 'aggregation' WHEN t.chunk_id IS NOT NULL THEN 'traversal' END AS leg FROM chunks c LEFT JOIN agg a USING (chunk_id) LEFT JOIN trav t USING (chunk_id)", *SEED_PARTS, extra=SEED_CTES + ", " + AGG + REACH))
 def _(spark, d):
     m = Model(spark, d)
