@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Function words that are never an entity.
-FUNCTION_WORDS = (
-    "i me my mine myself we us our ours ourselves you your yours yourself yourselves he him his himself "
-    "she her hers herself it its itself they them their theirs themselves "
-    "someone anyone everyone nobody something anything everything nothing here there"
-).split() + ["no one"]
+FUNCTION_WORDS = [
+    "i", "me", "my", "mine", "myself",
+    "we", "us", "our", "ours", "ourselves",
+    "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself",
+    "she", "her", "hers", "herself",
+    "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves",
+    "someone", "anyone", "everyone", "no one", "nobody",
+    "something", "anything", "everything", "nothing",
+    "here", "there",
+]
 
 # The entity types a knowledge base starts with.
 ENTITY_TYPES = ["person", "organization", "location", "concept", "event", "work_of_art", "date_time"]

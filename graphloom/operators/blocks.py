@@ -33,27 +33,50 @@ def relation_label(value: Column) -> Column:
     return F.when(v.isin("", "none"), "none").otherwise(v)
 
 
+def _borders(word: str) -> list[int]:
+    """For each beginning of ``word``, how long its longest proper end is that begins the word too."""
+    out, k = [0], 0
+    for c in word[1:]:
+        while k and word[k] != c:
+            k = out[k - 1]
+        k += word[k] == c
+        out.append(k)
+    return out
+
+
+_BORDERS = _borders(FOOTER)
+
+
 class FooterFilter:
-    """Passes streamed text on, but holds back what may begin the footer, and swallows the footer itself."""
+    """Passes streamed text on sign by sign, but holds back what may begin the footer, and swallows the footer and all behind it.
+
+    What is held is as long as the part of the footer that matches so far, so a table of the
+    footer's borders says how much of it may go when a sign doesn't fit.
+    """
 
     def __init__(self, held: str = "", matched: bool = False):
         self.held, self.matched = held, matched
 
     def write(self, delta: str) -> str:
-        if self.matched:
-            return ""
-        text = self.held + delta
-        at = text.lower().find(FOOTER)
-        if at >= 0:
-            self.held, self.matched = "", True
-            return text[:at]
-        keep = next((n for n in range(min(len(FOOTER) - 1, len(text)), 0, -1) if FOOTER.startswith(text[-n:].lower())), 0)
-        self.held = text[len(text) - keep :]
-        return text[: len(text) - keep]
+        out = []
+        for c in "" if self.matched else delta:
+            k = len(self.held)
+            while k and FOOTER[k] != c.lower():
+                out.append(self.held[: k - _BORDERS[k - 1]])
+                k = _BORDERS[k - 1]
+                self.held = self.held[len(self.held) - k :]
+            if FOOTER[k] != c.lower():
+                out.append(c)
+                continue
+            self.held += c
+            if k + 1 == len(FOOTER):
+                self.held, self.matched = "", True
+                break
+        return "".join(out)
 
     def flush(self) -> str:
-        out, self.held = ("" if self.matched else self.held), ""
-        return out
+        left, self.held = self.held, ""
+        return left
 
 
 def visible(stream: DataFrame) -> DataFrame:
