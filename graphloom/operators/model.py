@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENTITY_TYPES, is_function_word, normalized
+from .sentences import found, pattern_matches
 
 KB = ["user_id", "kb_id"]
 #: Bytes of a passage window and of its overlap.
@@ -87,17 +88,20 @@ def default_score(text: Column) -> Column:
     return F.pmod(F.length(text) * 7, F.lit(10)) / F.lit(10.0)
 
 
-def mentions(chunks: DataFrame, pattern: str = MENTION, threshold: float = 0.5, kind=default_type, score=default_score) -> DataFrame:
+def mentions(chunks: DataFrame, pattern: str = MENTION, threshold: float = 0.5, kind=default_type, score=default_score, find=None) -> DataFrame:
     """``mention_id, chunk_id, document_id, user_id, kb_id, entity_type, text, char_start, char_end, score``.
 
-    Matches of ``pattern`` in each window, with byte offsets in it; ones below the
-    threshold, shorter than two characters or function words are left out. Extraction and
-    offsets stay in the JVM; ``kind`` and ``score`` are the place for a model.
+    Matches of ``pattern`` in each sentence of a window, with byte offsets in the window; ones
+    below the threshold, shorter than two characters or function words are left out. Extraction
+    and offsets stay in the JVM; ``find`` (in place of the pattern), ``kind`` and ``score`` are
+    the places for a model. Null and empty texts give no rows.
+
+    A match of the default pattern holds neither space nor stop, so none reaches over the end
+    of a sentence and windows are searched whole for it, which finds the same at half the cost.
     """
-    c = chunks.withColumn("m", F.expr(f"regexp_extract_all(text, '({pattern})', 1)")).withColumn("p", F.expr(f"split(text, '{pattern}', -1)"))
-    c = c.where(F.size("m") > 0)
-    start = F.expr("transform(m, (x, i) -> aggregate(slice(p, 1, i + 1), 0, (a, s) -> a + octet_length(s)) + aggregate(slice(m, 1, i), 0, (a, s) -> a + octet_length(s)))")
-    c = c.withColumn("s", start).select("chunk_id", "document_id", *KB, F.posexplode(F.arrays_zip("m", "s")).alias("k", "z"))
+    whole = find is None and pattern == MENTION
+    match = pattern_matches(pattern)(F.col("text")) if whole else found(F.col("text"), find or pattern_matches(pattern))
+    c = chunks.withColumn("f", match).select("chunk_id", "document_id", *KB, F.posexplode("f").alias("k", "z"))
     t = F.col("z.m")
     c = c.select(
         _placed([F.col("chunk_id"), F.col("k")], [PLACES["document"] * PLACES["window"], PLACES["mention"]]).alias("mention_id"), "chunk_id", "document_id", *KB, kind(t).alias("entity_type"), t.alias("text"),

@@ -11,6 +11,7 @@ from ..operators import linking as L
 from ..operators import retrieval as R
 from ..operators import vector_index as VI
 from ..operators.model import KB, Model, canonical, edges, lift, mentions, resolve, windows
+from ..operators.sentences import sentences
 from ..sources.tables import TenantScope, documents, table
 from .prelude import sql
 
@@ -40,6 +41,33 @@ def _(spark, d):
     return Model(spark, d).mentions.select("mention_id", "chunk_id", "entity_type", "text", "char_start", "char_end", "score")
 
 
+# The tokens of a passage, each with the space behind it; a token that ends a sentence, and the number of its sentence.
+_WS = "[ \\t\\r\\n\\f]"
+_NS = "[^ \\t\\r\\n\\f。！？]"
+_CL = "[\"'')\\]»”’]*"
+SENTENCES = f"""tok AS (SELECT chunk_id, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT chunk_id, regexp_extract_all(text, '{_NS}*([。！？]+{_WS}*|{_WS}+)|{_NS}+') AS w FROM chunks) AS q),
+fin AS (SELECT *, regexp_matches(w, '[。！？]+{_WS}*$') OR regexp_matches(w, '\\n[ \\t\\r\\f]*\\n') OR (regexp_matches(w, '[.!?]{_CL}{_WS}+$') AND NOT regexp_matches(w, '(^|[^A-Za-z])([A-Z]|Mr|Mrs|Ms|Dr|Prof|St|Sr|Jr|vs|cf|e\\.g|i\\.e|z\\.B)\\.{_CL}{_WS}+$')) AS stop FROM tok),
+num AS (SELECT *, coalesce(sum(stop::INTEGER) OVER (PARTITION BY chunk_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM fin),
+sent AS (SELECT chunk_id, sentence, string_agg(w, '' ORDER BY k) AS text FROM num GROUP BY chunk_id, sentence)"""
+
+
+@query("G03_sentences", sql("SELECT chunk_id, sentence::INTEGER AS sentence, md5(text) AS text_md5, (e - n)::INTEGER AS char_start, e::INTEGER AS char_end FROM (SELECT *, octet_length(encode(text)) AS n, sum(octet_length(encode(text))) OVER (PARTITION BY chunk_id ORDER BY sentence) AS e FROM sent) AS q", "chunks", extra=SENTENCES))
+def _(spark, d):
+    return sentences(Model(spark, d).chunks).select("chunk_id", "sentence", F.md5(F.col("text").cast("binary")).alias("text_md5"), "char_start", "char_end")
+
+
+PAIR = "[A-Z][a-z]+[ .!?\n]+[A-Z][a-z]+"
+_BYTES = "coalesce(list_sum(list_transform({}, lambda x: octet_length(encode(x)))), 0)"
+NAMES = SENTENCES + f""", located AS (SELECT *, sum(octet_length(encode(text))) OVER (PARTITION BY chunk_id ORDER BY sentence) - octet_length(encode(text)) AS begin FROM sent),
+hit AS (SELECT chunk_id, begin, m, p, unnest(range(len(m))) AS k FROM (SELECT *, regexp_extract_all(text, '{PAIR}') AS m, string_split_regex(text, '{PAIR}') AS p FROM located) AS q)"""
+
+
+@query("G03_names_by_sentence", sql(f"SELECT chunk_id, m[k + 1] AS text, (begin + {_BYTES.format('p[1:k + 1]')} + {_BYTES.format('m[1:k]')})::INTEGER AS char_start FROM hit WHERE length(m[k + 1]) * 7 % 10 >= 5", "chunks", extra=NAMES))
+def _(spark, d):
+    # Names of two words, with anything short of a sentence's end between them.
+    return mentions(Model(spark, d).chunks, pattern=PAIR).select("chunk_id", "text", "char_start")
+
+
 @query("G06_edges", sql("SELECT chunk_id, a, b, co_occurrence_count FROM edges", "edges"))
 def _(spark, d):
     return Model(spark, d).edges.select("chunk_id", "a", "b", "co_occurrence_count")
