@@ -76,12 +76,13 @@ def view_filter(nodes: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
 def modularity(nodes: DataFrame, g: DataFrame) -> DataFrame:
     """Q of a given assignment: ``sum over communities of (inside / m - (degree / 2m)**2)``; 0 without edges.
 
-    Weights are summed as decimals of twelve places, so that the order of rows doesn't show.
+    Edges with an end that ``nodes`` lacks take no part. Weights are summed as decimals of
+    twelve places, so that the order of rows doesn't show.
     """
     c = nodes.select("canonical_id", "community_id")
     g = g.withColumn("weight", F.col("weight").cast("decimal(24,12)"))
     e = g.join(c.select(F.col("canonical_id").alias("a"), F.col("community_id").alias("ca")), "a").join(c.select(F.col("canonical_id").alias("b"), F.col("community_id").alias("cb")), "b")
-    total = g.groupBy(*KB).agg(F.sum("weight").cast("double").alias("m"))
+    total = e.groupBy(*KB).agg(F.sum("weight").cast("double").alias("m"))
     inside = e.where("ca = cb").groupBy(*KB, F.col("ca").alias("community_id")).agg(F.sum("weight").cast("double").alias("inside"))
     deg = e.select(*KB, "weight", F.explode(F.array("ca", "cb")).alias("community_id")).groupBy(*KB, "community_id").agg(F.sum("weight").cast("double").alias("deg"))
     q = deg.join(inside, [*KB, "community_id"], "left").join(total, KB)

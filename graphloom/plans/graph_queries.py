@@ -9,6 +9,7 @@ from ..functions.text import capitalised
 from ..operators import graph as G
 from ..operators import linking as L
 from ..operators import retrieval as R
+from ..operators import themes as T
 from ..operators import vector_index as VI
 from ..operators.model import KB, Model, canonical, edges, lift, mentions, resolve, windows
 from ..operators.sentences import sentences
@@ -532,22 +533,54 @@ def _(spark, d):
     return _nodes(spark, d)[2].groupBy(*KB).agg(F.countDistinct("community_id").alias("communities"))
 
 
-@query("K08_top_communities", sql("SELECT user_id, kb_id, entity_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY n DESC, entity_type) AS r, count(*) OVER (PARTITION BY user_id, kb_id) AS c FROM (SELECT user_id, kb_id, entity_type, count(*) AS n FROM canonical GROUP BY ALL) AS q) AS z WHERE r <= least(5, greatest(1, ceil(c * 0.05::DOUBLE)))", "canonical"))
+# Communities by remainder, which SQL can repeat: many small ones and a large one, and a node in 59 without any.
+GROUPS = DEG.split(", nodes AS")[0] + """, grouped AS (SELECT *, CASE WHEN canonical_id % 59 = 58 THEN NULL WHEN canonical_id % 59 < 9 THEN 0 ELSE canonical_id % 59 END AS community_id FROM canonical),
+sizes AS (SELECT user_id, kb_id, community_id, count(*) AS size FROM grouped WHERE community_id IS NOT NULL GROUP BY ALL),
+top AS (SELECT user_id, kb_id, community_id, size FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY size DESC, community_id) AS r, count(*) OVER (PARTITION BY user_id, kb_id) AS n FROM sizes) AS q WHERE r <= least(5, greatest(1, ceil(n * 0.05::DOUBLE)))),
+best AS (SELECT g.*, row_number() OVER (PARTITION BY g.user_id, g.kb_id, g.community_id ORDER BY mention_count DESC, canonical_id) AS r FROM grouped g JOIN top USING (user_id, kb_id, community_id))"""
+
+
+def _grouped(spark, d):
+    k = F.col("canonical_id") % 59
+    return Model(spark, d).canonical.withColumn("community_id", F.when(k < 9, F.lit(0).cast("long")).when(k < 58, k))
+
+
+@query("K08_top_communities", sql("SELECT * FROM top", "graph", extra=GROUPS))
+def _(spark, d):
+    return T.top_communities(_grouped(spark, d))
+
+
+@query("K09_prompt_caps", sql("SELECT user_id, kb_id, community_id, list(canonical_text ORDER BY r) AS members FROM best WHERE r <= 30 GROUP BY ALL", "graph", extra=GROUPS))
 def _(spark, d):
-    g = Model(spark, d).canonical.groupBy(*KB, "entity_type").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*KB)
-    g = g.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "entity_type"))).withColumn("c", F.count("*").over(w))
-    return g.where(F.col("r") <= F.least(F.lit(5), F.greatest(F.lit(1), F.ceil(F.col("c") * F.lit(0.05))))).select(*KB, "entity_type", "n")
+    n = _grouped(spark, d)
+    return T.prompt_members(n, T.top_communities(n))
 
 
-QUERIES["G23_theme_candidates"] = lambda spark, d: QUERIES["K08_top_communities"](spark, d).groupBy(*KB).agg(F.sort_array(F.collect_list("entity_type")).alias("themes"))
-ORACLES["G23_theme_candidates"] = ORACLES["K08_top_communities"].replace("SELECT user_id, kb_id, entity_type, n FROM (SELECT *, row_number()", "SELECT user_id, kb_id, list(entity_type ORDER BY entity_type) AS themes FROM (SELECT *, row_number()") + " GROUP BY user_id, kb_id"
+@query("G23_theme_candidates", sql("SELECT user_id, kb_id, community_id, size, canonical_text AS first FROM top JOIN (SELECT user_id, kb_id, community_id, canonical_text FROM best WHERE r = 1) AS q USING (user_id, kb_id, community_id)", "graph", extra=GROUPS))
+def _(spark, d):
+    n = _grouped(spark, d)
+    top = T.top_communities(n)
+    return top.join(T.prompt_members(n, top), T.COMMUNITY).select(*T.COMMUNITY, "size", F.col("members")[0].alias("first"))
 
 
-@query("G29_structure", sql("SELECT user_id, kb_id, CASE WHEN n = 0 THEN 'empty' WHEN c <= 1 THEN 'single' WHEN n / c < 1.5 THEN 'barely connected' WHEN q >= 0.4 THEN 'well separated' WHEN q >= 0.15 THEN 'loosely related' ELSE 'overlapping' END AS structure FROM (SELECT user_id, kb_id, count(*) AS n, count(DISTINCT entity_type) AS c, (count(*) % 10) / 10.0::DOUBLE AS q FROM canonical GROUP BY ALL) AS z", "canonical"))
+@query("K11_theme_order", sql("SELECT user_id, kb_id, community_id, label, entity_count, row_number() OVER (PARTITION BY user_id, kb_id ORDER BY entity_count DESC, community_id) AS place FROM (SELECT user_id, kb_id, community_id, canonical_text AS label, size AS entity_count FROM best JOIN sizes USING (user_id, kb_id, community_id) WHERE r = 1 UNION ALL SELECT DISTINCT user_id, kb_id, 99, 'gone', 0 FROM top) AS q", "graph", extra=GROUPS))
 def _(spark, d):
-    g = Model(spark, d).canonical.groupBy(*KB).agg(F.count("*").alias("n"), F.countDistinct("entity_type").alias("c"))
-    return g.select(*KB, G.structure(F.col("n"), F.col("c"), (F.col("n") % 10) / F.lit(10.0)).alias("structure"))
+    """A run whose themes are named by each offered community's first member; one theme's community is gone since."""
+    n = _grouped(spark, d)
+    t = T.prompt_members(n, T.top_communities(n)).select(*T.COMMUNITY, F.col("members")[0].alias("label"))
+    gone = t.select(*KB, F.lit(99).cast("long").alias("community_id"), F.lit("gone").alias("label")).distinct()
+    return T.saved_themes(t.unionByName(gone), n)
+
+
+_ASSIGNED = ASSIGN.replace("canonical_id, canonical_id % 5 AS c FROM canonical", "canonical_id, community_id AS c FROM grouped WHERE community_id IS NOT NULL")
+STRUCTURE = GROUPS + ", " + _ASSIGNED + """, q AS (SELECT dg.user_id, dg.kb_id, sum((coalesce(ins.w, 0) / tot.m - (dg.w / (2 * tot.m)) ** 2)::DECIMAL(24,15))::DOUBLE AS q FROM dg LEFT JOIN ins USING (user_id, kb_id, c) JOIN tot USING (user_id, kb_id) GROUP BY ALL),
+whole AS (SELECT g.user_id, g.kb_id, count(*) AS nodes, count(DISTINCT community_id) AS communities, coalesce(any_value(q.q), 0) AS modularity FROM grouped g LEFT JOIN q USING (user_id, kb_id) GROUP BY ALL)"""
+
+
+@query("G29_structure", sql("SELECT user_id, kb_id, nodes, communities, round(modularity, 6) AS modularity, CASE WHEN communities <= 1 THEN 'single' WHEN nodes / communities < 1.5 THEN 'barely connected' WHEN modularity >= 0.4 THEN 'well separated' WHEN modularity >= 0.15 THEN 'loosely related' ELSE 'overlapping' END AS structure FROM whole", "graph", extra=STRUCTURE))
+def _(spark, d):
+    m = Model(spark, d)
+    return T.described(_grouped(spark, d), G.kb_graph(m.edges, m.resolved, m.canonical)).withColumn("modularity", F.round("modularity", 6))
 
 
 def _communities(spark, d):

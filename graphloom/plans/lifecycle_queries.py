@@ -384,18 +384,6 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("event: delta\ndata: "), body, F.lit("\n\n")).alias("line"))
 
 
-@query("K09_prompt_caps", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) AS q WHERE r <= 30")
-def _(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 30").select("user_id", "event_id")
-
-
-@query("K11_theme_order", "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS q")
-def _(spark, d):
-    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source")))
-
-
 @query("T02_expired_counters", "SELECT user_id AS key FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR")
 def _(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("m"))
