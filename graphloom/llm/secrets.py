@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,9 +110,23 @@ def _extended(text: str, a: int, b: int, least: float) -> int:
             return b
 
 
+def _covered(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans (ordered by start) cover together, as disjoint stretches in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Incompressible key-like runs in a sensitive context that no base span overlaps, with what adjoins them."""
     found, done = [], -1
+    starts, ends = _covered(base)
     for word in _ANNOUNCES.finditer(text):
         at = max(word.end(), done)
         # A run that starts within reach is seen with its first 16 characters, wherever it ends.
@@ -121,7 +136,8 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], least: float = NOVE
             if a <= done:
                 continue
             done = b
-            if any(s < b and a < e for _, s, e in base):
+            # Of the stretches that start before b, the last one reaches furthest.
+            if (i := bisect_left(starts, b)) and ends[i - 1] > a:
                 continue
             if _is_novel(text, a, b, least):
                 at = done = _extended(text, a, b, least)

@@ -2,10 +2,11 @@ import base64
 import hashlib
 import random
 import re
+from bisect import bisect_left
 
 from pyspark.sql import functions as F
 
-from graphloom.llm.secrets import base_spans, novel_spans, novelty, scan
+from graphloom.llm.secrets import _covered, base_spans, novel_spans, novelty, scan
 
 
 def plain(text):
@@ -87,3 +88,27 @@ def test_long_keys_and_whole_spans():
 def test_invalid_text_counts_as_replacement(spark):
     docs = spark.sql("select 1L as doc_id, cast(concat(unhex('FF'), cast('token=abcdefghijklmn' as binary)) as string) as text")
     assert [(r.n_assign, r.spans) for r in scan(docs).collect()] == [(1, "assign:1:21")]
+
+
+def test_covered_stretches_meet_what_the_spans_meet():
+    r = random.Random(7)
+    for _ in range(300):
+        spans = sorted((("hex", a, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(r.randrange(12)))), key=lambda s: s[1])
+        starts, ends = _covered(spans)
+        assert all(e <= s for e, s in zip(ends, starts[1:], strict=False))
+        for a in range(60):
+            b = a + r.randrange(1, 9)
+            i = bisect_left(starts, b)
+            assert bool(i and ends[i - 1] > a) == any(s < b and a < e for _, s, e in spans)
+
+
+def test_a_text_with_very_many_keys(spark):
+    """A log of 12 MB whose every line has a key: base spans by the thousand, novel ones among them."""
+    r = random.Random(9)
+    lines = [f"token = {r.randbytes(12).hex()} request served\n" if i % 8 else f"bearer {base64.b64encode(r.randbytes(30)).decode()} used\n" for i in range(40_000)]
+    text = "".join(lines) + "plain words of a log line\n" * 400_000
+    # A key of letters alone, which one in a thousand is, isn't taken for one.
+    keys = sum(any(c.isdigit() for c in line.split()[1]) for line in lines if line.startswith("bearer"))
+    row = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_assign, row.n_novel) == (35_000, keys)
+    assert keys > 4_980
