@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import capitalised
 from ..sources.lineage import cut
+from .blocks import relation_label
 from .model import KB, lift
 
 
@@ -108,6 +109,18 @@ def review_batch(e: DataFrame, resolved: DataFrame, chunk_limit: int = 15, pair_
     return picked.join(name("a"), "a").join(name("b"), "b").select(*KB, "chunk_id", "a", "b", "text_a", "text_b")
 
 
+def apply_verdicts(e: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``e`` with the labels of ``verdicts`` (``chunk_id, a, b, label``) in lower case; an empty label or one that says none, in any case, is ``none``.
+
+    Pairs without a verdict stay as they are, so that an open one is asked again by the next
+    :func:`review_batch`; verdicts on pairs that ``e`` lacks, and null ones, are left out. Of
+    several verdicts on a pair the least counts, so a rerun gives the same.
+    """
+    key = ["chunk_id", "a", "b"]
+    v = verdicts.where("label is not null").groupBy(*key).agg(F.min(relation_label(F.col("label"))).alias("_label"))
+    return e.join(v, key, "left").withColumn("relation_type", F.coalesce("_label", "relation_type")).select(*e.columns)
+
+
 def alias_pairs(canon: DataFrame) -> DataFrame:
     """Pairs of a type whose token sets hold one another: blocked by token, then compared.
 

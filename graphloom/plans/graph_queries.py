@@ -706,6 +706,18 @@ def _(spark, d):
     return m.edges.join(v, ["chunk_id", "a", "b"], "left").select("chunk_id", "a", "b", F.coalesce("verdict", "relation_type").alias("relation_type"))
 
 
+# The second turn of a review of which a quarter of the pairs had no answer in the first.
+TURNS = REVIEW + ", said AS (SELECT e.* REPLACE (CASE WHEN r.a IS NULL OR (e.b - e.a) % 4 = 0 THEN e.relation_type WHEN (e.b - e.a) % 4 = 2 THEN 'none' ELSE 'related' END AS relation_type) FROM edges e LEFT JOIN rb r ON r.chunk_id = e.chunk_id AND r.a = e.a AND r.b = e.b), " + REVIEW.replace("fc AS", "fc2 AS").replace("rb AS", "rb2 AS").replace("FROM fc)", "FROM fc2)").replace("FROM edges", "FROM said")
+
+
+@query("T08_review_cursor", sql("SELECT user_id, kb_id, chunk_id, a, b FROM rb2", "edges", extra=TURNS))
+def _(spark, d):
+    m = Model(spark, d)
+    turn = (F.col("b") - F.col("a")) % 4
+    said = L.review_batch(m.edges, m.resolved).select("chunk_id", "a", "b", F.when(turn == 2, "None").when(turn != 0, "related").alias("label"))
+    return L.review_batch(L.apply_verdicts(m.edges, said), m.resolved).select(*KB, "chunk_id", "a", "b")
+
+
 @query("A17_review_summary", sql("SELECT user_id, kb_id, count(DISTINCT chunk_id) AS chunks, count(*) AS pairs, count(*) FILTER (WHERE (b - a) % 2 <> 0) AS found, count(*) FILTER (WHERE (b - a) % 2 = 0) AS none FROM rb GROUP BY user_id, kb_id", "edges", extra=REVIEW))
 def _(spark, d):
     r = QUERIES["J12_review_candidates"](spark, d)

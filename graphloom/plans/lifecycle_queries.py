@@ -390,12 +390,6 @@ def _(spark, d):
     return e.where("m + interval 1 hour >= timestamp'2024-01-30 12:00:00' - interval 1 hour").select("key")
 
 
-@query("T08_review_cursor", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
-def _(spark, d):
-    e = table(spark, d, "events").select("event_id")
-    return e.join(e.where("event_id % 3 = 0"), "event_id", "left_anti")
-
-
 @query("T09_scan_timeout", f"SELECT event_id, CASE WHEN status = 'pending' AND event_id % 100 >= 60 THEN 'failed' ELSE status END AS status FROM ({JOB}) AS q")
 def _(spark, d):
     late = (F.col("status") == "pending") & (F.col("event_id") % 100 >= 60)

@@ -168,3 +168,13 @@ def test_paths_go_from_a_source_to_each_target(spark):
     got = {r.canonical_id: (r.distance, r.path) for r in shortest_paths(g, node(1), node(1, 3, 5, 9)).collect()}
     assert got == {1: (0, [1]), 3: (2, [1, 2, 3]), 5: (3, [1, 2, 3, 5])}
     assert shortest_paths(g, node(), node(1)).collect() == []
+
+
+def test_verdicts_move_the_review_on(spark):
+    from graphloom.operators.linking import apply_verdicts
+
+    e = spark.createDataFrame([(1, 1, 2, None, "x"), (1, 1, 3, None, "y"), (2, 5, 6, "old", "z"), (2, 5, 7, None, "w")], "chunk_id long, a long, b long, relation_type string, label string")
+    v = spark.createDataFrame([(1, 1, 2, "Owns"), (1, 1, 2, "Parts"), (1, 1, 3, " NONE "), (2, 5, 7, None), (9, 9, 9, "lost")], "chunk_id long, a long, b long, label string")
+    got = {(r.chunk_id, r.a, r.b): (r.relation_type, r.label) for r in apply_verdicts(e, v).collect()}
+    assert got == {(1, 1, 2): ("owns", "x"), (1, 1, 3): ("none", "y"), (2, 5, 6): ("old", "z"), (2, 5, 7): (None, "w")}
+    assert apply_verdicts(e, v.limit(0)).count() == 4
