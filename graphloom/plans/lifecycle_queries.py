@@ -257,14 +257,6 @@ def _(spark, d):
     return s.select("questions", F.round("retrieval_score", 6).alias("retrieval_score"), F.round("answer_score", 6).alias("answer_score"))
 
 
-@query("J18_ground_truth", "SELECT doc_id AS pair_id, doc_id AS document_id FROM documents")
-def _(spark, d):
-    from ..operators.evaluation import resolve_names
-
-    docs = table(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("filename"), F.col("doc_id").alias("document_id"))
-    return resolve_names(docs.select(F.col("document_id").alias("pair_id"), "filename"), docs).select("pair_id", "document_id")
-
-
 @query("L02_set_embedding", "SELECT vec_id, vec_id % 5 = 0 AS replaced FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")

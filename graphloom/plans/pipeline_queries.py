@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
@@ -191,3 +192,32 @@ def _(spark, d):
     sizes = F.create_map(F.lit(1), F.lit(3), F.lit(2), F.lit(5))
     p = table(spark, d, "documents").select("doc_id", B.themes(t, sizes).alias("p"))
     return p.select("doc_id", F.explode("p.themes").alias("t"), "p.note").select("doc_id", "t.*", "note")
+
+
+# Ground truth in files of a hundred pairs at most: each document of a knowledge base and the next one.
+PAIRS = "SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS b, source || '/' || lang || '/' AS folder FROM documents"
+
+
+def _ground_truth(spark, d):
+    from ..sources.tables import ground_truth
+
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("filename"))
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    p = docs.select("source", "lang", F.col("filename").alias("a"), F.lead("filename").over(w).alias("b"), F.floor((F.row_number().over(w) - 1) / 100).alias("part")).where("b is not null")
+    files = p.groupBy("source", "lang", "part").agg(F.to_json(F.struct(F.collect_list(F.struct("a", "b")).alias("pairs"))).alias("value"))
+    at = _place(spark)
+    files.select(F.concat_ws("-", "source", "lang", "part").alias("file"), "value").write.partitionBy("file").text(at)
+    return ground_truth(spark, at, "pairs"), docs.select("filename", F.col("doc_id").alias("document_id"))
+
+
+@query("S22_ground_truth", f"SELECT folder || a || '.txt' AS a, folder || b || '.txt' AS b FROM ({PAIRS}) AS q WHERE b IS NOT NULL")
+def _(spark, d):
+    return _ground_truth(spark, d)[0].select("a", "b")
+
+
+@query("J18_ground_truth", f"SELECT folder || a || '.txt' AS pair_id, b AS document_id FROM ({PAIRS}) AS q WHERE b IS NOT NULL")
+def _(spark, d):
+    from ..operators.evaluation import resolve_names
+
+    pairs, docs = _ground_truth(spark, d)
+    return resolve_names(pairs.select(F.col("a").alias("pair_id"), F.col("b").alias("filename")), docs).select("pair_id", "document_id")
