@@ -96,3 +96,25 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("ＡＢ　 c ", "x/Y.JPG"), ("plain", "noext"), (None, None)], "t string, n string")
     got = [tuple(r) for r in df.select(normalized(F.col("t"), True), content_type(F.col("n"))).collect()]
     assert got == [("ab c", "image/jpeg"), ("plain", None), (None, None)]
+
+
+def test_windows_and_default_mentions_pass_texts_in_pieces(spark, monkeypatch):
+    # Bytes are cut in the workers, in pieces that don't depend on how many windows a text has.
+    from graphloom.operators import model
+
+    monkeypatch.setattr(model, "_PIECE", 64)
+    text = "Anna ärgert Bernd. Caro € Dora 😀 Emil " * 20
+    docs = spark.createDataFrame([(1, "u", "k", text), (2, None, "k", text), (3, "u", "k", "")], DOC)
+    w = windows(docs, 50, 7)
+    assert "MapInArrow" in w._jdf.queryExecution().toString()
+    rows = sorted(w.where("document_id = 1").collect(), key=lambda r: r.ordinal)
+    assert [(r.char_start, r.char_end) for r in rows] == slow_windows(text, 50, 7)
+    assert all(r.text.encode() == text.encode()[r.char_start : r.char_end] for r in rows)
+    m = mentions(w, threshold=0.0)
+    at = {r.chunk_id: r.text.encode() for r in w.collect()}
+    assert all(at[r.chunk_id][r.char_start : r.char_end].decode() == r.text for r in m.collect())
+    assert m.where("document_id = 2").count() == m.where("document_id = 1").count() > 0
+    # Mentions of no tenant have no identity, and both ways to the identities agree.
+    r = resolve(m, compatibility=False)
+    assert r.where("user_id is null").count() == 0
+    assert sorted(model.identities(r).collect()) == sorted(canonical(r).select(*model.identities(r).columns).collect())
