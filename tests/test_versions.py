@@ -48,3 +48,14 @@ def test_a_key_of_a_million_events(spark):
     got = allowed_window(e, 2, 60).where("allowed").groupBy("key").count()
     counts = {r.key: r["count"] for r in got.collect()}
     assert counts["rare"] == 10_000 and 200_000 < counts["hot"] < 230_000
+
+
+def test_sums_beyond_64_bits_stay_whole(spark):
+    from graphloom.sources.lineage import as_longs, whole_sum
+
+    rows = spark.createDataFrame([("a", 1 << 62), ("a", 1 << 62), ("b", 5)], "k string, x long")
+    sums = lambda df: as_longs(df.groupBy("k").agg(whole_sum(df["x"]).alias("s")), "s")
+    assert {r.k: int(r.s) for r in sums(rows).collect()} == {"a": 1 << 63, "b": 5}
+    small = sums(rows.where("k = 'b'"))
+    assert small.schema["s"].dataType.simpleString() == "bigint" and small.first().s == 5
+    assert sums(rows.limit(0)).count() == 0
