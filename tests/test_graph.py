@@ -178,3 +178,15 @@ def test_verdicts_move_the_review_on(spark):
     got = {(r.chunk_id, r.a, r.b): (r.relation_type, r.label) for r in apply_verdicts(e, v).collect()}
     assert got == {(1, 1, 2): ("owns", "x"), (1, 1, 3): ("none", "y"), (2, 5, 6): ("old", "z"), (2, 5, 7): (None, "w")}
     assert apply_verdicts(e, v.limit(0)).count() == 4
+
+
+def test_batch_search_compares_blocks(spark):
+    # One product of matrices a pair of blocks; zero, null, ragged and NaN vectors score as pair by pair.
+    v = spark.createDataFrame([(i, [float(i % 5 - 2), float(i % 3), 1.0]) for i in range(40)] + [(50, None), (51, [0.0, 0.0, 0.0]), (52, [1.0]), (53, [1.0, None, 2.0]), (54, []), (55, [float("nan"), 1.0, 1.0])], "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = R.batch_top_k(v, q, 7, block=9)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    pairs = q.crossJoin(v).select("query_id", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    slow = R.ranked(pairs, [F.desc("score"), "vec_id"], by=["query_id"], k=7).drop("rank")
+    key = lambda df: sorted((r.query_id, r.vec_id, repr(r.score)) for r in df.collect())
+    assert key(found) == key(slow)
