@@ -190,3 +190,22 @@ def test_batch_search_compares_blocks(spark):
     slow = R.ranked(pairs, [F.desc("score"), "vec_id"], by=["query_id"], k=7).drop("rank")
     key = lambda df: sorted((r.query_id, r.vec_id, repr(r.score)) for r in df.collect())
     assert key(found) == key(slow)
+
+
+def test_alias_pairs_of_equal_names_are_made_from_classes(spark, monkeypatch):
+    monkeypatch.setattr(L, "MEMBERS", 3)
+    words = ["red ring", "ring red", "ring", "red ring big", "bolt", "bolt bolt", "red", None, ""]
+    rows = [("u", "k" if i % 7 else "l", i, words[i % 9], "t" if i % 11 else "s", 1) for i in range(90)] + [("u", "k", 2, "bolt", "t", 1)]
+    canon = spark.createDataFrame(rows, "user_id string, kb_id string, canonical_id long, normalized_text string, entity_type string, mention_count long")
+    slow = set()
+    for r in rows:
+        for s in rows:
+            if r[1] == s[1] and r[4] == s[4] and r[2] < s[2] and r[3] is not None and s[3] is not None:
+                x, y = set(r[3].split(" ")), set(s[3].split(" "))
+                if x <= y or y <= x:
+                    slow.add((r[1], r[4], r[2], s[2]))
+    got = [(r.kb_id, r.entity_type, r.a, r.b) for r in L.alias_pairs(canon).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow
+    # Members of equal names meet at the end only: no aggregate lies above the pairs.
+    plain = L.alias_pairs(canon.where("canonical_id <> 2"))
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
