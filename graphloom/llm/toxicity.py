@@ -67,10 +67,18 @@ class _Distinct:
                 yield x[self.seen[x] == at]
 
 
+def _blocks(n: int) -> list[slice]:
+    """Stretches of features that are worked on at once, so that wider copies of all of them are never held."""
+    return [slice(i, i + (1 << 19)) for i in range(0, n, 1 << 19)]
+
+
 def log_count_ratio(flat: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The naive Bayes log ratio of each bucket's presence in both classes, smoothed by one text in each; bucket ``flat[i]`` is in text ``of[i]``."""
-    pos = np.bincount(flat, weights=y[of], minlength=1 << BITS)
-    neg = np.bincount(flat, minlength=1 << BITS) - pos
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for s in _blocks(len(flat)):
+        one = np.bincount(flat[s], weights=y[of[s]], minlength=1 << BITS)
+        pos += one
+        neg += np.bincount(flat[s], minlength=1 << BITS) - one
     return np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
 
 
@@ -83,19 +91,22 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, rounds: int = 5
     logit = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), logit)
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    flat, n = np.concatenate(rows), len(rows)
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    del rows  # views of a second copy
     ratio = log_count_ratio(flat, of, y)
     w, b = np.zeros(1 << BITS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    scaled = ratio[flat].astype(np.float32)
+    blocks = _blocks(len(flat))
+    scaled = np.empty(len(flat), np.float32)
+    for s in blocks:
+        scaled[s] = ratio[flat[s]]
     # Each class weighs half; the bias is moved to the prior at the end.
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    blocks = [slice(i, i + (1 << 19)) for i in range(0, len(flat), 1 << 19)]
     for t in range(1, rounds + 1):
-        z = np.full(len(rows), b)
+        z = np.full(n, b)
         for s in blocks:
-            z += np.bincount(of[s], weights=w[flat[s]] * scaled[s], minlength=len(rows))
+            z += np.bincount(of[s], weights=w[flat[s]] * scaled[s], minlength=n)
         err = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         g, gb = penalty * w, err.sum()
         for s in blocks:
@@ -140,8 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(buckets, f"doc_id {kind}, toxic int, buckets array<int>").orderBy("doc_id", "toxic").select("toxic", "buckets").toArrow()
-    sets = [x.values.to_numpy() for x in rows.column("buckets").combine_chunks()] if rows.num_rows else []
-    return fit(sets, rows.column("toxic").to_numpy(), 0.0 if known is None else float(known))
+    toxic = rows.column("toxic").to_numpy()
+    sets = [x.values.to_numpy() for chunk in rows.column("buckets").chunks for x in chunk]
+    del rows
+    handed = [sets]
+    del sets
+    return fit(handed.pop(), toxic, 0.0 if known is None else float(known))
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -69,3 +69,19 @@ def test_clash_and_repeated_labels(spark):
     labels = spark.createDataFrame([(1, 1)] * 5 + [(2, 0)] * 3, "doc_id long, toxic int")
     got = annotate(docs, train(docs, labels)).collect()
     assert len(got) == 3 and all(0 < r.toxic_score < 1 for r in got)
+
+
+def test_the_fit_holds_no_wide_copy_of_all_features():
+    import tracemalloc
+
+    from graphloom.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(0, 1 << toxicity.BITS, 20_000, dtype=np.int32) for _ in range(200)]
+    size = sum(r.nbytes for r in rows)
+    tracemalloc.start()
+    toxicity.fit(rows, np.arange(200) % 2, 0.5, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Three arrays of four bytes a feature, some tables of 2**18 doubles and a block's temporaries.
+    assert peak < 5 * size
