@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
 
-#: Vectors that cells are fitted on at most, cells at most, vectors and queries that are compared at once.
-SAMPLE, MOST_CELLS, BLOCK, QUERIES = 200_000, 4096, 1024, 256
+#: Vectors that cells are fitted on at most, cells at most, vectors of a block, queries that are sent on in one piece.
+SAMPLE, MOST_CELLS, BLOCK, QUERIES = 200_000, 4096, 1024, 1024
+#: Blocks of a shelf, and queries of a piece that meet it at once.
+SHELF, AT_ONCE = 8, 64
 #: Rounding of scores, and the slack of bounds for it.
 DIGITS, SLACK = 6, 2e-6
 
@@ -31,6 +34,13 @@ def _rows(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by ``QUERIES`` at most, which bounds a product with all centres."""
+    for b in batches:
+        for i in range(0, len(b), QUERIES):
+            yield b.iloc[i : i + QUERIES]
+
+
 def centres(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> np.ndarray:
     """Unit centres by Spark's k-means on up to ``SAMPLE`` unit vectors, chosen by a hash of the id; about the root of the vectors' number of cells."""
     from pyspark.ml.clustering import KMeans
@@ -60,11 +70,10 @@ def build(vectors: DataFrame, width: int, cells: int | None = None, seed: int =
     c = centres(v, cells, seed)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                cos = _unit(_rows(b.embedding)) @ c.T
-                best = cos.argmax(axis=1)
-                yield pd.DataFrame({"id": b.id, "embedding": b.embedding, "cell": best.astype(np.int32), "angle": np.arccos(np.clip(cos[np.arange(len(b)), best], -1, 1))})
+        for b in _pieces(batches):
+            cos = _unit(_rows(b.embedding)) @ c.T
+            best = cos.argmax(axis=1)
+            yield pd.DataFrame({"id": b.id, "embedding": b.embedding, "cell": best.astype(np.int32), "angle": np.arccos(np.clip(cos[np.arange(len(b)), best], -1, 1))})
 
     placed = cut(v.mapInPandas(assign, f"id {v.schema['id'].dataType.simpleString()}, embedding array<float>, cell int, angle double"))
     spark = vectors.sparkSession
@@ -77,62 +86,97 @@ def build(vectors: DataFrame, width: int, cells: int | None = None, seed: int =
     return table, cut(blocks)
 
 
-def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best by rounded score, then id."""
-    if len(ids) > 4 * k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= least)
-        return near[np.lexsort((ids[near], -score[near]))[:k]]
-    return np.lexsort((ids, -score))[:k]
+def _best(score: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and rounded scores of each row's ``k`` best by rounded score, then id, of those that reach the row's ``least``."""
+    floor = least - SLACK
+    near = score >= floor[:, None]
+    if score.shape[1] > k and near.sum() > 4 * k * len(score):
+        floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - SLACK)
+        near = score >= floor[:, None]
+    row, col = np.nonzero(near & (score > -np.inf))
+    value = np.round(score[row, col], DIGITS) + 0.0
+    order = np.lexsort((ids[col], -value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.searchsorted(row, row) if len(row) else row
+    keep = np.arange(len(row)) - first < k
+    return row[keep], col[keep], value[keep]
+
+
+def _shelves(cells: list) -> list[tuple[int, int, int, int]]:
+    """``(cell, run, shelf, place)``: the runs of ``SHELF`` blocks of each cell, and where they stand; a shelf holds about ``SHELF`` blocks."""
+    out, shelf, full, place = [], 0, 0, 0
+    for r in cells:
+        parts = max(1, -(-r.n // BLOCK))
+        for run in range(-(-parts // SHELF)):
+            size = min(SHELF, parts - run * SHELF) * min(BLOCK, r.n)
+            if full and full + size > SHELF * BLOCK:
+                shelf, full, place = shelf + 1, 0, 0
+            out.append((r.cell, run, shelf, place))
+            full, place = full + size, place + 1
+    return out
 
 
 def _probe(queries: DataFrame, cells: list, first: int, count: int | None, exact: bool) -> DataFrame:
-    """``cell, query_id, q, least``: the cells of each query's turn, nearest first; in the exact turn, those whose bound reaches ``least``."""
-    number = np.array([r.cell for r in cells], np.int32)
+    """``shelf, query_ids, flat, least, need``: the queries that have cells of a shelf in their turn, nearest first, in pieces.
+
+    ``need`` has a bit for each query and place of the shelf. In the exact turn those cells
+    count whose bound reaches ``least``. A query is sent once to a shelf, not once to a cell.
+    """
     centre, radius = np.array([r.centre for r in cells]), np.array([r.radius for r in cells])
+    number = {r.cell: i for i, r in enumerate(cells)}
+    stand: dict[int, list[int]] = {}
+    for cell, _, shelf, _ in _shelves(cells):
+        stand.setdefault(shelf, []).append(number[cell])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            angle = np.arccos(np.clip(_unit(_rows(b.q)) @ centre.T, -1, 1))
-            order = np.argsort(angle, axis=1, kind="stable")
-            row, at = np.repeat(np.arange(len(b)), order.shape[1]), order.ravel()
-            turn = np.tile(np.arange(order.shape[1]), len(b))
+        for b in _pieces(batches):
+            q, least = _rows(b.q), b["least"].to_numpy(np.float64)
+            angle = np.arccos(np.clip(_unit(q) @ centre.T, -1, 1))
+            turn = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1)
             keep = turn >= first if count is None else (turn >= first) & (turn < first + count)
             if exact:
-                keep &= np.cos(np.maximum(0.0, angle[row, at] - radius[at])) >= b["least"].to_numpy()[row] - SLACK
-            row, at = row[keep], at[keep]
-            part = b.iloc[row]
-            yield pd.DataFrame({"cell": number[at], "query_id": part.query_id.to_numpy(), "q": part.q.to_numpy(), "least": part["least"].to_numpy()})
+                keep &= np.cos(np.maximum(0.0, angle - radius)) >= least[:, None] - SLACK
+            ids = b.query_id.to_numpy()
+            for shelf, own in stand.items():
+                need = keep[:, own]
+                at = np.flatnonzero(need.any(axis=1))
+                if len(at):
+                    yield pd.DataFrame({"shelf": [np.int32(shelf)], "query_ids": [ids[at]], "flat": [q[at].ravel()], "least": [least[at]], "need": [np.packbits(need[at], axis=1).tobytes()]})
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "q", "least").mapInPandas(run, f"cell int, query_id {kind}, q array<float>, least double")
-
-
-def _compare(probes: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score``: each block of vectors with each block of queries of its cell; a pair of blocks gives ``k`` rows a query at most."""
-    per = F.pmod(F.xxhash64("query_id"), F.col("parts"))
-    many = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    asked = probes.join(many, "cell").groupBy("cell", per.alias("turn")).agg(F.collect_list(F.struct("query_id", "q", "least")).alias("asked"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return queries.select("query_id", "q", "least").mapInPandas(run, f"shelf int, query_ids array<{kind}>, flat array<double>, least array<double>, need binary")
+
+
+def _compare(probes: DataFrame, index: tuple[list, DataFrame], k: int) -> DataFrame:
+    """``query_id, id, score``: each shelf of vectors with each piece of queries for it; a pair gives ``k`` rows a query at most."""
+    cells, blocks = index
+    places = _shelves(cells)
+    known = blocks.sparkSession.createDataFrame(places, "cell int, run long, shelf int, place int")
+    run_of = F.floor(F.col("block") / SHELF).alias("run")
+    held = blocks.select("cell", run_of, "ids", F.col("flat").alias("held")).join(F.broadcast(known), ["cell", "run"])
+    # A shelf's vectors are one row, of SHELF * BLOCK vectors or so; each piece meets it once.
+    one = F.collect_list(F.struct("place", "ids", "held")).alias("x")
+    number = F.flatten(F.transform("x", lambda r: F.array_repeat(r["place"], F.size(r["ids"]))))
+    shelves = held.groupBy("shelf").agg(one).select("shelf", F.flatten("x.ids").alias("ids"), F.flatten("x.held").alias("held"), number.alias("place"))
+    kind, id_kind = probes.schema["query_ids"].dataType.elementType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
+    values = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples():
-                ids = np.asarray(r.ids)
-                v = _unit(np.asarray(r.flat, np.float64).reshape(len(ids), -1))
-                q = _unit(np.array([a["q"] for a in r.asked], np.float64))
-                score = np.round(q @ v.T, DIGITS) + 0.0
-                out = []
-                for a, s in zip(r.asked, score, strict=True):
-                    own = np.flatnonzero(s >= a["least"] - SLACK)
-                    own = own[_best(ids[own], s[own], k)]
-                    out.append(pd.DataFrame({"query_id": a["query_id"], "id": ids[own], "score": s[own]}))
-                yield pd.concat(out)
-
-    kind = probes.schema["query_id"].dataType.simpleString()
-    id_kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    return asked.join(blocks, "cell").select("ids", "flat", "asked").mapInPandas(run, f"query_id {kind}, id {id_kind}, score double")
+            for i in range(len(b)):
+                asked, ids, place = b.column(0)[i].values, b.column(4)[i].values, values(b.column(6), i)
+                v = _unit(values(b.column(5), i).astype(np.float64).reshape(len(ids), -1))
+                q, least = _unit(values(b.column(1), i).reshape(len(asked), -1)), values(b.column(2), i)
+                need = np.unpackbits(np.frombuffer(b.column(3)[i].as_py(), np.uint8).reshape(len(asked), -1), axis=1).view(bool)
+                number = ids.to_numpy(zero_copy_only=False)
+                for s in range(0, len(asked), AT_ONCE):
+                    own = slice(s, s + AT_ONCE)
+                    score = np.where(need[own][:, place], q[own] @ v.T, -np.inf)
+                    row, col, value = _best(score, number, least[own], k)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(row + s)), ids.take(pa.array(col)), pa.array(value)], names=["query_id", "id", "score"])
+
+    pairs = probes.join(shelves, "shelf").select("query_ids", "flat", "least", "need", "ids", "held", "place")
+    return pairs.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -154,13 +198,13 @@ def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 12,
     asked = queries.where("q is not null").select("query_id", "q", F.lit(-2.0).alias("least"))
     if not cells:
         return _top(asked.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score")).limit(0), k)
-    found = _top(_compare(_probe(asked, cells, 0, probes, False), blocks, k), k)
+    found = _top(_compare(_probe(asked, cells, 0, probes, False), (cells, blocks), k), k)
     if not exact:
         return found
     found = cut(found)
     least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = asked.drop("least").join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-    more = _compare(_probe(rest, cells, probes, None, True), blocks, k)
+    more = _compare(_probe(rest, cells, probes, None, True), (cells, blocks), k)
     return _top(found.drop("rank").unionByName(more), k)
 
 

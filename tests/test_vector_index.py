@@ -41,3 +41,17 @@ def test_empty_index(spark):
     none = V.build(spark.createDataFrame([], "id long, embedding array<float>"), 4)
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, q array<float>")
     assert V.search(none, q, 3, exact=True).collect() == []
+
+
+def test_a_query_is_sent_once_to_a_shelf_of_cells(spark, monkeypatch):
+    """Not once to each cell of its turn, whose number grows with the table; a cell of many vectors stands on several shelves."""
+    from pyspark.sql import Row
+
+    cells = [Row(cell=i, centre=[float(i + 1), 1.0], radius=3.0, n=100) for i in range(60)] + [Row(cell=60, centre=[-1.0, 0.0], radius=3.0, n=5000)]
+    monkeypatch.setattr(V, "SHELF", 2)
+    shelves = {s for _, _, s, _ in V._shelves(cells)}
+    assert len(shelves) == 3 + 3
+    q = spark.createDataFrame([(i, [1.0, float(i)], -2.0) for i in range(40)], "query_id long, q array<double>, least double").coalesce(1)
+    sent = V._probe(q, cells, 0, None, True).collect()
+    assert sorted(r.shelf for r in sent) == sorted(shelves)
+    assert all(sorted(r.query_ids) == list(range(40)) and len(r.flat) == 80 for r in sent)
