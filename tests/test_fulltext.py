@@ -71,3 +71,35 @@ def test_offsets_of_a_phrase(spark):
 def test_empty_table(spark, tmp_path):
     save(index(spark.createDataFrame([], "chunk_id long, user_id string, kb_id string, text string")), str(tmp_path / "none"))
     assert search(Saved(spark, str(tmp_path / "none")), "word").collect() == []
+
+
+def test_stems_by_word_and_by_sql_are_the_same(spark):
+    from graphloom.functions.stem import STEPS, stem_word
+
+    ends = sorted({e for step in STEPS for e, *_ in step if "#" not in e} | {"eed", "ed", "ing", "s", "y"})
+    words = [a + b for a in ("", "b", "tr", "hopp", "agre", "relat", "conform", "feed", "y", "sky", "élan", "a1") for b in ends] + ["as", "", "it's"]
+    got = spark.createDataFrame([(w, stem_word(w)) for w in words], "w string, s string").select("w", "s", stem("w").alias("g")).where("s <> g").collect()
+    assert got == []
+
+
+def test_words_of_any_script_and_places(spark):
+    texts = [(1, "Ünter-größe 12ab Жук_x 日本語。𝒜b ½"), (2, ""), (3, None), (4, "größe"), (4, "eine größe"), (5, "größe" * 2 + " größe")]
+    rows = index(spark.createDataFrame([(i, "u", None, t) for i, t in texts], "chunk_id long, user_id string, kb_id string, text string").coalesce(1))
+    want = spark.createDataFrame([t for _, t in texts if t], "string").selectExpr(r"explode(regexp_extract_all(lower(value), '([\\p{L}\\p{N}]+)', 1)) as w").select(stem("w").alias("w"))
+    assert sorted(r.term for r in rows.collect()) == sorted({r.w for r in want.collect()})
+    r = rows.where("term = 'größe'").first()
+    assert (r.chunk_ids, r.ends, r.places) == ([1, 4, 4, 5], [1, 2, 3, 4], [2, 1, 2, 2])
+
+
+def test_an_index_is_made_without_a_shuffle(spark):
+    """Its steps were two shuffles of all words before; equal ids of chunks are merged by readers."""
+    c = spark.createDataFrame([(1, "u", "k", "cat")], "chunk_id long, user_id string, kb_id string, text string")
+    assert "Exchange" not in index(c)._jdf.queryExecution().toString()
+
+
+def test_chunks_that_share_an_id_count_together(spark, tmp_path):
+    c = spark.createDataFrame([(1, "u", "k", "cat"), (1, "u", "k", "a cat"), (2, "u", "k", "dog")], "chunk_id long, user_id string, kb_id string, text string").repartition(3)
+    save(index(c), str(tmp_path / "ix"), shards=3)
+    got = search(Saved(spark, str(tmp_path / "ix")), "cats or dogs").collect()
+    assert sorted(r.chunk_id for r in got) == [1, 2]
+    assert max(got, key=lambda r: r.score).chunk_id == 1
