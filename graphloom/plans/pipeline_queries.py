@@ -206,8 +206,10 @@ def _ground_truth(spark, d):
     p = docs.select("source", "lang", F.col("filename").alias("a"), F.lead("filename").over(w).alias("b"), F.floor((F.row_number().over(w) - 1) / 100).alias("part")).where("b is not null")
     files = p.groupBy("source", "lang", "part").agg(F.to_json(F.struct(F.collect_list(F.struct("a", "b")).alias("pairs"))).alias("value"))
     at = _place(spark)
-    files.select(F.concat_ws("-", "source", "lang", "part").alias("file"), "value").write.partitionBy("file").text(at)
-    return ground_truth(spark, at, "pairs"), docs.select("filename", F.col("doc_id").alias("document_id"))
+    # A task writes some 64 files, however many there are.
+    tasks = max(1, -(-docs.count() // 6400))
+    files.repartition(tasks, "source", "lang", "part").select("value").write.option("maxRecordsPerFile", 1).text(at)
+    return ground_truth(spark, at, "pairs", "a string, b string"), docs.select("filename", F.col("doc_id").alias("document_id"))
 
 
 @query("S22_ground_truth", f"SELECT folder || a || '.txt' AS a, folder || b || '.txt' AS b FROM ({PAIRS}) AS q WHERE b IS NOT NULL")

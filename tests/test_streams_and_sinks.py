@@ -137,3 +137,15 @@ def test_themes(spark):
 def test_names_are_normalised_by_compatibility(spark):
     df = spark.createDataFrame([("Ａcme  ﬁrm",), ("ACME firm",), (None,), ("Ünal x",)], "t string")
     assert [r[0] for r in df.select(normalized(F.col("t"))).collect()] == ["acme firm", "acme firm", None, "ünal x"]
+
+
+def test_ground_truth_files_are_written_by_tasks_of_64_files_or_so(spark, tmp_path):
+    """One task wrote all of them before, and one read them all for their fields."""
+    from graphloom.plans.pipeline_queries import _ground_truth
+
+    spark.range(20_000).selectExpr("id as doc_id", "concat('s', id % 3) as source", "'en' as lang", "'' as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    pairs, docs = _ground_truth(spark, str(tmp_path))
+    files = [f.rsplit("/", 1)[-1] for f in pairs.inputFiles()]
+    assert len(files) == 201 and len({f[:10] for f in files}) > 1
+    assert pairs.count() == 20_000 - 3 and docs.count() == 20_000
+    assert sorted(pairs.where("a = 's1/en/4.txt'").collect()) == [("s1/en/4.txt", "s1/en/7.txt")]
