@@ -209,3 +209,12 @@ def test_alias_pairs_of_equal_names_are_made_from_classes(spark, monkeypatch):
     # Members of equal names meet at the end only: no aggregate lies above the pairs.
     plain = L.alias_pairs(canon.where("canonical_id <> 2"))
     assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_review_chunks_need_no_names(spark, small):
+    """They are those of the review batch, without its joins to mentions and identities."""
+    from graphloom.plans.graph_queries import QUERIES
+
+    chunks = QUERIES["K07_review_chunks"](spark, small)
+    assert "canonical_id" not in chunks._jdf.queryExecution().analyzed().toString()
+    assert sorted(chunks.collect()) == sorted(QUERIES["J12_review_candidates"](spark, small).select("user_id", "kb_id", "chunk_id").distinct().collect())
