@@ -218,3 +218,16 @@ def test_review_chunks_need_no_names(spark, small):
     chunks = QUERIES["K07_review_chunks"](spark, small)
     assert "canonical_id" not in chunks._jdf.queryExecution().analyzed().toString()
     assert sorted(chunks.collect()) == sorted(QUERIES["J12_review_candidates"](spark, small).select("user_id", "kb_id", "chunk_id").distinct().collect())
+
+
+def test_rings_begin_around_few_nodes(spark, monkeypatch):
+    """A node may cost all edges of its knowledge base, so no more nodes are looked at than the pairs need, or twice as many."""
+    from graphloom.operators import linking
+
+    looked, ring = [], linking._next_ring
+    monkeypatch.setattr(linking, "_next_ring", lambda front, sym, *inner: (looked.append(front.select("a").distinct().count()), ring(front, sym, *inner))[1])
+    p = spark.createDataFrame([("u", "k", i, i + 1) for i in range(200)], "user_id string, kb_id string, a long, b long")
+    none = spark.createDataFrame([], "a long, b long")
+    got = linking.candidate_pairs(linking.symmetric(p), none, limit=3)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(0, 3), (1, 4), (2, 5)]
+    assert max(looked) <= 4
