@@ -12,8 +12,9 @@ From ``share * (edits + 1)`` bytes on, the distance grows to one edit in ``share
 the longer line. Its ``budget + 1`` segments then have at least ``run_bytes`` bytes each, and
 one of them stands unchanged in the other line, so that both select the same gram there: the
 smallest by hash of a window of that many bytes. The longer line indexes one gram a segment,
-every line probes with the grams of all its windows. Keys also hold a class of the length and
-the place in the line, which can differ by the budget at most.
+every line probes with the grams of the windows where an alignment within the budget can put
+a segment of a line of its own length or of one that is longer by the budget at most. Keys
+also hold a class of the length and the place in the line.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ SHARE = 50
 #: Bytes of a gram that names a window of a long line.
 GRAM = 12
 #: The keys are dealt and compared in parts by the length of their lines, of this share of all bytes of lines each, so that their shuffle files don't lie on disk all at once.
-PART_SHARE = 0.5
+PART_SHARE = 1.0
 LEAST_BYTES = 24
 #: Lines that meet at one key in one task; keys with more are cut into blocks that meet two by two.
 BLOCK = 512
@@ -52,6 +53,9 @@ _GROUP = np.arange(256) * 7 % GROUPS
 for _i, _letters in enumerate([b" eE", b"tTaA", b"oOiI", b"nNsS", b"rRhH", b"lLdDuU", b"cCmM", b"pPgGfF", b"bByYvV", b"wWkK0123456789"]):
     _GROUP[list(_letters)] = _i
 _COUNTED = U64(1) << (U64(BITS) * _GROUP.astype(U64))
+#: Keys carry a line's role, its size (or the largest number) and the counts of fewer groups in one word.
+SIZE_BITS, KEY_GROUPS = 21, 7
+_KEY_COUNTED = U64(1) << (U64(SIZE_BITS + 1) + U64(BITS) * np.array([0, 1, 2, 3, 4, 5, 6, 6, 5, 4], U64)[_GROUP])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -111,14 +115,14 @@ def _fingerprint_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, powers(_STEP_INV, len(data) + 1)
 
 
-def byte_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def byte_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, counted: np.ndarray = _COUNTED) -> np.ndarray:
     """The bytes of ten groups in each line, as one sum with six bits a group (modulo 2**64)."""
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_COUNTED[data], out=total[1:])
+    np.cumsum(counted[data], out=total[1:])
     return total[end] - total[start]
 
 
-def counts_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def counts_apart(one: np.ndarray, two: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """A lower bound of the edits between lines with these byte counts.
 
     An edit moves one count up, one down, or both. Differences below 32 are read exactly
@@ -128,7 +132,7 @@ def counts_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     d = (one - two).view(np.int64)
     more, less = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
     half = 1 << (BITS - 1)
-    for _ in range(GROUPS):
+    for _ in range(groups):
         digit = ((d + half) & ((1 << BITS) - 1)) - half
         more += np.maximum(digit, 0)
         less += np.maximum(-digit, 0)
@@ -210,13 +214,13 @@ def _segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
     return i * short + np.maximum(0, i - plain), short + (i >= plain)
 
 
-_KEY_KINDS = (U64, U64, U64, np.int32)
+_KEY_KINDS = (np.uint32, U64, U64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, kinds: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Texts to arrays ``key, h1, byte counts, size`` of the index and probe keys of their lines; the size of a probe is negative.
+    """Texts to arrays ``key, h1, word`` of the index and probe keys of their lines.
 
-    Only keys of indexed lines whose length class is in ``kinds`` (first one and end) are given.
+    The word holds, from its lowest bit on, 1 for an index key, the size and the byte counts. Only keys of indexed lines whose length class is in ``kinds`` (first one and end) are given.
     """
     # A short line probes the classes of lines that have up to ``edits`` bytes less, a long one those of its own or longer lines.
     longest = 2.0 ** (kinds[1] / 2) + edits if kinds[1] < 2 * 62 else np.inf
@@ -241,7 +245,8 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int,
             own.sort()
             h1, start, end = h1[own], start[own], end[own]
             total, inverse = _fingerprint_sums(data)
-            counts, size = byte_counts(data, start, end), end - start
+            size = end - start
+            word = byte_counts(data, start, end, _KEY_COUNTED) | np.minimum(size, (1 << SIZE_BITS) - 1).astype(U64) << U64(1)
             keys, owners, roles = [], [], []
 
             def add(at: np.ndarray, other: np.ndarray, i: int, s: np.ndarray, n: np.ndarray, indexed: bool) -> None:
@@ -269,21 +274,28 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int,
                         add(every[at], other[at], i, start[every[at]] + p[at] + d, n[at], False)
             for lo in range(0, len(keys), 8):
                 key, owner = np.concatenate(keys[lo : lo + 8]), np.concatenate(owners[lo : lo + 8])
-                signed = np.concatenate([size[o] if r else -size[o] for o, r in zip(owners[lo : lo + 8], roles[lo : lo + 8], strict=True)]).astype(np.int32)
-                yield key, h1[owner], counts[owner], signed
+                role = np.repeat(np.array(roles[lo : lo + 8], U64), [len(o) for o in owners[lo : lo + 8]])
+                yield key, h1[owner], word[owner] | role
 
 
 def _packed_keys(batches: Iterator[pa.RecordBatch], edits: int, share: int, least: int, buckets: int, kinds: tuple[int, int] = (0, 200)) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, h1, word = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        # Within a bucket, half of a key's bits tell it from nearly all others.
+        yield from packed.pack([(key >> U64(32)).astype(np.uint32), h1, word], buckets, key)
+
     for columns in _keys(batches, edits, share, least, kinds):
         held.append(columns)
         rows += len(columns[0])
         if rows >= 2 * COMBINED:
-            yield from packed.pack([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
-            held, rows = [], 0
+            yield from flush()
+            rows = 0
     if held:
-        yield from packed.pack([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
+        yield from flush()
 
 
 def budget(size: int, edits: int = EDITS, share: int = SHARE) -> int:
@@ -332,13 +344,12 @@ def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.
     q = place[start[line] + i * (size[line] // np.repeat(count, count))]
     kind = _length_class(size[line])
     yield key(q, kind, (q - start[line]) // (16 * reach(kind) + 16)), line, True
-    # The windows of a line select a new gram only where the place of the smallest changes.
-    begin, last = start[at], start[at] + size[at] - run
-    change = np.flatnonzero(place[1:] != place[:-1]) + 1
-    of = np.searchsorted(begin, change, "right") - 1
-    inside = (of >= 0) & (change <= last[of]) & (change != begin[of])
-    of = np.r_[np.arange(len(at)), of[inside]]
-    line, q = at[of], place[np.r_[begin, change[inside]]]
+    # Neighbouring windows of a line mostly select one gram.
+    window = np.flatnonzero(_probed(start[at], size[at], run, edits, share, len(place)))
+    q = place[window]
+    q = q[np.r_[True, q[1:] != q[:-1]]]
+    of = np.searchsorted(start[at], q, "right") - 1
+    line = at[of]
     # The other line isn't shorter, by its budget at most longer.
     own, longer = _length_class(size[at]), _length_class(size[at] + size[at] // (share - 1) + 1)
     for n, kinds in enumerate((own, longer)):
@@ -351,9 +362,41 @@ def _long_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.
         yield key(q[ok[two]], kind[two], other[two]), line[ok[two]], False
 
 
-def _may_be_near(size: np.ndarray, counts: np.ndarray, p: np.ndarray, q: np.ndarray, edits: int, share: int) -> np.ndarray:
+def _probed(start: np.ndarray, size: np.ndarray, run: int, edits: int, share: int, places: int) -> np.ndarray:
+    """Mask of the places at which a window of these lines may be the first bytes of an unchanged segment of a line that isn't shorter.
+
+    Of ``budget + 1`` segments one, say number i, is unchanged with i edits at most before
+    it and ``budget - i`` after it (the first i such that the segments up to it hold i edits
+    at most), which bounds its shift from both ends. Lines so long that the other may have
+    many budgets look up all windows.
+    """
+    every = size >= share * share
+    lows, highs = [start[every]], [start[every] + size[every] - run]
+    at = np.flatnonzero(~every)
+    # The other line has this many bytes at least and at most.
+    shortest, longest = np.maximum(size, share * (edits + 1)), size + size // (share - 1) + 1
+    most = shortest // share
+    while len(at := at[most[at] * share <= longest[at]]):
+        k = most[at]
+        low, high = np.maximum(shortest[at], k * share), np.minimum(np.minimum(longest[at], k * share + share - 1), size[at] + k)
+        some = low <= high
+        k, low, high, own = k[some], low[some], high[some], at[some]
+        i = np.arange(int((k + 1).sum())) - np.repeat(np.cumsum(k + 1) - k - 1, k + 1)
+        k, low, high, own = (np.repeat(x, k + 1) for x in (k, low, high, own))
+        n, behind = size[own], k - i
+        first = np.maximum(i * (low // (k + 1)) + np.maximum(-i, n - high - behind), 0)
+        last = np.minimum(i * (high // (k + 1)) + np.minimum(i, n - low + behind), n - run)
+        some = first <= last
+        lows.append(start[own[some]] + first[some])
+        highs.append(start[own[some]] + last[some])
+        most[at] += 1
+    edge = np.bincount(np.concatenate(lows), minlength=places + 1) - np.bincount(np.concatenate(highs) + 1, minlength=places + 1)
+    return np.cumsum(edge)[:places] > 0
+
+
+def _may_be_near(size: np.ndarray, counts: np.ndarray, p: np.ndarray, q: np.ndarray, edits: int, share: int, groups: int = GROUPS) -> np.ndarray:
     reach = np.maximum(edits, np.maximum(size[p], size[q]) // share)
-    return (counts_apart(counts[p], counts[q]) <= reach) | (reach >= 1 << (BITS - 1))
+    return (counts_apart(counts[p], counts[q], groups) <= reach) | (reach >= 1 << (BITS - 1))
 
 
 def _like_sizes(group: np.ndarray, size: np.ndarray, edits: int, share: int, all_of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -382,21 +425,28 @@ def _like_sizes(group: np.ndarray, size: np.ndarray, edits: int, share: int, all
 
 
 def _meet(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator[pa.RecordBatch]:
-    """Packed keys to ``key, blocks, h1``: lines that an index entry or a probe of another line may be within the budget of, at that key.
+    """Packed keys to ``key, blocks, h1``: lines that an index entry or a probe of another line may be within the budget of, at a key.
 
     Sizes and byte counts rule the other pairs of a key out. A key with more than
-    ``THINNED`` pairs keeps all its rows, for blocks of its lines to be compared.
+    ``THINNED`` pairs keeps all its rows, for blocks of its lines to be compared. Keys
+    are then named by the set of their lines.
     """
-    for key, h, counts, signed in packed.gather(batches, _KEY_KINDS):
+    for key, h, word in packed.gather(batches, _KEY_KINDS):
         order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        # Most keys stand alone.
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        if not len(order):
+            continue
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         group = np.cumsum(new) - 1
         rows = np.bincount(group)
-        ins = np.bincount(group, weights=signed[order] > 0)
+        ins = np.bincount(group, weights=word[order] & U64(1))
         # A line meets its own index entries in any case; at least one row must be another's.
         other = np.bincount(group, weights=h[order] != h[order][np.flatnonzero(new)][group])
         order = order[((ins > 0) & (ins < rows) & (other > 0))[group]]
-        key, h, counts, size, indexed = key[order], h[order], counts[order], np.abs(signed[order]).astype(np.int64), signed[order] > 0
+        key, h, word = key[order], h[order], word[order]
+        size, counts, indexed = (word >> U64(1) & U64((1 << SIZE_BITS) - 1)).astype(np.int64), word >> U64(SIZE_BITS + 1), (word & U64(1)).astype(bool)
         if not len(key):
             continue
         order = np.lexsort((size, key))
@@ -405,7 +455,7 @@ def _meet(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator
         for p, q in _like_sizes(key, size, edits, share, ok):
             here = (indexed[p] != indexed[q]) & (h[p] != h[q]) & ~(ok[p] & ok[q])
             p, q = p[here], q[here]
-            near = _may_be_near(size, counts, p, q, edits, share)
+            near = _may_be_near(size, counts, p, q, edits, share, KEY_GROUPS)
             ok[p[near]] = ok[q[near]] = True
         key, h = key[ok], h[ok]
         if not len(key):
@@ -414,8 +464,15 @@ def _meet(batches: Iterator[pa.RecordBatch], edits: int, share: int) -> Iterator
         key, h = key[order], h[order]
         one = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
         key, h = key[one], h[one]
-        lines = np.searchsorted(key, key, "right") - np.searchsorted(key, key)
-        blocks = -(-lines // BLOCK)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        lines = np.diff(np.r_[first, len(key)])
+        # Like lines share many keys; those with the same lines are one meeting.
+        of = mix(np.add.reduceat(mix(h), first) + lines.astype(U64) * U64(0x9E3779B97F4A7C15))
+        _, some = np.unique(of, return_index=True)
+        own = np.zeros(len(first), bool)
+        own[some] = True
+        own, key, blocks = np.repeat(own, lines), np.repeat(of, lines), np.repeat(-(-lines // BLOCK), lines)
+        key, blocks, h = key[own], blocks[own], h[own]
         for a in range(0, len(key), 100_000):
             s = slice(a, a + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(blocks[s].astype(np.int32)), pa.array(h[s].view(np.int64))], names=["key", "blocks", "h1"])
@@ -576,21 +633,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[p
 
 
 def _first_shared(keys: pa.ListArray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The smallest key that each pair of rows shares; the keys of a row are distinct."""
+    """The smallest key that each pair of rows shares; the keys of a row are distinct and go up, and a pair shares one."""
     flat, off = keys.values.to_numpy(), keys.offsets.to_numpy().astype(np.int64)
-    count = np.diff(off)
     out = np.zeros(len(p), np.int64)
-    for lo in range(0, len(p), 20_000):
-        rows = np.concatenate([p[lo : lo + 20_000], q[lo : lo + 20_000]])
-        k = len(rows) // 2
-        n = count[rows]
-        at = np.arange(n.sum()) + np.repeat(off[rows] - (np.cumsum(n) - n), n)
-        pair, key = np.repeat(np.r_[np.arange(k), np.arange(k)], n), flat[at]
-        order = np.lexsort((key, pair))
-        pair, key = pair[order], key[order]
-        both = np.flatnonzero((pair[1:] == pair[:-1]) & (key[1:] == key[:-1]))
-        some, first = np.unique(pair[both], return_index=True)
-        out[lo + some] = key[both[first]]
+    for lo in range(0, len(p), 200_000):
+        a, b, at = off[p[lo : lo + 200_000]], off[q[lo : lo + 200_000]], np.arange(lo, min(lo + 200_000, len(p)))
+        # The rows of all pairs are merged at once, one step at a time; like lines share one of their first keys.
+        while len(at):
+            x, y = flat[a], flat[b]
+            same = x == y
+            out[at[same]] = x[same]
+            rest = np.flatnonzero(~same)
+            less = (x < y)[rest]
+            at, a, b = at[rest], a[rest] + less, b[rest] + ~less
     return out
 
 
@@ -687,7 +742,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES, share
         parts.append(materialize(met, "keys"))
     meet = reduce(DataFrame.unionByName, parts)
     # The blocks of a key are known before the lines join, which then are dealt out only once.
-    of_line = meet.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("keys"))
+    of_line = meet.groupBy("h1").agg(F.sort_array(F.collect_set(F.struct("key", "blocks"))).alias("keys"))
     named = long.join(of_line, "h1").select("first.*", "h1", "copies", "keys")
     asked = named.groupBy("doc", "body").agg(F.collect_list(F.struct("line", "h1", "copies", "keys")).alias("asked"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))

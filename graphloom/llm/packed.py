@@ -32,7 +32,7 @@ def bucket_count(size: int) -> int:
 
 
 def pack(columns: Sequence[np.ndarray], buckets: int, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Blocks of the rows given as ``columns``; ``key``, or else the first column, 64 bits wide, names the bucket."""
+    """Blocks of the rows given as ``columns``; ``key``, or else the first column, 64 bits wide, names the bucket. The first column has 32 bits or more."""
     bucket = ((columns[0] if key is None else key).view(U64) % U64(buckets)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -65,7 +65,8 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: Sequence[type], held: int =
 
     def spill() -> None:
         columns = _unpack(blocks, kinds)
-        part = (columns[0].view(U64) >> U64(40)) % U64(SPLIT)
+        first = columns[0].view(f"u{columns[0].itemsize}")
+        part = (first >> first.dtype.type(8 * first.itemsize - 24)) % first.dtype.type(SPLIT)
         for k, f in enumerate(files):
             mine = part == k
             n = int(mine.sum())

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup
@@ -201,3 +202,19 @@ def test_counts_never_exceed_the_distance():
     for (a, b), n in zip(pairs, low.tolist(), strict=True):
         assert n <= max(len(a), len(b)) and (len(a) > 200 or n <= distance(a, b))
     assert low.max() > 3
+
+
+def test_near_lines_meet_once():
+    """Lines within the budget have one meeting, however many keys they share; its probes are those that an alignment allows."""
+    r = random.Random(15)
+    for n in (147, 150, 199, 203, 349, 700, 1499, 2499, 2600):
+        for _ in range(6):
+            a = bytes(r.choice(b"abcdefgh ") for _ in range(n))
+            b = changed(r, a, n // 50)
+            near = line_dedup.within_far(a, b, line_dedup.budget(max(len(a), len(b))))
+            batch = pa.RecordBatch.from_arrays([pa.array([a.decode(), b.decode()])], names=["text"])
+            keys = list(line_dedup._packed_keys(iter([batch]), 2, 50, 24, 7))
+            met = [m for t in line_dedup._meet(iter(keys), 2, 50) for m in t.to_pylist()]
+            assert len({m["h1"] for m in met}) == len(met) == (2 if a != b else 0) or not near and not met
+            rows = sum(x for t in keys for x in t.column("rows").to_pylist())
+            assert n > 700 or rows < 2 * (len(a) + len(b)) / line_dedup.GRAM
