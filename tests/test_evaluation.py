@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.operators.embedding import WIDTH, embed
 from graphloom.operators.evaluation import intrusion_score, intrusion_sets
@@ -42,6 +43,20 @@ def test_intrusion_sets_by_brute_force(spark):
     assert len({r.shown.index(r.intruder) for r in got}) > 2
 
 
+def test_no_row_holds_a_community(spark):
+    """Of a community of many members, only those shown or drawn are collected."""
+    nodes = spark.range(30_000).selectExpr("'u' as user_id", "'k' as kb_id", "id as canonical_id", "cast(id % 3 as int) as community_id", "concat('Name ', id) as canonical_text", "id % 50 as mention_count")
+    nodes = nodes.unionByName(nodes.limit(5).withColumn("community_id", F.lit(None).cast("int")))
+    sets = intrusion_sets(nodes)
+    got = sets.collect()
+    assert sorted(r.community_id for r in got) == [0, 1, 2]
+    for r in got:
+        most = sorted((i for i in range(r.community_id, 30_000, 3)), key=lambda i: (-(i % 50), i))[:4]
+        assert set(r.shown) == {f"Name {i}" for i in most} | {r.intruder} and int(r.intruder[5:]) % 3 == r.from_community
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "WindowGroupLimit" in plan.split("collect_list")[1]
+
+
 def test_intrusion_scores(spark):
     sets = spark.createDataFrame([("u", "k", 0, "The  Name"), ("u", "k", 1, "Other"), ("u", "k", 2, "Third"), ("u", "k", 3, "Fourth")], "user_id string, kb_id string, community_id int, intruder string")
     answers = spark.createDataFrame([("u", "k", 0, " the name"), ("u", "k", 1, ""), ("u", "k", 2, "wrong")], "user_id string, kb_id string, community_id int, answer string")
