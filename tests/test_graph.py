@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
@@ -231,3 +233,23 @@ def test_rings_begin_around_few_nodes(spark, monkeypatch):
     got = linking.candidate_pairs(linking.symmetric(p), none, limit=3)
     assert sorted((r.a, r.b) for r in got.collect()) == [(0, 3), (1, 4), (2, 5)]
     assert max(looked) <= 4
+
+
+def test_two_hops_by_brute_force(spark, small):
+    """Windows two hops away, on random windows; the edges are dealt by their ends once, when the seeds' edges are written."""
+    rng = random.Random(3)
+    rows = [(100 * c + i, c, rng.randrange(25)) for c in range(60) for i in range(rng.randrange(1, 5))]
+    resolved = spark.createDataFrame([(m, c, "u", "k", x) for m, c, x in rows], "mention_id long, chunk_id long, user_id string, kb_id string, canonical_id long")
+    pairs = [(c, a, b) for a, c, _ in rows for b, d, _ in rows if c == d and a < b and rng.random() < 0.7]
+    e = spark.createDataFrame([(c, "u", "k", a, b, 1) for c, a, b in pairs], "chunk_id long, user_id string, kb_id string, a long, b long, co_occurrence_count int")
+    of = {m: x for m, _, x in rows}
+    for seeds in ([0], [3, 4], [99]):
+        touch = [(c, y) for c, a, b in pairs for x, y in ((a, b), (b, a)) if of[x] in seeds]
+        near = {of[y] for _, y in touch}
+        want = {c for c, a, b in pairs if of[a] in near or of[b] in near} - {c for c, _ in touch}
+        got = [r.chunk_id for r in R.two_hops(resolved, e, spark.createDataFrame([(x,) for x in seeds], "canonical_id long")).collect()]
+        assert sorted(got) == sorted(want)
+    from graphloom.plans.registry import QUERIES
+
+    plan = QUERIES["J05_without_seed_chunks"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(array(") == 1

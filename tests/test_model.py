@@ -1,10 +1,13 @@
+import random
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import content_type, normalized
-from graphloom.operators.model import canonical, edges, mentions, resolve, windows
+from graphloom.operators.model import Model, canonical, edges, mentions, resolve, window_mentions, windows
 from graphloom.sources.tables import TenantScope, insert_new, replace_documents
 
 DOC = "document_id long, user_id string, kb_id string, text string"
@@ -118,3 +121,21 @@ def test_windows_and_default_mentions_pass_texts_in_pieces(spark, monkeypatch):
     r = resolve(m, compatibility=False)
     assert r.where("user_id is null").count() == 0
     assert sorted(model.identities(r).collect()) == sorted(canonical(r).select(*model.identities(r).columns).collect())
+
+
+def test_mentions_in_one_pass(spark, small, monkeypatch):
+    """The mentions of all windows, with words cut by windows' ends, and in pieces smaller than a text; the windows' texts don't leave the task."""
+    from graphloom.operators import model
+
+    monkeypatch.setattr(model, "_PIECE", 64)
+    rng = random.Random(5)
+    texts = ["", "A", "Abc", "Word", "AWordé Word", "Éclat Paris 😀Wien", "Longword" * 40, "x" * 90] + ["".join(rng.choice("AABcdefgh éß。. \n") for _ in range(rng.randrange(1, 300))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, "u", "k", t) for i, t in enumerate(texts)] + [(99, "u", "k", None)], DOC).repartition(3)
+    for size, overlap in [(600, 60), (20, 3), (7, 4), (3, 2)]:
+        want = mentions(windows(docs, size, overlap), threshold=0.0)
+        got = window_mentions(docs, size, overlap, threshold=0.0)
+        assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect())
+        by_regex = [(r.chunk_id, x.start(), x.group().decode()) for r in windows(docs, size, overlap).collect() for x in re.finditer(rb"[A-Z][a-z]{3,}", r.text.encode())]
+        assert sorted(by_regex) == sorted((r.chunk_id, r.char_start, r.text) for r in got.collect())
+    plan = Model(spark, small).mentions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
