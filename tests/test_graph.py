@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -253,3 +254,45 @@ def test_two_hops_by_brute_force(spark, small):
 
     plan = QUERIES["J05_without_seed_chunks"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(array(") == 1
+
+
+def test_two_hop_meets_blocks_by_brute_force(spark, monkeypatch):
+    from graphloom.operators import hops
+
+    r = random.Random(7)
+    rows = {("u", "k", min(r.randrange(90), r.randrange(90)), r.randrange(90)) for _ in range(500)} | {("u", None, r.randrange(200, 230), r.randrange(200, 230)) for _ in range(60)}
+    # An id in two knowledge bases leads on to its neighbours in both.
+    rows |= {("u", "other", 5, 1 << 62), ("u", "other", -(1 << 62), 5), ("v", "pair", -9, -8)}
+    sym = L.symmetric(spark.createDataFrame(sorted(rows, key=str), "user_id string, kb_id string, a long, b long"))
+    edges = [tuple(x) for x in sym.collect()]
+    near = {}
+    for _, _, a, b in edges:
+        near.setdefault(a, set()).add(b)
+    want = {(u, k, a, c) for u, k, a, b in edges for c in near[b] if c != a}
+    # One block; several, a few starts at a time; all rows as bits, and none.
+    for block, room, sparse in ((1 << 20, 1 << 22, 128), (100, 512, 8), (100, 1 << 12, 1 << 20), (30, 1, 0)):
+        monkeypatch.setattr(hops, "BLOCK_EDGES", block)
+        monkeypatch.setattr(hops, "ROOM", room)
+        monkeypatch.setattr(hops, "SPARSE", sparse)
+        pairs = [tuple(x) for x in hops.two_hop(sym).collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+        got = {(x.user_id, x.kb_id, x.a): x.n for x in hops.two_hop_counts(sym).collect()}
+        assert got == Counter(x[:3] for x in want)
+
+
+def test_pairs_around_a_hub_are_counted_without_a_row_each(spark, monkeypatch):
+    from graphloom.plans import graph_queries
+
+    star = L.symmetric(spark.createDataFrame([("u", "k", 0, 1_000_000_000_000_000_000 + i) for i in range(2000)], "user_id string, kb_id string, a long, b long"))
+    monkeypatch.setitem(graph_queries.QUERIES, "U01_symmetric_closure", lambda spark, d: star)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def sent() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = sent()
+    (got,) = graph_queries.QUERIES["J07_two_hop"](spark, "").collect()
+    assert (got.n, got.s) == (2000 * 1999, sum(1_000_000_000_000_000_000 + i for i in range(2000)) * 1999)
+    # The paths are two thousand times as many as the edges.
+    assert sent() - before < 40 * 4000
