@@ -47,10 +47,15 @@ def _meet(batches: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarra
     via, begin, end = _lists(batches, True)
     if not len(mid) or not len(end):
         return
+    # In order of their nodes, of which one may have several lists.
+    by = np.argsort(via)
+    size = np.diff(begin)[by]
+    end = end[_within(begin[by], size)]
+    via, first = np.unique(via[by], return_index=True)
+    begin = np.append((np.cumsum(size) - size)[first], len(end))
     names, column = np.unique(end, return_inverse=True)
     degree = np.diff(begin)
-    by = np.argsort(via)
-    m = by[np.searchsorted(via, mid, sorter=by).clip(max=len(via) - 1)]
+    m = np.searchsorted(via, mid).clip(max=len(via) - 1)
     met = via[m] == mid
     row, m = np.repeat(np.arange(len(start)), np.diff(at))[met], m[met]
 
@@ -95,22 +100,23 @@ def _pairs(start: np.ndarray, names: np.ndarray, reached: np.ndarray) -> Iterato
 def _cells(sym: DataFrame) -> DataFrame:
     """``user_id, kb_id, i, j, ends, node, near``: lists of neighbours, by cells of a block of starts and one of ends.
 
-    A start stands in one block with all its neighbours; a neighbour's own neighbours are
-    dealt to their blocks, which are as many as the knowledge base's edges ask for.
+    Edges go both ways, so a node's list is that of a start and that of a neighbour. A start
+    stands in one block with its whole list; a neighbour's list is dealt to the blocks of its
+    ends, which are as many as the knowledge base's edges ask for.
     """
-    sym = cut(sym.select(*KB, "a", "b"))
-    large = sym.groupBy(*KB).agg(F.ceil(F.count("*") / BLOCK_EDGES).cast("int").alias("side")).where("side > 1")
+    # Lists name the node and its knowledge base once, so they take less room in the checkpoint than edges.
+    near = cut(sym.select(*KB, "a", "b").repartition("a").groupBy(*KB, "a").agg(F.collect_list("b").alias("near")))
+    large = near.groupBy(*KB).agg(F.ceil(F.sum(F.size("near")) / BLOCK_EDGES).cast("int").alias("side")).where("side > 1")
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in KB]
     # Only knowledge bases of several blocks are sent, one for a million edges at most.
     sided = lambda df: df.alias("s").join(F.broadcast(large).alias("k"), same, "left").select("s.*", F.coalesce("side", F.lit(1)).alias("side"))
     block = lambda c: F.pmod(F.xxhash64(c), "side").cast("int")
     every = F.sequence(F.lit(0), F.col("side") - 1)
-    starts = sym.repartition(*KB, "a").groupBy(*KB, "a").agg(F.collect_list("b").alias("near"))
-    starts = sided(starts).select(*KB, block("a").alias("i"), F.explode(every).alias("j"), F.lit(False).alias("ends"), F.col("a").alias("node"), "near")
+    starts = sided(near).select(*KB, block("a").alias("i"), F.explode(every).alias("j"), F.lit(False).alias("ends"), F.col("a").alias("node"), "near")
     # Edges join by id alone, so a node leads on to its neighbours in whatever knowledge base.
-    on = sided(sym.select(*KB, "b").distinct()).join(sym.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    on = on.groupBy(*KB, "side", block("c").alias("j"), "b").agg(F.collect_list("c").alias("near"))
-    on = on.select(*KB, F.explode(every).alias("i"), "j", F.lit(True).alias("ends"), F.col("b").alias("node"), "near")
+    on = sided(near.select(*KB, "a").join(near.select("a", "near"), "a")).select("*", F.explode(every).alias("j"))
+    on = on.withColumn("near", F.when(F.col("side") == 1, F.col("near")).otherwise(F.filter("near", lambda c: block(c) == F.col("j")))).where(F.size("near") > 0)
+    on = on.select(*KB, F.explode(every).alias("i"), "j", F.lit(True).alias("ends"), F.col("a").alias("node"), "near")
     return starts.unionByName(on)
 
 
@@ -130,7 +136,7 @@ def _reach(sym: DataFrame, make, columns: str) -> DataFrame:
 
 
 def two_hop(sym: DataFrame) -> DataFrame:
-    """Distinct ordered pairs joined by a path of two edges; each is made once, by the cell of its ends."""
+    """Distinct ordered pairs joined by a path of two edges of ``sym``, which go both ways; each is made once, by the cell of its ends."""
     return _reach(sym, _pairs, "a long, b long")
 
 
